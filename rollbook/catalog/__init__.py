@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import constructs  # noqa: F401
+from . import constructs, revenue  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -824,10 +824,11 @@ def age_months(t):
     )
 
 
+# Days are added as an integer: DuckDB treats INTERVAL '30' DAY and INTERVAL '1' MONTH as one common expression.
 @register(
     "q_interval_math",
     """SELECT contract_id, CAST(started_dt + INTERVAL '1' MONTH AS DATE) AS plus_month, CAST(started_dt + INTERVAL '3' YEAR AS DATE) AS plus_years,
-    CAST(period_end_dt - quantity * INTERVAL '1' MONTH AS DATE) AS minus_months, CAST(started_dt + INTERVAL '30' DAY AS DATE) AS plus_days,
+    CAST(period_end_dt - quantity * INTERVAL '1' MONTH AS DATE) AS minus_months, started_dt + 30 AS plus_days,
     started_dt + INTERVAL '1' MINUTE AS plus_minute FROM b_contract""",
     uses="b_contract",
     dates="plus_month plus_years minus_months plus_days",

@@ -15,11 +15,22 @@ def ratio(num: Column, den: Column, scale: int = 2) -> Column:
     return F.round(F.try_divide(dec(num, 20, 4), dec(den, 20, 4)), scale).cast(f"decimal(20,{scale})")
 
 
-def share(amount: Column, part: Column, whole: Column) -> Column:
-    """amount * part / whole on decimals; NULL for a zero whole."""
-    return F.try_divide(dec(amount, 18) * dec(part, 18), dec(whole, 18))
+def int_div(num: Column, den) -> Column:
+    """Integer division towards zero."""
+    return F.call_function("div", num, den if isinstance(den, Column) else F.lit(den))
 
 
-def int_div(num: Column, den: int) -> Column:
-    """Integer division towards zero."""
-    return F.call_function("div", num, F.lit(den))
+def round_div(num: Column, den: Column) -> Column:
+    """num / den rounded half-up to an integer, exactly: no intermediate quotient is rounded. NULL for den = 0."""
+    n, d = dec(num, 30), F.nullif(dec(den, 30), F.lit(0))
+    return F.signum(n).cast("bigint") * int_div(2 * F.abs(n) + d, 2 * d)
+
+
+def cents(col: Column) -> Column:
+    """Euro decimal as integer cents."""
+    return F.round(dec(col, 20, 2) * 100).cast("bigint")
+
+
+def euro(cent_col: Column) -> Column:
+    """Integer cents as euro with two digits."""
+    return (dec(cent_col, 18) / dec(F.lit(100), 3)).cast("decimal(18,2)")

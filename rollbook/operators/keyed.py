@@ -28,6 +28,15 @@ def with_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFra
     return join_null_safe(df, df.groupBy(*keys).agg(*exprs), keys)
 
 
+def with_totals_by(df: DataFrame, *levels: tuple[list[str], dict[str, Column]]) -> DataFrame:
+    """Totals over several key sets, each aggregated from ``df`` itself rather than from the previous result."""
+    out = df
+    for keys, aggregates in levels:
+        totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
+        out = join_null_safe(out, totals, keys)
+    return out
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key under ``order``, which must end in a unique column.
 
