@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import constructs, revenue, usage  # noqa: F401
+from . import accounts, constructs, revenue, usage  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
