@@ -117,55 +117,62 @@ def unique_subscriptions(plans: DataFrame) -> DataFrame:
     return rows.withColumn("subscription_id", subscription)
 
 
-def _contact(path: str) -> Column:
-    """Shipping contact value, else the contact's."""
-    return F.coalesce(json_get(F.col("shipping_contact"), path), json_get(F.col("contact"), path))
+CONTACT_SCHEMA = (
+    "first_name string, last_name string, email string, company_name string, phone_number string, mobile_phone_number string, "
+    "address struct<street_address:string, locality:string, postal_code:string, country:string>"
+)
 
 
-def _cleaned(path: str) -> Column:
-    """Cleaned shipping value, else the cleaned contact value."""
-    tidy = lambda doc: F.btrim(clean_text(json_get(F.col(doc), path)))
-    return F.coalesce(tidy("shipping_contact"), tidy("contact"))
+def shipping_contacts(customers: DataFrame) -> DataFrame:
+    """One row per customer with the cleaned contact: the shipping contact's value, else the contact's.
 
-
-def _shipping_email() -> Column:
-    """Cleaned shipping e-mail, else the contact's with all blanks removed; lower case."""
-    value = lambda doc: clean_text(json_get(F.col(doc), "email"))
-    return F.lower(F.coalesce(F.btrim(value("shipping_contact")), F.replace(value("contact"), F.lit(" "), F.lit(""))))
-
-
-def _address(path: str) -> Column:
-    return F.nullif(clean_text(F.btrim(_contact("address." + path))), F.lit(ZERO_AS_NULL))
+    Cleaned here, once per customer, so that the many subscriptions of a customer only join the result.
+    """
+    docs = customers.select(
+        "customer_key", "customer_id", F.from_json("contact", CONTACT_SCHEMA).alias("c"), F.from_json("shipping_contact", CONTACT_SCHEMA).alias("s")
+    )
+    either = lambda path: F.coalesce(F.col("s." + path), F.col("c." + path))
+    cleaned = lambda path: F.coalesce(*[F.btrim(clean_text(F.col(f"{doc}.{path}"))) for doc in "sc"])
+    address = lambda path: F.nullif(clean_text(F.btrim(either("address." + path))), F.lit(ZERO_AS_NULL))
+    # of the contact's own e-mail all blanks are removed
+    email = F.lower(F.coalesce(F.btrim(clean_text(F.col("s.email"))), F.replace(clean_text(F.col("c.email")), F.lit(" "), F.lit(""))))
+    return docs.select(
+        "customer_key", "customer_id", F.lower(clean_text(F.col("c.email"))).alias("customer_email"),
+        cleaned("first_name").alias("ship_first_name"), cleaned("last_name").alias("ship_last_name"), email.alias("ship_email"),
+        cleaned("company_name").alias("ship_company"),
+        F.coalesce(phone_number(either("phone_number")), phone_number(either("mobile_phone_number"))).alias("ship_phone"),
+        address("street_address").alias("ship_address"), address("locality").alias("ship_city"),
+        postal_code(either("address.postal_code")).alias("ship_zip"), address("country").alias("ship_country"),
+    )
 
 
-def coupon_choice() -> Column:
-    """The contract's coupon, else a code for its percentage discount, else the code for its amount discount."""
-    kind, value = json_get(F.col("discount"), "type"), json_get(F.col("discount"), "value", "decimal(10,4)")
-    percent = F.when((kind == "percentage") & (value > 0), _percent_code((value * 10000).cast("bigint")))
-    return F.coalesce("coupon_code", percent, "amount_code")
+def percent_code(discount: Column) -> Column:
+    """Coupon code of a percentage discount document."""
+    kind, value = json_get(discount, "type"), json_get(discount, "value", "decimal(10,4)")
+    return F.when((kind == "percentage") & (value > 0), _percent_code((value * 10000).cast("bigint")))
 
 
 def subscription_base(subscriptions: DataFrame, contracts: DataFrame, customers: DataFrame, amount_codes: DataFrame) -> DataFrame:
-    """Subscriptions with mapped status, contract dates, coupon and the cleaned shipping contact."""
-    live = exclude_value(contracts, "cancelation_reason", GHOST_CONTRACT)
-    rows = subscriptions.join(live, "contract_id").join(customers, "customer_key").join(amount_codes, "contract_id", "left")
-    lifetime = F.col("plan_id").isin(LIFETIME_PLANS)
+    """Subscriptions with mapped status, contract dates, coupon and the cleaned shipping contact.
+
+    The coupon is the contract's, else a code for its percentage discount, else the code for its amount discount.
+    """
     mapped = F.create_map(*[F.lit(x) for pair in STATUS_MAP.items() for x in pair])[F.col("status")]
     dated = {"contract_created_dt": "created_ts", "tmp_started_dt": "started_ts", "tmp_term_start_dt": "period_start_ts",
              "tmp_term_end_dt": "period_end_ts", "cancelled_dt": "canceled_ts", "modified_dt": "modified_ts"}
+    live = exclude_value(contracts, "cancelation_reason", GHOST_CONTRACT).join(amount_codes, "contract_id", "left").select(
+        "contract_id", "customer_key", mapped.alias("mapped_status"), *[local_date(F.col(src)).alias(dst) for dst, src in dated.items()],
+        F.col("cancelation_reason").alias("cancel_reason"), F.coalesce("coupon_code", percent_code(F.col("discount")), "amount_code").alias("coupon"),
+    )
+    contacts = shipping_contacts(customers)
+    rows = live.join(contacts, "customer_key").join(subscriptions, "contract_id")
+    lifetime = F.col("plan_id").isin(LIFETIME_PLANS)
     return rows.select(
         "contract_id", "subscription_id", "plan_id",
         F.when(F.col("addon_id").isNotNull(), 1).otherwise(F.col("item_quantity")).alias("plan_quantity"), "plan_unit_price",
-        F.lower(clean_text(json_get(F.col("contact"), "email"))).alias("customer_email"), "customer_id",
-        F.when(F.col("addon_id").isNotNull() | lifetime, "cancelled").otherwise(mapped).alias("status"),
-        *[local_date(F.col(src)).alias(dst) for dst, src in dated.items()],
-        F.col("cancelation_reason").alias("cancel_reason"), F.coalesce(lifetime, F.lit(False)).alias("lifetime_licence"),
-        F.when(F.col("plan_id").like(MONTHLY), 12).otherwise(1).alias("renewal_cycles"), coupon_choice().alias("coupon"),
-        _cleaned("first_name").alias("ship_first_name"), _cleaned("last_name").alias("ship_last_name"), _shipping_email().alias("ship_email"),
-        _cleaned("company_name").alias("ship_company"),
-        F.coalesce(phone_number(_contact("phone_number")), phone_number(_contact("mobile_phone_number"))).alias("ship_phone"),
-        _address("street_address").alias("ship_address"), _address("locality").alias("ship_city"),
-        postal_code(_contact("address.postal_code")).alias("ship_zip"), _address("country").alias("ship_country"),
+        F.when(F.col("addon_id").isNotNull() | lifetime, "cancelled").otherwise(F.col("mapped_status")).alias("status"), *dated, "cancel_reason",
+        F.coalesce(lifetime, F.lit(False)).alias("lifetime_licence"), F.when(F.col("plan_id").like(MONTHLY), 12).otherwise(1).alias("renewal_cycles"),
+        "coupon", "customer_id", *[c for c in contacts.columns if c == "customer_email" or c.startswith("ship_")],
         "addon_id", F.col("item_quantity").alias("addon_quantity"), F.col("addon_price_net").alias("addon_unit_price"),
     )
 
