@@ -1,6 +1,6 @@
 """Registered queries, by area."""
 
-from . import accounts, constructs, migration, orders, revenue, usage  # noqa: F401
+from . import accounts, churn, constructs, migration, orders, revenue, usage  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
