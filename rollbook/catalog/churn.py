@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import keyed
 from ..plans import churn, features, model
+from ..session import materialise
 from .base import register
 
 AS_OF = "2000-01-01"
@@ -272,7 +273,7 @@ def model_rows(t):
     flags = [c for c in INPUTS if c.startswith(("subscription", "billing", "has_"))]
     rows = features.encode_flags(feature_rows(t), flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in INPUTS if c.startswith("mrr")})
     rows = rows.select("customer_id", F.col("churn_flag").cast("int").alias("churned"), *[F.col(c).cast("double").alias(c) for c in INPUTS])
-    return features.standardise(rows, INPUTS)
+    return features.standardise(materialise(rows), INPUTS)
 
 
 @register("q_logistic")

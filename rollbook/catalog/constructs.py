@@ -249,6 +249,18 @@ def interval_join(t):
     return joined.select("trip_id", "car_id", "reading_id", "odometer_km")
 
 
+@register(
+    "q_asof_reading",
+    """SELECT t.trip_id, t.car_id, r.reading_id, r.odometer_km FROM b_trip t ASOF LEFT JOIN
+    (SELECT car_id, reading_ts, max(reading_id) AS reading_id, max_by(odometer_km, reading_id) AS odometer_km FROM b_reading GROUP BY 1, 2) r
+    ON r.car_id = t.car_id AND r.reading_ts <= t.trip_start_ts""",
+    uses="b_trip b_reading",
+)
+def asof_reading(t):
+    joined = ordered.latest_before(t.b_trip, t.b_reading, ["car_id"], F.col("trip_start_ts"), "reading_ts", ["reading_id"])
+    return joined.select("trip_id", "car_id", "reading_id", "odometer_km")
+
+
 @register(
     "q_scalar_cross",
     """SELECT a.cars - b.returned AS net_cars FROM (SELECT count(DISTINCT o_custkey) AS cars FROM orders) a

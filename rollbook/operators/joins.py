@@ -30,30 +30,3 @@ def two_grain(df: DataFrame, fine: list[str], coarse: list[str], fine_agg: Colum
     """
     by_fine = df.groupBy(*fine).agg(fine_agg)
     return by_fine.join(by_fine.groupBy(*coarse).agg(coarse_agg), coarse)
-
-
-def hot_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Keys with more than ``rows`` rows: at most (table rows / ``rows``) of them, so small enough to broadcast
-    when ``rows`` is chosen near one partition's share."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > rows).select(*keys)
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salts: int, how: str = "inner"
-) -> DataFrame:
-    """Join in which rows of hot keys on the left are spread over ``salts`` tasks.
-
-    The right rows of those keys are repeated once per salt; all other rows are neither salted nor
-    repeated. Works for inner, left, left_semi and left_anti joins. Not needed where AQE can split the
-    join by itself; use it when the key is hot on both sides.
-    """
-    mark = F.broadcast(hot.select(*keys).distinct().withColumn("__hot", F.lit(True)))
-    # the salt depends on the row's content only, so a recomputed task gives the same split
-    row_salt = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in left.columns]), F.lit(salts)).cast("int")
-    salted_left = left.join(mark, keys, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), row_salt).otherwise(F.lit(0))
-    ).drop("__hot")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    spread = F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(mark, keys, "left").withColumn("__salt", F.explode(spread)).drop("__hot")
-    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")

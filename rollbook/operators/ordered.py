@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import time_slice
 from .keyed import join_null_safe
 
 
@@ -79,6 +80,30 @@ def validity_intervals(
     return out.withColumn(start, F.col(ts)).withColumn(end, F.coalesce(end, open_end))
 
 
+def latest_before(
+    facts: DataFrame, points: DataFrame, keys: list[str], fact_ts: Column, point_ts: str, tie: list[str], unit: str = "hour"
+) -> DataFrame:
+    """As-of join: each fact with the key's latest point at or before ``fact_ts`` (NULL if there is none).
+
+    Facts and points are merged in time order, and the last point seen is carried forward - inside a time
+    slice by a window, from earlier slices by one row per (key, slice). Linear in both inputs.
+    """
+    own = [c for c in points.columns if c not in keys]
+    fact, point = F.struct(*[F.col(c) for c in facts.columns]), F.struct(*own)
+    merged = facts.select(*keys, fact.alias("__fact"), fact_ts.alias("__ts"), F.lit(1).alias("__kind")).unionByName(
+        points.select(*keys, point.alias("__point"), F.col(point_ts).alias("__ts"), F.lit(0).alias("__kind"), F.struct(*tie).alias("__tie")),
+        allowMissingColumns=True,
+    ).withColumn("__s", time_slice(F.col("__ts"), unit))
+    so_far = Window.partitionBy(*keys, "__s").orderBy("__ts", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    newest = F.max_by("__point", F.when(F.col("__kind") == 0, F.struct("__ts", "__tie")))
+    tails = merged.groupBy(*keys, "__s").agg(newest.alias("__tail"))
+    carried = tails.select(*keys, "__s", F.last("__tail", ignorenulls=True).over(earlier).alias("__carried"))
+    seen = merged.withColumn("__seen", F.last("__point", ignorenulls=True).over(so_far)).filter("__kind = 1")
+    joined = join_null_safe(seen.select(*keys, "__s", "__fact", "__seen"), carried, [*keys, "__s"])
+    return joined.select("__fact.*", F.coalesce("__seen", "__carried").alias("__p")).select(*facts.columns, "__p.*")
+
+
 def crossing_time(
     df: DataFrame, keys: list[str], ts: str, tie: list[str], slice_by: Column, threshold: Column, name: str
 ) -> DataFrame:

@@ -12,28 +12,30 @@ from pyspark.sql import functions as F
 from ..functions.dates import local_date, moment, shift_minutes, time_slice
 from ..functions.json import format_address
 from ..functions.numbers import round_div
-from ..operators.intervals import contains_with_tolerance, interval_join
-from ..operators.ordered import ordered, validity_intervals
+from ..operators.intervals import contains_with_tolerance
+from ..operators.ordered import latest_before, ordered, validity_intervals
 
 
-def reading_intervals(readings: DataFrame, as_of, unit: str = "day") -> DataFrame:
+def reading_intervals(readings: DataFrame, as_of, unit: str = "hour") -> DataFrame:
     """Each reading valid from its time until the next one of the car, the last until ``as_of``."""
     usable = readings.filter("odometer_km IS NOT NULL").dropDuplicates(["car_id", "reading_ts", "odometer_km"])
     slices = time_slice(F.col("reading_ts"), unit)
     return validity_intervals(usable, ["car_id"], "reading_ts", ["reading_id"], slices, moment(as_of))
 
 
-def trips_with_reading(readings: DataFrame, trips: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "day") -> DataFrame:
+def trips_with_reading(readings: DataFrame, trips: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "hour") -> DataFrame:
     """Trips whose start (shifted later) and end (shifted earlier) lie in one reading's interval."""
     inside = contains_with_tolerance(
         F.col("trip_start_ts"), F.col("trip_end_ts"), F.col("valid_from"), F.col("valid_until"), tolerance_minutes
     )
     probe = shift_minutes(F.col("trip_start_ts"), tolerance_minutes)
-    return interval_join(trips, reading_intervals(readings, as_of, unit), "car_id", inside, probe, unit=unit)
+    # the intervals of a car do not overlap, so only its latest reading can contain the start
+    latest = latest_before(trips, reading_intervals(readings, as_of, unit), ["car_id"], probe, "valid_from", ["reading_id"], unit)
+    return latest.filter(inside)
 
 
 def odometer_logbook(
-    readings: DataFrame, trips: DataFrame, cars: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "day"
+    readings: DataFrame, trips: DataFrame, cars: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "hour"
 ) -> DataFrame:
     """Odometer at departure and arrival of each trip: the reading plus the distance driven since it."""
     rows = trips_with_reading(readings, trips, as_of, tolerance_minutes, unit)
@@ -55,11 +57,14 @@ def odometer_logbook(
     )
 
 
-def odometer_join_audit(readings: DataFrame, trips: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "day") -> DataFrame:
+def odometer_join_audit(readings: DataFrame, trips: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "hour") -> DataFrame:
     """Trips starting inside an interval (both ends included) that fail the start test or the end test."""
     start, end = F.col("trip_start_ts"), F.col("trip_end_ts")
-    touching = start.between(F.col("valid_from"), F.col("valid_until"))
-    rows = interval_join(trips, reading_intervals(readings, as_of, unit), "car_id", touching, start, unit=unit)
+    intervals = reading_intervals(readings, as_of, unit)
+    # one interval at most goes on past the start; any others end exactly at it
+    running = latest_before(trips, intervals, ["car_id"], start, "valid_from", ["reading_id"], unit).filter(F.col("valid_until") > start)
+    ending = trips.join(intervals.withColumn("trip_start_ts", F.col("valid_until")), ["car_id", "trip_start_ts"])
+    rows = running.unionByName(ending.select(*running.columns))
     inside = lambda ts: (ts >= F.col("valid_from")) & (ts < F.col("valid_until"))
     early = shift_minutes(end, -tolerance_minutes)
     rows = rows.withColumns({

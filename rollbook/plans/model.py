@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from ..session import materialise
 
 
 def bucket_of(key: str, buckets: int = 100, seed: int = 42) -> Column:
@@ -24,7 +25,10 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> t
 
 
 def fit_logistic(train: DataFrame, features: list[str], label: str) -> LogisticRegressionModel:
-    """Ridge-penalised logistic regression with unit inverse strength: penalty 1/n on unscaled features."""
+    """Ridge-penalised logistic regression with unit inverse strength: penalty 1/n on unscaled features.
+
+    ``train`` is read more than once; pass a materialised frame when it is costly.
+    """
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(train).select("features", F.col(label).cast("double").alias("label"))
     n = rows.count()
     return LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
@@ -58,7 +62,7 @@ def accuracy(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def cross_validate(df: DataFrame, key: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
     """Accuracy per fold; the fold of a row follows from its key."""
-    rows = df.withColumn("__fold", bucket_of(key, folds))
+    rows = materialise(df.withColumn("__fold", bucket_of(key, folds)))
     out = None
     for fold in range(folds):
         model = fit_logistic(rows.filter(F.col("__fold") != fold), features, label)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; they can be changed on a live session.
 RUNTIME_CONF = {
@@ -50,3 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = configured or tempfile.mkdtemp(prefix="rollbook-ckpt-")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several jobs read: it is computed once and survives the loss of an executor."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

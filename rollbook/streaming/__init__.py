@@ -1 +1 @@
-
+"""Incremental event jobs with Structured Streaming."""
