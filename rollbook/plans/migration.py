@@ -359,34 +359,59 @@ def migration_rows(
     return date_steps(split_shipping_address(with_invoice_dates(base, from_invoices)), as_of, rules)
 
 
+# The import format, as header and source; a date source is written as a timestamp.
 EXPORT = [
-    ExportColumn("customer[email]", "customer_email"), ExportColumn("shop_customer_id", "customer_id"), ExportColumn("subscription[id]", "subscription_id"),
-    ExportColumn("subscription[plan_id]", "plan_id"), ExportColumn("subscription[plan_quantity]", "plan_quantity"),
-    ExportColumn("subscription[plan_unit_price]", "plan_unit_price"), ExportColumn("subscription[status]", "status"),
-    *[ExportColumn(header, source, as_timestamp=True) for header, source in {
-        "subscription[start_date]": "start_dt", "subscription[started_at]": "started_dt", "subscription[current_term_start_shop]": "term_start_shop_dt",
-        "subscription[current_term_start]": "term_start_dt", "subscription[current_term_end]": "term_end_dt", "contract term end": "contract_end_dt",
-        "contract_term[contract_start]": "contract_start_dt", "contract_term[created_at]": "contract_created_dt", "subscription[cancelled_at]": "cancelled_ts",
-    }.items()],
-    ExportColumn("pushed_by_one_billing_cycle", "pushed_by_one_cycle"), ExportColumn("billing_cycles", "cycles_left"),
-    ExportColumn("contract_term[billing_cycle]", "contract_cycles"), ExportColumn("subscription[contract_term_billing_cycle_on_renewal]", "renewal_cycles"),
-    ExportColumn("coupon_code_temp", "coupon"), ExportColumn("cancel_reason_code", "cancel_reason"), ExportColumn("cf_lifetime_licence", "lifetime_licence"),
+    ExportColumn("customer[email]", "customer_email"),
+    ExportColumn("shop_customer_id", "customer_id"),
+    ExportColumn("subscription[id]", "subscription_id"),
+    ExportColumn("subscription[cf_vertragsnummer]", "contract_id"),
+    ExportColumn("subscription[plan_id]", "plan_id"),
+    ExportColumn("subscription[plan_quantity]", "plan_quantity"),
+    ExportColumn("subscription[plan_unit_price]", "plan_unit_price"),
+    ExportColumn("subscription[status]", "status"),
+    ExportColumn("subscription[start_date]", "start_dt", as_timestamp=True),
+    ExportColumn("subscription[started_at]", "started_dt", as_timestamp=True),
+    ExportColumn("subscription[current_term_start_shop]", "term_start_shop_dt", as_timestamp=True),
+    ExportColumn("subscription[current_term_start]", "term_start_dt", as_timestamp=True),
+    ExportColumn("subscription[current_term_end]", "term_end_dt", as_timestamp=True),
+    ExportColumn("contract term end", "contract_end_dt", as_timestamp=True),
+    ExportColumn("contract_term[contract_start]", "contract_start_dt", as_timestamp=True),
+    ExportColumn("contract_term[created_at]", "contract_created_dt", as_timestamp=True),
+    ExportColumn("subscription[cancelled_at]", "cancelled_ts", as_timestamp=True),
+    ExportColumn("pushed_by_one_billing_cycle", "pushed_by_one_cycle"),
+    ExportColumn("billing_cycles", "cycles_left"),
+    ExportColumn("contract_term[billing_cycle]", "contract_cycles"),
+    ExportColumn("subscription[contract_term_billing_cycle_on_renewal]", "renewal_cycles"),
+    ExportColumn("coupon_code_temp", "coupon"),
+    ExportColumn("cancel_reason_code", "cancel_reason"),
+    ExportColumn("cf_lifetime_licence", "lifetime_licence"),
     ExportColumn("create_current_term_invoice", constant=False),
-    *[ExportColumn(f"shipping_address[{h}]", f"ship_{s}") for h, s in {
-        "first_name": "first_name", "last_name": "last_name", "email": "email", "company": "company", "phone": "phone", "line1": "line1", "line2": "line2",
-        "city": "city", "zip": "zip", "country": "country",
-    }.items()],
+    ExportColumn("shipping_address[first_name]", "ship_first_name"),
+    ExportColumn("shipping_address[last_name]", "ship_last_name"),
+    ExportColumn("shipping_address[email]", "ship_email"),
+    ExportColumn("shipping_address[company]", "ship_company"),
+    ExportColumn("shipping_address[phone]", "ship_phone"),
+    ExportColumn("shipping_address[line1]", "ship_line1"),
+    ExportColumn("shipping_address[line2]", "ship_line2"),
+    ExportColumn("shipping_address[line3]"),
+    ExportColumn("shipping_address[city]", "ship_city"),
+    ExportColumn("shipping_address[state_code]"),
+    ExportColumn("shipping_address[state]"),
+    ExportColumn("shipping_address[zip]", "ship_zip"),
+    ExportColumn("shipping_address[country]", "ship_country"),
     ExportColumn("shipping_address[validation_status]", constant="not_validated"),
-    *[ExportColumn(f"shipping_address[{h}]") for h in ("line3", "state_code", "state")],
-    ExportColumn("default_billing_cycles", "default_cycles"), ExportColumn("total_amount_raised"),
-    *[ExportColumn(f"subscription[{h}]") for h in (
-        "setup_fee", "trial_start", "trial_end", "pause_date", "resume_date", "po_number", "payment_source_id", "invoice_notes", "meta_data",
-        "cf_cancelled_devices", "cf_total_sent_devices_for_subscription", "cf_total_received_devices_for_subscription",
-        "cf_currently_held_devices_for_subscription", "cf_to_be_returned_devices_for_subscription",
-    )],
-    ExportColumn("coupon_ids[1]"), *[ExportColumn(f"contract_term[{h}]") for h in ("id", "total_amount_raised", "action_at_term_end")],
+    ExportColumn("default_billing_cycles", "default_cycles"),
+    ExportColumn("total_amount_raised"),
+    *[ExportColumn(f"subscription[{h}]") for h in ("setup_fee", "trial_start", "trial_end", "pause_date", "resume_date", "po_number")],
+    ExportColumn("coupon_ids[1]"),
+    *[ExportColumn(f"subscription[{h}]") for h in ("payment_source_id", "invoice_notes", "meta_data")],
+    *[ExportColumn(f"contract_term[{h}]") for h in ("id", "total_amount_raised", "action_at_term_end")],
     ExportColumn("contract_term[cancellation_cutoff_period]", constant=CANCELLATION_CUTOFF),
     *[ExportColumn(f"transaction[{h}]") for h in ("amount", "payment_method", "reference_number", "date")],
+    *[ExportColumn(f"subscription[cf_{h}]") for h in (
+        "cancelled_devices", "total_sent_devices_for_subscription", "total_received_devices_for_subscription",
+        "currently_held_devices_for_subscription", "to_be_returned_devices_for_subscription",
+    )],
 ]
 
 
