@@ -6,7 +6,7 @@ Dates are local (business zone) dates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, local_date, months_between_whole, years_between_whole
@@ -17,7 +17,7 @@ from ..operators.aggregates import any_true
 from ..operators.filters import exclude_value
 from ..operators.items import explode_items
 from ..operators.joins import repair_key
-from ..operators.keyed import latest_per_key, rows_at_max, with_totals
+from ..operators.keyed import latest_per_key, rows_at_max
 from ..sources.export import ExportColumn, export_layout
 
 # Fixed values of the migration rules.
@@ -31,6 +31,11 @@ LIVE_STATUS = ["active", "future", "non_renewing"]
 CANCELLATION_CUTOFF = 28
 ZERO_AS_NULL = "n/a"
 
+def _one_contract() -> WindowSpec:
+    """All rows of a contract. After aggregation it has one row per plan and add-on, so its size is bounded by
+    the catalogue and a plain window is safe; totals joined back would compute all earlier steps twice."""
+    return Window.partitionBy("contract_id")
+
 
 def batch_progress(batch: DataFrame) -> DataFrame:
     """Distinct customers per batch: to migrate, pending, migrated, and in an error state."""
@@ -204,8 +209,8 @@ def contract_end(df: DataFrame, as_of) -> DataFrame:
     plans with the term; other monthly plans at the end of the running contract year.
     """
     today, end, started = day(as_of), F.col("term_end_dt"), F.col("started_dt")
-    rows = with_totals(df, ["contract_id"], first_3y_dt=F.min(F.when(F.col("is_3y"), started)))
     first = F.col("first_3y_dt")
+    rows = df.withColumn("first_3y_dt", F.min(F.when(F.col("is_3y"), started)).over(_one_contract()))
     same_day = F.add_months(end, (F.year(first) - F.year(end)) * 12)
     month = F.trunc(today, "month")
     years = years_between_whole(month, F.date_add(F.trunc(started, "month"), 1)) + 1
@@ -334,7 +339,7 @@ def back_compute_start(df: DataFrame, as_of) -> DataFrame:
 
 def exclude_dead_plans(df: DataFrame) -> DataFrame:
     """Drop hardware and add-on plans, and empty cancelled plans of contracts that are otherwise live."""
-    marked = with_totals(df, ["contract_id"], contract_live=F.bool_or(F.col("status").isin(LIVE_STATUS)))
+    marked = df.withColumn("contract_live", F.bool_or(F.col("status").isin(LIVE_STATUS)).over(_one_contract()))
     dead = (F.col("status") == "cancelled") & F.col("plan_quantity").isNull() & F.col("contract_live")
     sold = ~F.col("plan_id").like(HARDWARE_PLANS) & (F.col("plan_id") != ADDON_PLAN)
     return marked.filter(sold & ~F.coalesce(dead, F.lit(False))).drop("contract_live")
