@@ -135,4 +135,5 @@ def contract_items(spark: SparkSession, root: str, column: str = "items") -> Dat
     price = F.struct(F.struct(F.col("amount")).alias("net"))
     item = F.struct("product_id", "quantity", price.alias("price"), price.alias("total_provisioned_price"))
     items = frame(spark, root, "b_item")
-    return items.groupBy("contract_id").agg(F.to_json(F.collect_list(item)).alias(column))
+    # spread the rows first: folding them map-side would not shrink them
+    return items.repartition("contract_id").groupBy("contract_id").agg(F.to_json(F.collect_list(item)).alias(column))

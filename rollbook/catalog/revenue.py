@@ -113,7 +113,7 @@ def invoice_mrr(t):
 )
 def refund_share(t):
     lines = with_totals(t.b_invoice_line, ["subscription_id"], order_net_cents=F.sum("net_cents"))
-    per_month = numbers.round_div(F.col("net_cents"), revenue.billing_months(F.col("monthly_payment")))
+    per_month = numbers.round_div([F.col("net_cents")], [revenue.billing_months(F.col("monthly_payment"))])
     lines = lines.withColumns({
         "order_id": F.col("subscription_id"), "refund_net_cents": F.lit(5000), "has_full_refund": F.col("full_refund"),
         "mrr_eur": numbers.euro(per_month), "is_mrr_relevant": F.lit(True),

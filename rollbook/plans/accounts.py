@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day
-from ..functions.numbers import cents, dec, euro, ratio, round_div
+from ..functions.numbers import cents, euro, ratio, round_div
 from ..functions.text import email_domain, flag_labels, like_any, normalised
 from ..operators.aggregates import any_true, count_if, sum_if, text_list
 from ..operators.joins import join_on_expr
@@ -52,13 +52,13 @@ def advisor_line_mrr(lines: DataFrame) -> DataFrame:
     Needs order_id, net_cents, discount_percentage, discount_cents, refund_net_cents, monthly_payment, has_full_refund.
     """
     rows = with_totals(lines, ["order_id"], order_net=F.sum("net_cents"))
-    net, total = dec(F.col("net_cents"), 12), dec(F.col("order_net"), 12)
+    net, total = F.col("net_cents"), F.col("order_net")
     refund = F.coalesce("refund_net_cents", F.lit(0))
     percent, amount = F.col("discount_percentage"), F.col("discount_cents")
-    off = round_div(amount * net * 100, total * TAX_HUNDREDTHS)
-    hundredfold = F.when(percent > 0, net * (100 - cents(percent))).when(amount > 0, dec(net - off, 12) * 100).otherwise(net * 100)
+    off = round_div([amount, net, 100], [total, TAX_HUNDREDTHS])
+    hundredfold = F.when(percent > 0, net * (100 - cents(percent))).when(amount > 0, (net - off) * 100).otherwise(net * 100)
     months = F.when(~F.col("monthly_payment"), 12).otherwise(1)
-    kept = round_div(dec(hundredfold, 15) * total - dec(refund * net * 100, 24), total * 100 * months)
+    kept = round_div([hundredfold, total], [total, 100, months], minus=[refund, net, 100])
     return rows.withColumn("mrr_eur", euro(F.coalesce(F.when(F.col("has_full_refund"), 0).otherwise(kept), F.lit(0))))
 
 

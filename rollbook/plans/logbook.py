@@ -45,12 +45,12 @@ def odometer_logbook(
         running={"rolling_m": "driven_m"}, position="trips_since_reading",
     )
     at_start, at_end = F.col("rolling_m") - F.col("driven_m"), F.col("rolling_m")
-    kilometres = lambda metres: round_div(F.col("odometer_km") * 1000 + metres, F.lit(1000))
+    kilometres = lambda metres: round_div([F.col("odometer_km") * 1000 + metres], [1000])
     return rows.join(cars, "car_id").select(
         "domain_name", "trip_id", "car_id", "licence_plate", "category",
         local_date(F.col("trip_start_ts")).alias("departure_dt"), local_date(F.col("trip_end_ts")).alias("arrival_dt"),
         "trips_since_reading", kilometres(at_start).alias("departure_km"), kilometres(at_end).alias("arrival_km"),
-        *[F.when(F.col("category") == c, round_div(F.col("distance_m"), F.lit(1000))).otherwise(0).alias(f"{c.lower()}_km")
+        *[F.when(F.col("category") == c, round_div([F.col("distance_m")], [1000])).otherwise(0).alias(f"{c.lower()}_km")
           for c in ("BUSINESS", "COMMUTE", "PRIVATE")],
         format_address(F.col("start_address"), F.col("category")).alias("start_address"),
         format_address(F.col("end_address"), F.col("category")).alias("end_address"),

@@ -67,7 +67,7 @@ def amount_to_percent(invoices: DataFrame) -> DataFrame:
     rows = invoices.filter((json_get(F.col("discount"), "type") == "amount") & (amount > 0))
     rows = rows.select("contract_id", "created_ts", "invoice_id", amount.alias("a"), gross.alias("g"))
     latest = latest_per_key(rows, ["contract_id"], [F.col("created_ts").desc(), F.col("invoice_id")])
-    return latest.select("contract_id", _percent_code(round_div(F.col("a") * 10000, F.col("a") + F.col("g"))).alias("amount_code"))
+    return latest.select("contract_id", _percent_code(round_div([F.col("a"), 10000], [F.col("a") + F.col("g")])).alias("amount_code"))
 
 
 def _external(customers: DataFrame, internal_emails: str) -> DataFrame:

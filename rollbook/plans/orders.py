@@ -8,17 +8,17 @@ counts_revenue (and counts_sold, changes_to_onetime for orders).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, local_date, month_of
 from ..functions.json import discount_type, discount_value, json_get
-from ..functions.numbers import cents, dec, euro, ratio, round_div
+from ..functions.numbers import cents, euro, ratio, round_div
 from ..functions.text import domain_name
 from ..operators.aggregates import count_if, sum_if
 from ..operators.items import agg_items, explode_items
 from ..operators.joins import repair_key
-from ..operators.keyed import rows_at_max, with_totals
+from ..operators.keyed import rows_at_max
 
 # Fixed values of the payment rules.
 PAID_LEGACY_PREFIXES = ["77", "78"]
@@ -75,17 +75,17 @@ def enrich_orders(
     # one pass over the exploded items serves all item-based columns
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     lines = explode_items(placed, "items", keep=["order_id"]).join(products, "product_id", "left")
-    lines = lines.withColumn("rank_key", F.when(F.col("product_name").isNotNull(), F.struct("counts_device", "is_subsequent_recurring")))
-    best = with_totals(lines, [], best_key=F.max("rank_key"))
     device = flag("counts_device")
     recurring = device & ~flag("is_subsequent_recurring") & ~flag("changes_to_onetime") & flag("is_recurring") & flag("counts_revenue")
-    items = best.groupBy("order_id").agg(
+    # A product that is a device and subsequently recurring already has the best rank there is, so the global
+    # rank needs no computing.
+    items = lines.groupBy("order_id").agg(
         sum_if(F.col("product_id").isin(cable_products), F.col("quantity")).alias("cable_quantity"),
         sum_if(device, F.col("quantity")).alias("device_quantity"),
         sum_if(recurring, F.col("quantity")).alias("recurring_quantity"),
         F.bool_or(device & flag("counts_revenue") & flag("counts_sold")).alias("has_sellable"),
         F.bool_or(flag("changes_to_onetime")).alias("changed_to_onetime"),
-        F.bool_or((F.col("rank_key") == F.col("best_key")) & flag("is_subsequent_recurring") & device).alias("top_is_subsequent"),
+        F.bool_or(flag("is_subsequent_recurring") & device).alias("top_is_subsequent"),
     )
     rows = (
         placed.join(invoices.withColumnRenamed("net_cents", "invoice_cents"), "order_id", "left").join(state, "invoice_id", "left")
@@ -132,13 +132,13 @@ def contract_items(contracts: DataFrame) -> DataFrame:
 
 def item_net_value(rows: DataFrame) -> Column:
     """Yearly net value of an item in 1/11900 cent: so both discount kinds add up without rounding."""
-    net, value, kind = dec(F.col("total_net_cents"), 12), cents(F.col("discount_value")), F.col("discount_type")
+    net, value, kind = F.col("total_net_cents"), cents(F.col("discount_value")), F.col("discount_type")
     scaled = (
         F.when(kind == "percentage", net * (100 - value) * TAX_HUNDREDTHS)
         .when(kind == "amount", net * (100 * TAX_HUNDREDTHS) - value * 100)
         .when(kind.isNull(), net * (100 * TAX_HUNDREDTHS))
     )
-    return dec(scaled * F.when(F.col("monthly_payment"), 12).otherwise(1), 28)
+    return scaled * F.when(F.col("monthly_payment"), 12).otherwise(1)
 
 
 def contract_net_value(contracts: DataFrame, products: DataFrame, by_item: bool = False) -> DataFrame:
@@ -147,12 +147,14 @@ def contract_net_value(contracts: DataFrame, products: DataFrame, by_item: bool
     rows = contract_items(contracts).join(priced, "product_id")
     keys = ["contract_id", "discount_value", "monthly_payment", "total_net_cents"] if by_item else ["contract_id"]
     total = F.sum(item_net_value(rows)).alias("v")
-    return rows.groupBy(*keys).agg(total).select(*keys, euro(round_div(F.col("v"), F.lit(100 * TAX_HUNDREDTHS))).alias("net_value_eur"))
+    return rows.groupBy(*keys).agg(total).select(*keys, euro(round_div([F.col("v")], [100 * TAX_HUNDREDTHS])).alias("net_value_eur"))
 
 
 def split_discount(contracts: DataFrame) -> DataFrame:
     """Amount discounts spread over the contract's items by price share (rounded to two digits)."""
-    rows = with_totals(contract_items(contracts), ["contract_id"], contract_net_cents=F.sum("total_net_cents"))
+    # the items of a contract come from one document, so a window over them is bounded
+    whole = F.sum("total_net_cents").over(Window.partitionBy("contract_id"))
+    rows = contract_items(contracts).withColumn("contract_net_cents", whole)
     part = ratio(F.col("total_net_cents"), F.col("contract_net_cents"))
     value = F.col("discount_value")
     split = F.when(F.col("discount_type") == "percentage", value).when(F.col("discount_type") == "amount", value * part)

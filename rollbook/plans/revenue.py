@@ -41,11 +41,11 @@ def refund_share(df: DataFrame) -> DataFrame:
     Needs order_id, net_cents, order_net_cents (total), refund_net_cents, monthly_payment, quantity,
     mrr_eur, is_mrr_relevant and has_full_refund; adds refund_mrr_eur and refund_item_quantity.
     """
-    net = dec(F.col("net_cents"), 15)
-    part = round_div(F.col("refund_net_cents") * net, F.col("order_net_cents") * billing_months(F.col("monthly_payment")))
+    months = billing_months(F.col("monthly_payment"))
+    part = round_div([F.col("refund_net_cents"), F.col("net_cents")], [F.col("order_net_cents"), months])
     partial = F.coalesce(F.when(F.col("is_mrr_relevant"), part), F.lit(0))
     full, quantity = F.col("has_full_refund"), F.col("quantity")
-    items = F.when(full, quantity * 100).otherwise(round_div(quantity * dec(partial, 15) * 100, cents(F.col("mrr_eur"))))
+    items = F.when(full, quantity * 100).otherwise(round_div([quantity, partial, 100], [cents(F.col("mrr_eur"))]))
     return df.withColumns({
         "refund_mrr_eur": F.when(full, F.col("mrr_eur")).otherwise(euro(partial)),
         "refund_item_quantity": euro(F.coalesce(items, F.lit(0))),
@@ -66,29 +66,25 @@ def invoice_mrr(
     live = exclude_value(orders, "cancelation_reason", GHOST_CONTRACT)
     if invoice_required_from:
         live = live.filter(F.col("invoice_id").isNotNull() | (F.col("created_dt") < day(invoice_required_from)))
-    raw = (
-        exclude_value(lines, "opcode", "D")
-        .join(live, "order_key")
-        .join(products, "product_key")
-        .join(coupons, "coupon_code", "left")
-        .join(refunded, "invoice_id", "left")
-    )
-    rows = with_totals_by(
-        raw,
-        (["order_id"], {"order_net_cents": F.sum("net_cents"), "order_gross_cents": F.sum("gross_cents")}),
-        (["customer_id"], {"first_created_dt": F.min("created_dt")}),
+    sold = exclude_value(lines, "opcode", "D").join(live, "order_key").join(products, "product_key")
+    # totals come from the narrow sold lines, aggregated to orders, before the wide joins
+    per_order = sold.groupBy("order_id", "customer_id", "created_dt").agg(
+        F.sum("net_cents").alias("order_net_cents"), F.sum("gross_cents").alias("order_gross_cents")
     )
+    first = per_order.groupBy("customer_id").agg(F.min("created_dt").alias("first_created_dt"))
+    totals = per_order.join(first, "customer_id").drop("customer_id", "created_dt")
+    rows = sold.join(totals, "order_id").join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
 
-    net, gross = dec(F.col("net_cents"), 15), dec(F.col("gross_cents"), 15)
+    net, gross = F.col("net_cents"), F.col("gross_cents")
     amount, monthly = F.col("discount_cents"), F.col("monthly_payment")
     percent = F.when(F.col("discount_type") == "percentage", F.col("discount_value")).otherwise(F.col("discount_percentage"))
     percent = dec(percent, 10, 2)
     tax = F.coalesce(1 + dec(F.col("tax_rate"), 4, 2), F.lit(DEFAULT_TAX_FACTOR).cast("decimal(5,2)"))
-    by_net = round_div(amount * net * 100, F.col("order_net_cents") * cents(tax))
-    by_gross = round_div(amount * gross * 100, F.col("order_gross_cents") * cents(tax))
+    by_net = round_div([amount, net, 100], [F.col("order_net_cents"), cents(tax)])
+    by_gross = round_div([amount, gross, 100], [F.col("order_gross_cents"), cents(tax)])
     off = F.when(monthly, by_net).otherwise(by_gross)
     hundredfold = F.when(percent > 0, net * (100 - cents(percent))).when(amount > 0, (net - off) * 100).otherwise(net * 100)
-    per_month = round_div(hundredfold, 100 * billing_months(monthly))
+    per_month = round_div([hundredfold], [100, billing_months(monthly)])
     relevant = (F.col("net_cents") > 0) & (F.col("is_recurring") | F.col("is_subsequent_recurring"))
 
     rows = rows.withColumns({
@@ -183,7 +179,7 @@ def licence_check(
 def net_quantity(quantity: Column, refund: Column, mrr: Column) -> Column:
     """quantity * (1 - refund / mrr), rounded to one digit; NULL for no revenue."""
     paid = cents(mrr)
-    return (round_div(quantity * dec(paid - cents(refund), 15) * 10, paid) / dec(F.lit(10), 2)).cast("decimal(18,1)")
+    return (round_div([quantity, paid - cents(refund), 10], [paid]) / dec(F.lit(10), 2)).cast("decimal(18,1)")
 
 
 def first_starts(lines: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join key even when the next step needs the same partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # generated methods over 8000 bytes are never compiled by the JVM: split them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 

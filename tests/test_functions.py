@@ -87,4 +87,6 @@ def test_private_addresses_are_masked(rows):
 
 def test_round_div_is_exact(rows):
     df = rows("n long, d long", (5, 2), (-5, 2), (1, 3), (7, 0), (10**15, 3))
-    assert [r[0] for r in df.select(numbers.round_div(F.col("n"), F.col("d"))).collect()] == [3, -3, 0, None, 333333333333333]
+    assert [r[0] for r in df.select(numbers.round_div([F.col("n")], [F.col("d")])).collect()] == [3, -3, 0, None, 333333333333333]
+    big = df.select(numbers.round_div([F.col("n"), 10**9, 7], [F.col("d"), 10**9], minus=[F.col("n"), 10**9])).collect()
+    assert [r[0] for r in big] == [15, -15, 2, None, 2 * 10**15]
