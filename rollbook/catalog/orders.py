@@ -157,6 +157,15 @@ def fleet_contracts(t):
     return orders.fleet_contracts(contracts(t), t.b_product, domain_map, roles, ["view", "click"], lines, "ring")
 
 
+@register(
+    "q_fleet_by_items",
+    "SELECT DISTINCT i.contract_id, i.product_id FROM b_item i JOIN b_product p ON p.product_id = i.product_id WHERE p.product_name LIKE '%ring%'",
+    uses="b_item b_product",
+)
+def fleet_by_items(t):
+    return orders.fleet_by_items(t.b_contract_items, t.b_product, "ring")
+
+
 @register(
     "q_returns",
     """SELECT l_orderkey AS contract_id, CAST(l_shipdate AS DATE) AS return_dt, l_linestatus AS reason, p_name AS product_name, CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS quantity

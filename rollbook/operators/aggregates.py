@@ -27,10 +27,6 @@ def any_true(col: Column) -> Column:
     return F.when(F.bool_or(col), F.lit(True)).when(F.count(col) == F.count(F.lit(1)), F.bool_or(col))
 
 
-def any_true_or_false(col: Column) -> Column:
-    return F.coalesce(F.bool_or(col), F.lit(False))
-
-
 def priority_status(col: Column, order: list[str]) -> Column:
     """The first status of ``order`` that occurs in the group, NULL if none does."""
     rank = F.array_position(F.lit(order), col)
