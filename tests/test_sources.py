@@ -10,7 +10,7 @@ from rollbook.operators import keyed
 from rollbook.plans import usage
 from rollbook.session import ensure_checkpoint_dir
 from rollbook.sources import incremental_slice, load, load_csv
-from rollbook.streaming.jobs import read_events, stream_job_counts
+from rollbook.streaming.jobs import read_events, stream_job_counts, write_counts
 
 from .conftest import DATA
 
@@ -61,5 +61,18 @@ def test_stream_equals_batch(spark):
     assert got == sorted(tuple(r) for r in usage.job_counts(events, JOBS).select(*pick).collect())
 
 
+def test_closed_days_are_appended(spark):
+    events = load(spark, DATA, "events")
+    folder, work = tempfile.mkdtemp(prefix="rollbook-events-"), tempfile.mkdtemp(prefix="rollbook-out-")
+    events.orderBy("ts").coalesce(1).write.mode("append").parquet(folder)
+    query = write_counts(stream_job_counts(read_events(spark, folder, events.schema), JOBS), work + "/counts", work + "/checkpoint")
+    query.awaitTermination()
+    got = spark.read.parquet(work + "/counts")
+    closed = got.agg(F.max("job_date")).first()[0]
+    pick = ["user_id", "job_date", "job_type", "jobs"]
+    want = usage.job_counts(events, JOBS).filter(F.col("job_date") <= F.lit(closed)).select(*pick)
+    assert sorted(map(tuple, got.select(*pick).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_checkpoint_dir_is_set_only_once(spark):
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
