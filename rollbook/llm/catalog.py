@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, decontaminate, quality, secrets, simhash
+from . import bpe, decontaminate, langid, quality, secrets, simhash, templates, tokenfile, topk, warc
 from .frames import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,12 +46,45 @@ def op2_quality(spark, root):
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", quality.accepted(F.col("score")).cast("int").alias("predicted"))
 
 
+@register
+def op3_token_planes(spark, root):
+    """Token ids written as files of shuffled planes, read back."""
+    files = tokenfile.write_ids(table(spark, root, "documents", "doc_id", "text"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return tokenfile.read_ids(files)
+
+
+@register
+def op4_language(spark, root):
+    """Language of every document."""
+    docs = table(spark, root, "documents", "doc_id", "text", "lang")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @register
 def op5_simhash(spark, root):
     """SimHash fingerprints and components of near-duplicates."""
     return simhash.near_duplicates(table(spark, root, "documents", "doc_id", "text"))
 
 
+@register
+def op6_warc(spark, root):
+    """Pages written to a WARC archive, read back."""
+    return warc.archive(table(spark, root, "pages", "page_id", "url", "html"))
+
+
+# The rules of the query: host, start of the path, verdict.
+RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@register
+def op7_url_templates(spark, root):
+    """Verdict on every page's url, by rule or by path template."""
+    return templates.judge(table(spark, root, "pages", "page_id", "url"), RULES)
+
+
 @register
 def op8_byte_bpe(spark, root):
     """Byte-level BPE ids of every document and their round trip."""
@@ -65,3 +98,9 @@ def op8_byte_bpe(spark, root):
 def op9_secrets(spark, root):
     """Secret spans of every document, with those that corpus-wide ownership adds."""
     return secrets.digests(secrets.find_secrets(table(spark, root, "documents", "doc_id", "text", "source")))
+
+
+@register
+def op10_top_k(spark, root):
+    """The 20 best inner products of every twentieth vector against all."""
+    return topk.top_k(table(spark, root, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20  # text that a Python worker expands at a time
+SLICE_BYTES = 4 << 20  # text that a Python worker expands at a time
 
 
 def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
