@@ -29,8 +29,8 @@ from .frames import slices
 # Fixed value: the white space of Unicode, which the pattern means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY = 24  # positions of a rank that are merged as arrays
-BLOCK_BYTES = 4 << 20  # bytes of distinct words replayed together
-CACHE_BYTES = 24 << 20  # text of the chunks whose ids a task keeps at hand
+BLOCK_BYTES = 3 << 19  # bytes of distinct words replayed together
+CACHE_BYTES = 8 << 20  # text of the chunks whose ids a task keeps at hand
 BLANK_RUN = re.compile(r" (?:\s|$)")
 BLANK_BEFORE_WORD = re.compile(r"(?= \S)")
 

@@ -33,6 +33,7 @@ from pyspark.sql import Window
 from .frames import keep, slices
 
 WORDS = 5
+SLICE = 2 << 20  # bytes of text that are cut into shingles at a time
 CONTAINMENT = 0.8
 MIN_BITS, MAX_BITS = 26, 30  # Bloom filter: 8 MB, and up to 128 MB for very many item shingles
 BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
@@ -106,7 +107,7 @@ def shingles_with(keep_hash=None, wanted=None):
         kind = pa.struct([("hash", pa.int64()), ("shingle", pa.string())])
         for texts in batches:
             parts = []
-            for part in slices(texts):
+            for part in slices(texts, SLICE):
                 words = words_of(part)
                 hashes, text, first, length = shingle_hashes(words)
                 if passes:

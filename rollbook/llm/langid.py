@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .frames import held_out, slices
 
+SLICE = 1 << 20  # bytes of text that are turned into n-grams at a time
 PER_LANGUAGE = 1500  # texts of each language in the sample
 BUCKETS = 1 << 15
 DIM = 16
@@ -148,7 +149,7 @@ def counted_subwords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """bucket << 32 | count of a text's n-grams; at most one entry per bucket."""
     for texts in batches:
         out = []
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             bucket, counts = subwords(part)
             for piece in np.split(bucket, counts.cumsum()[:-1]) if len(counts) else []:
                 number, times = np.unique(piece, return_counts=True)
@@ -183,7 +184,7 @@ def predictor(model: LanguageModel):
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             langs, scores = [], [np.empty(0)]
-            for part in slices(texts, 2 << 20):
+            for part in slices(texts, SLICE):
                 lang, score = model.predict(part)
                 langs += lang
                 scores.append(score)

@@ -36,6 +36,7 @@ BINS, PAIR_BINS, PAIRS = 64, 12, 6
 ROUNDS, RATE, CUTS, MIN_LEAF = 150, 0.1, 3, 20
 NGRAM = 3
 ODD = np.uint64(0x9E3779B97F4A7C15)
+SLICE = 1 << 20  # bytes whose features are counted at a time: some 150 bytes of arrays for each
 
 SPACE, UPPER, LOWER, DIGIT, STOP, COMMA, EXCLAIM, QUOTE, OTHER, WIDE, NEWLINE = range(11)
 CLASSES = np.full(256, OTHER, np.uint8)
@@ -239,7 +240,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def feature_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
-        rows = [features_of(part) for part in slices(texts)]
+        rows = [features_of(part) for part in slices(texts, SLICE)]
         flat = np.concatenate(rows) if rows else np.empty((0, len(NAMES)))
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(NAMES), pa.int32()), pa.array(flat.ravel()))
 
@@ -250,7 +251,7 @@ def scorer(model: AdditiveModel):
     @F.arrow_udf(T.DoubleType())
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [model.score(features_of(part)) for part in slices(texts)]
+            rows = [model.score(features_of(part)) for part in slices(texts, SLICE)]
             yield pa.array(np.concatenate(rows) if rows else np.empty(0))
 
     return score

@@ -38,34 +38,49 @@ BLOCK = 256
 MASK = "[SECRET]"
 
 
-def starts_of(lengths: Column) -> Column:
-    """Running sums before each element of an array of numbers, by blocks."""
+def total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda b: total(F.slice(lengths, b * BLOCK + 1, BLOCK)))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, 1, b)))
+def with_spans(rows: DataFrame, kinds: dict[str, tuple[str, int]]) -> DataFrame:
+    """Add per kind an array<struct<start, kind, end, value>> of its pattern's matches in ``text``, leftmost and
+    non-overlapping. kinds: column -> pattern, number.
 
-    def start(_, i):
-        block = F.floor(i / BLOCK).cast("int")
-        return F.element_at(before, block + 1) + total(F.slice(lengths, block * BLOCK + 1, i % BLOCK))
+    Each step is a column of its own that later steps use at least twice, so that Spark computes it once per row and
+    not again inside the lambda functions.
+    """
+    text, hit = F.col("text"), {c: F.col("text").rlike(pattern) for c, (pattern, _) in kinds.items()}
+    ints, strings = F.array().cast("array<int>"), F.array().cast("array<string>")
+    out = rows
+    out = out.withColumns({f"{c}_found": F.when(hit[c], F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(strings) for c, (p, _) in kinds.items()})
+    out = out.withColumns({f"{c}_gaps": F.when(F.size(f"{c}_found") > 0, F.transform(F.split(text, p, -1), lambda x: F.char_length(x))).otherwise(ints) for c, (p, _) in kinds.items()})
+    steps = lambda c: F.zip_with(f"{c}_found", F.slice(f"{c}_gaps", 1, F.size(f"{c}_found")), lambda m, g: g + F.char_length(m))
+    out = out.withColumns({f"{c}_steps": steps(c) for c in kinds})
 
-    return F.transform(lengths, start)
+    def blocks(c):
+        number = F.floor(F.size(f"{c}_steps") / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), number), lambda b: total(F.slice(f"{c}_steps", b * BLOCK + 1, BLOCK)))
 
+    out = out.withColumns({f"{c}_blocks": blocks(c) for c in kinds})
+    before = lambda c: F.transform(f"{c}_blocks", lambda _, b: total(F.slice(f"{c}_blocks", 1, b)))
+    out = out.withColumns({f"{c}_before": before(c) for c in kinds})
 
-def matches(text: Column, pattern: str, kind: int, value=lambda found: found) -> Column:
-    """array<struct<start, kind, end, value>> of a pattern's matches, leftmost and non-overlapping."""
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.transform(found, lambda m, i: F.element_at(pieces, i + 1) + F.char_length(m))
-    spans = F.zip_with(
-        starts_of(steps), F.zip_with(found, steps, lambda m, s: F.struct(m.alias("m"), s.alias("s"))),
-        lambda at, x: F.struct(
-            (at + x["s"] - F.char_length(x["m"])).alias("start"), F.lit(kind).alias("kind"), (at + x["s"]).alias("end"), value(x["m"]).alias("value")
-        ),
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(spans_none())
+    def starts(c):
+        def start(_, i):
+            block = F.floor(i / BLOCK).cast("int")
+            return F.element_at(f"{c}_before", block + 1) + total(F.slice(f"{c}_steps", block * BLOCK + 1, i % BLOCK))
+
+        return F.when(F.size(f"{c}_before") > 0, F.transform(f"{c}_steps", start))
+
+    out = out.withColumns({f"{c}_starts": starts(c) for c in kinds})
+
+    def spans(c, kind):
+        pairs = F.zip_with(f"{c}_found", f"{c}_steps", lambda m, s: F.struct(m.alias("m"), s.alias("s")))
+        return F.zip_with(f"{c}_starts", pairs, lambda at, x: F.struct(
+            (at + x["s"] - F.char_length(x["m"])).alias("start"), F.lit(kind).alias("kind"), (at + x["s"]).alias("end"), x["m"].alias("value")
+        ))
+
+    return out.select(*rows.columns, *[spans(c, kind).alias(c) for c, (_, kind) in kinds.items()])
 
 
 def spans_none() -> Column:
@@ -74,17 +89,12 @@ def spans_none() -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, doc (hash of the text), owner, repo, base (spans) and candidate (spans) of rows (doc_id, text, owner, repo)."""
-    text = F.coalesce("text", F.lit(""))
-    found = docs.select(
-        "doc_id", "owner", "repo", F.xxhash64("text").alias("doc"),
-        F.filter(
-            matches(text, ASSIGN, 0, lambda m: F.regexp_extract(m, ASSIGN, 2)), lambda s: F.char_length(s["value"]) >= MIN_ASSIGNED
-        ).alias("assign"),
-        matches(text, ACCESS, 1).alias("access"),
-        matches(text, HEX, 2).alias("hex"),
-        F.filter(matches(text, CANDIDATE, 3), lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2])).alias("mixed"),
-    )
-    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "mixed")
+    rows = docs.select("doc_id", "owner", "repo", F.xxhash64("text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = with_spans(rows, {"assign": (ASSIGN, 0), "access": (ACCESS, 1), "hex": (HEX, 2), "mixed": (CANDIDATE, 3)})
+    assigned = F.transform("assign", lambda s: s.withField("value", F.regexp_extract(s["value"], ASSIGN, 2)))
+    assigned = F.filter(assigned, lambda s: F.char_length(s["value"]) >= MIN_ASSIGNED)
+    mixed = F.filter("mixed", lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2]))
+    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat(assigned, "access", "hex")).alias("base"), mixed.alias("mixed"))
     apart = F.filter("mixed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return based.select("doc_id", "owner", "repo", "doc", "base", apart.alias("candidate"))
 

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -41,7 +42,7 @@ from .frames import keep, new_folder, slices
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 12 << 20  # runs whose ids a task keeps at hand
 LEVEL = 3
 RANGE_ACCURACY = 100_000
 HEAD = re.compile(rb"[A-Za-z]+(?=[!-&(-/:-@\[-`{-~])")  # ASCII letters before a sign that no pattern joins to them
@@ -185,34 +186,37 @@ def opened(path: str):
 class RunEncoder:
     """Packed ids of texts from a tokenizers file; the library sees each distinct run once."""
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str, end_id: int | None, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.end = b"" if end_id is None else struct.pack("<I", end_id)
+        self.end = b"" if end_id is None else end_id.to_bytes(width, "little")
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
-    def _encode(self, runs: list[bytes]) -> list[bytes]:
-        """Ids of each run. Runs are joined by an added token, at which the library cuts before all else."""
-        plain = [r for r in runs if b"<" not in r]
-        out: dict[bytes, bytes] = {}
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Learn the ids of pieces. They are joined by an added token, at which the library cuts before all else."""
+        encode, kind, width = self.tokenizer.encode, f"<u{self.width}", self.width
+        apart = pieces
         if self.special:
             joint, mark = next(iter(self.special.items()))
-            for at in range(0, len(plain), 512):
-                part = plain[at : at + 512]
-                ids = np.array(self.tokenizer.encode(joint.join(r.decode() for r in part), add_special_tokens=False).ids, "<u4")
-                cuts = np.flatnonzero(ids == mark)
-                out.update((r, ids[a:b].tobytes()) for r, a, b in zip(part, np.r_[0, cuts + 1], np.r_[cuts, len(ids)]))
-        rest = [r for r in runs if r not in out]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([r.decode() for r in part], add_special_tokens=False)
-            out.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, found))
-        return [out[r] for r in runs]
+            plain, apart = [p for p in pieces if b"<" not in p], [p for p in pieces if b"<" in p]
+            joint = joint.encode()
+            for at in range(0, len(plain), 1024):
+                part = plain[at : at + 1024]
+                ids = np.array(encode(joint.join(part).decode(), add_special_tokens=False).ids, kind)
+                cuts = (np.flatnonzero(ids == mark) * width).tolist()
+                packed, start = ids.tobytes(), 0
+                for piece, end in zip(part, [*cuts, len(packed)]):
+                    self.known[piece] = packed[start:end]
+                    start = end + width
+        for at in range(0, len(apart), 4096):
+            part = apart[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
+            self.known.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(part, found))
 
     def _learn(self, fresh: list[bytes]) -> None:
         """Ids of runs not met before; a word and the signs behind it are looked up apart."""
@@ -222,24 +226,22 @@ class RunEncoder:
             pieces.add(run[:at])
             pieces.add(run[at:])
         known = self.known
-        pieces = [piece for piece in pieces if piece not in known]
-        known.update(zip(pieces, self._encode(pieces)))
+        self._encode([piece for piece in pieces if piece not in known])
         for run, at in cut.items():
             known[run] = known[run[:at]] + known[run[at:]]
-        self.size += sum(map(len, fresh)) + sum(map(len, pieces))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        runs = []
-        for text in texts:
-            raw = text.encode()
-            # the normaliser lowers anyway; an added token is met in its own letters only
-            runs.append((raw if b"<" in raw else raw.lower()).split())
+        self.size += sum(map(len, fresh))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8, with the end id."""
+        # the normaliser lowers anyway; an added token is met in its own letters only
+        runs = [(raw if b"<" in raw else raw.lower()).split() for raw in texts]
         wanted = set().union(*runs)
         fresh = [run for run in wanted if run not in self.known]
         if self.size + sum(map(len, fresh)) > CACHE_BYTES:
             self.known, self.size, fresh = {}, 0, list(wanted)
         self._learn(fresh)
-        return [b"".join(map(self.known.__getitem__, words)) + self.end for words in runs]
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) + self.end for words in runs]
 
 
 def encoder(path: str, end_id: int | None, width: int):
@@ -247,12 +249,11 @@ def encoder(path: str, end_id: int | None, width: int):
 
     @F.arrow_udf(T.BinaryType())
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        runs = RunEncoder(path, end_id)
+        runs = RunEncoder(path, end_id, width)
         for texts in batches:
             out: list[bytes] = []
             for part in slices(texts):
-                packed = runs.encode([t or "" for t in part.to_pylist()])
-                out += packed if width == 4 else [np.frombuffer(p, "<u4").astype(f"<u{width}").tobytes() for p in packed]
+                out += runs.encode(pc.fill_null(part, "").cast(pa.binary()).to_pylist())
             yield pa.array(out, pa.binary())
 
     return encode
