@@ -12,36 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import bpe, decontaminate, quality, secrets, simhash
-from rollbook.llm.frames import keep, table
-from rollbook.session import tune
+from rollbook.llm.frames import keep, prepare, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    model = quality.learn(docs, table(tune(spark), sf_dir, "labels", "doc_id", "quality"))
+    model = quality.learn(docs, table(prepare(spark), sf_dir, "labels", "doc_id", "quality"))
     return docs.where(quality.accepted(quality.scorer(model)(F.col("text"))))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    tune(spark)
+    prepare(spark)
     return simhash.one_per_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.without_items(docs, table(tune(spark), sf_dir, "benchmark", "item_id", "text"))
+    return decontaminate.without_items(docs, table(prepare(spark), sf_dir, "benchmark", "item_id", "text"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secret values masked."""
-    tune(spark)
+    prepare(spark)
     return secrets.redact(docs)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the documents left."""
-    tune(spark)
+    prepare(spark)
     return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
@@ -59,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
 from . import bpe, decontaminate, langid, quality, secrets, simhash, templates, tokenfile, topk, warc
-from .frames import held_out, table
+from .frames import held_out, prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +16,7 @@ ORACLES: dict[str, str] = {}
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return fn(tune(spark), root)
+        return fn(prepare(spark), root)
 
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run

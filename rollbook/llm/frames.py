@@ -10,7 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
+
 SLICE_BYTES = 4 << 20  # text that a Python worker expands at a time
+# Arrow batches small enough that several workers of an executor hold one each.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """The session settings that the operators of this folder rely on."""
+    tune(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:

@@ -231,17 +231,38 @@ class RunEncoder:
             known[run] = known[run[:at]] + known[run[at:]]
         self.size += sum(map(len, fresh))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts in UTF-8, with the end id."""
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Packed ids of each text, with the end id."""
+        texts = pc.fill_null(texts, "")
         # the normaliser lowers anyway; an added token is met in its own letters only
-        runs = [(raw if b"<" in raw else raw.lower()).split() for raw in texts]
-        wanted = set().union(*runs)
-        fresh = [run for run in wanted if run not in self.known]
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts)))
+        bounds = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        runs = coded.dictionary.cast(pa.binary()).to_pylist()
+        fresh = [run for run in runs if run and run not in self.known]
         if self.size + sum(map(len, fresh)) > CACHE_BYTES:
-            self.known, self.size, fresh = {}, 0, list(wanted)
+            self.known, self.size, fresh = {}, 0, [run for run in runs if run]
         self._learn(fresh)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in runs]
+        get = self.known.get
+        packed = [get(run, b"") for run in runs]  # no ids between two blanks
+        kind = f"<u{self.width}"
+        ids = np.frombuffer(b"".join(packed), kind)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        firsts, word = sizes.cumsum() - sizes, coded.indices.to_numpy()
+        per_word = sizes[word]
+        before = np.r_[0, per_word.cumsum()]
+        per_text = np.diff(before[bounds - bounds[0]])
+        at = np.arange(before[-1]) + np.repeat(firsts[word] - before[:-1], per_word)
+        tail = len(self.end) // self.width
+        ends = (per_text + tail).cumsum()
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, kind)
+        own = np.ones(len(out), bool)
+        if tail:
+            own[ends - 1] = False
+            out[ends - 1] = np.frombuffer(self.end, kind)
+        out[own] = ids[at]
+        places = np.r_[0, ends] * self.width
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(out)])
 
 
 def encoder(path: str, end_id: int | None, width: int):
@@ -251,10 +272,8 @@ def encoder(path: str, end_id: int | None, width: int):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         runs = RunEncoder(path, end_id, width)
         for texts in batches:
-            out: list[bytes] = []
-            for part in slices(texts):
-                out += runs.encode(pc.fill_null(part, "").cast(pa.binary()).to_pylist())
-            yield pa.array(out, pa.binary())
+            parts = [runs.encode(part) for part in slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
     return encode
 
