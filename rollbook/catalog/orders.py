@@ -28,10 +28,18 @@ def contracts(t):
 
 
 def products(t):
-    return t.b_product.withColumns({"counts_sold": F.col("plan_nr") % 4 != 0, "changes_to_onetime": F.col("plan_nr") == 13})
+    """Products with the flags of orders; some flags are not known."""
+    nr = F.col("plan_nr")
+    return t.b_product.withColumns({
+        "counts_sold": F.when(nr % 11 != 5, nr % 4 != 0), "sales_counts": F.when(nr % 13 != 7, nr % 6 != 0), "changes_to_onetime": F.when(nr % 17 != 3, nr == 12),
+        "is_subsequent_recurring": F.when(nr % 10 != 9, F.col("is_subsequent_recurring")),
+    })
 
 
-PRODUCT_SQL = "prod AS (SELECT *, plan_nr % 4 <> 0 AS counts_sold, plan_nr = 13 AS changes_to_onetime FROM b_product)"
+PRODUCT_SQL = """prod AS (SELECT * REPLACE (CASE WHEN plan_nr % 10 <> 9 THEN is_subsequent_recurring END AS is_subsequent_recurring),
+    CASE WHEN plan_nr % 11 <> 5 THEN plan_nr % 4 <> 0 END AS counts_sold, CASE WHEN plan_nr % 13 <> 7 THEN plan_nr % 6 <> 0 END AS sales_counts,
+    CASE WHEN plan_nr % 17 <> 3 THEN plan_nr = 12 END AS changes_to_onetime FROM b_product)"""
+IMPORTER = "importer"
 DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id % 50 + 100 END"
 
 
@@ -43,13 +51,17 @@ DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id %
     CASE WHEN o.contract_id % 3 = 0 THEN 0.15 END AS discount_percentage, CASE WHEN o.contract_id % 3 = 1 THEN o.contract_id % 50 + 100 END AS discount_cents,
     CASE WHEN o.contract_id % 3 = 1 THEN 'EUR' END AS discount_currency, o.plan_id AS coupon_code, i.cable_quantity, i.device_quantity, r.refund_cents IS NOT NULL AS has_refund,
     coalesce(CASE WHEN o.contract_id % 11 > 1 THEN r.refund_cents = CASE WHEN o.contract_id % 6 <> 0 THEN i.net_cents END ELSE o.contract_id % 11 = 1 AND o.contract_id % 4 = 0 END, FALSE) AS has_full_refund,
-    CASE WHEN o.contract_id % 11 <> 1 THEN coalesce(i.has_sellable, FALSE) AND coalesce(y.payable, TRUE) ELSE FALSE END AS is_sold,
+    coalesce(o.contract_id % 11 = 1 AND o.contract_id % 2 = 0 AND o.customer_id % 3 = 0, FALSE) OR (o.contract_id % 11 <> 1 AND coalesce(i.has_sellable, FALSE) AND coalesce(y.payable, TRUE)) AS is_sold,
+    CASE WHEN o.contract_id % 11 = 1 THEN CAST((2 * (o.customer_id * 119 + 50) * 100 + 119) // 238 AS DOUBLE) / 100 ELSE CAST(o.customer_id * 7 AS DOUBLE) / 100 END AS net_invoice_amount,
+    o.contract_id % 11 < 2 AS is_legacy_customer, o.contract_id % 7 = 0 AND o.contract_id % 6 <> 0 AS was_draft,
+    CASE WHEN o.contract_id % 7 = 0 THEN 'importer' WHEN o.contract_id % 7 > 1 THEN 'shop' END AS creator, CASE WHEN o.contract_id % 2 = 1 THEN 'staff' END AS modifier,
+    o.started_dt AS created_ts, o.period_end_dt AS modified_ts,
     coalesce(i.recurring_quantity > 0, FALSE) AS is_recurring, coalesce(i.top_is_subsequent, FALSE) AS is_subsequent_recurring, coalesce(i.changed, FALSE) AS changed_to_onetime,
     o.contract_id % 5 <> 0 AS is_cohort
     FROM b_contract o
     LEFT JOIN (SELECT i.contract_id, sum(amount) AS net_cents, CAST(sum(quantity) FILTER (WHERE i.product_id IN ('7', '8')) AS BIGINT) AS cable_quantity, CAST(sum(quantity) FILTER (WHERE counts_device) AS BIGINT) AS device_quantity,
-        sum(quantity) FILTER (WHERE counts_device AND NOT is_subsequent_recurring AND NOT changes_to_onetime AND is_recurring AND counts_revenue) AS recurring_quantity,
-        bool_or(coalesce(counts_device AND counts_revenue AND counts_sold, FALSE)) AS has_sellable, bool_or(coalesce(changes_to_onetime, FALSE)) AS changed,
+        sum(quantity) FILTER (WHERE counts_device AND is_subsequent_recurring IS FALSE AND changes_to_onetime IS FALSE AND is_recurring AND counts_revenue) AS recurring_quantity,
+        bool_or(coalesce(counts_device AND counts_revenue AND counts_sold AND sales_counts, FALSE)) AS has_sellable, bool_or(coalesce(changes_to_onetime, FALSE)) AS changed,
         bool_or(coalesce(counts_device AND is_subsequent_recurring, FALSE)) AS top_is_subsequent
       FROM b_item i LEFT JOIN prod p ON p.product_id = i.product_id GROUP BY i.contract_id) i ON i.contract_id = o.contract_id
     LEFT JOIN (SELECT contract_id, min(status) AS payment_status FROM pay WHERE refund_id IS NULL GROUP BY 1) p ON p.contract_id = o.contract_id AND o.contract_id % 6 <> 0
@@ -57,33 +69,40 @@ DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id %
     LEFT JOIN (SELECT l_orderkey AS contract_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS refund_cents FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.contract_id = o.contract_id
     WHERE o.status <> 'canceled'""",
     uses="b_contract b_item b_product",
-    extra=PRODUCT_SQL + """, pay AS (SELECT l_orderkey AS contract_id, CASE WHEN l_linestatus = 'F' THEN 'authorised' ELSE 'cancelled' END AS status, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS refund_id,
-      CASE l_suppkey % 5 WHEN 0 THEN 'sepa' WHEN 1 THEN 'card' WHEN 2 THEN 'invoice' WHEN 3 THEN 'voucher' END AS method FROM lineitem WHERE l_linenumber < 4)""",
-    money="discount_percentage",
+    extra=PRODUCT_SQL + """, pay AS (SELECT CASE WHEN l_linenumber < 4 THEN l_orderkey END AS contract_id, CASE WHEN l_linestatus = 'F' THEN 'authorised' ELSE 'cancelled' END AS status, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS refund_id,
+      CASE l_suppkey % 5 WHEN 0 THEN 'sepa' WHEN 1 THEN 'card' WHEN 2 THEN 'invoice' WHEN 3 THEN 'voucher' END AS method FROM lineitem)""",
+    money="discount_percentage net_invoice_amount",
+    dates="created_ts modified_ts",
 )
 def enrich_orders(t):
-    key = F.col("contract_id")
+    key, gross = F.col("contract_id"), F.col("customer_id") * 119 + 50
+    apart = F.when(key % 6 == 0, -key).otherwise(key)  # invoices of no order
     placed = contracts(t).select(
         key.alias("order_id"), "contract_id", "domain", F.when(F.col("status") != "canceled", "placed").otherwise("draft").alias("status"),
         F.when(key % 11 == 0, "7700").when(key % 11 == 1, "1200").alias("legacy_id"),
         F.when((key % 11 == 1) & (key % 4 == 0), "closed").when((key % 11 == 1) & (key % 2 == 0), "complete").when(key % 11 == 1, "pending").alias("legacy_status"),
-        F.col("plan_id").alias("coupon_code"), "discount", "items", F.col("started_dt").alias("created_ts"),
+        F.when(key % 11 == 1, F.when(F.col("customer_id") % 3 == 0, "14, 15").otherwise("3")).alias("legacy_product"),
+        F.when(key % 11 == 1, F.format_string("%d.%02d €", F.floor(gross / 100), gross % 100)).alias("legacy_gross"),
+        (F.col("customer_id") * 7).alias("total_net_cents"), F.col("plan_id").alias("coupon_code"), "discount", "items",
+        F.when(key % 7 == 0, IMPORTER).when(key % 7 > 1, "shop").alias("creator"), F.when(key % 2 == 1, "staff").alias("modifier"),
+        F.col("started_dt").alias("created_ts"), F.col("period_end_dt").alias("modified_ts"),
     )
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     lines = t.lineitem.select(F.col("l_orderkey").alias("order_id"), cents.alias("net_cents"), "l_returnflag")
     invoices = (
-        t.b_item.filter("contract_id % 6 <> 0").groupBy(key.alias("order_id")).agg(F.sum("amount").alias("net_cents"))
-        .join(placed.select("order_id").filter("order_id % 6 <> 0"), "order_id", "right").withColumn("invoice_id", F.col("order_id"))
+        t.b_item.groupBy(apart.alias("order_id")).agg(F.sum("amount").alias("net_cents"))
+        .join(placed.select(apart.alias("order_id")), "order_id", "right").withColumn("invoice_id", F.col("order_id"))
     )
     method = F.expr("CASE l_suppkey % 5 WHEN 0 THEN 'sepa' WHEN 1 THEN 'card' WHEN 2 THEN 'invoice' WHEN 3 THEN 'voucher' END")
-    payments = t.lineitem.filter("l_linenumber < 4").select(
-        F.col("l_orderkey").alias("invoice_id"), F.col("l_orderkey").alias("order_id"), F.when(F.col("l_linestatus") == "F", "authorised").otherwise("cancelled").alias("status"),
+    paid = F.when(F.col("l_linenumber") < 4, F.col("l_orderkey"))
+    payments = t.lineitem.select(
+        paid.alias("invoice_id"), paid.alias("order_id"), F.when(F.col("l_linestatus") == "F", "authorised").otherwise("cancelled").alias("status"),
         F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("refund_id"), method.alias("method"),
     )
     refunds = lines.filter("l_returnflag = 'R'").select("order_id", "net_cents")
     made = F.when(key % 5 == 0, F.add_months("started_dt", -1)).otherwise(F.col("started_dt"))
     parents = t.b_contract.select("contract_id", made.alias("contract_created_ts"))
-    return orders.enrich_orders(placed, invoices, payments, refunds, parents, products(t), ["7", "8"])
+    return orders.enrich_orders(placed, invoices, payments, refunds, parents, products(t), ["7", "8"], IMPORTER)
 
 
 @register(

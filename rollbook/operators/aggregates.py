@@ -35,9 +35,9 @@ def priority_status(col: Column, order: list[str]) -> Column:
 
 
 def text_list(col: Column, separator: str = ",", distinct: bool = True) -> Column:
-    """Sorted, joined text; duplicates are dropped on the map side. NULL for an empty group."""
+    """Sorted, joined text; duplicates are dropped on the map side. NULL for a group without values."""
     collected = F.collect_set(col) if distinct else F.collect_list(col)
-    return F.nullif(F.array_join(F.array_sort(collected), separator), F.lit(""))
+    return F.when(F.count(col) > 0, F.array_join(F.array_sort(collected), separator))
 
 
 def pivot_sum(df: DataFrame, keys: list[str], category: str, values: dict[str, str], amount: str, other: str | None = None) -> DataFrame:

@@ -6,14 +6,13 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import day
 from ..functions.numbers import ratio
 from ..operators.keyed import with_totals
 from ..operators.ordered import ordered
 
-CUTS = 100
+SLICES_PER_PARTITION = 4
 
 
 def _unpivot(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -32,27 +31,19 @@ def column_cardinality(df: DataFrame) -> DataFrame:
 
 
 def drop_uninformative(df: DataFrame) -> DataFrame:
-    """Drop columns with a single value or with all values different.
+    """Drop columns with a single value or with all values different (NULL is a value).
 
-    One pass finds constants by minimum and maximum and estimates the distinct count; only columns whose
-    estimate is near the row count are counted exactly.
+    One pass finds constants by minimum and maximum; whether any value of a column occurs twice is counted exactly,
+    a column with more than one NULL needs no counting.
     """
-    exprs = []
-    for c in df.columns:
-        exprs.append(F.struct(
-            (F.min(c) == F.max(c)).alias("one"), F.count(c).alias("n"), F.approx_count_distinct(c, 0.02).alias("d")
-        ).alias(c))
+    exprs = [F.struct((F.min(c) == F.max(c)).alias("one"), F.count(c).alias("n")).alias(c) for c in df.columns]
     first = df.agg(F.count(F.lit(1)).alias("__rows"), *exprs).first()
-    rows, drop, close = first["__rows"], [], []
+    rows, drop = first["__rows"], []
     for c in df.columns:
         stat = first[c]
-        if stat["n"] == 0 or (stat["one"] and stat["n"] == rows):
+        constant = stat["n"] == 0 or (stat["one"] and stat["n"] == rows)
+        if constant or (stat["n"] >= rows - 1 and df.groupBy(c).count().filter("count > 1").isEmpty()):
             drop.append(c)
-        elif stat["n"] >= rows - 1 and stat["d"] >= 0.85 * rows:
-            close.append(c)
-    if close:
-        exact = df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in close]).first()
-        drop += [c for c in close if exact[c] == rows]
     return df.drop(*drop)
 
 
@@ -104,17 +95,18 @@ def churn_share(df: DataFrame, churned: str, amount: str) -> DataFrame:
 
 
 def _ranked_values(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-NULL values of a column with their rows, cut into slices of about equal size.
+    """Distinct non-NULL values of a column with their rows, cut into slices of about equal size in ascending order.
 
-    Numbers are cut at approximate percentiles, text by its first characters; both keep the order.
+    The borders are values drawn by hash: of each of some hundred hash buckets the value with the least hash, so they
+    lie as the values do, whatever their type and however alike they begin.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    if isinstance(df.schema[column].dataType, T.StringType):
-        return values.withColumn("slice", F.substring("value", 1, 3))
-    points = F.lit([i / CUTS for i in range(1, CUTS)])
-    cuts = values.agg(F.percentile_approx("value", points, 1000).alias("cuts"))
-    below = F.size(F.filter("cuts", lambda c: c <= F.col("value")))
-    return values.crossJoin(F.broadcast(cuts)).select("value", "rows", below.alias("slice"))
+    buckets = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.xxhash64("value")
+    drawn = values.groupBy(F.pmod(place, F.lit(buckets)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
+    borders = drawn.agg(F.array_sort(F.collect_list("border")).alias("borders"))
+    below = F.size(F.filter("borders", lambda c: c <= F.col("value")))
+    return values.crossJoin(F.broadcast(borders)).select("value", "rows", below.alias("slice"))
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:

@@ -214,10 +214,9 @@ def contract_end(df: DataFrame, as_of) -> DataFrame:
     same_day = F.add_months(end, (F.year(first) - F.year(end)) * 12)
     month = F.trunc(today, "month")
     years = years_between_whole(month, F.date_add(F.trunc(started, "month"), 1)) + 1
-    ended = (F.col("status") == "terminated") | ((F.col("status") == "canceled") & (F.add_months(end, 3) < today))
     candidate = (
         F.when(F.col("is_3y") & ~F.col("is_monthly"), F.add_months(same_day, 36)).when(F.col("is_3y"), F.add_months(first, 36))
-        .when(~F.col("is_monthly") | ended, end).otherwise(F.add_months(started, (years * 12).cast("int")))
+        .when(~F.col("is_monthly"), end).otherwise(F.add_months(started, (years * 12).cast("int")))
     )
     return rows.withColumn("contract_end_dt", F.greatest(end, candidate)).drop("first_3y_dt")
 
@@ -346,10 +345,13 @@ def exclude_dead_plans(df: DataFrame) -> DataFrame:
 
 
 def date_steps(base: DataFrame, as_of, rules: str = "grace30") -> DataFrame:
-    """All steps from the term dates to the exclusion of dead plans."""
+    """All steps from the term dates to the exclusion of dead plans.
+
+    Plans without a number have no subscription id; they leave before the plans of a contract are compared.
+    """
     rows = resolve_status(contract_end(term_dates(base), as_of), as_of, rules)
     rows = remaining_cycles(clamp_cancel(mask_by_status(rows, as_of), as_of), as_of)
-    return exclude_dead_plans(back_compute_start(rows, as_of))
+    return exclude_dead_plans(back_compute_start(rows, as_of).filter("subscription_id IS NOT NULL"))
 
 
 def migration_rows(

@@ -3,7 +3,7 @@
 Items are arrays of {product_id, quantity, price, total_provisioned_price}; a discount is
 {"type": "percentage", "value": 0.1} or {"type": "amount", "value": {"amount": cents, "currency": ..}}.
 products: product_id, product_name, monthly_payment, is_recurring, is_subsequent_recurring, counts_device,
-counts_revenue (and counts_sold, changes_to_onetime for orders).
+counts_revenue (and counts_sold, sales_counts, changes_to_onetime for orders). A flag that is NULL is neither true nor false.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ PAID_LEGACY_PREFIXES = ["77", "78"]
 PAID_LEGACY_STATUS = ["complete", "closed"]
 DIRECT_PAYMENTS = ["sepa", "card", "paypal"]
 TAX_HUNDREDTHS = 119
+LEGACY_SOLD_PRODUCTS = ["2", "7", "10", "14, 15"]
 SENTINEL_PRODUCT = "fake"
 
 # Contact fields and their greatest length in the warehouse.
@@ -57,12 +58,14 @@ def invoice_status() -> Column:
 
 
 def enrich_orders(
-    orders: DataFrame, invoices: DataFrame, payments: DataFrame, refunds: DataFrame, contracts: DataFrame, products: DataFrame, cable_products: list[str]
+    orders: DataFrame, invoices: DataFrame, payments: DataFrame, refunds: DataFrame, contracts: DataFrame, products: DataFrame, cable_products: list[str],
+    importer: str,
 ) -> DataFrame:
-    """Placed orders with payment state, discount, refunds, device counts, sold and recurring flags, cohort flag.
+    """Placed orders with payment state, discount, amounts, refunds, device counts, sold, recurring, draft and cohort flags.
 
-    orders: order_id, contract_id, domain, status, legacy_id, legacy_status, coupon_code, discount, items,
-    created_ts. invoices: invoice_id, order_id, net_cents (one per order). payments: invoice_id, order_id,
+    orders: order_id, contract_id, domain, status, legacy_id, legacy_status, legacy_product, legacy_gross (text with a
+    blank and a currency sign at its end), total_net_cents, coupon_code, discount, items, creator, created_ts, modifier,
+    modified_ts. ``importer`` is the creator of imported drafts. invoices: invoice_id, order_id, net_cents (one per order). payments: invoice_id, order_id,
     status, refund_id, method. refunds: order_id, net_cents. contracts: contract_id, contract_created_ts.
     """
     placed = orders.filter("status = 'placed'")
@@ -76,14 +79,15 @@ def enrich_orders(
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     lines = explode_items(placed, "items", keep=["order_id"]).join(products, "product_id", "left")
     device = flag("counts_device")
-    recurring = device & ~flag("is_subsequent_recurring") & ~flag("changes_to_onetime") & flag("is_recurring") & flag("counts_revenue")
+    no = lambda name: F.col(name).eqNullSafe(F.lit(False))  # NULL does not count as no
+    recurring = device & no("is_subsequent_recurring") & no("changes_to_onetime") & flag("is_recurring") & flag("counts_revenue")
     # A product that is a device and subsequently recurring already has the best rank there is, so the global
     # rank needs no computing.
     items = lines.groupBy("order_id").agg(
         sum_if(F.col("product_id").isin(cable_products), F.col("quantity")).alias("cable_quantity"),
         sum_if(device, F.col("quantity")).alias("device_quantity"),
         sum_if(recurring, F.col("quantity")).alias("recurring_quantity"),
-        F.bool_or(device & flag("counts_revenue") & flag("counts_sold")).alias("has_sellable"),
+        F.bool_or(device & flag("counts_revenue") & flag("counts_sold") & flag("sales_counts")).alias("has_sellable"),
         F.bool_or(flag("changes_to_onetime")).alias("changed_to_onetime"),
         F.bool_or(flag("is_subsequent_recurring") & device).alias("top_is_subsequent"),
     )
@@ -93,6 +97,10 @@ def enrich_orders(
     )
     discount, kind = F.col("discount"), discount_type(F.col("discount"))
     sold = flag("has_sellable") & F.coalesce("payable", F.lit(True))
+    legacy, legacy_status = F.col("legacy_id"), F.col("legacy_status")
+    legacy_sold = F.col("legacy_product").isin(LEGACY_SOLD_PRODUCTS) & legacy_status.isin(PAID_LEGACY_STATUS)
+    gross = cents(F.col("legacy_gross").substr(F.lit(1), F.length("legacy_gross") - 2).cast("decimal(16,2)"))
+    own_total = legacy.isNull() | F.left(legacy, F.lit(2)).isin(PAID_LEGACY_PREFIXES)
     return rows.select(
         "order_id", "contract_id", domain_name(F.col("domain")).alias("domain_name"), invoice_status().alias("invoice_status"),
         F.when(kind == "percentage", json_get(discount, "value", "decimal(3,2)")).alias("discount_percentage"),
@@ -102,10 +110,14 @@ def enrich_orders(
         F.coalesce(
             F.when(F.col("legacy_id").isNull(), F.col("refund_cents") == F.col("invoice_cents")).otherwise(F.col("legacy_status") == "closed"), F.lit(False)
         ).alias("has_full_refund"),
-        F.when(F.col("legacy_status").isNull(), sold).otherwise(F.lit(False)).alias("is_sold"),
+        F.when(legacy_sold, True).when(legacy_status.isNull(), sold).otherwise(False).alias("is_sold"),
+        euro(F.when(own_total, F.col("total_net_cents")).otherwise(round_div([gross, 100], [TAX_HUNDREDTHS]))).alias("net_invoice_amount"),
+        legacy.isNotNull().alias("is_legacy_customer"),
+        (F.col("creator").eqNullSafe(importer) & F.col("invoice_id").isNotNull()).alias("was_draft"),
         F.coalesce(F.col("recurring_quantity") > 0, F.lit(False)).alias("is_recurring"),
         flag("top_is_subsequent").alias("is_subsequent_recurring"), flag("changed_to_onetime").alias("changed_to_onetime"),
         F.coalesce(month_of(F.col("created_ts")) == month_of(F.col("contract_created_ts")), F.lit(False)).alias("is_cohort"),
+        "creator", "created_ts", "modifier", "modified_ts",
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; they can be changed on a live session.
@@ -43,18 +41,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return tune(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names, or a fresh temporary one where none is set (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    target = configured or tempfile.mkdtemp(prefix="rollbook-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
-
-
 def materialise(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several jobs read: it is computed once and survives the loss of an executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """A frame that several jobs read, computed once: checkpointed in the folder that spark.checkpoint.dir names.
+
+    Without such a folder it is persisted, and recomputed where an executor is lost.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()

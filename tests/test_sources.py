@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from rollbook.operators import keyed
 from rollbook.plans import usage
-from rollbook.session import ensure_checkpoint_dir
+from rollbook.session import materialise
 from rollbook.sources import incremental_slice, load, load_csv
 from rollbook.streaming.jobs import read_events, stream_job_counts, write_counts
 
