@@ -20,7 +20,7 @@ TEXTS = {
       o_orderpriority = '5-LOW' AS has_full_refund, CASE WHEN o_orderkey % 3 = 0 THEN CAST(0.15 AS DECIMAL(10,2)) END AS discount_percentage,
       CASE WHEN o_orderkey % 3 = 1 THEN CAST(1990 AS BIGINT) END AS discount_cents FROM {orders}""",
     "a_coupon": """SELECT concat('Code', CAST(n_nationkey AS {text})) AS coupon_code, CASE WHEN n_nationkey % 3 = 0 THEN 'partner' ELSE 'other' END AS category FROM {nation}
-      UNION ALL SELECT concat('Ab_CC_', CAST(n_nationkey AS {text})), 'other' FROM {nation} WHERE n_nationkey < 12""",
+      UNION ALL SELECT concat(CASE WHEN n_nationkey < 12 THEN 'Ab_CC_' ELSE 'none_' END, CAST(n_nationkey AS {text})), 'other' FROM {nation}""",
     "a_receiver": """SELECT concat('CODE', CAST(s_suppkey % 40 AS {text})) AS coupon_code,
       CASE WHEN s_suppkey % 40 < 5 THEN concat(' Mail', CAST(s_suppkey % 40 AS {text}), '@Example.org') END AS receiver_email,
       concat('name ', CAST(s_suppkey % 40 AS {text})) AS receiver_name FROM {supplier}""",
@@ -130,7 +130,7 @@ def active_net(t):
     owners = t.customer.select(F.col("c_custkey").alias("owner_id"), F.col("c_name").alias("email"))
     status = F.when(F.col("o_orderstatus") == "P", "terminated").otherwise("active")
     contracts = t.orders.select(F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("domain_name"), status.alias("status"))
-    shipments = t.lineitem.filter("l_linenumber = 1 AND l_quantity > 49").select(F.col("l_shipdate").alias("shipped_dt"), F.col("l_returnflag").alias("kind"))
+    shipments = t.lineitem.select(F.col("l_shipdate").alias("shipped_dt"), F.when(F.expr("l_linenumber = 1 AND l_quantity > 49"), F.col("l_returnflag")).alias("kind"))
     return accounts.active_cars_net(cars, owners, contracts, shipments, ["d3", "d4"], "%7", "2000-01-01", ["A", "N"])
 
 
@@ -151,7 +151,7 @@ def normalised_key(t):
         F.when(F.col("p_size") % 4 == 0, F.col("p_size")).alias("ended_ts"),
     )
     drive = F.when(F.col("p_type") == "ECONOMY", "electric").otherwise("fuel")
-    models = t.part.filter("p_size > 40").select(F.lower("p_brand").alias("brand"), F.col("p_type").alias("model"), drive.alias("drive")).distinct()
+    models = t.part.select(F.when(F.col("p_size") > 40, F.lower("p_brand")).alias("brand"), F.col("p_type").alias("model"), drive.alias("drive")).distinct()
     rows = accounts.customer_cars(customers, domain_map, cars, models)
     active = F.when(F.col("car_id").isNotNull(), F.col("car_active"))
     return rows.select("customer_id", F.col("domain_name").alias("domain_id"), "car_id", "drive", active.alias("car_active"))
@@ -230,8 +230,8 @@ def user_marketing(t):
 def domain_mrr(t):
     users = t.b_user.select(F.col("domain_id").alias("domain_name"), "deleted_ts", (F.col("user_id") % 7 == 0).alias("is_locked"))
     domains = users.select("domain_name").distinct().withColumn("is_test", F.col("domain_name") % 6 == 0)
-    cars = t.events.filter("event_type = 'view' AND user_id % 20 > 2").select(
-        (F.col("user_id") % 20).alias("domain_name"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("ended_ts")
+    cars = t.events.filter("event_type = 'view'").select(
+        F.when(F.col("user_id") % 20 > 2, F.col("user_id") % 20).otherwise(-F.col("user_id") - 1).alias("domain_name"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("ended_ts")
     )
     linked = t.b_customer.select(F.col("domain_id").alias("domain_name"), "customer_id")
     balances = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").cast("decimal(12,2)").alias("current_mrr_eur"))
@@ -249,8 +249,8 @@ def domain_mrr(t):
 )
 def left_join(t):
     users = t.b_user.select("user_id", F.col("domain_id").alias("main_domain"))
-    revenue = t.orders.filter("o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("main_domain")).agg(F.count(F.lit(1)).alias("mrr_eur"))
-    items = t.orders.filter("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("main_domain"), F.col("o_orderstatus").alias("items"))
+    revenue = t.orders.groupBy(F.expr("if(o_custkey % 4 <> 0, o_custkey, -o_custkey)").alias("main_domain")).agg(F.count(F.lit(1)).alias("mrr_eur"))
+    items = t.orders.select(F.expr("if(o_custkey % 5 <> 0, o_custkey, -o_custkey)").alias("main_domain"), F.col("o_orderstatus").alias("items"))
     rows = accounts.user_items(users, revenue, items)
     return rows.select("user_id", F.col("main_domain").alias("domain_id"), "mrr_eur", "items")
 

@@ -263,11 +263,11 @@ def asof_reading(t):
 @register(
     "q_scalar_cross",
     """SELECT a.cars - b.returned AS net_cars FROM (SELECT count(DISTINCT o_custkey) AS cars FROM orders) a
-    JOIN (SELECT count(*) AS returned FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7) b ON 1 = 1""",
+    JOIN (SELECT count(*) AS returned FROM lineitem WHERE l_returnflag = 'R') b ON 1 = 1""",
 )
 def scalar_cross(t):
     cars = t.orders.agg(F.count_distinct("o_custkey").alias("cars"))
-    returned = t.lineitem.filter("l_returnflag = 'R' AND l_linenumber = 7").agg(F.count(F.lit(1)).alias("returned"))
+    returned = t.lineitem.filter("l_returnflag = 'R'").agg(F.count(F.lit(1)).alias("returned"))
     return cars.crossJoin(returned).select((F.col("cars") - F.col("returned")).alias("net_cars"))
 
 

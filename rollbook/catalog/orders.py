@@ -165,9 +165,9 @@ def split_discount(t):
     uses="b_contract b_item b_product",
 )
 def fleet_contracts(t):
-    roles = t.events.filter("user_id % 3 <> 0").select(F.concat(F.lit("u"), (F.col("user_id") * 2).cast("string")).alias("user_domain"), F.col("event_type").alias("role"))
-    domain_map = t.customer.filter("c_custkey % 2 = 0").select(
-        F.concat(F.lit("dom"), F.col("c_custkey").cast("string")).alias("domain_name"), F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_domain")
+    roles = t.events.select(F.concat(F.expr("if(user_id % 3 <> 0, 'u', 'none')"), (F.col("user_id") * 2).cast("string")).alias("user_domain"), F.col("event_type").alias("role"))
+    domain_map = t.customer.select(
+        F.concat(F.lit("dom"), F.col("c_custkey").cast("string")).alias("domain_name"), F.concat(F.expr("if(c_custkey % 2 = 0, 'u', 'other')"), F.col("c_custkey").cast("string")).alias("user_domain")
     )
     names = t.b_product.select("product_id", "product_name")
     lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
@@ -198,7 +198,7 @@ def returns(t):
         F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
     )
     live = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("contract_id"))
-    names = t.part.filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"))
+    names = t.part.select(F.expr("if(p_partkey % 10 <> 0, p_partkey, -p_partkey)").alias("product_id"), F.col("p_name").alias("product_name"))
     return orders.returns_report(rows, live, names, "1998-09-01", "1998-09-30")
 
 

@@ -83,8 +83,8 @@ def odometer_audit(t):
 
 # ---------------------------------------------------------------- usage
 
-PROFILE = """SELECT domain_id, CAST(min(created_ts) AS DATE) AS first_start_dt, CASE WHEN domain_id % 3 = 0 THEN 'cancelled' ELSE 'active' END AS customer_status,
-    CAST(count(*) * 8 AS DECIMAL(18,1)) AS item_quantity FROM {b_user} WHERE domain_id <> 7 GROUP BY domain_id"""
+PROFILE = """SELECT CASE WHEN domain_id = 7 THEN 1007 ELSE domain_id END AS domain_id, CAST(min(created_ts) AS DATE) AS first_start_dt, CASE WHEN domain_id % 3 = 0 THEN 'cancelled' ELSE 'active' END AS customer_status,
+    CAST(count(*) * 8 AS DECIMAL(18,1)) AS item_quantity FROM {b_user} GROUP BY domain_id"""
 CAR = """SELECT CAST(user_id % 20 AS INT) AS domain_id, event_id AS car_id, ts AS created_ts, CASE WHEN event_id % 4 = 0 THEN ts END AS ended_ts,
     CASE WHEN event_id % 3 <> 0 THEN ts + (event_id % 5 - 2) * INTERVAL '1' HOUR END AS first_trip_ts FROM {events} WHERE event_type = 'view'"""
 
@@ -149,10 +149,10 @@ def job_counts(t):
     return usage.job_counts(t.events, JOBS)
 
 
-TERM = """SELECT domain_id, CAST(created_ts AS DATE) + 2 AS start_dt, CAST(CAST(created_ts AS DATE) + 2 + CAST(user_id % 25 AS INT) AS DATE) AS end_dt
-    FROM {b_user} WHERE domain_id <> 3"""
-PEOPLE = """SELECT domain_id, user_id, CAST(created_ts AS DATE) AS created_dt, CAST(activated_ts AS DATE) AS activated_dt, CAST(deleted_ts AS DATE) AS deleted_dt
-    FROM {b_user} WHERE domain_id <> 5"""
+TERM = """SELECT CASE WHEN domain_id = 3 THEN 1003 ELSE domain_id END AS domain_id, CAST(created_ts AS DATE) + 2 AS start_dt, CAST(CAST(created_ts AS DATE) + 2 + CAST(user_id % 25 AS INT) AS DATE) AS end_dt
+    FROM {b_user}"""
+PEOPLE = """SELECT CASE WHEN domain_id = 5 THEN 1005 ELSE domain_id END AS domain_id, user_id, CAST(created_ts AS DATE) AS created_dt, CAST(activated_ts AS DATE) AS activated_dt, CAST(deleted_ts AS DATE) AS deleted_dt
+    FROM {b_user}"""
 DONE = """SELECT CAST(ts AS DATE) AS date_key, user_id, CAST(user_id % 20 AS INT) AS domain_id, count(*) * 4 AS jobs_last_7days FROM {events}
     GROUP BY CAST(ts AS DATE), user_id, CAST(user_id % 20 AS INT)"""
 STATS_LOW, STATS_AS_OF = "2023-12-30", "2024-02-03"

@@ -12,7 +12,7 @@ from ..functions.numbers import ratio
 from ..operators.keyed import with_totals
 from ..operators.ordered import ordered
 
-SLICES_PER_PARTITION = 4
+LEAST_SLICES, SLICES_PER_PARTITION, DRAWN = 64, 4, 4
 
 
 def _unpivot(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -97,14 +97,14 @@ def churn_share(df: DataFrame, churned: str, amount: str) -> DataFrame:
 def _ranked_values(df: DataFrame, column: str) -> DataFrame:
     """Distinct non-NULL values of a column with their rows, cut into slices of about equal size in ascending order.
 
-    The borders are values drawn by hash: of each of some hundred hash buckets the value with the least hash, so they
-    lie as the values do, whatever their type and however alike they begin.
+    Candidates are drawn by hash, of each hash bucket the value with the least hash, so they lie as the values do,
+    whatever their type and however alike they begin; every fourth of them in ascending order is a border.
     """
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    buckets = SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(LEAST_SLICES, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.xxhash64("value")
-    drawn = values.groupBy(F.pmod(place, F.lit(buckets)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
-    borders = drawn.agg(F.array_sort(F.collect_list("border")).alias("borders"))
+    drawn = values.groupBy(F.pmod(place, F.lit(DRAWN * slices)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
+    borders = drawn.agg(F.filter(F.array_sort(F.collect_list("border")), lambda _, i: i % DRAWN == DRAWN - 1).alias("borders"))
     below = F.size(F.filter("borders", lambda c: c <= F.col("value")))
     return values.crossJoin(F.broadcast(borders)).select("value", "rows", below.alias("slice"))
 

@@ -250,3 +250,69 @@ def test_label_codes_put_null_last(rows):
 def test_uninformative_columns_are_dropped(rows):
     df = rows("id int, one int, half int, nul int", *[(i, 7, i // 2, None) for i in range(50)])
     assert features.drop_uninformative(df).columns == ["half"]
+
+
+def test_label_slices_of_texts_that_begin_alike(spark):
+    """No slice takes many values, however long their common start."""
+    df = spark.range(100_000).selectExpr("concat('https://shop.example/customer/', lpad(id, 9, '0')) AS t")
+    ranked = features._ranked_values(df, "t")
+    most = ranked.groupBy("slice").count().agg(F.max("count"), F.sum("count")).first()
+    assert most[1] == 100_000 and most[0] <= 0.05 * 100_000
+    borders = ranked.groupBy("slice").agg(F.min("value").alias("low"), F.max("value").alias("high")).orderBy("slice").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(borders, borders[1:]))
+
+
+def order_rows(rows, **changes):
+    """One placed order with a product; flags and legacy values as given."""
+    values = {
+        "counts_device": True, "is_subsequent_recurring": False, "changes_to_onetime": False, "is_recurring": True, "counts_revenue": True, "counts_sold": True,
+        "sales_counts": True, "legacy_id": None, "legacy_status": None, "legacy_product": None, "legacy_gross": None, "creator": "shop", "invoice": True,
+    } | changes
+    item = '[{"product_id":"p","quantity":3}]'
+    placed = rows(
+        "order_id int, contract_id int, domain string, status string, legacy_id string, legacy_status string, legacy_product string, legacy_gross string, total_net_cents long, "
+        "coupon_code string, discount string, items string, creator string, created_ts timestamp, modifier string, modified_ts timestamp",
+        (1, 1, "D.", "placed", values["legacy_id"], values["legacy_status"], values["legacy_product"], values["legacy_gross"], 1050, None, None, item, values["creator"], datetime(2024, 1, 5), None, None),
+    )
+    flags = ["counts_device", "is_subsequent_recurring", "changes_to_onetime", "is_recurring", "counts_revenue", "counts_sold", "sales_counts"]
+    products = rows("product_id string, " + ", ".join(f"{f} boolean" for f in flags), ("p", *[values[f] for f in flags]))
+    invoices = rows("invoice_id int, order_id int, net_cents long", (7, 1 if values["invoice"] else 2, 1050))
+    payments = rows("invoice_id int, order_id int, status string, refund_id int, method string", (7, 1, "authorised", None, "card"))
+    refunds = rows("order_id int, net_cents long", (9, 1))
+    parents = rows("contract_id int, contract_created_ts timestamp", (1, datetime(2024, 1, 9)))
+    return orders.enrich_orders(placed, invoices, payments, refunds, parents, products, ["x"], "importer").first()
+
+
+def test_unknown_product_flags_do_not_count_as_no(rows):
+    assert order_rows(rows)["is_recurring"] and order_rows(rows)["is_sold"]
+    for flag in ("is_subsequent_recurring", "changes_to_onetime"):
+        assert not order_rows(rows, **{flag: None})["is_recurring"] and not order_rows(rows, **{flag: True})["is_recurring"]
+    for flag in ("sales_counts", "counts_sold", "counts_device", "counts_revenue"):
+        assert not order_rows(rows, **{flag: None})["is_sold"] and not order_rows(rows, **{flag: False})["is_sold"]
+
+
+def test_legacy_orders_are_sold_by_product_and_status(rows):
+    old = {"legacy_id": "1200", "legacy_gross": "119.00 €"}
+    sold = order_rows(rows, **old, legacy_product="14, 15", legacy_status="complete")
+    assert (sold["is_sold"], sold["is_legacy_customer"], float(sold["net_invoice_amount"])) == (True, True, 100.0)
+    assert not order_rows(rows, **old, legacy_product="14", legacy_status="complete")["is_sold"]
+    assert not order_rows(rows, **old, legacy_product="7", legacy_status="pending")["is_sold"]
+    own = order_rows(rows, legacy_id="7701", legacy_gross="1.00 €")
+    assert (float(own["net_invoice_amount"]), own["is_sold"]) == (10.5, True)
+
+
+def test_drafts_are_imported_orders_with_an_invoice(rows):
+    assert order_rows(rows, creator="importer")["was_draft"]
+    assert not order_rows(rows, creator="importer", invoice=False)["was_draft"] and not order_rows(rows, creator=None)["was_draft"]
+
+
+def test_plans_without_a_number_leave_the_migration(rows):
+    """They have no subscription id, and they don't make their contract a live one."""
+    base = rows(
+        "contract_id string, subscription_id string, plan_id string, plan_quantity long, status string, contract_created_dt date, tmp_term_start_dt date, tmp_term_end_dt date, "
+        "cancelled_dt date, cancel_reason string, renewal_cycles int, min_start_dt date, max_start_dt date, max_end_dt date",
+        ("c", None, "unmapped-yearly", 1, "active", DAY, DAY, date(2025, 1, 1), None, None, 1, DAY, DAY, date(2025, 1, 1)),
+        ("c", "c_1", "plan-yearly", 0, "cancelled", DAY, DAY, date(2024, 6, 1), DAY, "x", 1, DAY, DAY, date(2024, 6, 1)),
+    )
+    got = migration.date_steps(base, date(2024, 9, 1)).collect()
+    assert [r["subscription_id"] for r in got] == ["c_1"]

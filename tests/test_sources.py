@@ -74,5 +74,8 @@ def test_closed_days_are_appended(spark):
     assert sorted(map(tuple, got.select(*pick).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_checkpoint_dir_is_set_only_once(spark):
-    assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+def test_a_frame_is_kept_without_a_local_folder(spark):
+    """Without a checkpoint folder the frame is persisted; with one it is written there and its lineage is cut."""
+    kept = materialise(spark.range(10).selectExpr("id * 2 AS id"))
+    assert kept.count() == 10 and (kept.is_cached or spark.sparkContext.getCheckpointDir())
+    kept.unpersist()
