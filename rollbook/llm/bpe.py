@@ -19,19 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import slices
+from .frames import slices, tidy
 
 # Fixed value: the white space of Unicode, which the pattern means by \s.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY = 24  # positions of a rank that are merged as arrays
-BLOCK_BYTES = 3 << 19  # bytes of distinct words replayed together
-CACHE_BYTES = 4 << 20  # text of the chunks whose ids a task keeps at hand
-BLANK_RUN = re.compile(r" (?:\s|$)")
+BLOCK_CHARS = 3 << 19  # characters of distinct words replayed together
+CACHE_CHARS = 4 << 20  # characters of the chunks whose ids a task keeps at hand
+BLANK_RUN = r" ([\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"  # a blank before white space or the end
 BLANK_BEFORE_WORD = re.compile(r"(?= \S)")
 
 
@@ -171,10 +172,7 @@ def replay(words: list[bytes], single: np.ndarray, merges: Merges) -> list[bytes
 def chunks(text: str) -> list[str]:
     """Parts which the pattern splits one by one as it splits the whole text: cut before each blank that is followed
     by something other than white space, where every match of the pattern ends."""
-    if BLANK_RUN.search(text):
-        return [part for part in BLANK_BEFORE_WORD.split(text) if part]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + part for part in rest]
+    return [part for part in BLANK_BEFORE_WORD.split(text) if part]
 
 
 class Encoder:
@@ -191,37 +189,69 @@ class Encoder:
 
     def _learn(self, fresh: list[str]) -> None:
         """Replay the distinct words of chunks not met before, block by block."""
-        split = {part: [p.encode() for p in self.split.findall(part)] for part in fresh}
-        ids: dict[bytes, bytes] = {}
+        words_of = [self.split.findall(part) for part in fresh]
+        ids: dict[str, bytes] = {}
         block, held = [], 0
-        for word in {w for words in split.values() for w in words}:
+
+        def flush():
+            ids.update(zip(block, replay([w.encode() for w in block], self.single, self.merges)))
+
+        for word in set().union(*words_of):
             block.append(word)
             held += len(word)
-            if held >= BLOCK_BYTES:
-                ids.update(zip(block, replay(block, self.single, self.merges)))
+            if held >= BLOCK_CHARS:
+                flush()
                 block, held = [], 0
         if block:
-            ids.update(zip(block, replay(block, self.single, self.merges)))
-        for part, words in split.items():
-            self.known[part] = b"".join(map(ids.__getitem__, words))
+            flush()
+        get = ids.__getitem__
+        self.known.update((part, get(words[0]) if len(words) == 1 else b"".join(map(get, words))) for part, words in zip(fresh, words_of))
         self.size += sum(map(len, fresh))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed as int32."""
-        cut = [chunks(text) for text in texts]
-        wanted = {part for parts in cut for part in parts}
-        fresh = [part for part in wanted if part not in self.known]
-        if self.size + sum(map(len, fresh)) > CACHE_BYTES:
-            self.known, self.size, fresh = {}, 0, list(wanted)
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of distinct chunks."""
+        fresh = [part for part in parts if part not in self.known]
+        if self.size + sum(map(len, fresh)) > CACHE_CHARS:
+            self.known, self.size, fresh = {}, 0, parts
         self._learn(fresh)
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-
-
-def lists(packed: list[bytes], dtype, kind: pa.DataType) -> pa.Array:
-    """A list array from packed numbers."""
-    values = np.frombuffer(b"".join(packed), dtype)
-    offsets = np.r_[0, np.cumsum([len(p) for p in packed], dtype=np.int64) // np.dtype(dtype).itemsize]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+        return list(map(self.known.__getitem__, parts))
+
+    def _plain(self, texts: pa.Array) -> pa.Array:
+        """Ids of texts in which no blank stands before white space: chunks are what lies between blanks."""
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
+        coded = parts.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # the first part of a text has no blank before it: a second code for it
+        firsts, place = np.unique(code[bounds[:-1]], return_inverse=True)
+        code = code.astype(np.int64)
+        code[bounds[:-1]] = len(names) + place
+        later = np.unique(code[code < len(names)])
+        packed = [b""] * (len(names) + len(firsts))
+        wanted = [(c, " " + names[c]) for c in later.tolist()] + [(len(names) + k, names[c]) for k, c in enumerate(firsts.tolist()) if names[c]]
+        for (c, _), ids in zip(wanted, self.ids_of([part for _, part in wanted])):
+            packed[c] = ids
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start, per_part = sizes.cumsum() - sizes, sizes[code]
+        before = np.r_[0, per_part.cumsum()]
+        at = np.arange(before[-1]) + np.repeat(start[code] - before[:-1], per_part)
+        return pa.ListArray.from_arrays(pa.array(before[bounds], pa.int32()), pa.array(ids[at]))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, BLANK_RUN).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._plain(texts)
+        rows = [self.ids_of(chunks(t)) for t in texts.filter(pa.array(odd)).to_pylist()]
+        bounds = np.r_[0, np.cumsum([sum(map(len, r)) for r in rows])] // 4
+        values = pa.array(np.frombuffer(b"".join(b"".join(r) for r in rows), np.int32))
+        both = pa.concat_arrays([self._plain(texts.filter(pa.array(~odd))), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)])
+        place = np.empty(len(odd), np.int64)
+        place[~odd] = np.arange((~odd).sum())
+        place[odd] = (~odd).sum() + np.arange(odd.sum())
+        return both.take(pa.array(place))
 
 
 def encode_with(path: str, pattern: str):
@@ -231,8 +261,8 @@ def encode_with(path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path, pattern)
         for texts in batches:
-            parts = [lists(encoder.encode([t or "" for t in part.to_pylist()]), np.int32, pa.int32()) for part in slices(texts)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(encoder.encode(part) for part in slices(texts))])
+            tidy()
 
     return encode
 
@@ -264,9 +294,11 @@ def round_trip_with(path: str, pattern: str):
         encoder, tokens = Encoder(path, pattern), {rank: token for token, rank in load_ranks(path).items()}
         empty = [pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())]
         for texts in batches:
-            ids = [empty[0]] + [lists(encoder.encode([t or "" for t in part.to_pylist()]), np.int32, pa.int32()) for part in slices(texts)]
-            back = [empty[1]] + [decoded(part, tokens) for part in ids[1:]]
+            ids = [empty[0], *(encoder.encode(part) for part in slices(texts))]
+            back = [empty[1], *(decoded(part, tokens) for part in ids[1:])]
             yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
+            del ids, back
+            tidy()
 
     return round_trip
 

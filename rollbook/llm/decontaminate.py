@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .frames import keep, slices
+from .frames import keep, slices, tidy
 
 WORDS = 5
 SLICE = 2 << 20  # bytes of text that are cut into shingles at a time
@@ -127,6 +127,7 @@ def shingles_with(keep_hash=None, wanted=None):
                         out[t].append({"hash": h, "shingle": row[2]})
                 parts.append(pa.array(out, pa.list_(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
+            tidy()
 
     return shingles
 

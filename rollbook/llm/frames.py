@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -63,3 +65,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
         last = max(first + 1, int(ends.searchsorted(before + limit, side="right")))
         yield texts.slice(first, last - first)
         first = last
+
+
+def tidy() -> None:
+    """Give freed memory back to the machine, so that waiting Python workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

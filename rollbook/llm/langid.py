@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import held_out, slices
+from .frames import held_out, slices, tidy
 
 SLICE = 1 << 20  # bytes of text that are turned into n-grams at a time
 PER_LANGUAGE = 1500  # texts of each language in the sample
@@ -155,6 +155,7 @@ def counted_subwords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 number, times = np.unique(piece, return_counts=True)
                 out.append((number.astype(np.int64) << 32) | np.minimum(times, (1 << 31) - 1))
         yield pa.array(out, pa.list_(pa.int64()))
+        tidy()
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -189,6 +190,7 @@ def predictor(model: LanguageModel):
                 langs += lang
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
+            tidy()
 
     return predict
 

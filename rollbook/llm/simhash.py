@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import keep
+from .frames import keep, tidy
 
 BITS = 64
 DISTANCE = 4
@@ -56,6 +56,7 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64)
         yield pa.array(values.view(np.int64))
+        tidy()
 
 
 def segments(count: int = DISTANCE + 1) -> list[tuple[int, int]]:

@@ -23,6 +23,7 @@ and read block by block.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import keep, new_folder, slices
+from .frames import keep, new_folder, slices, tidy
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
@@ -193,13 +194,39 @@ class RunEncoder:
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        # ids that end a word, if the model marks the ends of words
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool) if suffix else None
+        if suffix:
+            self.closing[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.end = b"" if end_id is None else end_id.to_bytes(width, "little")
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Learn the ids of pieces that are letters alone, joined by blanks and told apart by the ids that end a word.
+        Returns those of groups in which some piece is more than one word to the library."""
+        kind, width, left = f"<u{self.width}", self.width, []
+        for at in range(0, len(words), 1024):
+            part = words[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = ((np.flatnonzero(self.closing[ids]) + 1) * width).tolist()
+            if len(ends) != len(part):
+                left += part
+                continue
+            packed, start = ids.astype(kind).tobytes(), 0
+            for piece, end in zip(part, ends):
+                self.known[piece] = packed[start:end]
+                start = end
+        return left
+
     def _encode(self, pieces: list[bytes]) -> None:
         """Learn the ids of pieces. They are joined by an added token, at which the library cuts before all else."""
         encode, kind, width = self.tokenizer.encode, f"<u{self.width}", self.width
+        if self.closing is not None:
+            words = [p for p in pieces if p.isalpha() or (not p.isascii() and p.decode().isalpha())]
+            pieces = self._encode_words(words) + [p for p in pieces if p not in self.known]
+            pieces = list(dict.fromkeys(pieces))
         apart = pieces
         if self.special:
             joint, mark = next(iter(self.special.items()))
@@ -274,6 +301,7 @@ def encoder(path: str, end_id: int | None, width: int):
         for texts in batches:
             parts = [runs.encode(part) for part in slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+            tidy()
 
     return encode
 
@@ -291,6 +319,8 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = None, kind: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, "token-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # distinct runs grow slower than text: two input splits share what a task has learned
+    rows = rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // 2)))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], RANGE_ACCURACY)).first()[0] or []
     borders = F.lit(sorted(set(cuts))).cast("array<bigint>")
     # how many borders lie below the id: a binary search over at most as many borders as partitions

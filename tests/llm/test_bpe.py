@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -21,8 +22,9 @@ def test_ids_as_the_library(library):
     draw = random.Random(5)
     letters = " \n\t'slreabcdefghijklmnopqrstuvwxyzABCÉé.,!?0123-—\x1c\xa0 😀"
     texts = ODD + ["".join(draw.choice(letters) for _ in range(draw.randint(0, 80))) for _ in range(1500)]
-    for text, packed in zip(texts, bpe.Encoder(PATH, public_tokenizers.PATTERN).encode(texts)):
-        assert np.frombuffer(packed, np.int32).tolist() == library.encode_ordinary(text)
+    encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
+    for part in (texts, [t for t in texts if "  " not in t], ["", None, " ", "a"], []):
+        assert encoder.encode(pa.array(part, pa.string())).to_pylist() == [library.encode_ordinary(t or "") for t in part]
 
 
 def test_merges_that_give_rise_to_lower_ranks():
@@ -46,12 +48,12 @@ def test_merges_that_give_rise_to_lower_ranks():
 
 
 def test_cache_is_bounded(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 2000)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 300)
     encoder = bpe.Encoder(PATH, public_tokenizers.PATTERN)
     for k in range(20):
         texts = [f"text {k} number {i * k} goes here" for i in range(50)]
-        assert [np.frombuffer(p, np.int32).tolist() for p in encoder.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert encoder.encode(pa.array(texts)).to_pylist() == [library.encode_ordinary(t) for t in texts]
 
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
