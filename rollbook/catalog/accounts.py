@@ -249,8 +249,8 @@ def domain_mrr(t):
 )
 def left_join(t):
     users = t.b_user.select("user_id", F.col("domain_id").alias("main_domain"))
-    revenue = t.orders.groupBy(F.expr("if(o_custkey % 4 <> 0, o_custkey, -o_custkey)").alias("main_domain")).agg(F.count(F.lit(1)).alias("mrr_eur"))
-    items = t.orders.select(F.expr("if(o_custkey % 5 <> 0, o_custkey, -o_custkey)").alias("main_domain"), F.col("o_orderstatus").alias("items"))
+    revenue = t.orders.groupBy(F.expr("if(o_custkey % 4 <> 0, o_custkey, -o_custkey - 1)").alias("main_domain")).agg(F.count(F.lit(1)).alias("mrr_eur"))
+    items = t.orders.select(F.expr("if(o_custkey % 5 <> 0, o_custkey, -o_custkey - 1)").alias("main_domain"), F.col("o_orderstatus").alias("items"))
     rows = accounts.user_items(users, revenue, items)
     return rows.select("user_id", F.col("main_domain").alias("domain_id"), "mrr_eur", "items")
 

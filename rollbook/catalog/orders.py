@@ -76,7 +76,7 @@ DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id %
 )
 def enrich_orders(t):
     key, gross = F.col("contract_id"), F.col("customer_id") * 119 + 50
-    apart = F.when(key % 6 == 0, -key).otherwise(key)  # invoices of no order
+    apart = F.when(key % 6 == 0, -key - 1).otherwise(key)  # invoices of no order
     placed = contracts(t).select(
         key.alias("order_id"), "contract_id", "domain", F.when(F.col("status") != "canceled", "placed").otherwise("draft").alias("status"),
         F.when(key % 11 == 0, "7700").when(key % 11 == 1, "1200").alias("legacy_id"),
@@ -198,7 +198,7 @@ def returns(t):
         F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
     )
     live = t.orders.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("contract_id"))
-    names = t.part.select(F.expr("if(p_partkey % 10 <> 0, p_partkey, -p_partkey)").alias("product_id"), F.col("p_name").alias("product_name"))
+    names = t.part.select(F.expr("if(p_partkey % 10 <> 0, p_partkey, -p_partkey - 1)").alias("product_id"), F.col("p_name").alias("product_name"))
     return orders.returns_report(rows, live, names, "1998-09-01", "1998-09-30")
 
 

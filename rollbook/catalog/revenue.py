@@ -158,7 +158,7 @@ def current_mrr(t):
     return revenue.current_mrr(t.b_line, customers, AS_OF)
 
 
-DOMAIN_MAP = "SELECT CASE WHEN customer_id % 10 <> 0 THEN customer_id ELSE -customer_id END AS customer_id, domain_id FROM {b_customer}"
+DOMAIN_MAP = "SELECT CASE WHEN customer_id % 10 <> 0 THEN customer_id ELSE -customer_id - 1 END AS customer_id, domain_id FROM {b_customer}"
 DOMAIN_MAP_CTE = "domain_map AS (" + DOMAIN_MAP.replace("{b_customer}", "b_customer") + ")"
 CONFIG = """SELECT DISTINCT domain_id, domain_id % 3 = 0 AS has_admin, CASE WHEN domain_id % 4 <> 0 THEN domain_id % 4 = 1 END AS has_tracking,
     domain_id % 5 < 2 AS has_booking FROM {b_customer}"""
