@@ -31,6 +31,7 @@ from .frames import slices, tidy
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY = 24  # positions of a rank that are merged as arrays
 BLOCK_CHARS = 3 << 19  # characters of distinct words replayed together
+SLICE = 2 << 20  # bytes of text that are encoded at a time
 CACHE_CHARS = 4 << 20  # characters of the chunks whose ids a task keeps at hand
 BLANK_RUN = r" ([\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"  # a blank before white space or the end
 BLANK_BEFORE_WORD = re.compile(r"(?= \S)")
@@ -97,7 +98,8 @@ class PairIndex:
         runs, single = self.runs.pop(rank, []), self.positions.pop(rank, [])
         if sum(map(len, runs)) + len(single) < MANY:
             return rank, sorted({*single, *(x for run in runs for x in run.tolist())})
-        return rank, np.unique(np.concatenate([*runs, np.array(single, np.int64)]))
+        found = np.sort(np.concatenate([*runs, np.array(single, np.int64)]))
+        return rank, found[np.diff(found, prepend=-1) > 0]
 
 
 def replay(words: list[bytes], single: np.ndarray, merges: Merges) -> list[bytes]:
@@ -118,8 +120,7 @@ def replay(words: list[bytes], single: np.ndarray, merges: Merges) -> list[bytes
     def many(rank: int, at: np.ndarray) -> bool:
         """Merge at all positions at once; not if two of them overlap."""
         nxt = following[at]
-        at, nxt = at[(nxt >= 0) & (ids[at] >= 0)], nxt[(nxt >= 0) & (ids[at] >= 0)]
-        good = merges.look_up(ids[at], ids[nxt]) == rank
+        good = merges.look_up(ids[at], np.where(nxt >= 0, ids[nxt], -1)) == rank
         at, nxt = at[good], nxt[good]
         if (nxt[:-1] == at[1:]).any():
             return False
@@ -227,10 +228,12 @@ class Encoder:
         code = code.astype(np.int64)
         code[bounds[:-1]] = len(names) + place
         later = np.unique(code[code < len(names)])
-        packed = [b""] * (len(names) + len(firsts))
-        wanted = [(c, " " + names[c]) for c in later.tolist()] + [(len(names) + k, names[c]) for k, c in enumerate(firsts.tolist()) if names[c]]
-        for (c, _), ids in zip(wanted, self.ids_of([part for _, part in wanted])):
+        packed = [b""] * (len(names) + len(firsts))  # no ids for a text that begins with a blank
+        some = [k for k, c in enumerate(firsts.tolist()) if names[c]]
+        wanted = [" " + names[c] for c in later.tolist()] + [names[firsts[k]] for k in some]
+        for c, ids in zip([*later.tolist(), *(len(names) + k for k in some)], self.ids_of(wanted)):
             packed[c] = ids
+        del names, wanted
         ids = np.frombuffer(b"".join(packed), np.int32)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         start, per_part = sizes.cumsum() - sizes, sizes[code]
@@ -261,7 +264,7 @@ def encode_with(path: str, pattern: str):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path, pattern)
         for texts in batches:
-            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(encoder.encode(part) for part in slices(texts))])
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(encoder.encode(part) for part in slices(texts, SLICE))])
             tidy()
 
     return encode
@@ -294,11 +297,12 @@ def round_trip_with(path: str, pattern: str):
         encoder, tokens = Encoder(path, pattern), {rank: token for token, rank in load_ranks(path).items()}
         empty = [pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())]
         for texts in batches:
-            ids = [empty[0], *(encoder.encode(part) for part in slices(texts))]
+            ids = [empty[0], *(encoder.encode(part) for part in slices(texts, SLICE))]
             back = [empty[1], *(decoded(part, tokens) for part in ids[1:])]
-            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
+            out = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
             del ids, back
             tidy()
+            yield out
 
     return round_trip
 

@@ -16,7 +16,7 @@ from ..session import tune
 
 SLICE_BYTES = 4 << 20  # text that a Python worker expands at a time
 # Arrow batches small enough that several workers of an executor hold one each.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
