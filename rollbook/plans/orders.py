@@ -37,11 +37,14 @@ CONTACT_FIELDS = {
 }
 
 
-def contact_columns(column: str, prefix: str) -> list[Column]:
-    """Contact document as text columns, each cut to its length."""
-    return [
-        F.left(json_get(F.col(column), path), F.lit(size)).alias(f"{prefix}_{name}") for name, (path, size) in CONTACT_FIELDS.items()
-    ]
+def contact_columns(df: DataFrame, column: str, prefix: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the contact document as text columns, each cut to its length; a document is parsed once."""
+    top = [path for path, _ in CONTACT_FIELDS.values() if "." not in path]
+    inner = [path.removeprefix("address.") for path, _ in CONTACT_FIELDS.values() if "." in path]
+    schema = ", ".join(f"{name} string" for name in top) + f", address struct<{', '.join(f'{name}:string' for name in inner)}>"
+    parsed = df.select(*keep, F.from_json(column, schema).alias("__contact"))
+    fields = [F.left(F.col(f"__contact.{path}"), F.lit(size)).alias(f"{prefix}_{name}") for name, (path, size) in CONTACT_FIELDS.items()]
+    return parsed.select(*keep, *fields)
 
 
 def invoice_status() -> Column:
@@ -214,13 +217,13 @@ def returns_report(returns: DataFrame, contracts: DataFrame, products: DataFrame
 
 
 def ticket_ratings(tickets: DataFrame, column: str = "satisfaction_rating") -> DataFrame:
-    """Rating fields of tickets with a comment."""
-    doc = F.col(column)
-    rows = tickets.filter(json_get(doc, "comment").isNotNull())
-    return rows.select(
-        "ticket_id", json_get(doc, "id", "bigint").alias("rating_id"), F.left(json_get(doc, "score"), F.lit(16)).alias("score"),
-        F.left(json_get(doc, "comment"), F.lit(2048)).alias("comment"), F.left(json_get(doc, "reason"), F.lit(32)).alias("reason"),
-        json_get(doc, "created_at", "timestamp_ntz").alias("created_ts"),
+    """Rating fields of tickets with a comment; a document is parsed once."""
+    parsed = F.from_json(column, "id string, score string, comment string, reason string, created_at string").alias("__rating")
+    field = lambda name: F.col(f"__rating.{name}")
+    return tickets.select("ticket_id", parsed).filter(field("comment").isNotNull()).select(
+        "ticket_id", field("id").try_cast("bigint").alias("rating_id"), F.left(field("score"), F.lit(16)).alias("score"),
+        F.left(field("comment"), F.lit(2048)).alias("comment"), F.left(field("reason"), F.lit(32)).alias("reason"),
+        field("created_at").try_cast("timestamp_ntz").alias("created_ts"),
     )
 
 
