@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .frames import keep, slices, tidy
+from .frames import as_row, keep, slices, tidy
 
 WORDS = 5
 SLICE = 2 << 20  # bytes of text that are cut into shingles at a time
@@ -196,6 +196,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
 def without_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = search(docs, items, containment, doc_id=doc_id, text=text)
-    bad = keep(found.select(F.col("doc_id").alias("__held_id"), F.col("doc").alias("__held_doc")).distinct(), "contaminated")
-    same = F.col(doc_id).eqNullSafe(F.col("__held_id")) & (F.xxhash64(F.col(text)) == F.col("__held_doc"))
-    return docs.join(bad, same, "left_anti")
+    bad = keep(found.select("doc_id", "doc").distinct(), "contaminated")
+    own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
+    same = own_id.eqNullSafe(F.col("doc_id")) & (F.xxhash64(own_text) == F.col("doc"))
+    return as_row(docs).join(bad, same, "left_anti").select("row.*")

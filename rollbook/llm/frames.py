@@ -49,6 +49,11 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_row(docs: DataFrame) -> DataFrame:
+    """All columns in one struct ``row``: names of inner columns can't clash with those of the table."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -56,7 +56,8 @@ def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = np.ones(count, bool)
         for k in range(1, n - 1):
             whole &= ~blank[k : k + count]
-        whole &= ~(blank[:count] & blank[n - 1 : n - 1 + count])
+        if n == 2:
+            whole &= ~(blank[:count] & blank[1 : 1 + count])
         hashed = np.full(count, np.uint64(n))
         for k in range(n):
             hashed = (hashed ^ code[k : k + count]) * MIX

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import keep
+from .frames import as_row, keep
 
 # Fixed patterns of the base kinds, in their order.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -160,10 +160,12 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     """All rows and columns, with secret values in the text masked; a null text stays null."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(owner).alias("owner"), F.col(repo).alias("repo"))
     owned = owned_spans(keep(scan(rows), "scanned")).where(F.size("owned") > 0)
-    values = keep(owned.select(F.col("owned_id").alias("__owned_id"), F.col("owned_doc").alias("__owned_doc"), F.col("owned.value").alias("__values")), "owned")
-    same = F.col(doc_id).eqNullSafe(F.col("__owned_id")) & (F.xxhash64(F.col(text)) == F.col("__owned_doc"))
-    body = F.regexp_replace(F.col(text), ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]{%d,}" % MIN_ASSIGNED), f"$1={MASK}")
+    owned = keep(owned.select("owned_id", "owned_doc", F.col("owned.value").alias("found")), "owned")
+    own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
+    same = own_id.eqNullSafe(F.col("owned_id")) & (F.xxhash64(own_text) == F.col("owned_doc"))
+    body = F.regexp_replace(own_text, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]{%d,}" % MIN_ASSIGNED), f"$1={MASK}")
     for pattern in (ACCESS, HEX):
         body = F.regexp_replace(body, pattern, MASK)
-    masked = F.aggregate(F.coalesce("__values", F.array().cast("array<string>")), body, lambda t, v: F.replace(t, v, F.lit(MASK)))
-    return docs.join(values, same, "left").select(*[masked.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    masked = F.aggregate(F.coalesce("found", F.array().cast("array<string>")), body, lambda t, v: F.replace(t, v, F.lit(MASK)))
+    columns = [masked.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return as_row(docs).join(owned, same, "left").select(*columns)

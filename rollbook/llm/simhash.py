@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import keep, tidy
+from .frames import as_row, keep, tidy
 
 BITS = 64
 DISTANCE = 4
@@ -193,10 +193,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id (any one where none has an id), with all columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    printed = keep(docs.select(*columns, fingerprints(F.col(text)).alias("__fp")), "printed")
-    prints = keep(printed.select(F.col(doc_id).alias("doc_id"), F.col("__fp").alias("fp")), "fingerprints")
-    groups = components(prints).select(F.col("fp").alias("__of"), F.col("root").alias("__root"), F.col("component_id").alias("__first"))
+    own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
+    printed = keep(as_row(docs).select("row", fingerprints(own_text).alias("fp")), "printed")
+    prints = keep(printed.select(own_id.alias("doc_id"), "fp"), "fingerprints")
     # an id may occur in several fingerprints or rows of its group: the rows that carry the least id are few per group
-    first = printed.join(groups, F.col("__fp") == F.col("__of")).where(F.col(doc_id).eqNullSafe(F.col("__first")))
-    return first.dropDuplicates(["__root"]).select(*columns)
+    first = printed.join(components(prints), "fp").where(own_id.eqNullSafe(F.col("component_id")))
+    return first.dropDuplicates(["root"]).select("row.*")

@@ -3,7 +3,7 @@ import pytest
 from ..conftest import DATA
 
 ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, root long, score double, doc long, item string, owner string, __fp string"
-LONG = " ".join(f"word{i * i % 977}" for i in range(30_000))
+LONG = " ".join(f"word{i * i % 977}" for i in range(8_000))
 
 
 @pytest.fixture(scope="session")

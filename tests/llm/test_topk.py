@@ -6,8 +6,6 @@ from rollbook.llm import topk
 
 from ..conftest import DATA
 
-QUERY = F.col("vec_id") % 20 == 0
-
 
 def plain(rows, k, scale=64):
     used = []
@@ -23,7 +21,7 @@ def plain(rows, k, scale=64):
 
 
 def found(df, k=20, **more):
-    return sorted(tuple(r) for r in topk.top_k(df, QUERY, k=k, scale=64, **more).collect())
+    return sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=k, scale=64, **more).collect())
 
 
 def test_all_queries_against_all_rows(spark):
