@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day, shift_minutes, time_slice
+from ..functions.dates import day, shift_minutes
 
 
 def expand_to_days(df: DataFrame, start: str, end: str, low, high, name: str = "date_key", inclusive: bool = False) -> DataFrame:
@@ -24,6 +24,10 @@ def expand_to_months(df: DataFrame, start: str, end: str, low, high, name: str =
     return df.withColumn(name, F.explode(months))
 
 
+TIER = 32  # slices of a tier that make one slice of the next
+TIERS = 4  # days, some months, some years, some lifetimes
+
+
 def interval_join(
     facts: DataFrame,
     validity: DataFrame,
@@ -32,22 +36,32 @@ def interval_join(
     probe: Column,
     start: str = "valid_from",
     end: str = "valid_until",
-    unit: str = "day",
+    slice_seconds: int = 86_400,
 ) -> DataFrame:
     """Join facts to the validity intervals of the same key that contain the fact's ``probe`` time.
 
-    Both sides are cut into time slices: an interval is listed under every slice it touches, a fact
-    under the slice of its probe time, and the join is an equi join on (key, slice). ``condition`` is
-    checked inside a slice and must imply ``start <= probe <= end``. A key with very many readings and
-    facts is therefore spread over its slices instead of meeting itself in one task.
+    Time is cut into slices in tiers, each ``TIER`` times as wide as the one below. An interval is listed once under the
+    slices it touches of the tier that suits its length, so under ``TIER`` + 1 slices at most, but for those beyond the
+    last tier. A fact is listed under its slice of every tier, and the join is an equi join on (key, tier, slice).
+    ``condition`` is checked inside a slice and must imply ``start <= probe <= end``. A key with very many readings and
+    facts is spread over its slices instead of meeting itself in one task.
     """
-    first, last = time_slice(F.col(start), unit), time_slice(F.col(end), unit)
-    step = F.expr(f"INTERVAL 1 {unit}")
-    touched = F.when(first <= last, F.sequence(first, last, step))
-    left = facts.withColumn("__slice", time_slice(probe, unit))
-    right = validity.withColumn("__slice", F.explode(touched))
-    joined = left.join(right, [key, "__slice"])
-    return joined.filter(condition).drop("__slice")
+
+    def slice_of(time: Column, tier) -> Column:
+        seconds = F.unix_seconds(time.cast("timestamp"))
+        return F.floor(seconds / (F.lit(slice_seconds) * F.pow(F.lit(TIER), tier))).cast("bigint")
+
+    span = slice_of(F.col(end), F.lit(0)) - slice_of(F.col(start), F.lit(0))
+    tier = F.lit(TIERS - 1)
+    for t in reversed(range(TIERS - 1)):
+        tier = F.when(span < TIER ** (t + 1), t).otherwise(tier)
+    placed = validity.withColumn("__tier", tier)
+    first, last = slice_of(F.col(start), F.col("__tier")), slice_of(F.col(end), F.col("__tier"))
+    right = placed.withColumn("__slice", F.explode(F.when(first <= last, F.sequence(first, last))))
+    probes = F.array(*[F.struct(F.lit(t).alias("tier"), slice_of(probe, F.lit(t)).alias("slice")) for t in range(TIERS)])
+    left = facts.withColumn("__probe", F.explode(probes)).withColumns({"__tier": F.col("__probe.tier"), "__slice": F.col("__probe.slice")})
+    joined = left.drop("__probe").join(right, [key, "__tier", "__slice"])
+    return joined.filter(condition).drop("__tier", "__slice")
 
 
 def contains_with_tolerance(

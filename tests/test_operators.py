@@ -77,6 +77,19 @@ def test_interval_join_equals_nested_loop(spark):
     assert got == sorted((i, s) for k, t, i, _ in data for sk, a, b, s in spans if k == sk and a <= t < b)
 
 
+def test_long_intervals_are_listed_under_few_slices(spark):
+    """Ten years, one day and a century: at most a tier's slices each, and every fact finds what contains it."""
+    born = datetime(1990, 5, 17, 3, 30)
+    spans = [("a", born, born + timedelta(days=n), n) for n in (0, 1, 31, 32, 40, 900, 1100, 3652, 36_525)] + [("a", born, born - timedelta(days=3), -3), ("a", None, born, -1)]
+    validity = spark.createDataFrame(spans, "key string, valid_from timestamp_ntz, valid_until timestamp_ntz, span int")
+    times = [(i, "a", born + timedelta(days=i * 37 - 50, hours=i)) for i in range(400)]
+    facts = spark.createDataFrame(times, "id int, key string, ts timestamp_ntz")
+    inside = (F.col("ts") >= F.col("valid_from")) & (F.col("ts") < F.col("valid_until"))
+    joined = intervals.interval_join(facts, validity, "key", inside, F.col("ts"))
+    want = sorted((i, n) for i, _, t in times for _, a, b, n in spans if a and a <= t < b)
+    assert sorted((r["id"], r["span"]) for r in joined.collect()) == want
+
+
 def test_expand_to_days_total_length(rows):
     df = rows("id int, s date, e date", (1, date(2024, 1, 30), date(2024, 2, 2)), (2, date(2024, 1, 1), date(2024, 1, 1)), (3, date(2023, 1, 1), date(2025, 1, 1)))
     out = intervals.expand_to_days(df, "s", "e", "2024-01-01", "2024-02-01")
