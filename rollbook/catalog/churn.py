@@ -255,6 +255,22 @@ def class_report(t):
     return model.classification_report(rows, "quality", "guess")
 
 
+@register(
+    "q_class_report_summary",
+    """SELECT 'accuracy' AS "row", CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall, round(avg(CASE WHEN quality = guess THEN 1.0 ELSE 0.0 END), 4) AS f1, count(*) AS support FROM guesses
+    UNION ALL SELECT 'macro avg', round(avg(p), 4), round(avg(r), 4), round(avg(f), 4), CAST(sum(support) AS BIGINT) FROM rates
+    UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 4), round(sum(r * support) / sum(support), 4), round(sum(f * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM rates""",
+    extra="""guesses AS (SELECT l.quality, CASE WHEN d.n_chars > 500 THEN 1 ELSE 0 END AS guess FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+    rates AS (SELECT c, support, coalesce(hits / nullif(guessed, 0), 0) AS p, coalesce(hits / nullif(support, 0), 0) AS r, coalesce(2 * hits / nullif(guessed + support, 0), 0) AS f FROM
+      (SELECT c, CAST(count(*) FILTER (WHERE quality = c) AS DOUBLE) AS support, CAST(count(*) FILTER (WHERE guess = c) AS DOUBLE) AS guessed, CAST(count(*) FILTER (WHERE quality = c AND guess = c) AS DOUBLE) AS hits
+       FROM guesses, (SELECT quality AS c FROM guesses UNION SELECT guess FROM guesses) k GROUP BY c) s)""",
+)
+def class_report_summary(t):
+    guess = F.when(F.col("n_chars") > 500, 1).otherwise(0)
+    rows = t.labels.join(t.documents, "doc_id").select("quality", guess.alias("guess"))
+    return model.report_summary(rows, "quality", "guess")
+
+
 @register(
     "q_class_balance",
     "SELECT quality, count(*) AS rows, CAST((2 * count(*) * 10000 + sum(count(*)) OVER ()) // (2 * sum(count(*)) OVER ()) AS DOUBLE) / 10000 AS share FROM labels GROUP BY quality",

@@ -409,16 +409,29 @@ EXPORT = [
     ExportColumn("shipping_address[validation_status]", constant="not_validated"),
     ExportColumn("default_billing_cycles", "default_cycles"),
     ExportColumn("total_amount_raised"),
-    *[ExportColumn(f"subscription[{h}]") for h in ("setup_fee", "trial_start", "trial_end", "pause_date", "resume_date", "po_number")],
+    ExportColumn("subscription[setup_fee]"),
+    ExportColumn("subscription[trial_start]"),
+    ExportColumn("subscription[trial_end]"),
+    ExportColumn("subscription[pause_date]"),
+    ExportColumn("subscription[resume_date]"),
+    ExportColumn("subscription[po_number]"),
     ExportColumn("coupon_ids[1]"),
-    *[ExportColumn(f"subscription[{h}]") for h in ("payment_source_id", "invoice_notes", "meta_data")],
-    *[ExportColumn(f"contract_term[{h}]") for h in ("id", "total_amount_raised", "action_at_term_end")],
+    ExportColumn("subscription[payment_source_id]"),
+    ExportColumn("subscription[invoice_notes]"),
+    ExportColumn("subscription[meta_data]"),
+    ExportColumn("contract_term[id]"),
+    ExportColumn("contract_term[total_amount_raised]"),
+    ExportColumn("contract_term[action_at_term_end]"),
     ExportColumn("contract_term[cancellation_cutoff_period]", constant=CANCELLATION_CUTOFF),
-    *[ExportColumn(f"transaction[{h}]") for h in ("amount", "payment_method", "reference_number", "date")],
-    *[ExportColumn(f"subscription[cf_{h}]") for h in (
-        "cancelled_devices", "total_sent_devices_for_subscription", "total_received_devices_for_subscription",
-        "currently_held_devices_for_subscription", "to_be_returned_devices_for_subscription",
-    )],
+    ExportColumn("transaction[amount]"),
+    ExportColumn("transaction[payment_method]"),
+    ExportColumn("transaction[reference_number]"),
+    ExportColumn("transaction[date]"),
+    ExportColumn("subscription[cf_cancelled_devices]"),
+    ExportColumn("subscription[cf_total_sent_devices_for_subscription]"),
+    ExportColumn("subscription[cf_total_received_devices_for_subscription]"),
+    ExportColumn("subscription[cf_currently_held_devices_for_subscription]"),
+    ExportColumn("subscription[cf_to_be_returned_devices_for_subscription]"),
 ]
 
 

@@ -55,6 +55,30 @@ def classification_report(predicted: DataFrame, label: str, prediction: str) ->
     )
 
 
+def report_summary(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
+    """The last rows of a printed report: accuracy, and precision, recall and F1 averaged plainly and by support.
+
+    Classes that occur only as predictions count with support 0.
+    """
+    counts = predicted.groupBy(F.col(label).alias("y"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sides = counts.select(F.col("y").alias("class"), F.col("n").alias("support"), F.lit(0).alias("guessed"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hits"))
+    sides = sides.unionByName(counts.select(F.col("p").alias("class"), F.lit(0).alias("support"), F.col("n").alias("guessed"), F.lit(0).alias("hits")))
+    classes = sides.groupBy("class").agg(*[F.sum(c).alias(c) for c in ("support", "guessed", "hits")])
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+    hits, support, guessed = F.col("hits"), F.col("support"), F.col("guessed")
+    rates = classes.select(
+        "support", "hits", share(hits, guessed).alias("precision"), share(hits, support).alias("recall"), share(2 * hits, guessed + support).alias("f1")
+    )
+    names, total = ["precision", "recall", "f1"], F.sum("support")
+    plain = F.struct(F.lit("macro avg").alias("row"), *[F.avg(c).alias(c) for c in names], total.alias("support"))
+    weighted = F.struct(F.lit("weighted avg").alias("row"), *[share(F.sum(F.col(c) * support), total).alias(c) for c in names], total.alias("support"))
+    none = F.lit(None).cast("double")
+    right = F.struct(F.lit("accuracy").alias("row"), none.alias("precision"), none.alias("recall"), share(F.sum("hits"), total).alias("f1"), total.alias("support"))
+    rows = rates.agg(right.alias("a"), plain.alias("m"), weighted.alias("w"))
+    out = rows.select(F.explode(F.array("a", "m", "w")).alias("r")).select("r.*")
+    return out.withColumns({c: F.round(c, 4) for c in names})
+
+
 def accuracy(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
     hit = F.count_if(F.col(label) == F.col(prediction))
     return predicted.agg(ratio(hit, F.count(F.lit(1)), 4).alias("accuracy"))

@@ -54,6 +54,13 @@ def test_report_with_a_class_never_predicted(spark):
     assert got == {1: (0.5, 1.0, 0.6667, 2.0), 0: (0.0, 0.0, 0.0, 1.0), 2: (0.0, 0.0, 0.0, 1.0)}
 
 
+def test_summary_of_a_report(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (0, 1), (2, 1), (0, 3)], "y int, p int")
+    got = {r["row"]: tuple(r)[1:] for r in model.report_summary(df, "y", "p").collect()}
+    assert got == {"accuracy": (None, None, 0.4, 5), "macro avg": (0.125, 0.25, 0.1667, 5), "weighted avg": (0.2, 0.4, 0.2667, 5)}
+    assert {tuple(r)[1:] for r in model.report_summary(df.limit(0), "y", "p").collect()} == {(None, None, 0.0, None), (None, None, None, None), (0.0, 0.0, 0.0, None)}
+
+
 def test_cross_validation_scores_every_fold(spark):
     _, df = sample(spark)
     scores = model.cross_validate(df, "id", ["a", "b"], "y", folds=3).collect()
