@@ -21,13 +21,24 @@ def _unpivot(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame
     return row.select(F.explode(entries).alias("e")).select("e.*")
 
 
+def _stacked(df: DataFrame, columns: list[str], value) -> DataFrame:
+    """Rows (column, value) of the named columns, one below the other; ``value`` makes a column's values of one type."""
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("value")) for c in columns])
+    return df.select(F.explode(entries).alias("e")).select("e.*")
+
+
+def _names(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+
+
 def column_cardinality(df: DataFrame) -> DataFrame:
-    """Exact distinct values (NULL counted as one) per column, and the row count."""
-    rows, distinct = F.count(F.lit(1)), {}
-    for c in df.columns:
-        nulls = F.max(F.col(c).isNull().cast("int"))
-        distinct[c] = F.struct((F.count_distinct(c) + F.coalesce(nulls, F.lit(0))).alias("distinct_values"), rows.alias("rows"))
-    return _unpivot(df.agg(*[expr.alias(c) for c, expr in distinct.items()]), df.columns, ["distinct_values", "rows"])
+    """Exact distinct values (NULL counted as one) per column, and the row count: one scan, summed by each task first."""
+    kinds = dict(df.dtypes)
+    text = lambda c: (F.col(c) + 0 if kinds[c] in ("float", "double") else F.col(c)).cast("string")  # no negative zero
+    counts = _stacked(df, df.columns, text).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+    found = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_values"), F.sum("rows").alias("rows"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return _names(df, df.columns).join(F.broadcast(found), "column", "left").select("column", zero("distinct_values"), zero("rows"))
 
 
 def drop_uninformative(df: DataFrame) -> DataFrame:
@@ -94,27 +105,30 @@ def churn_share(df: DataFrame, churned: str, amount: str) -> DataFrame:
     )
 
 
-def _ranked_values(df: DataFrame, column: str) -> DataFrame:
-    """Distinct non-NULL values of a column with their rows, cut into slices of about equal size in ascending order.
+def _ranked_values(df: DataFrame, columns: list[str], kind: str | None = None) -> DataFrame:
+    """Distinct non-NULL values per column (column, value, rows), cut into slices of about equal size in ascending order.
 
     Candidates are drawn by hash, of each hash bucket the value with the least hash, so they lie as the values do,
-    whatever their type and however alike they begin; every fourth of them in ascending order is a border.
+    whatever their type and however alike they begin; every fourth of them in ascending order is a border. The columns
+    must have one type, or are cast to ``kind``.
     """
-    values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    value = lambda c: F.col(c).cast(kind) if kind else F.col(c)
+    stacked = _stacked(df, columns, value).filter(F.col("value").isNotNull())
+    values = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
     slices = max(LEAST_SLICES, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.xxhash64("value")
-    drawn = values.groupBy(F.pmod(place, F.lit(DRAWN * slices)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
-    borders = drawn.agg(F.filter(F.array_sort(F.collect_list("border")), lambda _, i: i % DRAWN == DRAWN - 1).alias("borders"))
+    drawn = values.groupBy("column", F.pmod(place, F.lit(DRAWN * slices)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
+    border = F.filter(F.array_sort(F.collect_list("border")), lambda _, i: i % DRAWN == DRAWN - 1)
+    borders = drawn.groupBy("column").agg(border.alias("borders"))  # one row per column
     below = F.size(F.filter("borders", lambda c: c <= F.col("value")))
-    return values.crossJoin(F.broadcast(borders)).select("value", "rows", below.alias("slice"))
+    return values.join(F.broadcast(borders), "column").select("column", "value", "rows", below.alias("slice"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """One row with the interpolated quantiles, computed from value counts without sorting into one task."""
-    values = _ranked_values(df, column)
-    upto = ordered(values, [], ["value"], F.col("slice"), running={"upto": "rows"})
-    total = values.agg(F.sum("rows").alias("n"))
-    rows = upto.crossJoin(F.broadcast(total))
+def _quantiles(df: DataFrame, columns: list[str], shares: list[float], kind: str | None = None) -> DataFrame:
+    """Interpolated quantiles q0, q1, .. per column that has a value, from value counts without a sort in one task."""
+    values = _ranked_values(df, columns, kind)
+    upto = ordered(values, ["column"], ["value"], F.col("slice"), running={"upto": "rows"})
+    rows = upto.join(F.broadcast(values.groupBy("column").agg(F.sum("rows").alias("n"))), "column")
     aggs, outs = [], []
     for i, q in enumerate(shares):
         at = (F.col("n") - 1) * F.lit(q)
@@ -122,21 +136,26 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
             aggs.append(F.min(F.when(F.col("upto") > index, F.col("value"))).alias(f"{side}{i}"))
         aggs.append(F.max(at - F.floor(at)).alias(f"w{i}"))
         outs.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias(f"q{i}"))
-    return rows.agg(*aggs).select(*outs)
+    return rows.groupBy("column").agg(*aggs).select("column", *outs)
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with the interpolated quantiles of a column, NULL without values."""
+    found = _names(df, [column]).join(F.broadcast(_quantiles(df, [column], shares)), "column", "left")
+    return found.drop("column")
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, standard deviation, minimum, exact quartiles and maximum per column."""
-    out = None
-    for c in columns:
-        col = F.col(c).cast("double")
-        basic = df.agg(
-            F.count(c).alias("count"), F.avg(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
-        )
-        quartiles = exact_quantiles(df.select(col.alias(c)), c, [0.25, 0.5, 0.75]).toDF("p25", "p50", "p75")
-        row = basic.crossJoin(F.broadcast(quartiles)).select(F.lit(c).alias("column"), "count", "mean", "std", "min", "p25", "p50", "p75", "max")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """count, mean, standard deviation, minimum, exact quartiles and maximum per column: two scans for all columns."""
+    col = lambda c: F.col(c).cast("double")
+    basic = {
+        c: F.struct(
+            F.count(c).alias("count"), F.avg(col(c)).alias("mean"), F.stddev(col(c)).alias("std"), F.min(col(c)).alias("min"), F.max(col(c)).alias("max")
+        ) for c in columns
+    }
+    rows = _unpivot(df.agg(*[expr.alias(c) for c, expr in basic.items()]), columns, ["count", "mean", "std", "min", "max"])
+    quartiles = _quantiles(df, columns, [0.25, 0.5, 0.75], "double").toDF("column", "p25", "p50", "p75")
+    return rows.join(F.broadcast(quartiles), "column", "left").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -163,14 +182,22 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by the rank of its value among the sorted distinct values, from 0; NULL ranks last."""
-    out = df
-    for c in columns:
-        ranked = ordered(_ranked_values(df, c), [], ["value"], F.col("slice"), position="code")
-        codes = ranked.select(F.col("value").alias(c), (F.col("code") - 1).alias("__code"))
-        size = ranked.agg(F.max("code").alias("__size"))
-        coded = out.join(codes, c, "left").crossJoin(F.broadcast(size))
-        out = coded.withColumn(c, F.coalesce("__code", "__size")).drop("__code", "__size")
+    """Replace each column by the rank of its value among the sorted distinct values, from 0; NULL ranks last.
+
+    Columns of one type are ranked together, in one scan.
+    """
+    kinds, out = dict(df.dtypes), df
+    for kind in dict.fromkeys(kinds[c] for c in columns):
+        same = [c for c in columns if kinds[c] == kind]
+        ranked = ordered(_ranked_values(df, same), ["column"], ["value"], F.col("slice"), position="code")
+        sizes = ranked.groupBy("column").agg(F.max("code").alias("size"))
+        size = sizes.agg(F.map_from_entries(F.collect_list(F.struct("column", "size"))).alias("__sizes"))  # one row
+        out = out.crossJoin(F.broadcast(size))
+        for c in same:
+            codes = ranked.filter(F.col("column") == c).select(F.col("value").alias(c), (F.col("code") - 1).alias("__code"))
+            last = F.coalesce(F.try_element_at("__sizes", F.lit(c)), F.lit(0))
+            out = out.join(codes, c, "left").withColumn(c, F.coalesce("__code", last)).drop("__code")
+        out = out.drop("__sizes")
     return out.select(*df.columns)
 
 

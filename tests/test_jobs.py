@@ -255,7 +255,7 @@ def test_uninformative_columns_are_dropped(rows):
 def test_label_slices_of_texts_that_begin_alike(spark):
     """No slice takes many values, however long their common start."""
     df = spark.range(100_000).selectExpr("concat('https://shop.example/customer/', lpad(id, 9, '0')) AS t")
-    ranked = features._ranked_values(df, "t")
+    ranked = features._ranked_values(df, ["t"])
     most = ranked.groupBy("slice").count().agg(F.max("count"), F.sum("count")).first()
     assert most[1] == 100_000 and most[0] <= 0.05 * 100_000
     borders = ranked.groupBy("slice").agg(F.min("value").alias("low"), F.max("value").alias("high")).orderBy("slice").collect()
@@ -316,3 +316,14 @@ def test_plans_without_a_number_leave_the_migration(rows):
     )
     got = migration.date_steps(base, date(2024, 9, 1)).collect()
     assert [r["subscription_id"] for r in got] == ["c_1"]
+
+
+def test_profiles_of_all_columns_in_few_scans(spark, rows):
+    df = rows("a int, b double, c string", (1, 0.0, "x"), (None, -0.0, "x"), (1, 2.5, None), (4, None, "y"))
+    assert {tuple(r) for r in features.column_cardinality(df).collect()} == {("a", 3, 4), ("b", 3, 4), ("c", 3, 4)}
+    assert {tuple(r) for r in features.column_cardinality(df.limit(0)).collect()} == {(c, 0, 0) for c in "abc"}
+    got = {r["column"]: tuple(r)[1:] for r in features.describe(df.withColumn("n", F.lit(None).cast("int")), ["a", "b", "n"]).collect()}
+    assert got["a"][0] == 3 and got["a"][3:] == (1.0, 1.0, 1.0, 2.5, 4.0) and got["n"] == (0, *[None] * 7)
+    for make in (lambda d: features.describe(d, ["x1", "x2", "x3", "x4"]), features.column_cardinality):
+        plan = make(spark.range(10).selectExpr("id AS x1", "id AS x2", "id * 2 AS x3", "id AS x4"))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Expand" not in plan
