@@ -306,6 +306,18 @@ def encoder(path: str, end_id: int | None, width: int):
     return encode
 
 
+def part_of(borders: np.ndarray):
+    """A column function: how many borders lie below an id (at most as many as partitions); 0 for null."""
+
+    @F.arrow_udf(T.IntegerType())
+    def part(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for ids in batches:
+            values = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy()
+            yield pa.array(np.searchsorted(borders, values).astype(np.int32))
+
+    return part
+
+
 # --- Spark ------------------------------------------------------------------------------------------------------------
 
 
@@ -322,9 +334,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = None, kind: str =
     # distinct runs grow slower than text: two input splits share what a task has learned
     rows = rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // 2)))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], RANGE_ACCURACY)).first()[0] or []
-    borders = F.lit(sorted(set(cuts))).cast("array<bigint>")
-    # how many borders lie below the id: a binary search over at most as many borders as partitions
-    part = F.coalesce(F.size(F.filter(borders, lambda b: b < F.col("doc_id"))), F.lit(0)).alias("part")
+    part = part_of(np.array(sorted(set(cuts)), np.int64))(F.col("doc_id")).alias("part")
     encoded = rows.select("doc_id", part, F.xxhash64("text").alias("tie"), encoder(path, end_id, width)(F.col("text")).alias("ids"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
