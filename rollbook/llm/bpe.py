@@ -32,7 +32,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY = 24  # positions of a rank that are merged as arrays
 BLOCK_CHARS = 3 << 19  # characters of distinct words replayed together
 SLICE = 2 << 20  # bytes of text that are encoded at a time
-CACHE_CHARS = 4 << 20  # characters of the chunks whose ids a task keeps at hand
+CACHE_CHARS = 3 << 20  # characters of the chunks whose ids a task keeps at hand
 BLANK_RUN = r" ([\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"  # a blank before white space or the end
 BLANK_BEFORE_WORD = re.compile(r"(?= \S)")
 
