@@ -41,7 +41,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 def subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every n-gram, text by text, and the number of n-grams of each text."""
     plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}]+", " ")
-    plain = pc.utf8_trim(plain, " ")
+    plain = pc.if_else(pc.match_substring_regex(plain, r"\p{L}"), pc.utf8_trim(plain, " "), "")  # marks alone are no text
     sizes = pc.utf8_length(plain).to_numpy().astype(np.int64)
     body = " ".join(["", *plain.to_pylist(), ""])
     code = np.frombuffer(body.encode("utf-32-le"), np.uint32).astype(np.uint64)
