@@ -18,6 +18,7 @@ from ..operators.filters import exclude_value
 from ..operators.items import explode_items
 from ..operators.joins import repair_key
 from ..operators.keyed import latest_per_key, rows_at_max
+from ..session import materialise
 from ..sources.export import ExportColumn, export_layout
 
 # Fixed values of the migration rules.
@@ -358,8 +359,8 @@ def migration_rows(
     contracts: DataFrame, customers: DataFrame, invoices: DataFrame, products: DataFrame, plan_map: DataFrame, internal_emails: str, as_of,
     rules: str = "grace30",
 ) -> DataFrame:
-    """The whole job up to the export columns."""
-    from_invoices = invoice_plans(invoices, customers, products, plan_map, internal_emails)
+    """The whole job up to the export columns. The plans of the invoices serve twice and are computed once."""
+    from_invoices = materialise(invoice_plans(invoices, customers, products, plan_map, internal_emails))
     from_contracts = contract_plans(contracts, customers, products, plan_map, internal_emails)
     subscriptions = unique_subscriptions(plan_quantities(from_invoices, from_contracts))
     base = subscription_base(subscriptions, contracts, customers, amount_to_percent(invoices))
