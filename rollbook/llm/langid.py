@@ -169,13 +169,16 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     part = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, per_language / counts[lang]) * (1 << 30)))])
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     drawn = usable.where(place < part[F.col("lang")]).groupBy(F.xxhash64("text").alias("h"), "lang").agg(F.min("text").alias("text"))
-    found = drawn.select("lang", (F.pmod("h", F.lit(5 << 30)) % 5 == 0).alias("aside"), counted_subwords(F.col("text")).alias("s")).toArrow()
-    found = found.sort_by([("lang", "ascending")])
-    place_of = {lang: i for i, lang in enumerate(languages)}
-    rows = [(np.array(s, np.int64), place_of[lang], aside) for s, lang, aside in zip(*(found[c].to_pylist() for c in ("s", "lang", "aside"))) if s]
-    rows.sort(key=lambda r: (r[1], r[0].tobytes()))  # the same order whatever the tasks' order
-    buckets, times = [r[0] >> 32 for r in rows], [(r[0] & 0xFFFFFFFF).astype(float) for r in rows]
-    return fit(buckets, times, np.array([r[1] for r in rows], int), np.array([r[2] for r in rows], bool), languages)
+    found = drawn.select("lang", "h", counted_subwords(F.col("text")).alias("s")).toArrow()
+    grams, hashed, place_of = found["s"].combine_chunks(), found["h"].to_numpy(), {lang: i for i, lang in enumerate(languages)}
+    bounds, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+    truth = np.array([place_of[lang] for lang in found["lang"].to_pylist()], int)
+    order = np.lexsort((hashed, truth))  # the same order whatever the tasks' order
+    order = order[np.diff(bounds)[order] > 0]
+    rows = [flat[bounds[i] : bounds[i + 1]] for i in order]
+    buckets, times = [(r >> 32).astype(np.int32) for r in rows], [(r & 0xFFFFFFFF).astype(np.float32) for r in rows]
+    del found, grams, flat, rows
+    return fit(buckets, times, truth[order], hashed[order] % 5 == 0, languages)
 
 
 def predictor(model: LanguageModel):
