@@ -31,8 +31,8 @@ from .frames import slices, tidy
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MANY = 24  # positions of a rank that are merged as arrays
 BLOCK_CHARS = 3 << 19  # characters of distinct words replayed together
-SLICE = 2 << 20  # bytes of text that are encoded at a time
-CACHE_CHARS = 3 << 20  # characters of the chunks whose ids a task keeps at hand
+SLICE = 4 << 20  # bytes of text that are encoded at a time: more need more memory, less more time
+CACHE_CHARS = 4 << 20  # characters of the chunks whose ids a task keeps at hand
 BLANK_RUN = r" ([\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"  # a blank before white space or the end
 BLANK_BEFORE_WORD = re.compile(r"(?= \S)")
 
@@ -257,15 +257,16 @@ class Encoder:
         return both.take(pa.array(place))
 
 
-def encode_with(path: str, pattern: str):
+def encode_with(path: str, pattern: str, slice_bytes: int = SLICE):
     """A column function: ids (array of int) of a text by the rank file at ``path``."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(path, pattern)
         for texts in batches:
-            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(encoder.encode(part) for part in slices(texts, SLICE))])
-            tidy()
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *(encoder.encode(part) for part in slices(texts, slice_bytes))])
+        del encoder
+        tidy()
 
     return encode
 
@@ -288,7 +289,7 @@ def decode_with(path: str):
     return decode
 
 
-def round_trip_with(path: str, pattern: str):
+def round_trip_with(path: str, pattern: str, slice_bytes: int = SLICE):
     """A column function: ids of a text and the bytes they decode to, by one Python worker instead of two."""
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
@@ -297,19 +298,18 @@ def round_trip_with(path: str, pattern: str):
         encoder, tokens = Encoder(path, pattern), {rank: token for token, rank in load_ranks(path).items()}
         empty = [pa.array([], pa.list_(pa.int32())), pa.array([], pa.binary())]
         for texts in batches:
-            ids = [empty[0], *(encoder.encode(part) for part in slices(texts, SLICE))]
+            ids = [empty[0], *(encoder.encode(part) for part in slices(texts, slice_bytes))]
             back = [empty[1], *(decoded(part, tokens) for part in ids[1:])]
-            out = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
-            del ids, back
-            tidy()
-            yield out
+            yield pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(back)], ["ids", "decoded"])
+        del encoder, tokens
+        tidy()
 
     return round_trip
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", slice_bytes: int = SLICE) -> DataFrame:
     """doc_id, ids and the bytes that the ids decode to, for every row."""
-    out = docs.select(F.col(doc_id).alias("doc_id"), round_trip_with(path, pattern)(F.col(text)).alias("r"))
+    out = docs.select(F.col(doc_id).alias("doc_id"), round_trip_with(path, pattern, slice_bytes)(F.col(text)).alias("r"))
     return out.select("doc_id", "r.ids", "r.decoded")
 
 

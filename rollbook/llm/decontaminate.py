@@ -127,7 +127,7 @@ def shingles_with(keep_hash=None, wanted=None):
                         out[t].append({"hash": h, "shingle": row[2]})
                 parts.append(pa.array(out, pa.list_(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
-            tidy()
+        tidy()
 
     return shingles
 

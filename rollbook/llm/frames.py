@@ -73,7 +73,7 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 
 def tidy() -> None:
-    """Give freed memory back to the machine, so that waiting Python workers stay small."""
+    """Give freed memory back to the machine at the end of a task, so that waiting Python workers stay small."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

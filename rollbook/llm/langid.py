@@ -156,7 +156,7 @@ def counted_subwords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
                 number, times = np.unique(piece, return_counts=True)
                 out.append((number.astype(np.int64) << 32) | np.minimum(times, (1 << 31) - 1))
         yield pa.array(out, pa.list_(pa.int64()))
-        tidy()
+    tidy()
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -194,7 +194,7 @@ def predictor(model: LanguageModel):
                 langs += lang
                 scores.append(score)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
-            tidy()
+        tidy()
 
     return predict
 

@@ -243,7 +243,7 @@ def feature_lists(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rows = [features_of(part) for part in slices(texts, SLICE)]
         flat = np.concatenate(rows) if rows else np.empty((0, len(NAMES)))
         yield pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * len(NAMES), pa.int32()), pa.array(flat.ravel()))
-        tidy()
+    tidy()
 
 
 def scorer(model: AdditiveModel):
@@ -254,7 +254,7 @@ def scorer(model: AdditiveModel):
         for texts in batches:
             rows = [model.score(features_of(part)) for part in slices(texts, SLICE)]
             yield pa.array(np.concatenate(rows) if rows else np.empty(0))
-            tidy()
+        tidy()
 
     return score
 

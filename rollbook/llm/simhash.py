@@ -56,7 +56,7 @@ def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64)
         yield pa.array(values.view(np.int64))
-        tidy()
+    tidy()
 
 
 def segments(count: int = DISTANCE + 1) -> list[tuple[int, int]]:

@@ -301,7 +301,7 @@ def encoder(path: str, end_id: int | None, width: int):
         for texts in batches:
             parts = [runs.encode(part) for part in slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
-            tidy()
+        tidy()
 
     return encode
 
