@@ -63,6 +63,26 @@ def test_templates_follow_the_labels(spark):
     assert 0.3 < found["fresh.com", "p/#"]["purity"] < 0.7
 
 
+def test_labels_below_a_variable_segment(spark):
+    """A telling segment keeps its branch below one or two variable ones, and a star in a url is no wildcard."""
+    rows = []
+    for i in range(60):
+        name = chr(97 + i % 26) + chr(97 + i // 26)
+        for kind, bad in (("spam", 1), ("news", 0)):
+            rows += [("one.com", f"/u/{name}/{kind}/{i}", bad if i < 40 else None), ("two.com", f"/{name}/x{name}/{kind}", bad)]
+        rows += [("star.com", "/*/b", 1), ("star.com", "/c/b", 0), ("star.com", "/d/b", 0)]
+    rows.append(("one.com", "/u/" + "s/" * 3000, None))
+    found = {(r["host"], r["shape"]): r for r in templates.template_purity(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+    assert len(found) == 2 * 120 + 3 + 1
+    for (host, shape), r in found.items():
+        kind = next((k for k in ("spam", "news") if k in shape), None)
+        if kind:
+            assert r["template"] == (f"/*/*/{kind}/*" if host == "one.com" else f"/*/*/{kind}")
+            assert r["purity"] > 0.7 if kind == "spam" else r["purity"] < 0.3
+    assert found["one.com", "u/" + "s/" * 3000]["template"] == "/*" * 3002
+    assert found["star.com", "*/b"]["template"] == "/*/*" and found["star.com", "c/b"]["template"] in ("/*/*", "/c/*")
+
+
 def test_purity_is_smoothed_towards_the_levels_above(spark):
     df = spark.createDataFrame([("a.x.com", "/p", 1), ("a.x.com", "/p", 1), ("b.x.com", "/q", 0), ("c.org", "/r", None)], "host string, path string, bad int")
     up = lambda bad, labelled, prior: (bad + 10 * prior) / (labelled + 10)
