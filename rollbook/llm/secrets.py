@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
-Fixed patterns give the base spans (assignments, access keys, hexadecimal runs). Beyond them, long mixed tokens are
-candidates. Whether one is a live credential shows in who holds it: candidate values are hashed and counted by distinct
-repositories and owners over the whole corpus. A value that many owners hold is a copied example; one that a single
-owner holds looks live, and its spans are added. Base spans stay whatever their owners; their reach is reported.
+Fixed patterns give the base spans (assignments, access keys, hexadecimal runs). Beyond them, long mixed tokens and keys
+with a known prefix are candidates. Whether one is a live credential shows in who holds it: candidate values are hashed
+and counted by distinct repositories and owners over the whole corpus. A value that many owners hold is a copied example;
+one that fewer hold looks live, and its spans are added. Base spans stay whatever their owners; their reach is reported.
 
 A pattern's places are found by splitting: the pieces between matches and the matches alternate, so running sums of
 their lengths are the offsets (in code points). Running sums go in two levels, so that a text with very many matches
@@ -32,8 +32,13 @@ KINDS = ("assign", "access", "hex", "owned")
 MIN_ASSIGNED = 8
 # Candidates of the method: tokens of 20 characters or more, and keys with a known prefix.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-MIXED = ("[0-9]", "[a-z]", "[A-Z]")
-MANY_OWNERS = 3  # a value of so many owners is an example
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")  # tokens hold all three; keys with a known prefix need not
+PREFIXES = (
+    "[sprw]k_(?:live|test)_", "whsec_", "gh[opsur]_", "github_pat_", "glpat-", "xox[abeoprs]-", "xapp-", "AIza", "ya29[.]", "npm_", "pypi-", "hf_", "dop_v1_",
+    "shp(?:at|ca|pa|ss)_", "SG[.]", "sk-", "ASIA",
+)
+KNOWN = f"(?<![A-Za-z0-9])(?:{'|'.join(PREFIXES)})(?=[A-Za-z_.-]*[0-9])[A-Za-z0-9_.-]{{8,}}(?<![.-])"  # with a digit, so no plain words
+MANY_OWNERS = 3  # a value of so many owners is an example, of fewer live
 BLOCK = 256
 MASK = "[SECRET]"
 
@@ -87,16 +92,26 @@ def spans_none() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
 
 
+def overlap(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def apart(spans: str, others: str) -> Column:
+    """The spans that overlap none of the others."""
+    return F.filter(spans, lambda c: ~F.exists(others, lambda b: overlap(b, c)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, doc (hash of the text), owner, repo, base (spans) and candidate (spans) of rows (doc_id, text, owner, repo)."""
     rows = docs.select("doc_id", "owner", "repo", F.xxhash64("text").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = with_spans(rows, {"assign": (ASSIGN, 0), "access": (ACCESS, 1), "hex": (HEX, 2), "mixed": (CANDIDATE, 3)})
+    found = with_spans(rows, {"assign": (ASSIGN, 0), "access": (ACCESS, 1), "hex": (HEX, 2), "mixed": (CANDIDATE, 3), "known": (KNOWN, 3)})
     assigned = F.transform("assign", lambda s: s.withField("value", F.regexp_extract(s["value"], ASSIGN, 2)))
     assigned = F.filter(assigned, lambda s: F.char_length(s["value"]) >= MIN_ASSIGNED)
     mixed = F.filter("mixed", lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2]))
-    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat(assigned, "access", "hex")).alias("base"), mixed.alias("mixed"))
-    apart = F.filter("mixed", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return based.select("doc_id", "owner", "repo", "doc", "base", apart.alias("candidate"))
+    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat(assigned, "access", "hex")).alias("base"), mixed.alias("mixed"), "known")
+    based = based.withColumn("mixed", apart("mixed", "base"))
+    based = based.withColumn("known", apart("known", "base")).withColumn("known", apart("known", "mixed"))
+    return based.select("doc_id", "owner", "repo", "doc", "base", F.concat("mixed", "known").alias("candidate"))
 
 
 def reach(scanned: DataFrame) -> DataFrame:
@@ -121,7 +136,7 @@ def owned_spans(scanned: DataFrame) -> DataFrame:
     held = scanned.select("doc_id", "doc", F.explode(F.concat("base", "candidate")).alias("s"))
     held = keep(held.select("doc_id", "doc", "s", F.sha2("s.value", 256).alias("value_hash")).distinct(), "held")
     judged = held.join(keep(reach(scanned), "reach"), "value_hash")
-    live, example = F.col("owners") == 1, F.col("owners") >= MANY_OWNERS
+    live, example = F.col("owners") < MANY_OWNERS, F.col("owners") >= MANY_OWNERS
     added = live & (F.col("s.kind") == F.lit(len(KINDS) - 1))
     return judged.groupBy(F.col("doc_id").alias("owned_id"), F.col("doc").alias("owned_doc")).agg(
         F.array_sort(F.collect_list(F.when(added, F.col("s")))).alias("owned"),  # the spans of one text
@@ -166,6 +181,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     body = F.regexp_replace(own_text, ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", "[A-Za-z0-9+/_.=-]{%d,}" % MIN_ASSIGNED), f"$1={MASK}")
     for pattern in (ACCESS, HEX):
         body = F.regexp_replace(body, pattern, MASK)
-    masked = F.aggregate(F.coalesce("found", F.array().cast("array<string>")), body, lambda t, v: F.replace(t, v, F.lit(MASK)))
+    # longer values first: a shorter one may be a part of them
+    found = F.transform(F.array_sort(F.transform("found", lambda v: F.struct((-F.char_length(v)).alias("size"), v.alias("v")))), lambda s: s["v"])
+    masked = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), body, lambda t, v: F.replace(t, v, F.lit(MASK)))
     columns = [masked.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
     return as_row(docs).join(owned, same, "left").select(*columns)

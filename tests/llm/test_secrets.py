@@ -59,3 +59,20 @@ def test_masked_texts_hold_no_secret(spark, odd):
     for r in masked:
         assert not [s for s in base_of(r["text"]) if not s.startswith("assign")] and "QQQQQQQQ" not in r["text"]
     assert secrets.redact(odd).count() == odd.count()
+
+
+def test_known_prefixes_and_values_of_two_owners(spark):
+    """Keys with a known prefix need no capitals and no 20 characters; a value of two owners is live like one of one."""
+    key, short, token, copied = "sk_live_4eqh9abcd01xyz22", "hf_a1b2c3d4e5", "Zyxwvutsrqpo9876543210", "ghp_0a1b2c3d4e5f6g7h8i9j"
+    rows = [
+        (1, f"pay {key}, {short}", "o1"), (2, f"{short}9 and {short}", "o1"), (3, f"key {token}!", "o1"), (4, f"key {token}!", "o2"), (5, "task-0123456789 sk_live_ task sk-learn-pipelines hf_abcdefghij", "o1"),
+        (6, f"token={key}", "o1"), (7, "AKIA" + "A1" * 6 + " sk-Abc0123456789defghijk", "o1"),
+    ] + [(10 + i, f"see {copied}", f"o{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["spans"], r["n_live"], r["n_example"]) for r in secrets.digests(secrets.find_secrets(df)).collect()}
+    assert got == {
+        1: ("owned:4:28,owned:30:43", 2, 0), 2: ("owned:0:14,owned:19:32", 2, 0), 3: ("owned:4:26", 1, 0), 4: ("owned:4:26", 1, 0), 5: ("", 0, 0),
+        6: ("assign:0:30", 1, 0), 7: ("access:0:16,owned:17:41", 2, 0), 10: ("", 0, 1), 11: ("", 0, 1), 12: ("", 0, 1),
+    }
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert masked[1] == "pay [SECRET], [SECRET]" and masked[2] == "[SECRET] and [SECRET]" and masked[4] == "key [SECRET]!" and masked[10] == f"see {copied}"
