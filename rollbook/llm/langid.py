@@ -162,7 +162,8 @@ def counted_subwords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fit on about ``per_language`` texts of each language that are not held out. docs: doc_id, text, lang."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per language
+    texts = usable.select("lang", F.xxhash64("text").alias("h")).distinct()  # copies are drawn together, so they count once
+    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # one row per language
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1))
@@ -178,7 +179,9 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     rows = [flat[bounds[i] : bounds[i + 1]] for i in order]
     buckets, times = [(r >> 32).astype(np.int32) for r in rows], [(r & 0xFFFFFFFF).astype(np.float32) for r in rows]
     del found, grams, flat, rows
-    return fit(buckets, times, truth[order], hashed[order] % 5 == 0, languages)
+    aside, truth = hashed[order] % 5 == 0, truth[order]
+    aside &= np.bincount(truth[~aside], minlength=len(languages))[truth] > 0  # a language with no other text is trained on them
+    return fit(buckets, times, truth, aside, languages)
 
 
 def predictor(model: LanguageModel):

@@ -41,3 +41,12 @@ def test_odd_rows_and_empty_tables(docs, odd, none):
 def test_fit_is_the_same_again(docs):
     one, two = langid.learn(docs, per_language=20), langid.learn(docs, per_language=20)
     assert np.array_equal(one.vectors, two.vectors) and one.least == two.least
+
+
+def test_copies_do_not_thin_out_the_sample(spark, monkeypatch):
+    """Languages of one text in very many copies are drawn and trained on, whatever the texts' hashes."""
+    rows = [(None, f"text of language {chr(97 + i)}", f"l{i:02d}") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").crossJoin(spark.range(200).select())
+    monkeypatch.setattr(langid, "fit", lambda *sample: sample)
+    _, _, truth, aside, languages = langid.learn(df, per_language=20)
+    assert len(languages) == 24 and truth.tolist() == list(range(24)) and not aside.any()
