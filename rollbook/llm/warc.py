@@ -174,11 +174,14 @@ def records(source, start: int, end: int, size: int, compressed: bool, tests: li
         if wanted(fields, tests):
             row = {c: fields.get(name.lower()) for c, name in FIELDS.items()}
             http = fields.get("content-type", "").startswith("application/http")
-            need = length if payload else min(length, 1 << 13)
-            parts, held = [rest], len(rest)
-            while held < need and (part := one.more(min(need - held, 1 << 20))):
+            parts, held, last = [rest], len(rest), rest
+            while held < length and (payload or http and b"\r\n\r\n" not in last):  # without payload up to the header's end
+                part = one.more(min(length - held, 1 << 20 if payload else 1 << 13))
+                if not part:
+                    break
                 parts.append(part)
                 held += len(part)
+                last = b"" if payload else last[-3:] + part
             block = b"".join(parts)[:length]
             head, mark, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
             stated = parsed(head).get("content-length") if http else None

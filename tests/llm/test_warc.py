@@ -92,3 +92,22 @@ def test_unwanted_payloads_are_not_inflated(stated):
     read = list(warc.records(io.BytesIO(plain), 0, len(plain), len(plain), False, [], True))
     assert [f["payload"] for f in read] == [r["payload"] if r["record_type"] == "response" else b"" for r in rows]
     assert {f["payload_bytes"] for f in read} == {400_000}
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_long_http_headers_are_read_to_their_end(compressed):
+    """Without the payload column the length of a payload is the same, wherever the header's blank line falls."""
+    def piece(http, body):
+        block = http + b"\r\n\r\n" + body
+        head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: %d\r\n\r\n" % len(block)
+        return head + block + b"\r\n\r\n"
+
+    pieces, want = [], []
+    for size in (100, 20_000, *range(8_000, 8_200)):
+        start = b"HTTP/1.1 200 OK\r\nSet-Cookie: " + b"c" * size
+        pieces += [piece(start, b"b" * 30_000), piece(start + b"\r\nContent-Length: 777", b"b" * 5)]
+        want += [30_000, 777]
+    data = b"".join(map(gzip.compress, pieces) if compressed else pieces)
+    for payload in (False, True):
+        found = list(warc.records(io.BytesIO(data), 0, len(data), len(data), compressed, [], payload))
+        assert [f["payload_bytes"] for f in found] == want
