@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, secrets, simhash, templates, tokenfile, topk, warc
+from . import bpe, codes, decontaminate, langid, periods, quality, secrets, simhash, spans, templates, tokenfile, topk, warc
 from .frames import held_out, prepare, table
+from .oracles import ORACLES as ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -103,3 +103,21 @@ def op9_secrets(spark, root):
 def op10_top_k(spark, root):
     """The 20 best inner products of every twentieth vector against all."""
     return topk.top_k(table(spark, root, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+@register
+def op11_vector_codes(spark, root):
+    """Product codes of every vector, their errors, and the errors' sum per label."""
+    return codes.with_label_errors(codes.compress(table(spark, root, "embeddings", "vec_id", "embedding", "label"), "label"))
+
+
+@register
+def op12_periodic_runs(spark, root):
+    """Periodic runs of words in every document, a tenth of which repeat a stretch of themselves."""
+    return periods.digests(periods.find_runs(periods.planted(table(spark, root, "documents", "doc_id", "text"))))
+
+
+@register
+def op13_repeated_spans(spark, root):
+    """Every document without the words of windows that occur more than once."""
+    return spans.digests(spans.without_repeats(table(spark, root, "documents", "doc_id", "text")))
