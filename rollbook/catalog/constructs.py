@@ -602,8 +602,8 @@ def window_filter(t):
 )
 def running_sum(t):
     slices = dates.time_slice(F.col("trip_start_ts"))
-    out = ordered.ordered(t.b_trip, ["car_id"], ["trip_start_ts"], slices, running={"rolling_m": "distance_m"})
-    return out.select("trip_id", "car_id", "rolling_m")
+    cut = t.b_trip.select("trip_id", "car_id", "trip_start_ts", "distance_m")
+    return ordered.ordered(cut, ["car_id"], ["trip_start_ts"], slices, running={"rolling_m": "distance_m"}).select("trip_id", "car_id", "rolling_m")
 
 
 @register(

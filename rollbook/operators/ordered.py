@@ -1,18 +1,39 @@
 """Ordered windows over keys of any size.
 
 A window with ORDER BY puts all rows of a key into one task. Here each key is cut into slices by a
-monotone function of its order column (for example the day). The window runs per (key, slice); what
-crosses a slice border - the first and last row, the sum, the row count - comes from one aggregated
-row per (key, slice). Those rows are few: their number per key is bounded by the calendar.
+monotone function of its order column (for example the day), and the rows are exchanged once, by
+(key, slice). The window runs there; what crosses a slice border - the first and last row, the sum, the
+row count - is read off the last row of each slice in the same exchanged and sorted rows. Those border rows are
+few (the calendar bounds their number per key) and go back to the slices by a join on the exchanged key.
+
+Border rows carry all columns of their row, so that both readers of the exchange want the same columns and
+Spark plans it once. A caller should pass only the columns it needs: if columns are dropped later, the
+optimizer narrows one reader, and the input is read twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.dates import time_slice
-from .keyed import join_null_safe
+
+
+def _sliced(df: DataFrame, keys: list[str], slice_by: Column, order: list[str]) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """Rows with ``__k``, the key columns and the slice in one struct (NULL keys are equal inside it); the window inside
+    a slice and the window over the slices of a key.
+
+    Inside a slice the keys are constant. They are named in its order all the same, so that both readers of the
+    exchange want them, and conditions on them (pushed below a window only if it is partitioned by them) stay above.
+    """
+    cut = df.withColumn("__k", F.struct(*[F.col(k) for k in keys], slice_by.alias("__s")))
+    return cut, Window.partitionBy("__k").orderBy(*keys, *order), Window.partitionBy(*keys).orderBy("__k")
+
+
+def _slice_ends(rows: DataFrame, df: DataFrame, keys: list[str], local: WindowSpec, *columns: str) -> DataFrame:
+    """The last row of each slice, whole."""
+    last = rows.withColumn("__after", F.lead(F.lit(1)).over(local)).filter("__after IS NULL")
+    return last.select("__k", *keys, F.struct(*[F.col(c) for c in df.columns]).alias("__whole"), *columns)
 
 
 def ordered(
@@ -31,43 +52,39 @@ def ordered(
     decrease along ``order``; rows equal in ``order`` must share a slice. Order ascending, NULL first.
     """
     lead, lag, running = lead or {}, lag or {}, running or {}
-    cut = df.withColumn("__s", slice_by)
-    local = Window.partitionBy(*keys, "__s").orderBy(*order)
-    between = Window.partitionBy(*keys).orderBy("__s") if keys else Window.orderBy("__s")
+    cut, local, between = _sliced(df, keys, slice_by, order)
     before = between.rowsBetween(Window.unboundedPreceding, -1)
 
-    columns, edges, borders = [], [], []
+    columns, borders = [], [F.lag("__whole").over(between).isNull().alias("__opens"), F.lead("__whole").over(between).isNull().alias("__closes")]
     if lead:
         source = F.struct(*[F.col(c).alias(o) for o, c in lead.items()])
-        columns.append(F.lead(source).over(local).alias("__next"))
-        edges.append(F.min_by(source, F.struct(*order)).alias("__head"))
+        columns += [F.lead(source).over(local).alias("__next"), F.first(source).over(local).alias("__head")]
         borders.append(F.lead("__head").over(between).alias("__next_head"))
     if lag:
         source = F.struct(*[F.col(c).alias(o) for o, c in lag.items()])
-        columns.append(F.lag(source).over(local).alias("__prev"))
-        edges.append(F.max_by(source, F.struct(*order)).alias("__tail"))
+        columns += [F.lag(source).over(local).alias("__prev"), F.first(source).over(local.rowsBetween(0, 0)).alias("__tail")]
         borders.append(F.lag("__tail").over(between).alias("__prev_tail"))
     for out, column in running.items():
         columns.append(F.sum(column).over(local).alias(f"__run_{out}"))
-        edges.append(F.sum(column).alias(f"__sum_{out}"))
-        borders.append(F.sum(f"__sum_{out}").over(before).alias(f"__base_{out}"))
+        borders.append(F.sum(f"__run_{out}").over(before).alias(f"__base_{out}"))
     if position:
         columns.append(F.row_number().over(local).alias("__pos"))
-        edges.append(F.count(F.lit(1)).alias("__cnt"))
-        borders.append(F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__base"))
+        borders.append(F.sum("__pos").over(before).alias("__base"))
 
-    inner = cut.select("*", *columns)
-    steps = cut.groupBy(*keys, "__s").agg(*edges).select(*keys, "__s", *borders)
-    joined = join_null_safe(inner, steps, [*keys, "__s"])
+    rows = cut.select("*", *columns)
+    carried = ["__head"] * bool(lead) + ["__tail"] * bool(lag) + [f"__run_{o}" for o in running] + ["__pos"] * bool(position)
+    steps = _slice_ends(rows, df, keys, local, *carried).select(F.col("__k").alias("__of"), *borders)
+    joined = rows.join(steps, F.col("__k") == F.col("__of"), "left")
 
+    opens, closes = F.col("__opens"), F.col("__closes")
     out = [F.col(c) for c in df.columns if c not in {*lead, *lag, *running, position}]
-    out += [F.coalesce("__next", "__next_head")[o].alias(o) for o in lead]
-    out += [F.coalesce("__prev", "__prev_tail")[o].alias(o) for o in lag]
+    out += [F.coalesce("__next", F.when(~closes, F.col("__next_head")))[o].alias(o) for o in lead]
+    out += [F.coalesce("__prev", F.when(~opens, F.col("__prev_tail")))[o].alias(o) for o in lag]
     for name in running:
-        local_sum, base = F.col(f"__run_{name}"), F.col(f"__base_{name}")
+        local_sum, base = F.col(f"__run_{name}"), F.when(~opens, F.col(f"__base_{name}"))
         out.append(F.coalesce(local_sum + base, local_sum, base).alias(name))
     if position:
-        out.append((F.col("__pos") + F.col("__base")).alias(position))
+        out.append((F.col("__pos") + F.when(opens, 0).otherwise(F.col("__base"))).alias(position))
     return joined.select(*out)
 
 
@@ -88,20 +105,25 @@ def latest_before(
     Facts and points are merged in time order, and the last point seen is carried forward - inside a time
     slice by a window, from earlier slices by one row per (key, slice). Linear in both inputs.
     """
-    own = [c for c in points.columns if c not in keys]
-    fact, point = F.struct(*[F.col(c) for c in facts.columns]), F.struct(*own)
+    own, given = ([c for c in df.columns if c not in keys] for df in (points, facts))
+    # in an array, as the optimizer would take single fields out of a struct for one reader of the exchange only
+    fact, point = F.array(F.struct(*given)), F.struct(*own)
     merged = facts.select(*keys, fact.alias("__fact"), fact_ts.alias("__ts"), F.lit(1).alias("__kind")).unionByName(
         points.select(*keys, point.alias("__point"), F.col(point_ts).alias("__ts"), F.lit(0).alias("__kind"), F.struct(*tie).alias("__tie")),
         allowMissingColumns=True,
-    ).withColumn("__s", time_slice(F.col("__ts"), unit))
-    so_far = Window.partitionBy(*keys, "__s").orderBy("__ts", "__kind", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max_by("__point", F.when(F.col("__kind") == 0, F.struct("__ts", "__tie")))
-    tails = merged.groupBy(*keys, "__s").agg(newest.alias("__tail"))
-    carried = tails.select(*keys, "__s", F.last("__tail", ignorenulls=True).over(earlier).alias("__carried"))
-    seen = merged.withColumn("__seen", F.last("__point", ignorenulls=True).over(so_far)).filter("__kind = 1")
-    joined = join_null_safe(seen.select(*keys, "__s", "__fact", "__seen"), carried, [*keys, "__s"])
-    return joined.select("__fact.*", F.coalesce("__seen", "__carried").alias("__p")).select(*facts.columns, "__p.*")
+    )
+    cut, local, between = _sliced(merged, keys, time_slice(F.col("__ts"), unit), ["__ts", "__kind", "__tie"])
+    earlier = between.rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last("__point", ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut.withColumn("__seen", seen)
+    steps = _slice_ends(rows, merged, keys, local, "__seen").select(
+        F.col("__k").alias("__of"), F.lag("__whole").over(between).isNull().alias("__opens"),
+        F.last("__seen", ignorenulls=True).over(earlier).alias("__carried"),
+    )
+    joined = rows.join(steps, F.col("__k") == F.col("__of"), "left").filter("__kind = 1")
+    found = F.coalesce("__seen", F.when(~F.col("__opens"), F.col("__carried")))
+    whole = joined.select(*keys, F.element_at("__fact", 1).alias("__f"), found.alias("__p"))
+    return whole.select(*[F.col(c if c in keys else f"__f.{c}") for c in facts.columns], "__p.*")
 
 
 def crossing_time(

@@ -39,7 +39,10 @@ def odometer_logbook(
 ) -> DataFrame:
     """Odometer at departure and arrival of each trip: the reading plus the distance driven since it."""
     rows = trips_with_reading(readings, trips, as_of, tolerance_minutes, unit)
-    rows = rows.withColumn("driven_m", F.col("distance_m") + F.col("adjustment_m"))
+    rows = rows.select(
+        "car_id", "reading_id", "odometer_km", "trip_id", "trip_start_ts", "trip_end_ts", "category", "distance_m", "start_address", "end_address",
+        (F.col("distance_m") + F.col("adjustment_m")).alias("driven_m"),
+    )
     rows = ordered(
         rows, ["car_id", "reading_id"], ["trip_start_ts", "trip_id"], time_slice(F.col("trip_start_ts"), unit),
         running={"rolling_m": "driven_m"}, position="trips_since_reading",
@@ -60,6 +63,7 @@ def odometer_logbook(
 def odometer_join_audit(readings: DataFrame, trips: DataFrame, as_of, tolerance_minutes: int = 3, unit: str = "hour") -> DataFrame:
     """Trips starting inside an interval (both ends included) that fail the start test or the end test."""
     start, end = F.col("trip_start_ts"), F.col("trip_end_ts")
+    trips = trips.select("trip_id", "car_id", "trip_start_ts", "trip_end_ts")
     intervals = reading_intervals(readings, as_of, unit)
     # one interval at most goes on past the start; any others end exactly at it
     running = latest_before(trips, intervals, ["car_id"], start, "valid_from", ["reading_id"], unit).filter(F.col("valid_until") > start)

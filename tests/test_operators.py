@@ -10,6 +10,8 @@ from rollbook.functions.dates import time_slice
 from rollbook.operators import aggregates as agg
 from rollbook.operators import filters, intervals, joins, keyed, ordered, sets, snapshots
 
+from .conftest import DATA
+
 T0 = datetime(2024, 1, 1)
 
 
@@ -66,6 +68,25 @@ def test_latest_before_equals_search(spark):
     assert got == want
 
 
+def scans(df):
+    """File scans that really ran, exchanges that were reused left out."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_sliced_windows_read_their_input_once(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", "ts", "value")
+    slices = time_slice(F.col("ts"))
+    for more in ({"lead": {"next": "value"}}, {"lag": {"prev": "value"}}, {"running": {"total": "value"}}, {"position": "n"}):
+        out = ordered.ordered(events, ["user_id"], ["ts", "event_id"], slices, **more)
+        assert scans(out) == 1, more
+        assert scans(out.drop("user_id").filter("event_id > 10")) == 1, more
+    nested = ordered.ordered(ordered.ordered(events, ["user_id"], ["ts"], slices, running={"a": "value"}), ["user_id"], ["ts"], slices, running={"b": "a"})
+    assert scans(nested) == 1
+    points = spark.read.parquet(f"{DATA}/events.parquet").filter("event_type = 'view'").select("user_id", F.col("ts").alias("since"), F.col("event_id").alias("point"))
+    assert scans(ordered.latest_before(events, points, ["user_id"], F.col("ts"), "since", ["point"]).select("event_id", "point")) == 2
+
+
 def test_interval_join_equals_nested_loop(spark):
     data, facts = skewed(spark, n=400)
     spans, _ = skewed(spark, n=120, seed=5)

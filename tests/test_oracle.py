@@ -1,13 +1,13 @@
-"""Every registered query against its oracle SQL in DuckDB."""
+"""Every registered query of the catalog against its oracle SQL in DuckDB."""
 
 import pytest
 
 import __spark_entry__ as entry
 import check
+from rollbook import catalog
 
 from .conftest import DATA
 
-ORACLES = entry.oracle_sql()
 MODELS = {"q_logistic", "q_cross_validate"}
 
 
@@ -16,14 +16,19 @@ def duck():
     return check.connect(DATA)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in MODELS])
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_matches_oracle(spark, duck, name):
-    outcome = check.compare(spark, duck, DATA, name, entry.queries()[name], ORACLES[name])
+    outcome = check.compare(spark, duck, DATA, name, catalog.QUERIES[name], catalog.ORACLES[name])
     assert outcome.startswith("ok"), outcome
 
 
 def test_every_query_but_the_models_has_an_oracle():
-    assert set(entry.queries()) - set(ORACLES) == MODELS
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == MODELS
+
+
+def test_entry_registers_the_catalog():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
