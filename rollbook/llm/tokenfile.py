@@ -12,8 +12,9 @@ Documents are encoded where they are read and dealt by ranges of the id, whose b
 the files follow each other in ascending order whatever their number. A file is written under a name of its own attempt
 and only then listed, so a task that runs twice leaves nothing half-written in use. Files go to the shared folder.
 
-Encoding: the library gets each distinct run between ASCII white space once per task; normalisation, added tokens and
-the split pattern never look across white space, so the ids are those of the whole text.
+Encoding: the library gets each distinct run between ASCII white space once per task. That needs a tokenizer file whose
+normaliser, added tokens and split pattern never look across white space (``LAYOUT``); then the ids are those of the
+whole text. With any other file, whole texts are encoded.
 
 Defined results: a null text counts as empty and has just the end id. Rows without an id come first. Rows of equal id
 follow each other, by text hash. An empty table gives no file and no rows. Other columns are ignored. A very long text is written
@@ -28,6 +29,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +48,15 @@ BLOCK_IDS = 1 << 16
 CACHE_BYTES = 12 << 20  # runs whose ids a task keeps at hand
 LEVEL = 3
 RANGE_ACCURACY = 100_000
+# The normaliser and cutting pattern (of word_bpe_49k.json) that never look across white space.
+LAYOUT = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+MARKED = re.compile(r"\S*<\S*")  # added tokens that a run holds whole, and only runs with this sign
 HEAD = re.compile(rb"[A-Za-z]+(?=[!-&(-/:-@\[-`{-~])")  # ASCII letters before a sign that no pattern joins to them
 
 
@@ -194,7 +205,10 @@ class RunEncoder:
 
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        layout = json.loads(self.tokenizer.to_str())
+        suffix = layout["model"].get("end_of_word_suffix")
+        # texts are cut at white space and small ASCII words go straight to the model only for a layout known to allow it
+        self.cuts = (layout["normalizer"], layout["pre_tokenizer"]) == LAYOUT and all(MARKED.fullmatch(t) for t in self.special)
         # ids that end a word, if the model marks the ends of words
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool) if suffix else None
         if suffix:
@@ -223,6 +237,13 @@ class RunEncoder:
     def _encode(self, pieces: list[bytes]) -> None:
         """Learn the ids of pieces. They are joined by an added token, at which the library cuts before all else."""
         encode, kind, width = self.tokenizer.encode, f"<u{self.width}", self.width
+        if self.closing is not None:
+            # small ASCII letters pass the normaliser and the cutting pattern as they are: one word for the model
+            tokenize, known, code = self.tokenizer.model.tokenize, self.known, "H" if width == 2 else "I"
+            plain = [p for p in pieces if p.isascii() and p.isalpha() and p.islower()]
+            for piece in plain:
+                known[piece] = array(code, [token.id for token in tokenize(piece.decode())]).tobytes()
+            pieces = [p for p in pieces if p not in known]
         if self.closing is not None:
             words = [p for p in pieces if p.isalpha() or (not p.isascii() and p.decode().isalpha())]
             pieces = self._encode_words(words) + [p for p in pieces if p not in self.known]
@@ -245,7 +266,7 @@ class RunEncoder:
             found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
             self.known.update((p, np.array(e.ids, kind).tobytes()) for p, e in zip(part, found))
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: set[bytes]) -> None:
         """Ids of runs not met before; a word and the signs behind it are looked up apart."""
         cut = {run: m.end() for run in fresh if (m := HEAD.match(run))}
         pieces = {run for run in fresh if run not in cut}
@@ -261,14 +282,18 @@ class RunEncoder:
     def encode(self, texts: pa.Array) -> pa.Array:
         """Packed ids of each text, with the end id."""
         texts = pc.fill_null(texts, "")
-        # the normaliser lowers anyway; an added token is met in its own letters only
-        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<"), texts, pc.ascii_lower(texts)))
+        if not self.cuts:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return pa.array([np.array(e.ids, f"<u{self.width}").tobytes() + self.end for e in found], pa.binary())
+        words = pc.ascii_split_whitespace(texts)
         bounds = words.offsets.to_numpy().astype(np.int64)
         coded = words.flatten().dictionary_encode()
-        runs = coded.dictionary.cast(pa.binary()).to_pylist()
-        fresh = [run for run in runs if run and run not in self.known]
+        # the normaliser composes before it lowers, so only runs of ASCII alone are lowered here; an added token is met
+        # in its own letters only
+        runs = [run.lower() if run.isascii() and b"<" not in run else run for run in coded.dictionary.cast(pa.binary()).to_pylist()]
+        fresh = {run for run in runs if run and run not in self.known}
         if self.size + sum(map(len, fresh)) > CACHE_BYTES:
-            self.known, self.size, fresh = {}, 0, [run for run in runs if run]
+            self.known, self.size, fresh = {}, 0, {run for run in runs if run}
         self._learn(fresh)
         get = self.known.get
         packed = [get(run, b"") for run in runs]  # no ids between two blanks
@@ -331,8 +356,6 @@ def write_ids(docs: DataFrame, path: str, end_id: int | None = None, kind: str =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_folder(spark, "token-ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # distinct runs grow slower than text: two input splits share what a task has learned
-    rows = rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // 2)))
     cuts = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], RANGE_ACCURACY)).first()[0] or []
     part = part_of(np.array(sorted(set(cuts)), np.int64))(F.col("doc_id")).alias("part")
     encoded = rows.select("doc_id", part, F.xxhash64("text").alias("tie"), encoder(path, end_id, width)(F.col("text")).alias("ids"))

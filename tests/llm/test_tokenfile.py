@@ -31,6 +31,29 @@ def test_ids_as_the_library(library, monkeypatch):
             assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_composition_comes_before_lowering(library):
+    """Capital letters whose composed form with a mark exists for the small letter only, and texts of many blocks."""
+    marked = [base + mark for base in "HTWYJhtwyjAEO" for mark in "\u0331\u0308\u030a\u030c\u0301\u0327\u0345"]
+    texts = marked + [f"THE {m}x A{m} {m}, {m.lower()}" for m in marked]
+    draw = random.Random(11)
+    blocks = [(0x20, 0x7F), (0xA0, 0x24F), (0x300, 0x36F), (0x370, 0x52F), (0x5D0, 0x6FF), (0x900, 0xDFF), (0x1100, 0x11FF), (0x1E00, 0x206F),
+              (0x2100, 0x218F), (0x3000, 0x30FF), (0x4E00, 0x4E80), (0xAC00, 0xAD00), (0xFB00, 0xFB4F), (0xFF00, 0xFFEF), (0x10400, 0x1044F), (0x1F600, 0x1F64F)]
+    for _ in range(3000):
+        chosen = draw.sample(blocks, 3) + [(0x41, 0x5B), (0x61, 0x7B), (0x20, 0x21)]
+        texts.append("".join(chr(draw.randrange(*draw.choice(chosen))) for _ in range(draw.randint(1, 30))))
+    runs = tokenfile.RunEncoder(PATH, 2, 2)
+    for text, packed in zip(texts, runs.encode(pa.array(texts)).to_pylist()):
+        assert np.frombuffer(packed, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids + [2], text.encode()
+
+
+def test_other_layouts_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    runs, other = tokenfile.RunEncoder(path, None, 2), Tokenizer.from_file(path)
+    texts = ["Two  words", " lead", "a\nb<|endoftext|>", "", "H\u0331 é"]
+    for text, packed in zip(texts, runs.encode(pa.array(texts)).to_pylist()):
+        assert np.frombuffer(packed, "<u2").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("kind", ["bit", "byte"])
 def test_files_give_back_what_was_written(kind):
     draw = np.random.default_rng(1)
