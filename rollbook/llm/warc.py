@@ -202,7 +202,10 @@ def first_member(source, start: int, end: int, size: int) -> int | None:
         hit = window.find(MAGIC)
         while hit >= 0 and at + hit < end:
             try:
-                if Inflater(source, at + hit).more(5) == b"WARC/":
+                one, head = Inflater(source, at + hit), b""
+                while len(head) < 5 and (part := one.more(5 - len(head))):  # a long member header leaves few bytes of the first read
+                    head += part
+                if head == b"WARC/":
                     return at + hit
             except (zlib.error, EOFError):
                 pass

@@ -111,3 +111,18 @@ def test_long_http_headers_are_read_to_their_end(compressed):
     for payload in (False, True):
         found = list(warc.records(io.BytesIO(data), 0, len(data), len(data), compressed, [], payload))
         assert [f["payload_bytes"] for f in found] == want
+
+
+@pytest.mark.parametrize("name", ["", *("n" * k for k in range(1, 30))])
+def test_ranges_begin_at_members_with_any_header(name):
+    """Foreign members with a file name leave any number of bytes of the first read: none may be missed."""
+    pieces = []
+    for i in range(3):
+        record = warc.record({"record_type": "response", "record_id": f"<{i}>", "target_uri": "u", "payload_digest": "d", "refers_to": None, "payload": b"x" * (i + 1)})
+        sink = io.BytesIO()
+        with gzip.GzipFile(name, "wb", fileobj=sink) as member:
+            member.write(record)
+        pieces.append(sink.getvalue())
+    data = b"".join(pieces)
+    found = list(warc.records(io.BytesIO(data), 1, len(data), len(data), True, [], True))
+    assert [f["record_id"] for f in found] == ["<1>", "<2>"]
