@@ -2,12 +2,12 @@
 
 Fixed patterns give the base spans (assignments, access keys, hexadecimal runs). Beyond them, long mixed tokens and keys
 with a known prefix are candidates. Whether one is a live credential shows in who holds it: candidate values are hashed
-and counted by distinct repositories and owners over the whole corpus. A value that many owners hold is a copied example;
-one that fewer hold looks live, and its spans are added. Base spans stay whatever their owners; their reach is reported.
+and counted by distinct repositories and owners over the whole corpus. A value that many owners hold, or that is in many
+repositories of more than one owner, is a copied example; any other looks live, and its spans are added. Base spans stay whatever their owners; their reach is reported.
 
 A pattern's places are found by splitting: the pieces between matches and the matches alternate, so running sums of
 their lengths are the offsets (in code points). Running sums go in two levels, so that a text with very many matches
-stays near linear.
+stays near linear. No pattern looks ahead over a run, so a long text that repeats a prefix takes linear time as well.
 
 Counting goes by (value, owner, repository) first and by value then, so that a value all documents hold is summed by
 each task before it is exchanged.
@@ -37,8 +37,11 @@ PREFIXES = (
     "[sprw]k_(?:live|test)_", "whsec_", "gh[opsur]_", "github_pat_", "glpat-", "xox[abeoprs]-", "xapp-", "AIza", "ya29[.]", "npm_", "pypi-", "hf_", "dop_v1_",
     "shp(?:at|ca|pa|ss)_", "SG[.]", "sk-", "ASIA",
 )
-KNOWN = f"(?<![A-Za-z0-9])(?:{'|'.join(PREFIXES)})(?=[A-Za-z_.-]*[0-9])[A-Za-z0-9_.-]{{8,}}(?<![.-])"  # with a digit, so no plain words
-MANY_OWNERS = 3  # a value of so many owners is an example, of fewer live
+KNOWN = f"(?<![A-Za-z0-9])(?:{'|'.join(PREFIXES)})[A-Za-z0-9_.-]{{8,}}(?<![.-])"
+# No plain words: a digit behind the prefix. Asked of each match, as a look-ahead would be scanned again from every prefix.
+NUMBERED = f"^(?:{'|'.join(PREFIXES)})[A-Za-z_.-]*[0-9]"
+MANY_OWNERS = 3  # a value of so many owners is an example
+MANY_REPOS = 5  # so is one in so many repositories of more than one owner; in those of one owner alone it is its own
 BLOCK = 256
 MASK = "[SECRET]"
 
@@ -108,7 +111,8 @@ def scan(docs: DataFrame) -> DataFrame:
     assigned = F.transform("assign", lambda s: s.withField("value", F.regexp_extract(s["value"], ASSIGN, 2)))
     assigned = F.filter(assigned, lambda s: F.char_length(s["value"]) >= MIN_ASSIGNED)
     mixed = F.filter("mixed", lambda s: s["value"].rlike(MIXED[0]) & s["value"].rlike(MIXED[1]) & s["value"].rlike(MIXED[2]))
-    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat(assigned, "access", "hex")).alias("base"), mixed.alias("mixed"), "known")
+    known = F.filter("known", lambda s: s["value"].rlike(NUMBERED))
+    based = found.select("doc_id", "owner", "repo", "doc", F.array_sort(F.concat(assigned, "access", "hex")).alias("base"), mixed.alias("mixed"), known.alias("known"))
     based = based.withColumn("mixed", apart("mixed", "base"))
     based = based.withColumn("known", apart("known", "base")).withColumn("known", apart("known", "mixed"))
     return based.select("doc_id", "owner", "repo", "doc", "base", F.concat("mixed", "known").alias("candidate"))
@@ -136,7 +140,8 @@ def owned_spans(scanned: DataFrame) -> DataFrame:
     held = scanned.select("doc_id", "doc", F.explode(F.concat("base", "candidate")).alias("s"))
     held = keep(held.select("doc_id", "doc", "s", F.sha2("s.value", 256).alias("value_hash")).distinct(), "held")
     judged = held.join(keep(reach(scanned), "reach"), "value_hash")
-    live, example = F.col("owners") < MANY_OWNERS, F.col("owners") >= MANY_OWNERS
+    example = (F.col("owners") >= MANY_OWNERS) | ((F.col("owners") > 1) & (F.col("repos") >= MANY_REPOS))
+    live = ~example
     added = live & (F.col("s.kind") == F.lit(len(KINDS) - 1))
     return judged.groupBy(F.col("doc_id").alias("owned_id"), F.col("doc").alias("owned_doc")).agg(
         F.array_sort(F.collect_list(F.when(added, F.col("s")))).alias("owned"),  # the spans of one text

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -76,3 +77,23 @@ def test_known_prefixes_and_values_of_two_owners(spark):
     }
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
     assert masked[1] == "pay [SECRET], [SECRET]" and masked[2] == "[SECRET] and [SECRET]" and masked[4] == "key [SECRET]!" and masked[10] == f"see {copied}"
+
+
+def test_owners_and_repositories_both_count(spark):
+    """One owner's key in many repositories is its own; two owners' in as many is an example, in few it is live."""
+    own, shared, pair = "Abcdefghijkl0123456789", "Zyxwvutsrqpo9876543210", "Mnopqrstuvwx5432167890"
+    rows = [(i, f"a {own}", "one", f"r{i}") for i in range(6)] + [(10 + i, f"a {shared}", f"o{i % 2}", f"s{i}") for i in range(5)]
+    rows += [(20 + i, f"a {pair}", f"o{i % 2}", f"t{i}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, org string, project string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secrets.find_secrets(df, owner="org", repo="project").collect()}
+    assert got == {**{i: (1, 0) for i in range(6)}, **{10 + i: (0, 1) for i in range(5)}, **{20 + i: (1, 0) for i in range(4)}}
+
+
+@pytest.mark.parametrize("piece", ["sk-", "sk-.", "hf_", "AKIA", "token", "AIza.-"])
+def test_long_runs_of_prefixes_take_linear_time(spark, piece):
+    text = piece * (1_000_000 // len(piece))
+    df = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    secrets.digests(secrets.find_secrets(df)).collect()  # compiled
+    started = time.time()
+    (row,) = secrets.digests(secrets.find_secrets(df)).collect()
+    assert time.time() - started < 20 and row["spans"].startswith("access" if piece == "AKIA" else "")
