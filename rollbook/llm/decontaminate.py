@@ -1,14 +1,16 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items and documents are lower-cased, cut into runs of letters and digits and turned into five-word shingles (fewer
-words: one shingle, the whole sequence). A document is contaminated by an item if it holds at least 80 % of the item's
-distinct shingles, wherever they stand and however long the document is.
+Items and documents are lower-cased, cut into runs of letters and digits and turned into five-word shingles (an item of
+fewer words: one shingle, the whole sequence, and documents then give shingles of that many words too). A document is
+contaminated by an item if it holds at least 80 % of the item's distinct shingles, wherever they stand and however long
+the document is.
 
 Items are partitioned by size. An item of n shingles must give ``ceil(0.8 n)`` of them, so whichever
 ``n - ceil(0.8 n) + 1`` are looked up, one is found. The item's MinHash sketch keeps just the shingles with so many
-smallest hashes: the number follows the size, and nothing is missed. Each size class has the largest hash its sketches
-hold; a document's hash beyond the ceilings cannot meet a sketch, and a document with fewer shingles than an item needs
-is no candidate for it. Candidate pairs are then counted on the shingle strings themselves.
+smallest hashes: the number follows the size, and nothing is missed. Each size class (n doubled) has a filter of its
+sketches, the largest hash they hold and the least number of shingles its items need: a document is looked up in a class
+only if it holds so many item shingles, and joined only with items of classes that pass. Candidate pairs are then counted
+on the shingle strings themselves.
 
 A Bloom filter over the item shingles lets the scan of the documents pass on only shingles that items hold. Its size is
 bounded whatever the benchmark holds; a false hit falls out in the joins. Items are never collected nor broadcast.
@@ -36,8 +38,9 @@ WORDS = 5
 SLICE = 2 << 20  # bytes of text that are cut into shingles at a time
 CONTAINMENT = 0.8
 MIN_BITS, MAX_BITS = 26, 30  # Bloom filter: 8 MB, and up to 128 MB for very many item shingles
+CLASS_BITS = 20  # least size of the filter of one size class
 BITMAP = 32768  # bits of one bitmap of bitmap_construct_agg
-SHINGLES = T.ArrayType(T.StructType([T.StructField("hash", T.LongType()), T.StructField("shingle", T.StringType())]))
+SHINGLES = T.ArrayType(T.StructType().add("hash", "long").add("shingle", "string").add("classes", "long"))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,26 +99,40 @@ def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
     return Bloom(bits, {r["bucket"]: bytes(r["bitmap"]) for r in rows})
 
 
-def shingles_with(keep_hash=None, wanted=None):
-    """A column function: distinct (hash, shingle) of a text; only those that ``keep_hash`` has, of texts with any hash
-    that ``wanted`` has at or below its ceiling."""
+def all_shingles(words: pa.ListArray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of five words, and those of the given smaller sizes in texts with more words than that."""
+    found = [shingle_hashes(words)]
+    for size in sizes:
+        hashes, text, first, length = shingle_hashes(words, size)
+        longer = pc.list_value_length(words).to_numpy(zero_copy_only=False)[text] > size
+        found.append(tuple(x[longer] for x in (hashes, text, first, length)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def shingles_with(keep_hash=None, wanted=None, sizes: tuple[int, ...] = ()):
+    """A column function: distinct (hash, shingle, classes) of a text, with further shingles of ``sizes`` words. Only those
+    that ``keep_hash`` has, of texts that may hold an item: ``wanted`` has for each size class its sketches' filter, their
+    ceiling and the least number of shingles that an item of the class needs. ``classes`` has a bit for each class that
+    the text may hold items of."""
 
     @F.arrow_udf(SHINGLES)
     def shingles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         passes = keep_hash.value if keep_hash else None
-        sketch, ceiling = wanted.value if wanted else (None, None)
-        kind = pa.struct([("hash", pa.int64()), ("shingle", pa.string())])
+        classes = wanted.value if wanted else []
+        kind = pa.struct([("hash", pa.int64()), ("shingle", pa.string()), ("classes", pa.int64())])
         for texts in batches:
             parts = []
             for part in slices(texts, SLICE):
                 words = words_of(part)
-                hashes, text, first, length = shingle_hashes(words)
+                hashes, text, first, length = all_shingles(words, sizes)
+                candidate = np.zeros(len(part), np.int64)
                 if passes:
                     hit = np.flatnonzero(passes.hits(hashes))
                     hashes, text, first, length = hashes[hit], text[hit], first[hit], length[hit]
-                    low = np.flatnonzero(hashes <= ceiling)
-                    candidate = np.zeros(len(part), bool)
-                    candidate[text[low[sketch.hits(hashes[low])]]] = True
+                    held = np.bincount(text, minlength=len(part))  # repeats included: never fewer than distinct ones
+                    for number, (sketch, ceiling, least) in classes:
+                        low = np.flatnonzero((hashes <= ceiling) & (held[text] >= least))
+                        candidate[text[low[sketch.hits(hashes[low])]]] |= np.int64(1 << number)
                     hit = np.flatnonzero(candidate[text])
                     hashes, text, first, length = hashes[hit], text[hit], first[hit], length[hit]
                 flat = words.flatten()
@@ -124,7 +141,7 @@ def shingles_with(keep_hash=None, wanted=None):
                     row = (t, h, " ".join(flat.slice(f, n).to_pylist()))
                     if row not in seen:
                         seen.add(row)
-                        out[t].append({"hash": h, "shingle": row[2]})
+                        out[t].append({"hash": h, "shingle": row[2], "classes": int(candidate[t])})
                 parts.append(pa.array(out, pa.list_(kind)))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(kind))
         tidy()
@@ -161,20 +178,28 @@ def search(
     spark = docs.sparkSession
     known = keep(item_shingles(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), containment), "items")
     sketch = known.where("sketched")
-    classes = sketch.groupBy("size_class").agg(F.max(unsigned(F.col("hash"))).alias("ceiling"), F.count("*").alias("rows")).collect()
+    # at most 31 classes, as a class doubles the size
+    classes = sketch.groupBy("size_class").agg(F.max(unsigned(F.col("hash"))).alias("ceiling"), F.count("*").alias("rows"), F.min("needed").alias("least")).collect()
+    words_of_item = F.when(F.col("n") == 1, F.size(F.split("shingle", " ")))
+    sizes = tuple(r["size"] for r in known.select(words_of_item.alias("size")).where(F.col("size") < WORDS).distinct().collect())
     size = max(1, sum(r["rows"] for r in classes))
-    bits = min(MAX_BITS, max(MIN_BITS, size.bit_length() + 8))
-    ceiling = np.uint64(max((r["ceiling"] for r in classes), default=-(1 << 63)) + (1 << 63))
-    passes = spark.sparkContext.broadcast(bloom_of(known, bits))
-    wanted = spark.sparkContext.broadcast((bloom_of(sketch, bits), ceiling))
+    passes = spark.sparkContext.broadcast(bloom_of(known, min(MAX_BITS, max(MIN_BITS, size.bit_length() + 8))))
+
+    def tests(row):
+        filter_ = bloom_of(sketch.where(F.col("size_class") == row["size_class"]), min(MAX_BITS, max(CLASS_BITS, row["rows"].bit_length() + 6)))
+        return int(row["size_class"]), (filter_, np.uint64(row["ceiling"] + (1 << 63)), int(row["least"]))
+
+    wanted = spark.sparkContext.broadcast([tests(r) for r in classes])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = rows.select("doc_id", F.xxhash64("text").alias("doc"), shingles_with(passes, wanted)(F.col("text")).alias("s"))
-    hits = keep(found.select("doc_id", "doc", F.explode("s").alias("s")).select("doc_id", "doc", "s.hash", "s.shingle"), "hits")
+    found = rows.select("doc_id", F.xxhash64("text").alias("doc"), shingles_with(passes, wanted, sizes)(F.col("text")).alias("s"))
+    hits = keep(found.select("doc_id", "doc", F.explode("s").alias("s")).select("doc_id", "doc", "s.*"), "hits")
 
     key = ["doc_id", "doc"]
     per_doc = hits.groupBy(key).agg(F.count_distinct("shingle").alias("held"))
-    pairs = hits.join(sketch.select("item", "item_id", "needed", "hash", "shingle"), ["hash", "shingle"]).select(*key, "item", "item_id", "needed")
+    of_class = F.col("classes").bitwiseAND(F.expr("shiftleft(1L, cast(size_class as int))")) != 0
+    pairs = hits.join(sketch.select("item", "item_id", "needed", "hash", "shingle", "size_class"), ["hash", "shingle"]).where(of_class)
+    pairs = pairs.select(*key, "item", "item_id", "needed")
     pairs = keep(pairs.distinct(), "candidates")
     same = pairs["doc"] == per_doc["doc"]
     pairs = pairs.join(per_doc, same & pairs["doc_id"].eqNullSafe(per_doc["doc_id"])).where("held >= needed").select(pairs["*"])

@@ -7,15 +7,16 @@ from rollbook.llm import decontaminate as dc
 from ..conftest import DATA
 
 
-def shingles(text):
-    words = re.findall(r"[^\W_]+", (text or "").lower())
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-
 def plain(docs, items):
-    held = [(d, shingles(t)) for d, t in docs]
-    wanted = {(i, t): shingles(t) for i, t in items}
-    return {(d, i) for (i, _), s in wanted.items() if s for d, h in held if len(s & h) >= 0.8 * len(s) - 1e-9}
+    """Short items are looked for as word sequences anywhere, longer ones by their five-word shingles."""
+    words = lambda text: re.findall(r"[^\W_]+", (text or "").lower())
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = set()
+    for i, t in items:
+        size = min(5, len(words(t)))
+        wanted = grams(words(t), size) if size else set()
+        out |= {(d, i) for d, text in docs if wanted and len(wanted & grams(words(text), size)) >= 0.8 * len(wanted) - 1e-9}
+    return out
 
 
 def pairs(df):
@@ -50,3 +51,14 @@ def test_empty_tables(request, left, right):
     docs, items = request.getfixturevalue(left), request.getfixturevalue(right).selectExpr("doc_id AS item_id", "text")
     assert dc.contained_items(docs, items).count() == 0
     assert dc.without_items(docs, items).count() == docs.count()
+
+
+def test_short_items_inside_long_documents(spark):
+    """Items of one to four words are found anywhere, also where the benchmark has items of all size classes."""
+    long = [f"w{i}" for i in range(300)]
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta, epsilon zeta"), (4, "eta theta iota kappa"), (5, "one two three four five")]
+    items += [(10 + k, " ".join(long[: 2**k + 4])) for k in range(8)]
+    rows = [(i, "start " * 30 + t + " end" * 40) for i, t in items] + [(100, "beta x gamma alphabet eta theta iota"), (101, "gamma beta"), (102, "beta gamma"), (103, " ".join(long)), (104, " ".join(long[:30]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pairs(dc.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert found == plain(rows, items) and {(1, 1), (2, 2), (3, 3), (4, 4), (102, 2)} <= found and (101, 2) not in found
