@@ -18,7 +18,7 @@ occur (start and period differ). An empty table gives no rows. Other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -139,7 +139,7 @@ def of_slice(texts: pa.Array, least: int, power: int) -> pa.StructArray:
     split = [(t or "").encode().split() for t in texts.to_pylist()]  # on bytes: white space of ASCII alone
     counts = np.array([len(w) for w in split], np.int64)
     number = Numbers()
-    codes = np.fromiter((number[w] for words in split for w in words), np.int64, int(counts.sum())) + 1
+    codes = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum())) + 1
     ends = counts.cumsum()
     owner = np.repeat(np.arange(len(split)), counts)
     _, same, often = np.unique(owner * (len(number) + 1) + codes, return_inverse=True, return_counts=True)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def powers(base: int, count: int) -> np.ndarray:
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` consecutive word hashes."""
     if len(hashes) < size:
         return np.empty(0, np.uint64)
-    up, down = np.full(len(hashes), BASE, np.uint64), np.full(len(hashes), UNBASE, np.uint64)
-    up[0] = down[0] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(up))])
-    return mixed((sums[size:] - sums[:-size]) * np.cumprod(down)[: len(hashes) - size + 1])
+    up, down = powers(BASE, len(hashes)), powers(UNBASE, len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up)])
+    return mixed((sums[size:] - sums[:-size]) * down[: len(hashes) - size + 1])
 
 
 def sliding(pick, values: np.ndarray, size: int) -> np.ndarray:
@@ -101,19 +107,19 @@ def anchors(hashes: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarr
     return least, inside, shingles[sliding(np.maximum, reach, window - size + 1) == shingles]
 
 
-def hashed_slices(texts: pa.Array) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
+def hashed_slices(texts: pa.Array, memory: WordHashes) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
     """Words of the texts, their hashes one text after another, and the ends of the texts."""
-    memory = WordHashes()
     for part in slices(texts, SLICE):
         split = [(t or "").encode().split() for t in part.to_pylist()]  # on bytes: white space of ASCII alone
         ends = np.cumsum([len(w) for w in split])
-        yield split, np.fromiter((memory[w] for words in split for w in words), np.uint64, int(ends[-1])), ends
+        yield split, np.fromiter(map(memory.__getitem__, chain.from_iterable(split)), np.uint64, int(ends[-1])), ends
 
 
 def anchor_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
         for batch in batches:
-            for _, hashes, ends in hashed_slices(batch.column(0)):
+            for _, hashes, ends in hashed_slices(batch.column(0), memory):
                 chosen = anchors(hashes, ends, window)[2]
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], ["hash"])
         tidy()
@@ -126,10 +132,10 @@ def scanner(window: int, known, id_type: pa.DataType):
     names, kinds = ["doc_id", "n_words", "words", "key", "hits"], [id_type, pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = known.value
+        filter_, memory = known.value, WordHashes()
         for batch in batches:
             at = 0
-            for split, hashes, ends in hashed_slices(batch.column(1)):
+            for split, hashes, ends in hashed_slices(batch.column(1), memory):
                 least, inside, _ = anchors(hashes, ends, window)
                 hit = np.flatnonzero(inside)
                 hit = hit[filter_.hits(least[hit])]
@@ -150,14 +156,28 @@ def scanner(window: int, known, id_type: pa.DataType):
     return rows
 
 
-def windows_of(words: str, hits: np.ndarray, window: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their hashes, and the first and last windows (inclusive) of the stretches whose anchors are hits."""
-    split = words.encode().split()
-    memory = WordHashes()
-    hashes = np.fromiter((memory[w] for w in split), np.uint64, len(split))
-    least, _, _ = anchors(hashes, np.array([len(split)]), window)
-    edges = np.flatnonzero(np.diff(np.isin(least, hits).astype(np.int8), prepend=0, append=0))
-    return split, hashes, edges[::2], edges[1::2] - 1
+class Stretches:
+    """The stretches of candidate windows of the texts of one slice, one text after another."""
+
+    def __init__(self, split: list[list[bytes]], hashes: np.ndarray, ends: np.ndarray, hits: np.ndarray, window: int):
+        self.split, self.hashes, self.ends = split, hashes, ends
+        self.starts = np.r_[0, ends[:-1]]
+        least, inside, _ = anchors(hashes, ends, window)
+        # a hit of one text is an anchor that repeats, so it is one for all
+        edges = np.flatnonzero(np.diff((inside & np.isin(least, hits)).astype(np.int8), prepend=0, append=0))
+        self.firsts, self.lasts = edges[::2], edges[1::2] - 1  # windows, both included
+
+    def owners(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, places, side="right")
+
+
+def stretches_of(batch: pa.RecordBatch, memory: WordHashes, window: int) -> Iterator[tuple[int, Stretches]]:
+    """The first row and the stretches of each slice of a batch (key, words, hits, ...)."""
+    at = 0
+    for split, hashes, ends in hashed_slices(batch.column(1), memory):
+        known = batch.column(2).slice(at, len(split)).flatten().to_numpy().view(np.uint64)
+        yield at, Stretches(split, hashes, ends, known, window)
+        at += len(split)
 
 
 def node_rows(window: int, known=None):
@@ -165,48 +185,63 @@ def node_rows(window: int, known=None):
     filter, only nodes that it knows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
         for batch in batches:
-            for row in batch.to_pylist():
-                _, hashes, firsts, lasts = windows_of(row["words"], np.array(row["hits"], np.int64).view(np.uint64), window)
-                nodes = rolling(hashes, window - 1)
-                for first, last in zip(firsts.tolist(), lasts.tolist()):
-                    for a in range(first, last + 2, OUT_ROWS):
-                        place = np.arange(a, min(a + OUT_ROWS, last + 2))
-                        inner = place[(place > first) & (place <= last)]
-                        around = np.zeros(len(place), np.uint64)
-                        around[(place > first) & (place <= last)] = mixed(hashes[inner - 1] * np.uint64(BASE) + mixed(hashes[inner + window - 1])) | np.uint64(1)
-                        own = nodes[place]
-                        if known:
-                            hit = known.value.hits(own)
-                            place, around, own = place[hit], around[hit], own[hit]
-                        columns = [own.view(np.int64), place.astype(np.int32), around.view(np.int64)]
-                        key = pa.array([row["key"]] * len(place), pa.binary())
-                        yield pa.RecordBatch.from_arrays([key, *map(pa.array, columns)], ["key", "node", "place", "around"])
+            for at, one in stretches_of(batch, memory, window):
+                if not len(one.firsts):
+                    continue
+                sizes = one.lasts - one.firsts + 2
+                nth = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+                place = nth + np.repeat(one.firsts, sizes)
+                inner = (nth > 0) & (nth < np.repeat(sizes, sizes) - 1)
+                own = rolling(one.hashes, window - 1)[place]
+                around = np.zeros(len(place), np.uint64)
+                middle = place[inner]
+                around[inner] = mixed(one.hashes[middle - 1] * np.uint64(BASE) + mixed(one.hashes[middle + window - 1])) | np.uint64(1)
+                if known:
+                    hit = known.value.hits(own)
+                    place, around, own = place[hit], around[hit], own[hit]
+                owner = one.owners(place)
+                for k in range(0, len(place), OUT_ROWS):
+                    part = slice(k, k + OUT_ROWS)
+                    keys = batch.column(0).take(pa.array(at + owner[part]))
+                    columns = [own[part].view(np.int64), (place - one.starts[owner])[part].astype(np.int32), around[part].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns)], ["key", "node", "place", "around"])
         tidy()
 
     return rows
 
 
 def piece_rows(window: int):
-    """Rows (key, copies, first, last, digest): compacted paths with the digest of their words at their coordinates."""
-    names = ["key", "copies", "first", "last", "digest"]
-    kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    """Rows (key, digest, n, places): compacted paths by the digest of their words at their coordinates, with the number
+    of places in all copies of the text and the places (first word, word after the last) in the text."""
+    names = ["key", "digest", "n", "places"]
+    kinds = [pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
         for batch in batches:
-            for row in batch.to_pylist():
-                split, _, firsts, lasts = windows_of(row["words"], np.array(row["hits"], np.int64).view(np.uint64), window)
-                cuts, out = np.array(row["cuts"] or [], np.int64), []
-                for first, last in zip(firsts.tolist(), lasts.tolist()):
-                    inner = cuts[np.searchsorted(cuts, first, side="right") : np.searchsorted(cuts, last, side="right")].tolist()
-                    for a, b in zip([first, *inner], [*inner, last + 1]):
-                        end = b + window - 1
-                        out.append((row["key"], row["copies"], a, end, hashlib.sha256(b" ".join(split[a:end])).digest()))
-                        if len(out) == OUT_ROWS:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
-                            out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            keys, copies, cuts, out = (*(batch.column(i).to_pylist() for i in (0, 3, 4)), [])
+            for at, one in stretches_of(batch, memory, window):
+                owner = one.owners(one.firsts)
+                edges = np.r_[np.flatnonzero(np.diff(owner, prepend=-1)), len(owner)]
+                for a, z in zip(edges[:-1], edges[1:]):
+                    text = int(owner[a])
+                    begin, words = int(one.starts[text]), one.split[text]
+                    whole = b" ".join(words)
+                    byte = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)].tolist()
+                    cut, places = np.array(cuts[at + text] or [], np.int64), {}
+                    for first, last in zip((one.firsts[a:z] - begin).tolist(), (one.lasts[a:z] - begin).tolist()):
+                        inner = cut[np.searchsorted(cut, first, side="right") : np.searchsorted(cut, last, side="right")].tolist()
+                        for x, y in zip([first, *inner], [*inner, last + 1]):
+                            end = y + window - 1
+                            places.setdefault(hashlib.sha256(whole[byte[x] : byte[end] - 1]).digest(), []).append({"first": x, "last": end})
+                    out += [(keys[at + text], digest, copies[at + text] * len(found), found) for digest, found in places.items()]
+                    if len(out) >= OUT_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                        out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
         tidy()
 
     return rows
@@ -263,10 +298,10 @@ def repeated_spans(scanned: DataFrame, repeated: DataFrame, size: int, window: i
     placed = nodes.mapInArrow(node_rows(window, known), "key binary, node long, place int, around long")
     placed = placed.select("key", "place", F.col("node").alias("hash")).join(cut_nodes, "hash")
     cuts = keep(placed.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("cuts")), "cuts")  # places of one text
-    pieces = texts.join(cuts, "key", "left").select("key", "copies", "words", "hits", "cuts")
-    pieces = keep(pieces.mapInArrow(piece_rows(window), "key binary, copies long, first int, last int, digest binary"), "pieces")
-    again = pieces.groupBy("digest").agg(F.sum("copies").alias("n")).where("n > 1").select("digest")
-    spans = pieces.join(again, "digest").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    pieces = texts.join(cuts, "key", "left").select("key", "words", "hits", "copies", "cuts")
+    pieces = keep(pieces.mapInArrow(piece_rows(window), f"key binary, digest binary, n long, places {SPANS}"), "pieces")
+    again = pieces.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
+    spans = pieces.join(again, "digest").groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("spans"))  # of one text
     return texts, keep(spans, "spans")
 
 
