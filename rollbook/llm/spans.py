@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ from .frames import keep, slices, tidy
 
 WINDOW = 35
 SLICE = 2 << 20  # bytes of text that are hashed at a time
-REMEMBERED = 200_000  # word hashes a task remembers
+REMEMBERED = 400_000  # word hashes a task remembers
 OUT_ROWS = 1 << 16
 MIN_BITS, MAX_BITS = 23, 29  # Bloom filters: 1 MB to 64 MB
 BITS_EACH = 8  # with fewer bits for each repeated anchor the exact join takes over
@@ -127,30 +128,58 @@ def anchor_rows(window: int):
     return rows
 
 
-def scanner(window: int, known, id_type: pa.DataType):
-    """Rows (doc_id, n_words, words, key, hits): hits are the anchors of a text that the filter knows, null if none."""
-    names, kinds = ["doc_id", "n_words", "words", "key", "hits"], [id_type, pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
+STRETCHES = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+
+def stretches_in(candidate: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """Per text the stretches of candidate windows (first and last window, counted in the text); null without any."""
+    edges = np.flatnonzero(np.diff(candidate.astype(np.int8), prepend=0, append=0))
+    firsts, lasts = edges[::2], edges[1::2] - 1
+    owner = np.searchsorted(ends, firsts, side="right")
+    counts = np.bincount(owner, minlength=len(ends))
+    start = np.r_[0, ends[:-1]][owner]
+    places = pa.StructArray.from_arrays([pa.array((x - start).astype(np.int32)) for x in (firsts, lasts)], ["first", "last"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, counts.cumsum()].astype(np.int32), mask=np.r_[counts == 0, False]), places)
+
+
+def scanner(window: int, known, id_type: pa.DataType, with_hits: bool):
+    """Rows (doc_id, n_words, words, key, stretches, hits): stretches are the windows whose anchors the filter knows, and
+    hits those anchors, if wanted; key, stretches and hits are null where there are none."""
+    names, kinds = ["doc_id", "n_words", "words", "key", "stretches", "hits"], [id_type, pa.int64(), pa.string(), pa.binary(), STRETCHES, pa.list_(pa.int64())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_, memory = known.value, WordHashes()
+        for batch in batches:
+            at = 0
+            for split, hashes, ends in hashed_slices(batch.column(1), memory):
+                least, candidate, _ = anchors(hashes, ends, window)
+                candidate[candidate] = filter_.hits(least[candidate])
+                stretches = stretches_in(candidate, ends)
+                texts, held = [b" ".join(words) for words in split], stretches.is_valid().to_pylist()
+                keys = [hashlib.sha256(t).digest()[:16] if h else None for t, h in zip(texts, held)]
+                begins = np.r_[0, ends[:-1]]
+                hits = [np.unique(least[a:z][candidate[a:z]]).view(np.int64) if h and with_hits else None for a, z, h in zip(begins, ends, held)]
+                columns = [pa.array(c, k) for c, k in zip([np.diff(ends, prepend=0), [t.decode() for t in texts], keys], kinds[1:4])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(split)), *columns, stretches, pa.array(hits, kinds[5])], names)
+                at += len(split)
+        tidy()
+
+    return rows
+
+
+def refiner(window: int):
+    """Rows (key, words, copies, stretches) of rows (key, words, copies, hits): the windows whose anchors are hits."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordHashes()
         for batch in batches:
             at = 0
             for split, hashes, ends in hashed_slices(batch.column(1), memory):
                 least, inside, _ = anchors(hashes, ends, window)
-                hit = np.flatnonzero(inside)
-                hit = hit[filter_.hits(least[hit])]
-                texts = [b" ".join(words) for words in split]
-                keys, hits = [None] * len(split), [None] * len(split)
-                owner = np.searchsorted(ends, hit, side="right")
-                edges = np.flatnonzero(np.diff(owner, prepend=-1))
-                for first, last in zip(edges, np.r_[edges[1:], len(hit)]):
-                    text = int(owner[first])
-                    keys[text] = hashlib.sha256(texts[text]).digest()[:16]
-                    hits[text] = np.unique(least[hit[first:last]]).view(np.int64)
-                ids = batch.column(0).slice(at, len(split))
+                part = batch.slice(at, len(split))
+                known = part.column(3).flatten().to_numpy().view(np.uint64)  # a hit of one text is an anchor that repeats, so it is one for all
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], stretches_in(inside & np.isin(least, known), ends)], ["key", "words", "copies", "stretches"])
                 at += len(split)
-                columns = [np.diff(ends, prepend=0), [t.decode() for t in texts], keys, hits]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds[1:]))], names)
         tidy()
 
     return rows
@@ -159,24 +188,19 @@ def scanner(window: int, known, id_type: pa.DataType):
 class Stretches:
     """The stretches of candidate windows of the texts of one slice, one text after another."""
 
-    def __init__(self, split: list[list[bytes]], hashes: np.ndarray, ends: np.ndarray, hits: np.ndarray, window: int):
-        self.split, self.hashes, self.ends = split, hashes, ends
-        self.starts = np.r_[0, ends[:-1]]
-        least, inside, _ = anchors(hashes, ends, window)
-        # a hit of one text is an anchor that repeats, so it is one for all
-        edges = np.flatnonzero(np.diff((inside & np.isin(least, hits)).astype(np.int8), prepend=0, append=0))
-        self.firsts, self.lasts = edges[::2], edges[1::2] - 1  # windows, both included
-
-    def owners(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, side="right")
+    def __init__(self, split: list[list[bytes]], hashes: np.ndarray, ends: np.ndarray, listed: pa.ListArray):
+        self.split, self.hashes, self.ends, self.starts = split, hashes, ends, np.r_[0, ends[:-1]]
+        counts = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)
+        places = listed.flatten()
+        self.owner = np.repeat(np.arange(len(split)), counts)
+        self.firsts, self.lasts = (places.field(i).to_numpy().astype(np.int64) + self.starts[self.owner] for i in (0, 1))  # windows, both included
 
 
-def stretches_of(batch: pa.RecordBatch, memory: WordHashes, window: int) -> Iterator[tuple[int, Stretches]]:
-    """The first row and the stretches of each slice of a batch (key, words, hits, ...)."""
+def stretches_of(batch: pa.RecordBatch, memory: WordHashes) -> Iterator[tuple[int, Stretches]]:
+    """The first row and the stretches of each slice of a batch (key, words, stretches, ...)."""
     at = 0
     for split, hashes, ends in hashed_slices(batch.column(1), memory):
-        known = batch.column(2).slice(at, len(split)).flatten().to_numpy().view(np.uint64)
-        yield at, Stretches(split, hashes, ends, known, window)
+        yield at, Stretches(split, hashes, ends, batch.column(2).slice(at, len(split)))
         at += len(split)
 
 
@@ -187,7 +211,7 @@ def node_rows(window: int, known=None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            for at, one in stretches_of(batch, memory, window):
+            for at, one in stretches_of(batch, memory):
                 if not len(one.firsts):
                     continue
                 sizes = one.lasts - one.firsts + 2
@@ -201,7 +225,8 @@ def node_rows(window: int, known=None):
                 if known:
                     hit = known.value.hits(own)
                     place, around, own = place[hit], around[hit], own[hit]
-                owner = one.owners(place)
+                owner = np.repeat(one.owner, sizes)
+                owner = owner[hit] if known else owner
                 for k in range(0, len(place), OUT_ROWS):
                     part = slice(k, k + OUT_ROWS)
                     keys = batch.column(0).take(pa.array(at + owner[part]))
@@ -222,11 +247,10 @@ def piece_rows(window: int):
         memory = WordHashes()
         for batch in batches:
             keys, copies, cuts, out = (*(batch.column(i).to_pylist() for i in (0, 3, 4)), [])
-            for at, one in stretches_of(batch, memory, window):
-                owner = one.owners(one.firsts)
-                edges = np.r_[np.flatnonzero(np.diff(owner, prepend=-1)), len(owner)]
+            for at, one in stretches_of(batch, memory):
+                edges = np.r_[np.flatnonzero(np.diff(one.owner, prepend=-1)), len(one.owner)]
                 for a, z in zip(edges[:-1], edges[1:]):
-                    text = int(owner[a])
+                    text = int(one.owner[a])
                     begin, words = int(one.starts[text]), one.split[text]
                     whole = b" ".join(words)
                     byte = np.r_[0, np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)].tolist()
@@ -270,27 +294,36 @@ def filter_over(hashes: DataFrame, size: int):
     return hashes.sparkSession.sparkContext.broadcast(bloom_of(hashes, bits))
 
 
-def scan(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int]:
-    """doc_id, n_words, words of every row, with key and hits (anchors that may repeat) where there are any; the
-    repeated anchors and their number."""
+def scan(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id, n_words, words of every row, with key and stretches of candidate windows where there are any; the repeated
+    anchors, if they are too many for the filter."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     counted = rows.select("text").mapInArrow(anchor_rows(window), "hash long").groupBy("hash").count()
     repeated = keep(counted.where("count > 1").select("hash"), "anchors")
     size = repeated.count()
-    schema = T.StructType().add("doc_id", docs.schema[doc_id].dataType).add("n_words", "long").add("words", "string").add("key", "binary").add("hits", T.ArrayType(T.LongType()))
-    scanned = keep(rows.mapInArrow(scanner(window, filter_over(repeated, size), to_arrow_type(schema[0].dataType)), schema), "scanned")
-    return scanned, repeated, size
+    exact = size * BITS_EACH > 1 << MAX_BITS
+    schema = T.StructType().add("doc_id", docs.schema[doc_id].dataType).add("n_words", "long").add("words", "string").add("key", "binary")
+    schema = schema.add("stretches", T.ArrayType(T.StructType().add("first", "integer").add("last", "integer"))).add("hits", T.ArrayType(T.LongType()))
+    found = rows.mapInArrow(scanner(window, filter_over(repeated, size), to_arrow_type(schema[0].dataType), exact), schema)
+    return keep(found, "scanned"), repeated if exact else None
+
+
+def distinct_texts(scanned: DataFrame, repeated: DataFrame | None, window: int) -> DataFrame:
+    """key, words, copies and stretches of each distinct text with candidate windows. With ``repeated``, when they are too
+    many for the filter, the anchors themselves decide which windows are candidates."""
+    column = "hits" if repeated is not None else "stretches"
+    texts = scanned.where("stretches IS NOT NULL").groupBy("key").agg(F.first("words").alias("words"), F.count("*").alias("copies"), F.first(column).alias(column))
+    texts = keep(texts, "texts")
+    if repeated is None:
+        return texts
+    known = texts.select("key", F.explode("hits").alias("hash")).join(repeated, "hash").groupBy("key").agg(F.collect_list("hash").alias("hits"))
+    refined = texts.drop("hits").join(known, "key").select("key", "words", "copies", "hits")
+    return keep(refined.mapInArrow(refiner(window), f"key binary, words string, copies long, stretches {SPANS}"), "refined")
 
 
-def repeated_spans(scanned: DataFrame, repeated: DataFrame, size: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts with candidate windows, and their repeated spans: key and spans, each a first word and the
-    word after the last."""
-    texts = scanned.where("hits is not null").groupBy("key").agg(F.count("*").alias("copies"), F.first("words").alias("words"), F.first("hits").alias("hits"))
-    texts = keep(texts, "texts")
-    if size * BITS_EACH > 1 << MAX_BITS:  # too many for the filter: the anchors themselves decide
-        exact = texts.select("key", F.explode("hits").alias("hash")).join(repeated, "hash").groupBy("key").agg(F.collect_list("hash").alias("hits"))
-        texts = keep(texts.drop("hits").join(exact, "key"), "texts")
-    nodes = texts.select("key", "words", "hits")
+def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
+    """key and repeated spans of distinct texts, each span a first word and the word after the last."""
+    nodes = texts.select("key", "words", "stretches")
     around = nodes.mapInArrow(node_rows(window), "key binary, node long, place int, around long").select("node", "around")
     ends = around.groupBy("node").agg(F.min("around").alias("low"), F.max("around").alias("high"))
     cut_nodes = keep(ends.where("low <> high").select(F.col("node").alias("hash")), "cut-nodes")
@@ -298,11 +331,11 @@ def repeated_spans(scanned: DataFrame, repeated: DataFrame, size: int, window: i
     placed = nodes.mapInArrow(node_rows(window, known), "key binary, node long, place int, around long")
     placed = placed.select("key", "place", F.col("node").alias("hash")).join(cut_nodes, "hash")
     cuts = keep(placed.groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("cuts")), "cuts")  # places of one text
-    pieces = texts.join(cuts, "key", "left").select("key", "words", "hits", "copies", "cuts")
+    pieces = texts.join(cuts, "key", "left").select("key", "words", "stretches", "copies", "cuts")
     pieces = keep(pieces.mapInArrow(piece_rows(window), f"key binary, digest binary, n long, places {SPANS}"), "pieces")
     again = pieces.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1").select("digest")
     spans = pieces.join(again, "digest").groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("spans"))  # of one text
-    return texts, keep(spans, "spans")
+    return keep(spans, "spans")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,13 +343,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     A window has two words or more."""
     if window < 2:
         raise ValueError("a window has two words or more")
-    scanned, repeated, size = scan(docs, window, doc_id, text)
-    texts, spans = repeated_spans(scanned, repeated, size, window)
+    scanned, repeated = scan(docs, window, doc_id, text)
+    texts = distinct_texts(scanned, repeated, window)
+    spans = repeated_spans(texts, window)
     cleaned = texts.select("key", "words").join(spans, "key").select("key", "spans", without("words", "spans").alias("w"))
     cleaned = keep(cleaned.select("key", "spans", "w.kept", "w.n_removed"), "cleaned")
     none = F.lit(None).cast(SPANS).alias("spans")
-    untouched = scanned.where("hits is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept"), none)
-    touched = scanned.where("hits is not null").join(cleaned, "key", "left")
+    untouched = scanned.where("stretches IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept"), none)
+    touched = scanned.where("stretches IS NOT NULL").join(cleaned, "key", "left")
     touched = touched.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept", "words").alias("kept"), "spans",
