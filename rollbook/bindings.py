@@ -12,6 +12,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dates import time_slice
+from .operators.ordered import ordered
 from .sources import load
 
 SQL = {
@@ -56,16 +58,17 @@ SQL = {
           ts + (event_id % 20 + 4) * INTERVAL '1' MINUTE AS trip_end_ts,
           CAST(round(value * 1000) AS BIGINT) AS distance_m
         FROM {events} WHERE event_type = 'purchase'""",
+    # versions of a name in time order; Spark numbers them in time slices (``versions``)
+    "b_version": """
+        SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_nr,
+          lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
+        FROM {events} WHERE event_type = 'view'""",
     "b_scd2": """
         SELECT domain_key, domain_name, version_nr, valid_from_ts, valid_to_ts, is_last_version FROM (
-          WITH v AS (SELECT event_id, user_id, ts,
-              row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version_nr,
-              lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts
-            FROM {events} WHERE event_type = 'view'),
-          k AS (SELECT event_id AS domain_key, user_id AS domain_name, CAST(version_nr AS INT) AS version_nr,
+          WITH k AS (SELECT event_id AS domain_key, user_id AS domain_name, CAST(version_nr AS INT) AS version_nr,
               ts AS valid_from_ts,
               coalesce(next_ts + (event_id % 3 - 1) * INTERVAL '1' HOUR, CAST('2999-12-31 00:00:00' AS {ntz})) AS valid_to_ts,
-              TRUE AS is_last_version FROM v)
+              TRUE AS is_last_version FROM {b_version} v)
           SELECT * FROM k
           UNION ALL
           SELECT domain_key + 1000000, domain_name, version_nr, valid_from_ts, valid_to_ts, is_last_version
@@ -113,10 +116,18 @@ BASE_TABLES = (
 ).split()
 
 
+def versions(events: DataFrame) -> DataFrame:
+    """``b_version`` without a window over all rows of a name."""
+    rows = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    return ordered(rows, ["user_id"], ["ts", "event_id"], time_slice(F.col("ts")), lead={"next_ts": "ts"}, position="version_nr")
+
+
 def frame(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The binding as a DataFrame."""
     text = SQL[name]
     used = {t: load(spark, root, t) for t in BASE_TABLES if "{" + t + "}" in text}
+    if "{b_version}" in text:
+        used["b_version"] = versions(load(spark, root, "events"))
     text = text.replace("{ntz}", "TIMESTAMP_NTZ").replace("{text}", "STRING")
     return spark.sql(text, **used)
 
@@ -125,7 +136,7 @@ def cte(*names: str) -> str:
     """``WITH`` list of the bindings for DuckDB (without the keyword)."""
     parts = []
     for name in names:
-        text = SQL[name].replace("{ntz}", "TIMESTAMP").replace("{text}", "VARCHAR")
+        text = SQL[name].replace("{b_version}", f"({SQL['b_version']})").replace("{ntz}", "TIMESTAMP").replace("{text}", "VARCHAR")
         parts.append(f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', text)})")
     return ", ".join(parts)
 

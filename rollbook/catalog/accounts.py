@@ -218,26 +218,36 @@ def user_marketing(t):
 
 @register(
     "q_domain_mrr",
-    """SELECT u.domain_name, u.users, c.cars, m.customer_ids, m.current_mrr_eur, s.domain_is_active, coalesce(m.current_mrr_eur >= 200000, FALSE) AS is_large
+    """SELECT u.domain_name, u.users, c.cars, m.customer_ids, m.current_mrr_eur, coalesce(m.current_mrr_eur >= 200000, FALSE) AS is_large,
+      s.* EXCLUDE (domain_name), p.user_id, p.email, p.first_name, p.last_name
     FROM (SELECT domain_id AS domain_name, count(*) FILTER (WHERE deleted_ts IS NULL AND user_id % 7 <> 0) AS users FROM b_user WHERE domain_id % 6 <> 0 GROUP BY 1) u
+    JOIN (SELECT domain_id AS domain_name, user_id, 'u' || user_id || '@d' || domain_id AS email, CASE WHEN user_id % 9 <> 0 THEN 'First ' || user_id % 9 END AS first_name, 'Last ' || user_id AS last_name
+      FROM b_user WHERE deleted_ts IS NULL AND user_id % 7 <> 0) p ON p.domain_name = u.domain_name
     LEFT JOIN (SELECT user_id % 20 AS domain_name, count(*) FILTER (WHERE event_id % 4 <> 0) AS cars FROM events WHERE event_type = 'view' AND user_id % 20 > 2 GROUP BY 1) c ON c.domain_name = u.domain_name
     LEFT JOIN (SELECT m.domain_id AS domain_name, string_agg(CAST(m.customer_id AS VARCHAR), '; ' ORDER BY CAST(m.customer_id AS VARCHAR)) AS customer_ids, sum(CAST(round(c_acctbal * 100) AS BIGINT)) / 100.0 AS current_mrr_eur
-      FROM b_customer m JOIN customer ON c_custkey = m.customer_id GROUP BY 1) m ON m.domain_name = u.domain_name
-    LEFT JOIN (SELECT user_id AS domain_name, bool_or(TRUE) AS domain_is_active FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1) s ON s.domain_name = u.domain_name""",
+      FROM b_customer m JOIN customer ON c_custkey = m.customer_id WHERE customer_id % 8 <> 0 GROUP BY 1) m ON m.domain_name = u.domain_name
+    LEFT JOIN (SELECT DISTINCT user_id AS domain_name, CASE WHEN user_id % 2 = 0 THEN 'fleet' ELSE 'single' END AS domain_customer_type, user_id % 5 <> 0 AS domain_is_active, user_id % 3 = 0 AS match_to_subscription,
+      CASE WHEN user_id % 3 = 0 THEN 'fleet' END AS subscription_customer_type, CASE WHEN user_id % 3 = 0 THEN 'active' END AS subscription_customer_status
+      FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)) s ON s.domain_name = u.domain_name""",
     uses="b_user b_customer",
     money="current_mrr_eur",
 )
 def domain_mrr(t):
-    users = t.b_user.select(F.col("domain_id").alias("domain_name"), "deleted_ts", (F.col("user_id") % 7 == 0).alias("is_locked"))
+    users = t.b_user.select(
+        F.col("domain_id").alias("domain_name"), "user_id", F.expr("concat('u', user_id, '@d', domain_id)").alias("email"), F.expr("CASE WHEN user_id % 9 <> 0 THEN concat('First ', user_id % 9) END").alias("first_name"),
+        F.expr("concat('Last ', user_id)").alias("last_name"), "deleted_ts", (F.col("user_id") % 7 == 0).alias("is_locked"),
+    )
     domains = users.select("domain_name").distinct().withColumn("is_test", F.col("domain_name") % 6 == 0)
     cars = t.events.filter("event_type = 'view'").select(
         F.when(F.col("user_id") % 20 > 2, F.col("user_id") % 20).otherwise(-F.col("user_id") - 1).alias("domain_name"), F.when(F.col("event_id") % 4 == 0, F.col("ts")).alias("ended_ts")
     )
-    linked = t.b_customer.select(F.col("domain_id").alias("domain_name"), "customer_id")
+    linked = t.b_customer.select(F.col("domain_id").alias("domain_name"), "customer_id", F.when(F.col("customer_id") % 8 == 0, 2).otherwise(1).alias("record_nr"))
     balances = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").cast("decimal(12,2)").alias("current_mrr_eur"))
-    report = t.events.select(F.col("user_id").alias("domain_name"), F.col("ts").cast("date").alias("reporting_date"), F.lit(True).alias("domain_is_active")).distinct()
-    rows = accounts.domain_mrr(users, domains, cars, linked, balances, report, 200000)
-    return rows.select("domain_name", "users", "cars", "customer_ids", "current_mrr_eur", "domain_is_active", "is_large")
+    report = t.events.selectExpr(
+        "user_id AS domain_name", "CAST(ts AS DATE) AS reporting_date", "IF(user_id % 2 = 0, 'fleet', 'single') AS domain_customer_type", "user_id % 5 <> 0 AS domain_is_active",
+        "user_id % 3 = 0 AS match_to_subscription", "IF(user_id % 3 = 0, 'fleet', NULL) AS subscription_customer_type", "IF(user_id % 3 = 0, 'active', NULL) AS subscription_customer_status",
+    ).distinct()
+    return accounts.domain_mrr(users, domains, cars, linked, balances, report, 200000)
 
 
 @register(

@@ -280,26 +280,70 @@ def class_balance(t):
     return features.class_balance(t.labels, "quality")
 
 
-# ---------------------------------------------------------------- model (no SQL equivalent)
+# ---------------------------------------------------------------- model
 
 INPUTS = ["subscription_length_36_mths", "subscription_length_12_mths", "billing_every_12_mths", "billing_every_1_mths", "has_discount", "mrr", "mrr_economy", "mrr_standard", "tenure_days"]
+FLAGS = [c for c in INPUTS if c.startswith(("subscription", "billing", "has_"))]
 
 
 def model_rows(t):
-    flags = [c for c in INPUTS if c.startswith(("subscription", "billing", "has_"))]
-    rows = features.encode_flags(feature_rows(t), flags).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in INPUTS if c.startswith("mrr")})
+    rows = features.encode_flags(feature_rows(t), FLAGS).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in INPUTS if c.startswith("mrr")})
     rows = rows.select("customer_id", F.col("churn_flag").cast("int").alias("churned"), *[F.col(c).cast("double").alias(c) for c in INPUTS])
     return features.standardise(materialise(rows), INPUTS)
 
 
-@register("q_logistic")
+def _model_sql() -> str:
+    """The standardised rows, with their bucket of 100 and fold of 5."""
+    plain = ", ".join(f"CAST(CASE WHEN {c} THEN 1 ELSE 0 END AS DOUBLE) AS {c}" if c in FLAGS else f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in INPUTS)
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / CASE stddev_pop({c}) OVER () WHEN 0 THEN 1 ELSE stddev_pop({c}) OVER () END AS {c}" for c in INPUTS)
+    number = "CAST(('0x' || substr(md5('42|' || customer_id), 1, 8)) AS BIGINT)"
+    return f"""inputs AS MATERIALIZED (SELECT customer_id, CAST(churn_flag AS INT) AS churned, {plain} FROM features),
+    scaled AS MATERIALIZED (SELECT customer_id, churned, {scaled}, {number} % 100 AS bucket, CAST({number} % 5 AS INT) AS fold FROM inputs)"""
+
+
+def _newton_sql(members: str) -> str:
+    """Newton steps of all models of ``members`` (model, x, y): moments, then Gauss-Jordan elimination by recursion."""
+    size = len(INPUTS) + 1
+    steps = [f"w0 AS (SELECT DISTINCT model, list_transform(range({size}), lambda i: 0.0::DOUBLE) AS w FROM members)"]
+    for s in range(model.STEPS):
+        steps.append(f"""scored{s} AS MATERIALIZED (SELECT m.model, x, y, 1 / (1 + exp(-list_inner_product(x, w))) AS p FROM members m JOIN w{s} USING (model)),
+    moments{s} AS (SELECT model, i, j, sum(CASE WHEN j = {size + 1} THEN x[i] * (p - y) ELSE x[i] * x[j] * p * (1 - p) END) AS v
+      FROM scored{s}, range(1, {size + 1}) AS a(i), range(1, {size + 2}) AS b(j) GROUP BY ALL),
+    start{s} AS (SELECT model, list(line ORDER BY i) AS m FROM (SELECT model, i, list(v + CASE WHEN i > 1 AND j = i THEN 1 WHEN i > 1 AND j = {size + 1} THEN w[i] ELSE 0 END ORDER BY j) AS line
+      FROM moments{s} JOIN w{s} USING (model) GROUP BY model, i) GROUP BY model),
+    solve{s} AS (SELECT model, 0 AS k, m FROM start{s} UNION ALL SELECT model, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN list_transform(r, lambda v: v / r[k + 1])
+        ELSE list_transform(list_zip(r, m[k + 1]), lambda z: z[1] - z[2] * r[k + 1] / m[k + 1][k + 1]) END) FROM solve{s} WHERE k < {size}),
+    w{s + 1} AS MATERIALIZED (SELECT model, list_transform(list_zip(w, m), lambda z: z[1] - z[2][{size + 1}]) AS w FROM w{s} JOIN solve{s} USING (model) WHERE k = {size})""")
+    return f"members AS MATERIALIZED ({members}), " + ", ".join(steps)
+
+
+X_SQL = "[1.0::DOUBLE, " + ", ".join(INPUTS) + "]"
+MARGIN_SQL = f"list_inner_product({X_SQL}, w)"
+
+
+@register(
+    "q_logistic",
+    f"""WITH RECURSIVE {_newton_sql(f"SELECT 0 AS model, {X_SQL} AS x, churned AS y FROM scaled WHERE bucket >= 20")}
+    SELECT customer_id, churned, {", ".join(f"round({c}, 6) AS {c}" for c in INPUTS)}, CASE WHEN {MARGIN_SQL} > 0 THEN 1 ELSE 0 END AS prediction
+    FROM scaled, w{model.STEPS} WHERE bucket < 20""",
+    uses="b_customer",
+    extra=f"{FEATURES}, {_model_sql()}",
+)
 def logistic(t):
     """Predicted churn of the held-out customers beside their features."""
     rows = model_rows(t)
     train, test = model.split(rows, "customer_id")
-    return model.predict(model.fit_logistic(train, INPUTS, "churned"), test, INPUTS)
+    return model.predict(model.fit_logistic(train, INPUTS, "churned"), test, INPUTS).withColumns({c: F.round(c, 6) for c in INPUTS})
 
 
-@register("q_cross_validate", money="accuracy")
+@register(
+    "q_cross_validate",
+    f"""WITH RECURSIVE {_newton_sql(f"SELECT CAST(model AS INT) AS model, {X_SQL} AS x, churned AS y FROM scaled, range(5) AS r(model) WHERE fold <> model")}
+    SELECT fold, CAST((2 * count(*) FILTER (WHERE churned = CASE WHEN {MARGIN_SQL} > 0 THEN 1 ELSE 0 END) * 10000 + count(*)) // (2 * count(*)) AS DOUBLE) / 10000 AS accuracy
+    FROM scaled JOIN w{model.STEPS} ON model = fold GROUP BY fold""",
+    uses="b_customer",
+    extra=f"{FEATURES}, {_model_sql()}",
+    money="accuracy",
+)
 def cross_validate(t):
     return model.cross_validate(model_rows(t), "customer_id", INPUTS, "churned")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, json, numbers, text
 from ..operators import aggregates as agg
 from ..operators import filters, intervals, items, joins, keyed, ordered, sets, snapshots
-from ..sources import export_layout, high_water_mark, incremental_slice, staged_projection
+from ..plans.features import reshape
+from ..session import shared_folder
+from ..sources import export_layout, high_water_mark, incremental_slice, load_csv, staged_projection
 from ..sources.export import ExportColumn
 from .base import register
 
@@ -22,6 +26,21 @@ def scan_region(t):
     return t.region.select("r_regionkey", "r_name")
 
 
+@register("q_scan_delimited", "SELECT c_custkey, c_name, c_mktsegment, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer")
+def scan_delimited(t):
+    """The customers as a delimited file with a header, read back with their stated schema."""
+    rows = t.customer.select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+    path = f"{shared_folder(t.spark)}/customers-{uuid.uuid4().hex}"
+    rows.write.csv(path, sep=";", header=True)
+    return load_csv(t.spark, path, rows.schema, ";")
+
+
+@register("q_drop_columns", "SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment FROM customer")
+def drop_columns(t):
+    """Columns left out by name and by pattern, the rest renamed."""
+    return reshape(t.customer, drop=["c_acctbal"], drop_like="key$", keep=["c_custkey"], rename={"c_custkey": "customer_id", "c_name": "customer_name", "c_mktsegment": "segment"})
+
+
 @register(
     "q_staged_events",
     "SELECT event_id AS evt_insert_id, ts AS evt_ts, user_id AS evt_user_id, event_type AS evt_type, value AS evt_value FROM events",
@@ -212,12 +231,7 @@ def anti_join(t):
     dates="date_key",
 )
 def date_spine(t):
-    days = intervals.expand_to_days(
-        t.b_contract.select("customer_id", "started_dt", "period_end_dt"), "started_dt", "period_end_dt", "1999-01-01", "1999-12-31"
-    )
-    return days.groupBy("date_key").agg(
-        F.count(F.lit(1)).alias("running_contracts"), F.count_distinct("customer_id").alias("running_customers")
-    )
+    return intervals.open_per_day(t.b_contract, "customer_id", "started_dt", "period_end_dt", "1999-01-01", "1999-12-31", "running_contracts", "running_customers")
 
 
 VALIDITY_SQL = f"""validity AS (SELECT car_id, odometer_km, reading_id, reading_ts AS valid_from,

@@ -28,7 +28,7 @@ def trips(t):
         ))
 
     return t.b_trip.withColumns({
-        "category": F.expr(CATEGORY), "adjustment_m": (F.col("trip_id") % 7) * 10,
+        "category": F.expr(CATEGORY), "adjustment_m": (F.col("trip_id") % 7) * 10, **{c: F.expr(e) for c, e in TRIP_PARTS.items()},
         "start_address": address("trip_id"), "end_address": address("car_id"),
     })
 
@@ -40,7 +40,18 @@ def cars(t):
     )
 
 
-TRIP_SQL = f"trip AS (SELECT *, {CATEGORY} AS category, (trip_id % 7) * 10 AS adjustment_m FROM b_trip)"
+# Every eleventh trip is merged: half of it private, whatever its category. {div} is whole division.
+MERGED = "trip_id % 11 = 0"
+KIND = {"business": 0, "commute": 1, "private": 2}
+TRIP_PARTS_SQL = {f"distance_{k}_m": f"CASE WHEN trip_id % 3 = {n} THEN distance_m - CASE WHEN {MERGED} THEN distance_m {{div}} 2 ELSE 0 END ELSE 0 END"
+                  + (f" + CASE WHEN {MERGED} THEN distance_m {{div}} 2 ELSE 0 END" if k == "private" else "") for k, n in KIND.items()}
+TRIP_PARTS_SQL |= {
+    "is_merged": MERGED, "contact_name": "CASE WHEN trip_id % 4 = 0 THEN concat('Name ', trip_id) END", "contact_company": "CASE WHEN trip_id % 4 = 0 THEN concat('Company ', car_id) END",
+    "reason": "CASE WHEN trip_id % 3 = 0 THEN 'visit' END", "driver": "concat('Driver ', car_id % 9)", "comment": "CASE WHEN trip_id % 13 = 0 THEN '' END",
+}
+TRIP_PARTS = {c: e.replace("{div}", "div") for c, e in TRIP_PARTS_SQL.items()}
+TRIP_SQL = f"""trip AS (SELECT *, {CATEGORY} AS category, (trip_id % 7) * 10 AS adjustment_m,
+    {", ".join(f"{e.replace('{div}', '//')} AS {c}" for c, e in TRIP_PARTS_SQL.items())} FROM b_trip)"""
 
 
 @register(
@@ -50,9 +61,9 @@ TRIP_SQL = f"trip AS (SELECT *, {CATEGORY} AS category, (trip_id % 7) * 10 AS ad
     row_number() OVER w AS trips_since_reading,
     CAST((2 * (s.odometer_km * 1000 + sum(s.driven_m) OVER w - s.driven_m) + 1000) // 2000 AS BIGINT) AS departure_km,
     CAST((2 * (s.odometer_km * 1000 + sum(s.driven_m) OVER w) + 1000) // 2000 AS BIGINT) AS arrival_km,
-    CASE WHEN category = 'BUSINESS' THEN (2 * distance_m + 1000) // 2000 ELSE 0 END AS business_km,
-    CASE WHEN category = 'COMMUTE' THEN (2 * distance_m + 1000) // 2000 ELSE 0 END AS commute_km,
-    CASE WHEN category = 'PRIVATE' THEN (2 * distance_m + 1000) // 2000 ELSE 0 END AS private_km,
+    (2 * distance_business_m + 1000) // 2000 AS business_km, (2 * distance_commute_m + 1000) // 2000 AS commute_km,
+    (2 * distance_private_m + 1000) // 2000 AS private_km, CASE WHEN is_merged THEN 'yes' ELSE 'no' END AS merged,
+    contact_name, contact_company, reason, driver, comment,
     {ADDRESS_SQL.format(id='s.trip_id')} AS start_address, {ADDRESS_SQL.format(id='s.car_id')} AS end_address
     FROM (SELECT t.*, v.reading_id, v.odometer_km, t.distance_m + t.adjustment_m AS driven_m FROM trip t JOIN validity v ON v.car_id = t.car_id AND {MATCH_SQL}) s
     JOIN b_user u ON u.user_id = s.car_id WINDOW w AS (PARTITION BY s.car_id, s.reading_id ORDER BY s.trip_start_ts, s.trip_id)""",
@@ -213,6 +224,25 @@ def fleet_trips(t):
     return rows.select(*keep)
 
 
+FLEET_CONTRACT = """SELECT c_custkey AS contract_id, CAST(c_custkey % 25 AS INT) AS domain_id, DATE '2024-01-01' + CAST(c_custkey % 20 AS INT) AS period_start_dt,
+    DATE '2024-01-01' + CAST(c_custkey % 20 + c_custkey % 12 - 1 AS INT) AS period_end_dt FROM {customer}"""
+
+
+@register(
+    "q_fleet_trip_counts",
+    """SELECT c.*, count(t.trip_id) AS trips, CAST(coalesce(sum(t.distance_m), 0) AS BIGINT) // 1000 AS distance_km FROM contract c
+    LEFT JOIN b_trip t ON t.car_id % 20 = c.domain_id AND CAST(t.trip_start_ts AS DATE) BETWEEN c.period_start_dt AND c.period_end_dt GROUP BY ALL""",
+    uses="b_trip",
+    extra="contract AS (" + FLEET_CONTRACT.replace("{customer}", "customer") + ")",
+    dates="period_start_dt period_end_dt",
+)
+def fleet_trip_counts(t):
+    """Trips of each contract's domain inside the contract's period."""
+    contracts = t.spark.sql(FLEET_CONTRACT, customer=t.customer)
+    trips = t.b_trip.select((F.col("car_id") % 20).cast("int").alias("domain_id"), "trip_start_ts", "distance_m")
+    return usage.period_trip_counts(contracts, trips, ["contract_id"])
+
+
 @register(
     "q_rollup_usage",
     """SELECT DISTINCT domain_name, feature_users, domain_users, CAST((2 * feature_users * 100 + domain_users) // (2 * domain_users) AS DOUBLE) / 100 AS share

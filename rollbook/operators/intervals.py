@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, shift_minutes
+from .ordered import ordered
 
 
 def expand_to_days(df: DataFrame, start: str, end: str, low, high, name: str = "date_key", inclusive: bool = False) -> DataFrame:
@@ -24,6 +25,30 @@ def expand_to_months(df: DataFrame, start: str, end: str, low, high, name: str =
     return df.withColumn(name, F.explode(months))
 
 
+def open_per_day(df: DataFrame, key: str, start: str, end: str, low, high, rows: str = "open_rows", keys: str = "open_keys") -> DataFrame:
+    """Per calendar day in [low, high] with any open interval [start, end): the open rows and their distinct keys.
+
+    No interval is expanded to its days. +1 is booked at an interval's first day and -1 at its end. The running sum of one
+    key's moves shows when the key opens its first interval and closes its last, however they overlap; those moments are
+    moves of their own, and the running sum of all moves over the calendar gives both counts. A key's running sum is cut
+    into months, so a key with very many intervals is spread. NULL keys count as rows only.
+    """
+    cut = df.select(F.col(key).alias("key"), F.greatest(F.col(start), day(low)).alias("first"), F.least(F.col(end), F.date_add(day(high), 1)).alias("last"))
+    both = F.array(F.struct(F.col("first").alias("date_key"), F.lit(1).alias("move")), F.struct(F.col("last").alias("date_key"), F.lit(-1).alias("move")))
+    booked = cut.filter("first < last").select("key", F.explode(both).alias("m")).select("key", "m.date_key", "m.move")
+    per_key = booked.groupBy("key", "date_key").agg(F.sum("move").alias("move"))
+    seen = ordered(per_key, ["key"], ["date_key"], F.trunc("date_key", "month"), running={"now": "move"})
+    before = F.col("now") - F.col("move")
+    turn = F.when((before == 0) & (F.col("now") > 0), 1).when((before > 0) & (F.col("now") == 0), -1).otherwise(0)
+    moves = seen.groupBy("date_key").agg(F.sum("move").alias("row_moves"), F.sum(F.when(F.col("key").isNotNull(), turn)).alias("key_moves"))
+    calendar = df.sparkSession.range(1).select(F.explode(F.sequence(day(low), day(high))).alias("date_key"))
+    so_far = Window.orderBy("date_key")  # one row per calendar day
+    days = calendar.join(moves, "date_key", "left").select(
+        "date_key", F.coalesce(F.sum("row_moves").over(so_far), F.lit(0)).alias(rows), F.coalesce(F.sum("key_moves").over(so_far), F.lit(0)).alias(keys)
+    )
+    return days.filter(F.col(rows) > 0)
+
+
 TIER = 32  # slices of a tier that make one slice of the next
 TIERS = 4  # days, some months, some years, some lifetimes
 

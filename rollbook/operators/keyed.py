@@ -37,6 +37,28 @@ def with_totals_by(df: DataFrame, *levels: tuple[list[str], dict[str, Column]])
     return out
 
 
+MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "any": F.bool_or}
+
+
+def spread_totals(df: DataFrame, keys: list[str], totals: dict[str, tuple[str, str]], parts: int = 32) -> DataFrame:
+    """Add totals per key, reading ``df`` once. totals: name -> (kind, column), kind one of sum, min, max, any.
+
+    Rows are exchanged once, a key's rows over ``parts`` parts by a hash of their columns. Each part is totalled where it
+    lies, one row of each part is merged per key, and the merged totals go back on the exchanged parts. Unlike
+    ``with_totals``, an expensive input is not computed a second time; a hot key meets in no task. Pass only the columns
+    you need: where some are dropped later, the two readers of the exchange differ and the input is read twice.
+    """
+    cut = df.withColumn("__k", F.struct(*keys, F.pmod(F.xxhash64(*df.columns), F.lit(parts)).alias("__part")))
+    part, key = Window.partitionBy("__k"), Window.partitionBy(*[F.col(f"__k.{k}") for k in keys])
+    rows = cut.select("*", *[MERGE[kind](column).over(part).alias(f"__p_{name}") for name, (kind, column) in totals.items()])
+    # ordered by all columns only to want them all: both readers of the exchange are then the same
+    ends = rows.withColumn("__after", F.lead(F.lit(1)).over(part.orderBy(*df.columns))).filter("__after IS NULL")
+    merged = ends.select(F.col("__k").alias("__of"), *[MERGE[kind](f"__p_{name}").over(key).alias(name) for name, (kind, _) in totals.items()])
+    joined = rows.join(merged, F.col("__k") == F.col("__of"), "left")
+    # a part's own total is never wanted, but it keeps the rows on the exchange that both readers share
+    return joined.select(*df.columns, *[F.coalesce(name, f"__p_{name}").alias(name) for name in totals])
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """First row per key under ``order``, which must end in a unique column.
 

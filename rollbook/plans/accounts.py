@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day
@@ -10,7 +10,7 @@ from ..functions.numbers import cents, euro, ratio, round_div
 from ..functions.text import email_domain, flag_labels, like_any, normalised
 from ..operators.aggregates import any_true, count_if, sum_if, text_list
 from ..operators.joins import join_on_expr
-from ..operators.keyed import first_value, latest_per_key, order_by_list, rows_at_max, with_totals, with_totals_by
+from ..operators.keyed import first_value, latest_per_key, order_by_list, rows_at_max, spread_totals
 
 # Gross-to-net divisor in hundredths, and the two classification tags.
 TAX_HUNDREDTHS = 119
@@ -51,7 +51,7 @@ def advisor_line_mrr(lines: DataFrame) -> DataFrame:
 
     Needs order_id, net_cents, discount_percentage, discount_cents, refund_net_cents, monthly_payment, has_full_refund.
     """
-    rows = with_totals(lines, ["order_id"], order_net=F.sum("net_cents"))
+    rows = lines.withColumn("order_net", F.sum("net_cents").over(Window.partitionBy("order_id")))  # the lines of one order are few
     net, total = F.col("net_cents"), F.col("order_net")
     refund = F.coalesce("refund_net_cents", F.lit(0))
     percent, amount = F.col("discount_percentage"), F.col("discount_cents")
@@ -96,7 +96,7 @@ def advisor_report(
         .join(regions, "receiver_email", "left")
         .withColumn("is_partner", F.coalesce("is_partner", F.lit(False)))
     )
-    rows = with_totals_by(rows, (["domain_name"], {"any_partner": F.bool_or("is_partner"), "mrr_domain": F.sum("mrr_order")}))
+    rows = spread_totals(rows, ["domain_name"], {"any_partner": ("any", "is_partner"), "mrr_domain": ("sum", "mrr_order")})
     central = F.coalesce(F.col("coupon_code").like(code_pattern), F.lit(False))
     or_central = lambda column: F.when(central, F.lit(call_centre[column])).otherwise(F.col(column)).alias(column)
     return rows.select(
@@ -193,19 +193,29 @@ def user_marketing_row(
     )
 
 
+STATUS = ("domain_customer_type", "domain_is_active", "match_to_subscription", "subscription_customer_type", "subscription_customer_status")
+
+
 def domain_mrr(
     users: DataFrame, domains: DataFrame, cars: DataFrame, domain_map: DataFrame, customers: DataFrame, status_report: DataFrame, large_from: int
 ) -> DataFrame:
-    """Users, cars, linked customers and revenue per domain, with the latest reported status."""
+    """One row per active user: users, cars, linked customers and revenue of the domain, with its latest reported status.
+
+    users: user_id, domain_name, email, first_name, last_name, deleted_ts, is_locked. domain_map: domain_name, customer_id,
+    record_nr (only the first record of a customer counts). status_report: domain_name, reporting_date and ``STATUS``.
+    """
     live = F.col("deleted_ts").isNull() & ~F.col("is_locked")
-    per_user = users.join(domains.filter("NOT is_test"), "domain_name", "left_semi").groupBy("domain_name").agg(count_if(live).alias("users"))
+    known = users.join(domains.filter("NOT is_test"), "domain_name", "left_semi")
+    per_user = known.groupBy("domain_name").agg(count_if(live).alias("users"))
     per_car = cars.groupBy("domain_name").agg(count_if(F.col("ended_ts").isNull()).alias("cars"))
-    linked = domain_map.join(customers.select("customer_id", "current_mrr_eur"), "customer_id", "left").groupBy("domain_name").agg(
+    linked = domain_map.filter("record_nr = 1").join(customers.select("customer_id", "current_mrr_eur"), "customer_id", "left").groupBy("domain_name").agg(
         text_list(F.col("customer_id").cast("string"), "; ", distinct=False).alias("customer_ids"), F.sum("current_mrr_eur").alias("current_mrr_eur")
     )
-    status = rows_at_max(status_report, [], "reporting_date").select("domain_name", "domain_is_active")
+    status = rows_at_max(status_report, [], "reporting_date").select("domain_name", *STATUS)
     rows = per_user.join(per_car, "domain_name", "left").join(linked, "domain_name", "left").join(status, "domain_name", "left")
-    return rows.withColumn("is_large", F.coalesce(F.col("current_mrr_eur") >= large_from, F.lit(False)))
+    rows = rows.withColumn("is_large", F.coalesce(F.col("current_mrr_eur") >= large_from, F.lit(False)))
+    people = known.filter(live).select("user_id", "domain_name", "email", "first_name", "last_name")
+    return rows.join(people, "domain_name")
 
 
 def user_items(users: DataFrame, domain_revenue: DataFrame, domain_items: DataFrame) -> DataFrame:

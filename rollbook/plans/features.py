@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from ..functions.dates import day
 from ..functions.numbers import ratio
 from ..operators.keyed import with_totals
 from ..operators.ordered import ordered
+from ..session import materialise
 
 LEAST_SLICES, SLICES_PER_PARTITION, DRAWN = 64, 4, 4
 
@@ -58,6 +61,12 @@ def drop_uninformative(df: DataFrame) -> DataFrame:
     return df.drop(*drop)
 
 
+def reshape(df: DataFrame, drop: list[str] = (), drop_like: str | None = None, keep: list[str] = (), rename: dict[str, str] | None = None) -> DataFrame:
+    """Leave out the columns named in ``drop`` and those whose name matches ``drop_like`` (``keep`` stays), then rename."""
+    left = [c for c in df.columns if c in keep or not (c in drop or (drop_like and re.search(drop_like, c)))]
+    return df.select(*[F.col(f"`{c}`").alias((rename or {}).get(c, c)) for c in left])
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """NULL count per column."""
     wide = df.agg(*[F.struct(F.count_if(F.col(c).isNull()).alias("nulls")).alias(c) for c in df.columns])
@@ -105,28 +114,32 @@ def churn_share(df: DataFrame, churned: str, amount: str) -> DataFrame:
     )
 
 
-def _ranked_values(df: DataFrame, columns: list[str], kind: str | None = None) -> DataFrame:
+def _ranked_values(df: DataFrame, columns: list[str], value=F.col) -> DataFrame:
     """Distinct non-NULL values per column (column, value, rows), cut into slices of about equal size in ascending order.
 
     Candidates are drawn by hash, of each hash bucket the value with the least hash, so they lie as the values do,
-    whatever their type and however alike they begin; every fourth of them in ascending order is a border. The columns
-    must have one type, or are cast to ``kind``.
+    whatever their type and however alike they begin; every fourth of them in ascending order is a border. A value finds
+    its slice in two steps, among the heads of blocks of borders and inside one block. ``value`` makes the values of all
+    columns of one type.
     """
-    value = lambda c: F.col(c).cast(kind) if kind else F.col(c)
     stacked = _stacked(df, columns, value).filter(F.col("value").isNotNull())
     values = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
     slices = max(LEAST_SLICES, SLICES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.xxhash64("value")
     drawn = values.groupBy("column", F.pmod(place, F.lit(DRAWN * slices)).alias("bucket")).agg(F.min_by("value", place).alias("border"))
-    border = F.filter(F.array_sort(F.collect_list("border")), lambda _, i: i % DRAWN == DRAWN - 1)
-    borders = drawn.groupBy("column").agg(border.alias("borders"))  # one row per column
-    below = F.size(F.filter("borders", lambda c: c <= F.col("value")))
-    return values.join(F.broadcast(borders), "column").select("column", "value", "rows", below.alias("slice"))
+    step = max(2, math.isqrt(slices))
+    sorted_ = drawn.groupBy("column").agg(F.array_sort(F.collect_list("border")).alias("drawn"))  # one row per column
+    borders = sorted_.select("column", F.filter("drawn", lambda _, i: i % DRAWN == DRAWN - 1).alias("borders"))
+    borders = borders.withColumn("heads", F.filter("borders", lambda _, i: i % step == 0))
+    upto = lambda array: F.size(F.filter(array, lambda c: c <= F.col("value")))
+    found = values.join(F.broadcast(borders), "column").withColumn("block", F.greatest(upto("heads"), F.lit(1)))
+    before = (F.col("block") - 1) * step
+    return found.select("column", "value", "rows", (before + upto(F.slice("borders", before + 1, step))).alias("slice"))
 
 
 def _quantiles(df: DataFrame, columns: list[str], shares: list[float], kind: str | None = None) -> DataFrame:
     """Interpolated quantiles q0, q1, .. per column that has a value, from value counts without a sort in one task."""
-    values = _ranked_values(df, columns, kind)
+    values = _ranked_values(df, columns, lambda c: F.col(c).cast(kind) if kind else F.col(c))
     upto = ordered(values, ["column"], ["value"], F.col("slice"), running={"upto": "rows"})
     rows = upto.join(F.broadcast(values.groupBy("column").agg(F.sum("rows").alias("n"))), "column")
     aggs, outs = [], []
@@ -184,20 +197,26 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by the rank of its value among the sorted distinct values, from 0; NULL ranks last.
 
-    Columns of one type are ranked together, in one scan.
+    All columns share one dictionary, whose values have a field for each type: it is ranked in one scan and kept, and each
+    column looks its codes up in it.
     """
-    kinds, out = dict(df.dtypes), df
-    for kind in dict.fromkeys(kinds[c] for c in columns):
-        same = [c for c in columns if kinds[c] == kind]
-        ranked = ordered(_ranked_values(df, same), ["column"], ["value"], F.col("slice"), position="code")
-        sizes = ranked.groupBy("column").agg(F.max("code").alias("size"))
-        size = sizes.agg(F.map_from_entries(F.collect_list(F.struct("column", "size"))).alias("__sizes"))  # one row
-        out = out.crossJoin(F.broadcast(size))
-        for c in same:
-            codes = ranked.filter(F.col("column") == c).select(F.col("value").alias(c), (F.col("code") - 1).alias("__code"))
-            last = F.coalesce(F.try_element_at("__sizes", F.lit(c)), F.lit(0))
-            out = out.join(codes, c, "left").withColumn(c, F.coalesce("__code", last)).drop("__code")
-        out = out.drop("__sizes")
+    kinds = dict(df.dtypes)
+    types = list(dict.fromkeys(kinds[c] for c in columns))
+    field = {kind: f"v{i}" for i, kind in enumerate(types)}
+
+    def value(c):
+        fields = [(F.col(c) if kind == kinds[c] else F.lit(None).cast(kind)).alias(field[kind]) for kind in types]
+        return F.when(F.col(c).isNotNull(), F.struct(*fields))
+
+    ranked = ordered(_ranked_values(df, columns, value), ["column"], ["value"], F.col("slice"), position="code")
+    codes = materialise(ranked.select("column", "value", "code"))
+    sizes = codes.groupBy("column").agg(F.max("code").alias("size"))
+    size = sizes.agg(F.map_from_entries(F.collect_list(F.struct("column", "size"))).alias("__sizes"))  # one row
+    out = df.crossJoin(F.broadcast(size))
+    for c in columns:
+        own = codes.filter(F.col("column") == c).select(F.col(f"value.{field[kinds[c]]}").alias(c), (F.col("code") - 1).alias("__code"))
+        last = F.coalesce(F.try_element_at("__sizes", F.lit(c)), F.lit(0))
+        out = out.join(own, c, "left").withColumn(c, F.coalesce("__code", last)).drop("__code")
     return out.select(*df.columns)
 
 

@@ -1,7 +1,8 @@
 """Odometer logbook: trips between odometer readings.
 
 Readings: car_id, reading_id, reading_ts, odometer_km (valid ones only). Trips: trip_id, car_id,
-trip_start_ts, trip_end_ts, distance_m, adjustment_m and any descriptive columns.
+trip_start_ts, trip_end_ts, distance_m, adjustment_m, the distances by kind (``KINDS``, a merged trip can have
+several), is_merged, category, addresses and the columns of ``NOTES``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from ..operators.intervals import contains_with_tolerance
 from ..operators.ordered import latest_before, ordered, validity_intervals
 
 
+KINDS = ("business", "commute", "private")
+NOTES = ("contact_name", "contact_company", "reason", "driver", "comment")
+
+
 def reading_intervals(readings: DataFrame, as_of, unit: str = "hour") -> DataFrame:
     """Each reading valid from its time until the next one of the car, the last until ``as_of``."""
     usable = readings.filter("odometer_km IS NOT NULL").dropDuplicates(["car_id", "reading_ts", "odometer_km"])
@@ -40,7 +45,8 @@ def odometer_logbook(
     """Odometer at departure and arrival of each trip: the reading plus the distance driven since it."""
     rows = trips_with_reading(readings, trips, as_of, tolerance_minutes, unit)
     rows = rows.select(
-        "car_id", "reading_id", "odometer_km", "trip_id", "trip_start_ts", "trip_end_ts", "category", "distance_m", "start_address", "end_address",
+        "car_id", "reading_id", "odometer_km", "trip_id", "trip_start_ts", "trip_end_ts", "category", "is_merged", "start_address", "end_address",
+        *[f"distance_{kind}_m" for kind in KINDS], *NOTES,
         (F.col("distance_m") + F.col("adjustment_m")).alias("driven_m"),
     )
     rows = ordered(
@@ -53,10 +59,11 @@ def odometer_logbook(
         "domain_name", "trip_id", "car_id", "licence_plate", "category",
         local_date(F.col("trip_start_ts")).alias("departure_dt"), local_date(F.col("trip_end_ts")).alias("arrival_dt"),
         "trips_since_reading", kilometres(at_start).alias("departure_km"), kilometres(at_end).alias("arrival_km"),
-        *[F.when(F.col("category") == c, round_div([F.col("distance_m")], [1000])).otherwise(0).alias(f"{c.lower()}_km")
-          for c in ("BUSINESS", "COMMUTE", "PRIVATE")],
+        *[round_div([F.col(f"distance_{kind}_m")], [1000]).alias(f"{kind}_km") for kind in KINDS],
+        F.when(F.col("is_merged"), "yes").otherwise("no").alias("merged"),
         format_address(F.col("start_address"), F.col("category")).alias("start_address"),
         format_address(F.col("end_address"), F.col("category")).alias("end_address"),
+        *NOTES,
     )
 
 

@@ -1,9 +1,15 @@
-"""Churn model with Spark ML: split, fit, predict, report, cross-validate."""
+"""Churn model: split, fit by Newton steps, predict, report, cross-validate.
+
+A step's gradient and Hessian are sums over the rows of a few features, so a step is one aggregation, whatever the number of
+rows and models; only these sums come to the driver, which solves for the next weights.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +30,57 @@ def split(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> t
     return df.filter(bucket >= cut), df.filter(bucket < cut)
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str) -> LogisticRegressionModel:
-    """Ridge-penalised logistic regression with unit inverse strength: penalty 1/n on unscaled features.
+STEPS = 8  # Newton steps; from zero weights and with a penalty, the last ones change nothing that matters
 
-    ``train`` is read more than once; pass a materialised frame when it is costly.
-    """
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(train).select("features", F.col(label).cast("double").alias("label"))
-    n = rows.count()
-    return LogisticRegression(regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=100).fit(rows)
 
+@dataclass(frozen=True)
+class Logistic:
+    """Weights of a fitted model."""
+
+    intercept: float
+    coefficients: list[float]
 
-def predict(model: LogisticRegressionModel, df: DataFrame, features: list[str]) -> DataFrame:
+    def margin(self, features: list[str]) -> Column:
+        """The linear score, positive for class 1."""
+        terms = [F.lit(w) * F.col(c).cast("double") for w, c in zip(self.coefficients, features)]
+        return reduce(lambda a, b: a + b, terms, F.lit(self.intercept))
+
+
+def newton_weights(rows: DataFrame, features: list[str], label: str, model: str, models: int, steps: int = STEPS) -> list[np.ndarray]:
+    """Weights (intercept first) of ridge-penalised logistic models with unit strength and a free intercept.
+
+    ``model`` numbers the model from 0 that a row belongs to. All models take their steps together.
+    """
+    inputs = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    size, ridge = len(inputs), np.diag([0.0] + [1.0] * len(features))
+    weights = [np.zeros(size) for _ in range(models)]
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+    for _ in range(steps):
+        known = F.array(*[F.array(*[F.lit(float(w)) for w in one]) for one in weights])
+        own = rows.withColumn("__w", F.get(known, F.col(model)))
+        score = reduce(lambda a, b: a + b, [F.get("__w", F.lit(i)) * x for i, x in enumerate(inputs)])
+        own = own.withColumn("__p", 1 / (1 + F.exp(-score)))
+        p = F.col("__p")
+        sums = [F.sum(x * (p - F.col(label).cast("double"))).alias(f"g{i}") for i, x in enumerate(inputs)]
+        sums += [F.sum(inputs[i] * inputs[j] * p * (1 - p)).alias(f"h{i}_{j}") for i, j in pairs]
+        for row in own.groupBy(model).agg(*sums).collect():
+            w, hessian = weights[row[model]], np.zeros((size, size))
+            for i, j in pairs:
+                hessian[i, j] = hessian[j, i] = row[f"h{i}_{j}"]
+            gradient = np.array([row[f"g{i}"] for i in range(size)])
+            weights[row[model]] = w - np.linalg.solve(hessian + ridge, gradient + ridge @ w)
+    return weights
+
+
+def fit_logistic(train: DataFrame, features: list[str], label: str) -> Logistic:
+    """One model of all rows. ``train`` is read once per step; pass a materialised frame when it is costly."""
+    (weights,) = newton_weights(train.withColumn("__model", F.lit(0)), features, label, "__model", 1)
+    return Logistic(float(weights[0]), [float(w) for w in weights[1:]])
+
+
+def predict(model: Logistic, df: DataFrame, features: list[str]) -> DataFrame:
     """All columns of ``df`` with the predicted class beside them."""
-    rows = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(df))
-    return rows.select(*df.columns, F.col("prediction").cast("int").alias("prediction"))
+    return df.withColumn("prediction", F.when(model.margin(features) > 0, 1).otherwise(0))
 
 
 def classification_report(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -85,12 +128,14 @@ def accuracy(predicted: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, key: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
-    """Accuracy per fold; the fold of a row follows from its key."""
+    """Accuracy per fold; the fold of a row follows from its key. The models of all folds are fitted together."""
     rows = materialise(df.withColumn("__fold", bucket_of(key, folds)))
-    out = None
-    for fold in range(folds):
-        model = fit_logistic(rows.filter(F.col("__fold") != fold), features, label)
-        held_out = predict(model, rows.filter(F.col("__fold") == fold), features)
-        score = accuracy(held_out, label, "prediction").select(F.lit(fold).alias("fold"), "accuracy")
-        out = score if out is None else out.unionByName(score)
-    return out
+    others = F.array_remove(F.array(*map(F.lit, range(folds))), F.col("__fold"))
+    weights = newton_weights(rows.withColumn("__model", F.explode(others)), features, label, "__model", folds)
+    fitted = [Logistic(float(w[0]), [float(x) for x in w[1:]]) for w in weights]
+    margin = F.lit(None).cast("double")
+    for fold, model in enumerate(fitted):
+        margin = F.when(F.col("__fold") == fold, model.margin(features)).otherwise(margin)
+    hit = F.count_if(F.col(label) == F.when(margin > 0, 1).otherwise(0))
+    scores = rows.groupBy("__fold").agg(ratio(hit, F.count(F.lit(1)), 4).alias("accuracy"))
+    return scores.select(F.col("__fold").alias("fold"), "accuracy")

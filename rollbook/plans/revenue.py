@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, months_between_whole, years_between_whole
-from ..functions.numbers import cents, dec, euro, round_div
+from ..functions.numbers import cents, dec, euro, ratio, round_div
 from ..operators.aggregates import has_value, priority_status, sum_if
 from ..operators.filters import exclude_value, is_running
 from ..operators.joins import two_grain
-from ..operators.keyed import latest_per_key, with_totals, with_totals_by
+from ..operators.keyed import join_null_safe, latest_per_key, with_totals, with_totals_by
+from ..session import materialise
 
 # Status priority of a customer group, and the excluded kind of contract.
 STATUS_PRIORITY = ["active", "future", "in_trial", "non_renewing", "cancelled"]
 GHOST_CONTRACT = "ghost contract"
 DEFAULT_TAX_FACTOR = "1.19"
+# Creators that are services, not people.
+SERVICE_CREATORS = ["new-user-checkout", "contract-renewal", "importer"]
 
 
 def product_terms(monthly: Column, product_name: Column, long_term_pattern: str) -> Column:
@@ -52,31 +55,81 @@ def refund_share(df: DataFrame) -> DataFrame:
     })
 
 
+def resolve_subscriptions(rows: DataFrame, plans: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """One subscription_id per (contract_id, plan_id) of ``rows``.
+
+    A plan has up to two codes (plan_code before plan_code_nbr); each gives a candidate ``contract_code``. The first
+    candidate that is a known subscription wins; without any, the id is the contract with a digest of the plan. All
+    candidates are looked up in one join of the distinct pairs.
+    """
+    pairs = rows.select("contract_id", "plan_id").distinct()
+    codes = F.array(*[F.struct(F.lit(i).alias("priority"), F.col(c).alias("code")) for i, c in enumerate(("plan_code", "plan_code_nbr"))])
+    coded = pairs.join(plans.select("plan_id", "plan_code", "plan_code_nbr"), "plan_id").select("contract_id", "plan_id", F.explode(codes).alias("c"))
+    candidates = coded.select("contract_id", "plan_id", "c.priority", F.concat("contract_id", F.lit("_"), "c.code").alias("subscription_id"))
+    known = candidates.join(subscriptions.select("subscription_id").distinct(), "subscription_id")
+    first = known.groupBy("contract_id", "plan_id").agg(F.min_by("subscription_id", "priority").alias("known_id"))
+    digest = F.concat("contract_id", F.lit("_"), F.md5("plan_id"))
+    return join_null_safe(pairs, first, ["contract_id", "plan_id"]).select("contract_id", "plan_id", F.coalesce("known_id", digest).alias("subscription_id"))
+
+
+def first_dates(rows: DataFrame) -> DataFrame:
+    """First and last dates of each line's customer, subscription and subscription terms; each key set is aggregated once."""
+    kept = F.col("has_full_refund") == F.lit(False)
+    when = lambda condition, value: F.when(kept & condition, value) if condition is not None else F.when(kept, value)
+    start, month = F.col("start_dt"), F.trunc("start_dt", "month")
+    return with_totals_by(
+        rows,
+        (["customer_id"], {
+            "first_created_dt": F.min("created_dt"), "first_order_dt": F.min(when(None, start)),
+            "valid_to_dt": F.coalesce(F.max(when(None, F.col("end_dt"))), F.max("end_dt")),
+        }),
+        (["subscription_id"], {
+            "first_monthly_mth": F.min(when(F.col("monthly_payment"), month)),
+            "first_long_term_dt": F.min(when(F.col("product_terms").like("3%"), start)),
+        }),
+        (["subscription_id", "product_family", "product_terms"], {"first_terms_dt": F.min(when(None, F.col("created_dt")))}),
+    )
+
+
 def invoice_mrr(
-    lines: DataFrame, orders: DataFrame, products: DataFrame, coupons: DataFrame, refunds: DataFrame, long_term_pattern: str,
-    invoice_required_from: str | None = None,
+    lines: DataFrame, orders: DataFrame, products: DataFrame, coupons: DataFrame, refunds: DataFrame, long_term_pattern: str, as_of,
+    invoice_required_from: str | None = None, billing: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Monthly recurring revenue per invoice line.
 
     A percentage discount (the coupon's, else the order's) scales the net price. An amount discount is
     shared over the order's lines - by net price for monthly, by gross price for yearly billing - and
     reduced by tax. Yearly prices are divided by twelve, cents by one hundred.
+
+    ``billing`` holds the billing system's frames: customers (customer_id, billing_customer_id), plans and subscriptions.
+    Lines of its customers carry their billing ids (see ``resolve_subscriptions``), all others the contract's.
     """
     refunded = refunds.groupBy("invoice_id").agg(F.sum("refund_net_cents").alias("refund_net_cents"))
     live = exclude_value(orders, "cancelation_reason", GHOST_CONTRACT)
     if invoice_required_from:
         live = live.filter(F.col("invoice_id").isNotNull() | (F.col("created_dt") < day(invoice_required_from)))
     sold = exclude_value(lines, "opcode", "D").join(live, "order_key").join(products, "product_key")
-    # totals come from the narrow sold lines, aggregated to orders, before the wide joins
-    per_order = sold.groupBy("order_id", "customer_id", "created_dt").agg(
-        F.sum("net_cents").alias("order_net_cents"), F.sum("gross_cents").alias("order_gross_cents")
-    )
-    first = per_order.groupBy("customer_id").agg(F.min("created_dt").alias("first_created_dt"))
-    totals = per_order.join(first, "customer_id").drop("customer_id", "created_dt")
-    rows = sold.join(totals, "order_id").join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
+    monthly = F.col("monthly_payment")
+    sold = sold.withColumn("product_terms", F.coalesce(product_terms(monthly, F.col("product_name"), long_term_pattern), F.lit("one-time")))
+    if billing:
+        sold = sold.join(billing["customers"].select("customer_id", "billing_customer_id"), "customer_id", "left")
+        resolved = resolve_subscriptions(sold.filter("billing_customer_id IS NOT NULL"), billing["plans"], billing["subscriptions"])
+        sold = join_null_safe(sold, resolved, ["contract_id", "plan_id"])
+        billed = F.col("billing_customer_id").isNotNull()
+        sold = sold.withColumns({
+            "subscription_id": F.when(billed, F.col("subscription_id")).otherwise(F.col("contract_id")),
+            "customer_id": F.coalesce("billing_customer_id", F.col("customer_id").cast("string")),
+        })
+    else:
+        sold = sold.withColumn("subscription_id", F.col("contract_id"))
+    # five aggregates read the sold lines; the joins behind them are done once
+    sold = materialise(sold)
+    totals = sold.groupBy("order_id").agg(F.sum("net_cents").alias("order_net_cents"), F.sum("gross_cents").alias("order_gross_cents"))
+    last_end = sold.groupBy("contract_id").agg(F.max("end_dt").alias("last_end_dt"))
+    rows = first_dates(sold).join(totals, "order_id").join(last_end, "contract_id").join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
 
     net, gross = F.col("net_cents"), F.col("gross_cents")
-    amount, monthly = F.col("discount_cents"), F.col("monthly_payment")
+    amount = F.col("discount_cents")
     percent = F.when(F.col("discount_type") == "percentage", F.col("discount_value")).otherwise(F.col("discount_percentage"))
     percent = dec(percent, 10, 2)
     tax = F.coalesce(1 + dec(F.col("tax_rate"), 4, 2), F.lit(DEFAULT_TAX_FACTOR).cast("decimal(5,2)"))
@@ -86,39 +139,47 @@ def invoice_mrr(
     hundredfold = F.when(percent > 0, net * (100 - cents(percent))).when(amount > 0, (net - off) * 100).otherwise(net * 100)
     per_month = round_div([hundredfold], [100, billing_months(monthly)])
     relevant = (F.col("net_cents") > 0) & (F.col("is_recurring") | F.col("is_subsequent_recurring"))
+    status, ended = status_and_end(
+        F.col("contract_status"), F.col("last_end_dt"), F.col("contract_canceled_dt"), F.col("contract_modified_dt"), as_of
+    )
+    creator = F.split_part(F.col("creator_urn"), F.lit("/"), F.lit(2))
 
     rows = rows.withColumns({
         "is_mrr_relevant": F.coalesce(relevant, F.lit(False)),
         "discount_kind": F.when(percent > 0, "percentage").when(amount > 0, "amount"),
         "discount_value_eur": F.when(percent > 0, percent).when(amount > 0, euro(by_gross)),
-        "product_terms": F.coalesce(product_terms(monthly, F.col("product_name"), long_term_pattern), F.lit("one-time")),
+        "discount_share": ratio(amount, F.col("order_gross_cents"), 3),
         "mrr_eur": euro(F.coalesce(F.when(relevant, per_month), F.lit(0))),
         "refund_net_cents": F.coalesce("refund_net_cents", F.lit(0)),
-        "is_first_invoice": F.col("created_dt") == F.col("first_created_dt"),
         "is_new_invoice": F.coalesce(~F.col("creator_urn").like("%renewal%"), F.lit(False)),
         "invoice_id": F.coalesce("invoice_id", F.concat(F.lit("o-"), F.col("order_id").cast("string"))),
+        "status_code": status, "terminated_dt": ended,
+        "creator": F.when((creator != "") & ~creator.isin(SERVICE_CREATORS), creator),
     })
     return refund_share(rows).select(
-        "invoice_id", F.col("contract_id").alias("subscription_id"), "customer_id", "created_dt", "invoice_status", "start_dt", "end_dt",
-        "is_first_invoice", "is_new_invoice", F.lower(F.btrim("coupon_code")).alias("coupon_code"), "discount_kind", "discount_value_eur",
+        "invoice_id", "subscription_id", "customer_id", "created_dt", "invoice_status", "start_dt", "end_dt",
+        (F.col("created_dt") == F.col("first_created_dt")).alias("is_first_invoice"), "is_new_invoice", "creator",
+        "status_code", "terminated_dt", "first_order_dt", "valid_to_dt", "first_monthly_mth", "first_long_term_dt", "first_terms_dt",
+        F.lower(F.btrim("coupon_code")).alias("coupon_code"), "discount_kind", "discount_value_eur", "discount_share",
         "has_refund", "has_full_refund", "product_id", "product_name", F.col("product_family").alias("product_group"), "product_terms",
         "mrr_eur", "refund_mrr_eur", F.col("quantity").alias("item_quantity"), "refund_item_quantity",
     )
 
 
-def contract_status(df: DataFrame, as_of) -> DataFrame:
-    """Status code per row: 0 cancelled, 1 non-renewing, 2 active; and the termination date.
+def status_and_end(status: Column, last_end: Column, canceled: Column, modified: Column, as_of) -> tuple[Column, Column]:
+    """Status code (0 cancelled, 1 non-renewing, 2 active) and termination date of a contract.
 
     An active contract counts as cancelled once its last provisioning ended over six months ago.
-    Needs contract_id, status, end_dt, canceled_dt, modified_dt.
     """
+    lapsed = last_end < F.add_months(day(as_of), -6)
+    code = F.when((status == "active") & lapsed, 0).when(status == "terminated", 0).when(status == "canceled", 1).when(status == "active", 2)
+    return code, F.when((status != "active") | lapsed, F.coalesce(canceled, modified))
+
+
+def contract_status(df: DataFrame, as_of) -> DataFrame:
+    """Status code and termination date per row. Needs contract_id, status, end_dt, canceled_dt, modified_dt."""
     rows = with_totals(df, ["contract_id"], last_end_dt=F.max("end_dt"))
-    lapsed = F.col("last_end_dt") < F.add_months(day(as_of), -6)
-    status = F.col("status")
-    code = (
-        F.when((status == "active") & lapsed, 0).when(status == "terminated", 0).when(status == "canceled", 1).when(status == "active", 2)
-    )
-    ended = F.when((status != "active") | lapsed, F.coalesce("canceled_dt", "modified_dt"))
+    code, ended = status_and_end(F.col("status"), F.col("last_end_dt"), F.col("canceled_dt"), F.col("modified_dt"), as_of)
     return rows.withColumns({"status_code": code, "terminated_dt": ended})
 
 
@@ -150,6 +211,27 @@ def product_revenue(lines: DataFrame, as_of, groups: dict[str, list[str]], skip:
     return rows.groupBy("customer_id").agg(*aggs)
 
 
+def car_side_counts(cars: DataFrame, settings: DataFrame, inventory: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """Per domain: running cars, running cars with tracking and with tracking by the driver, running bookable cars.
+
+    cars: domain_id, ended_ts. settings: domain_id, vehicle_urn, has_tracking, has_dynamic_tracking. inventory: domain_id,
+    resource_urn, is_bookable. vehicles: vehicle_id, ended_ts; an urn names its vehicle behind the first slash.
+    """
+    running = vehicles.filter("ended_ts IS NULL").select(F.col("vehicle_id").cast("string").alias("vehicle_id"))
+    of_urn = lambda df, urn: df.withColumn("vehicle_id", F.split_part(F.col(urn), F.lit("/"), F.lit(2))).join(running, "vehicle_id")
+    tracked = of_urn(settings.filter("has_tracking OR has_dynamic_tracking"), "vehicle_urn")
+    booked = of_urn(inventory.filter("is_bookable"), "resource_urn")
+    kinds = {
+        "cars": cars.filter("ended_ts IS NULL"), "tracked_cars": tracked.filter("has_tracking"),
+        "dynamic_cars": tracked.filter("has_dynamic_tracking"), "bookable_cars": booked,
+    }
+    counted = None
+    for kind, df in kinds.items():
+        part = df.select("domain_id", F.lit(kind).alias("kind"))
+        counted = part if counted is None else counted.unionByName(part)
+    return counted.groupBy("domain_id").agg(*[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds])
+
+
 def licence_check(
     revenue: DataFrame, domain_map: DataFrame, configurations: DataFrame, cars: DataFrame, flags: list[str], car_counts: dict[str, str]
 ) -> DataFrame:
@@ -240,27 +322,32 @@ def map_product(col: Column, named: list[str]) -> Column:
     return F.when(col.isin(named), col).otherwise(F.when(col.isNotNull(), F.lit("Other")))
 
 
-def customer_value(report: DataFrame, named: list[str]) -> DataFrame:
-    """Initial, current, last non-zero revenue and lifetime expansion per customer and product.
+def customer_value(report: DataFrame, named: list[str], country_groups: dict[str, str], other_countries: str) -> DataFrame:
+    """Initial, current, last non-zero revenue and lifetime expansion per customer, country group, status and product.
 
-    Needs customer_id, reporting_month, product_group, mrr_eur, mrr_eur_new, mrr_change (expansion plus
-    contraction) and churn_mth.
+    Needs customer_id, customer_country, customer_status, is_fleet, flag_future, reporting_month, product_group, mrr_eur,
+    mrr_eur_new, mrr_change (expansion plus contraction) and churn_mth. Only past months of fleet customers are valued;
+    the churn month is the last one marked in any row of the customer.
     """
+    churned = report.filter("churn_mth").groupBy("customer_id").agg(F.max("reporting_month").alias("churn_month"))
+    group = F.lit(other_countries)
+    for country, name in country_groups.items():
+        group = F.when(F.col("customer_country") == country, name).otherwise(group)
+    valued = report.filter("is_fleet AND NOT flag_future").withColumns({"country_group": group, "product": map_product(F.col("product_group"), named)})
     rows = with_totals_by(
-        report.withColumn("product", map_product(F.col("product_group"), named)),
+        valued,
         (["customer_id"], {
             "last_month": F.max("reporting_month"),
             "last_value_month": F.max(F.when(F.col("mrr_eur") > 0, F.col("reporting_month"))),
-            "churn_month": F.max(F.when(F.col("churn_mth"), F.col("reporting_month"))),
         }),
         (["customer_id", "reporting_month"], {"month_change": F.sum("mrr_change")}),
-    )
+    ).join(churned, "customer_id", "left")
     month = F.col("reporting_month")
     first = F.coalesce(F.col("mrr_eur_new") > 0, F.lit(False))
     current, expanding = month == F.col("last_month"), F.coalesce(F.col("month_change") > 0, F.lit(False))
     last_value = F.coalesce(month == F.col("last_value_month"), F.lit(False))
     amount = lambda flag, col: F.coalesce(sum_if(flag, F.col(col)), F.lit(0))
-    return rows.filter(first | current | expanding | last_value).groupBy("customer_id", "churn_month", "product").agg(
+    return rows.filter(first | current | expanding | last_value).groupBy("customer_id", "country_group", "customer_status", "churn_month", "product").agg(
         amount(first, "mrr_eur").alias("mrr_eur_initial"),
         amount(current, "mrr_eur").alias("mrr_eur_current"),
         amount(last_value, "mrr_eur").alias("mrr_eur_last_value"),

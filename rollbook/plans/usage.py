@@ -11,7 +11,7 @@ from ..functions.numbers import dec, ratio
 from ..functions.text import like_any
 from ..operators.aggregates import count_if, count_over_rollup, text_list
 from ..operators.filters import lookback
-from ..operators.ordered import crossing_time, event_pairs
+from ..operators.ordered import crossing_time, event_pairs, latest_before, ordered
 from ..operators.sets import union_tagged
 
 # Fixed values of the activation rules.
@@ -194,6 +194,28 @@ def fleet_trips(products: DataFrame, customers: DataFrame, users: DataFrame, tri
     })
 
 
+def period_trip_counts(contracts: DataFrame, trips: DataFrame, contract_keys: list[str], domain: str = "domain_id") -> DataFrame:
+    """Trips and whole kilometres of a contract's domain in its period [period_start_dt, period_end_dt].
+
+    Contracts and trips of a domain are never joined. Trips are summed per domain and day, the days to running totals;
+    each contract looks the total up before its period and at its end, and the difference is what the period holds. Work
+    grows with contracts plus days, also where one domain has most of both. ``contract_keys`` identify a contract.
+    """
+    per_day = trips.groupBy(domain, F.col("trip_start_ts").cast("date").alias("day_dt")).agg(F.count(F.lit(1)).alias("trips"), F.sum("distance_m").alias("metres"))
+    months = F.trunc("day_dt", "month")
+    upto = ordered(per_day, [domain], ["day_dt"], months, running={"trips_upto": "trips", "metres_upto": "metres"}).select(domain, "day_dt", "trips_upto", "metres_upto")
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), F.date_sub("period_start_dt", 1).alias("at_dt")), F.struct(F.lit(1).alias("sign"), F.col("period_end_dt").alias("at_dt")))
+    bounds = contracts.select(domain, *contract_keys, "period_start_dt", "period_end_dt", F.explode(ends).alias("e")).select("*", "e.*").drop("e")
+    found = latest_before(bounds, upto, [domain], F.col("at_dt"), "day_dt", ["day_dt"], "month")
+    held = lambda column: F.coalesce(F.sum(F.col("sign") * F.col(column)), F.lit(0))
+    counted = found.groupBy(domain, *contract_keys, "period_start_dt", "period_end_dt").agg(held("trips_upto").alias("trips"), held("metres_upto").alias("metres"))
+    nothing = F.col("period_end_dt") < F.col("period_start_dt")
+    return counted.select(
+        domain, *contract_keys, "period_start_dt", "period_end_dt", F.when(nothing, 0).otherwise(F.col("trips")).alias("trips"),
+        F.when(nothing, 0).otherwise(F.expr("metres div 1000")).alias("distance_km"),
+    )
+
+
 def rollup_usage(users: DataFrame, group: Column, uses: Column) -> DataFrame:
     """Per domain: users with the feature and all users of its main domain. Domains without use are left out."""
     counted = count_over_rollup(users.withColumn("__uses", F.when(uses, F.lit(1))), group, "domain_users")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on; they can be changed on a live session.
@@ -41,6 +43,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; on one machine, one below the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    folder, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master) and re.match(r"file:|/", folder):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+    return f"{folder}/_shared"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """A frame that several jobs read, computed once: checkpointed in the folder that spark.checkpoint.dir names.
 

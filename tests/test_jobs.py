@@ -1,10 +1,13 @@
 """Jobs on hand-written rows."""
 
-from datetime import date, datetime
+import hashlib
+import random
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from rollbook.plans import churn, features, logbook, migration, orders, revenue, usage
+from rollbook.plans import accounts, churn, features, logbook, migration, orders, revenue, usage
 
 DAY = date(2024, 1, 1)
 
@@ -17,8 +20,8 @@ def shop(rows, discount_percentage=None, discount_cents=None, coupon=None, month
     orders_ = rows(
         "order_key int, order_id string, invoice_id string, invoice_status string, contract_id string, customer_id string, created_dt date, start_dt date, end_dt date, "
         "coupon_code string, discount_percentage decimal(10,2), discount_cents long, tax_rate decimal(4,2), has_refund boolean, has_full_refund boolean, "
-        "cancelation_reason string, creator_urn string",
-        (1, "o1", "R1", "paid", "V1", "K1", DAY, DAY, date(2025, 1, 1), coupon, discount_percentage, discount_cents, None, refund > 0, full_refund, None, "checkout"),
+        "cancelation_reason string, creator_urn string, contract_status string, contract_canceled_dt date, contract_modified_dt date",
+        (1, "o1", "R1", "paid", "V1", "K1", DAY, DAY, date(2025, 1, 1), coupon, discount_percentage, discount_cents, None, refund > 0, full_refund, None, "checkout", "active", None, None),
     )
     products = rows(
         "product_key int, product_id string, product_name string, product_family string, monthly_payment boolean, is_recurring boolean, is_subsequent_recurring boolean",
@@ -27,7 +30,7 @@ def shop(rows, discount_percentage=None, discount_cents=None, coupon=None, month
     coupons = rows("coupon_code string, discount_type string, discount_value decimal(10,2)", ("C", "percentage", None))
     coupons = coupons.withColumn("discount_value", F.lit(0.5).cast("decimal(10,2)"))
     refunds = rows("invoice_id string, refund_net_cents long", ("R1", refund // 2), ("R1", refund - refund // 2))
-    out = revenue.invoice_mrr(lines, orders_, products, coupons, refunds, "%3y%")
+    out = revenue.invoice_mrr(lines, orders_, products, coupons, refunds, "%3y%", "2024-06-01")
     return {r["product_id"]: r for r in out.collect()}
 
 
@@ -186,7 +189,12 @@ def test_logbook_boundaries(rows):
         (4, 1, t(11, 30), t(12, 20), 9000, 0, "BUSINESS", None, None),  # reading in the middle: no interval holds both ends
         (5, 1, t(7), t(7, 30), 1, 0, "BUSINESS", None, None),  # before the first reading
     )
+    notes = {c: F.concat(F.lit(f"{c} "), F.col("trip_id").cast("string")) for c in logbook.NOTES}
+    halves = {"distance_business_m": F.expr("distance_m * 6 div 10"), "distance_private_m": F.expr("distance_m * 4 div 10"), "distance_commute_m": F.lit(0)}
+    trips = trips.withColumns({"is_merged": F.col("trip_id") == 1, **halves, **notes})
     cars = rows("car_id int, domain_name string, licence_plate string", (1, "d", "B-X 1"))
+    merged = logbook.odometer_logbook(readings, trips, cars, t(20)).filter("merged = 'yes'").first()  # 10.4 km of two kinds
+    assert tuple(merged[c] for c in ("trip_id", "business_km", "commute_km", "private_km", "driver")) == (1, 6, 0, 4, "driver 1")
     got = {r["trip_id"]: (r["departure_km"], r["arrival_km"], r["trips_since_reading"]) for r in logbook.odometer_logbook(readings, trips, cars, t(20)).collect()}
     assert got == {1: (1000, 1011, 1), 2: (1011, 1021, 2), 3: (2000, 2005, 1)}
     audit = {(r["trip_id"], r["reading_id"]): (r["start_fits"], r["end_fits"]) for r in logbook.odometer_join_audit(readings, trips, t(20)).collect()}
@@ -327,3 +335,91 @@ def test_profiles_of_all_columns_in_few_scans(spark, rows):
     for make in (lambda d: features.describe(d, ["x1", "x2", "x3", "x4"]), features.column_cardinality):
         plan = make(spark.range(10).selectExpr("id AS x1", "id AS x2", "id * 2 AS x3", "id AS x4"))._jdf.queryExecution().optimizedPlan().toString()
         assert "Expand" not in plan
+
+
+def test_subscription_ids_follow_the_order_of_candidates(rows):
+    lines = rows("contract_id string, plan_id string", ("V1", "p1"), ("V1", "p1"), ("V1", "p2"), ("V2", "p1"), ("V2", "p3"), ("V3", None))
+    plans = rows("plan_id string, plan_code string, plan_code_nbr string", ("p1", "a", "b"), ("p2", None, "c"))
+    known = rows("subscription_id string", ("V1_a",), ("V1_b",), ("V1_c",), ("V2_b",))
+    got = {(r["contract_id"], r["plan_id"]): r["subscription_id"] for r in revenue.resolve_subscriptions(lines, plans, known).collect()}
+    assert got == {("V1", "p1"): "V1_a", ("V1", "p2"): "V1_c", ("V2", "p1"): "V2_b", ("V2", "p3"): "V2_" + hashlib.md5(b"p3").hexdigest(), ("V3", None): None}
+
+
+def test_first_dates_skip_full_refunds(rows):
+    df = rows(
+        "customer_id string, subscription_id string, product_family string, product_terms string, monthly_payment boolean, has_full_refund boolean, created_dt date, start_dt date, end_dt date",
+        ("K", "S", "Track", "36 mths, monthly payment", True, False, date(2024, 2, 1), date(2024, 2, 15), date(2025, 2, 1)),
+        ("K", "S", "Track", "12 mths, yearly payment", False, False, date(2024, 1, 1), date(2024, 1, 5), date(2024, 9, 1)),
+        ("K", "S", "Track", "36 mths, monthly payment", True, True, date(2023, 1, 1), date(2023, 1, 5), date(2030, 1, 1)),
+        ("L", "T", "Track", "12 mths, yearly payment", False, None, date(2023, 1, 1), date(2023, 1, 5), date(2024, 1, 1)),
+    )
+    got = {(r["customer_id"], r["product_terms"], r["created_dt"]): r for r in revenue.first_dates(df).collect()}
+    one = got[("K", "36 mths, monthly payment", date(2024, 2, 1))]
+    assert (one["first_created_dt"], one["first_order_dt"], one["valid_to_dt"]) == (date(2023, 1, 1), date(2024, 1, 5), date(2025, 2, 1))
+    assert (one["first_monthly_mth"], one["first_long_term_dt"], one["first_terms_dt"]) == (date(2024, 2, 1), date(2024, 2, 15), date(2024, 2, 1))
+    other = got[("L", "12 mths, yearly payment", date(2023, 1, 1))]
+    assert other["first_order_dt"] is None and other["valid_to_dt"] == date(2024, 1, 1) and other["first_terms_dt"] is None
+
+
+def test_customer_value_counts_past_fleet_months_but_any_churn(rows):
+    month = lambda m: date(2024, m, 1)
+    schema = """customer_id string, customer_country string, customer_status string, is_fleet boolean, flag_future boolean, reporting_month date, product_group string,
+        mrr_eur decimal(10,2), mrr_eur_new decimal(10,2), mrr_change decimal(10,2), churn_mth boolean"""
+    dec = lambda x: Decimal(x)
+    df = rows(
+        schema,
+        ("K", "GB", "active", True, False, month(1), "Geo", dec(10), dec(10), dec(0), False), ("K", "GB", "active", True, False, month(2), "Geo", dec(12), dec(0), dec(2), False),
+        ("K", "GB", "active", True, True, month(9), "Geo", dec(99), dec(0), dec(9), True),  # future: its churn counts, its value does not
+        ("K", "GB", "active", False, False, month(3), "Geo", dec(50), dec(0), dec(0), False), ("L", "AT", "active", False, False, month(1), "Geo", dec(5), dec(5), dec(0), False),
+    )
+    (r,) = revenue.customer_value(df, ["Geo"], {"GB": "UK"}, "DACH").collect()
+    assert (r["customer_id"], r["country_group"], r["churn_month"], r["product"]) == ("K", "UK", month(9), "Geo")
+    assert [float(r[c]) for c in ("mrr_eur_initial", "mrr_eur_current", "mrr_eur_last_value", "expansion_eur")] == [10, 12, 12, 2]
+
+
+def test_car_side_counts_by_urn(rows):
+    cars = rows("domain_id int, ended_ts timestamp_ntz", (1, None), (1, None), (1, datetime(2024, 1, 1)), (2, None))
+    vehicles = rows("vehicle_id string, ended_ts timestamp_ntz", ("a", None), ("b", datetime(2024, 1, 1)), ("c", None))
+    settings = rows("domain_id int, vehicle_urn string, has_tracking boolean, has_dynamic_tracking boolean", (1, "urn:x/a", True, True), (1, "urn:x/b", True, False), (2, "urn:x/c", False, True), (2, "urn:x/zz", True, True))
+    inventory = rows("domain_id int, resource_urn string, is_bookable boolean", (1, "urn:y/c/more", True), (1, "urn:y/a", False), (3, "none", True))
+    got = {r["domain_id"]: tuple(r)[1:] for r in revenue.car_side_counts(cars, settings, inventory, vehicles).collect()}
+    assert got == {1: (2, 1, 1, 1), 2: (1, 0, 1, 0)}
+
+
+def test_trips_in_periods_of_a_hot_domain(spark):
+    rng = random.Random(4)
+    t0 = datetime(2024, 1, 1)
+    trips = [(1 if rng.random() < 0.7 else rng.randrange(2, 6), t0 + timedelta(hours=rng.randrange(24 * 200)), rng.randrange(5000)) for _ in range(1500)]
+    contracts = []
+    for i in range(200):
+        start = date(2024, 1, 1) + timedelta(days=rng.randrange(-20, 210))
+        contracts.append((i, 1 if i % 2 else rng.randrange(2, 8), start, start + timedelta(days=rng.randrange(-1, 90))))
+    got = usage.period_trip_counts(
+        spark.createDataFrame(contracts, "contract_id int, domain_id int, period_start_dt date, period_end_dt date"),
+        spark.createDataFrame(trips, "domain_id int, trip_start_ts timestamp_ntz, distance_m long"), ["contract_id"],
+    )
+    want = {}
+    for i, d, a, b in contracts:
+        inside = [m for e, ts, m in trips if e == d and a <= ts.date() <= b]
+        want[i] = (len(inside), sum(inside) // 1000)
+    assert {r["contract_id"]: (r["trips"], r["distance_km"]) for r in got.collect()} == want
+
+
+def test_reshape_drops_by_name_and_pattern(rows):
+    df = rows("a_key int, b_key int, note string, c int", (1, 2, "x", 3))
+    out = features.reshape(df, drop=["c"], drop_like="key$", keep=["a_key"], rename={"a_key": "id"})
+    assert out.columns == ["id", "note"] and tuple(out.first()) == (1, "x")
+
+
+def test_domain_revenue_has_a_row_per_active_user(rows):
+    users = rows("user_id int, domain_name string, email string, first_name string, last_name string, deleted_ts timestamp_ntz, is_locked boolean",
+                 (1, "d", "a@d", "A", None, None, False), (2, "d", "b@d", "B", "C", None, False), (3, "d", "c@d", None, None, None, True), (4, "t", "x@t", None, None, None, False))
+    domains = rows("domain_name string, is_test boolean", ("d", False), ("t", True))
+    cars = rows("domain_name string, ended_ts timestamp_ntz", ("d", None), ("d", datetime(2024, 1, 1)))
+    linked = rows("domain_name string, customer_id string, record_nr int", ("d", "K1", 1), ("d", "K2", 1), ("d", "K3", 2))
+    customers = rows("customer_id string, current_mrr_eur decimal(12,2)", ("K1", Decimal(100)), ("K2", Decimal(150)), ("K3", Decimal(900)))
+    report = rows(f"domain_name string, reporting_date date, {accounts.STATUS[0]} string, {accounts.STATUS[1]} boolean, {accounts.STATUS[2]} boolean, {accounts.STATUS[3]} string, {accounts.STATUS[4]} string",
+                  ("d", date(2024, 1, 1), "old", False, False, None, None), ("d", date(2024, 2, 1), "fleet", True, True, "fleet", "active"))
+    got = {r["user_id"]: r for r in accounts.domain_mrr(users, domains, cars, linked, customers, report, 200).collect()}
+    assert set(got) == {1, 2}
+    assert all((r["users"], r["cars"], r["customer_ids"], float(r["current_mrr_eur"]), r["is_large"], r["domain_customer_type"]) == (2, 1, "K1; K2", 250.0, True, "fleet") for r in got.values())

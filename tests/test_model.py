@@ -29,8 +29,8 @@ def newton(data, steps=25):
 def test_coefficients_match_direct_solution(spark):
     data, df = sample(spark)
     fitted = model.fit_logistic(df, ["a", "b"], "y")
-    got = [fitted.intercept, *fitted.coefficients.toArray()]
-    assert np.allclose(got, newton(data), atol=1e-4)
+    got = [fitted.intercept, *fitted.coefficients]
+    assert np.allclose(got, newton(data), atol=1e-8)
 
 
 def test_split_does_not_depend_on_partitioning(spark):
@@ -65,3 +65,14 @@ def test_cross_validation_scores_every_fold(spark):
     _, df = sample(spark)
     scores = model.cross_validate(df, "id", ["a", "b"], "y", folds=3).collect()
     assert sorted(r["fold"] for r in scores) == [0, 1, 2] and all(0.5 < float(r["accuracy"]) <= 1 for r in scores)
+
+
+def test_folds_are_fitted_without_their_own_rows(spark):
+    data, df = sample(spark)
+    bucket = {r["id"]: r["b"] for r in df.select("id", model.bucket_of("id", 3).alias("b")).collect()}
+    right = {f: [] for f in range(3)}
+    for fold in range(3):
+        w = newton([r for r in data if bucket[r[0]] != fold])
+        right[fold] = [int(w[0] + w[1] * r[1] + w[2] * r[2] > 0) == r[3] for r in data if bucket[r[0]] == fold]
+    got = {r["fold"]: float(r["accuracy"]) for r in model.cross_validate(df, "id", ["a", "b"], "y", folds=3).collect()}
+    assert got == {f: round(sum(hits) / len(hits), 4) for f, hits in right.items()}

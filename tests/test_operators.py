@@ -87,6 +87,41 @@ def test_sliced_windows_read_their_input_once(spark):
     assert scans(ordered.latest_before(events, points, ["user_id"], F.col("ts"), "since", ["point"]).select("event_id", "point")) == 2
 
 
+def test_spread_totals_equal_totals_and_read_once(spark):
+    data, df = skewed(spark)
+    df = df.withColumn("odd", F.col("x") % 2 == 1).withColumn("key", F.nullif("key", F.lit("k3")))
+    wanted = {"total": F.sum("x"), "low": F.min("ts"), "high": F.max("id"), "any_odd": F.bool_or("odd")}
+    kinds = {"total": ("sum", "x"), "low": ("min", "ts"), "high": ("max", "id"), "any_odd": ("any", "odd")}
+    got = keyed.spread_totals(df, ["key"], kinds, parts=5)
+    assert sorted(got.collect(), key=str) == sorted(keyed.with_totals(df, ["key"], **wanted).collect(), key=str)
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", "value")
+    assert scans(keyed.spread_totals(events, ["user_id"], {"total": ("sum", "value")})) == 1
+
+
+def test_open_per_day_equals_counting_each_day(spark):
+    """Overlapping, touching, empty and ten-year intervals, NULL keys; one key has most rows. No row per key and day."""
+    rng = random.Random(8)
+    low, high = date(2020, 1, 1), date(2020, 3, 31)
+    spans = []
+    for i in range(400):
+        key = None if i % 41 == 0 else 1 if rng.random() < 0.4 else rng.randrange(2, 60)
+        start = low + timedelta(days=rng.randrange(-60, 100))
+        spans.append((key, start, start + timedelta(days=rng.choice([0, 1, 3, 10, 3650, -2]))))
+    spans += [(99, date(2015, 1, 1), date(2025, 1, 1)), (100, date(2019, 1, 1), low), (101, high, None), (102, None, high)]
+    df = spark.createDataFrame(spans, "key int, s date, e date")
+    got = {r["date_key"]: (r["open_rows"], r["open_keys"]) for r in intervals.open_per_day(df, "key", "s", "e", low, high).collect()}
+    want = {}
+    clipped = [(k, max(s or low, low), min(e or high + timedelta(days=1), high + timedelta(days=1))) for k, s, e in spans]
+    for n in range((high - low).days + 1):
+        day = low + timedelta(days=n)
+        inside = [k for k, s, e in clipped if s <= day < e]
+        if inside:
+            want[day] = (len(inside), len({k for k in inside if k is not None}))
+    assert got == want
+    plan = intervals.open_per_day(df, "key", "s", "e", low, high)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "NestedLoop" not in plan  # the calendar is folded, no interval is expanded
+
+
 def test_interval_join_equals_nested_loop(spark):
     data, facts = skewed(spark, n=400)
     spans, _ = skewed(spark, n=120, seed=5)
@@ -184,6 +219,34 @@ def test_correction_replaces_only_given_rows(rows):
     assert sorted(tuple(r) for r in snapshots.apply_correction(df, fix, "k", "v").collect()) == [(1, 10), (2, 21)]
 
 
+def test_repair_of_a_hot_name_equals_plain_steps(spark):
+    """A third of all versions belongs to one name, in several slices of keys, with repeated versions."""
+    rng, as_of = random.Random(2), datetime(2024, 6, 1)
+    versions = []
+    for i in range(900):
+        name = "hot" if i % 3 == 0 else f"n{rng.randrange(200)}"
+        start = T0 + timedelta(hours=rng.randrange(5000))
+        key = i * 997 if name == "hot" else i
+        versions.append((key, name, rng.randrange(1, 400), start, start + timedelta(hours=rng.randrange(900)), True))
+    df = spark.createDataFrame(versions, "domain_key long, domain_name string, version_nr int, valid_from_ts timestamp_ntz, valid_to_ts timestamp_ntz, is_last_version boolean")
+    kept = {}
+    for v in sorted(versions):
+        kept.setdefault((v[1], v[2]), list(v))
+    groups = defaultdict(list)
+    for v in sorted(kept.values()):
+        groups[v[1]].append(v)
+    want = []
+    for group in groups.values():
+        ends, starts = [v[4] for v in group], []
+        for i, v in enumerate(group):
+            starts.append(ends[i - 1] if i and ends[i - 1] > v[3] and ends[i - 1] < as_of else v[3])
+        for i, v in enumerate(group):
+            after = starts[i + 1] if i + 1 < len(group) else None
+            end = after if after and after < v[4] and after < as_of else v[4]
+            want.append((v[0], v[1], v[2], starts[i], end, not end < as_of))
+    assert sorted(map(tuple, snapshots.repair_scd2(df, as_of).collect())) == sorted(want)
+
+
 def test_repaired_versions_do_not_overlap(rows):
     far = datetime(2999, 12, 31)
     df = rows(
