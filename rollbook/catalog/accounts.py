@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-
-
+from ..operators import lists
 from ..plans import accounts
 from .base import register
 from .revenue import rdiv
@@ -291,6 +289,30 @@ def string_agg(t):
     return accounts.customer_configuration(domain_map, domains)
 
 
+PIECES_SQL = """SELECT {keys}, CAST((n - 1) // 500 AS INT) AS piece, count(*) AS n_values, string_agg(v, '; ' ORDER BY v) AS "values"
+    FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY v) AS n FROM ({source}) s) t GROUP BY 1, 2"""
+
+
+@register(
+    "q_text_list_pieces",
+    PIECES_SQL.format(keys="l_returnflag", source="SELECT DISTINCT l_returnflag, CAST(l_orderkey AS VARCHAR) AS v FROM lineitem"),
+)
+def text_list_pieces(t):
+    """The orders of each return flag as a sorted list in pieces: three groups hold all rows."""
+    return lists.text_list_pieces(t.lineitem, ["l_returnflag"], "l_orderkey", "; ", piece_values=500, slice_values=2000)
+
+
+@register(
+    "q_customer_list_pieces",
+    PIECES_SQL.format(keys="domain_id", source="SELECT domain_id, CAST(customer_id % 97 AS VARCHAR) AS v FROM b_customer"),
+    uses="b_customer",
+)
+def customer_list_pieces(t):
+    """Linked customers of each domain as a sorted list in pieces, repeats kept."""
+    linked = t.b_customer.select("domain_id", (F.col("customer_id") % 97).alias("number"))
+    return lists.text_list_pieces(linked, ["domain_id"], "number", "; ", distinct=False, piece_values=500, slice_values=20)
+
+
 @register(
     "q_crm_links",
     """SELECT DISTINCT l.l_orderkey AS deal_id, s.s_name AS owner_name, o.o_custkey AS customer_id FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.dates import time_slice
 from rollbook.operators import aggregates as agg
-from rollbook.operators import filters, intervals, joins, keyed, ordered, sets, snapshots
+from rollbook.operators import filters, intervals, joins, keyed, lists, ordered, sets, snapshots
 
 from .conftest import DATA
 
@@ -122,6 +122,30 @@ def test_open_per_day_equals_counting_each_day(spark):
     assert "sequence(" not in plan and "NestedLoop" not in plan  # the calendar is folded, no interval is expanded
 
 
+def test_text_list_pieces_join_to_the_whole_list(spark):
+    """One group has most values, many begin alike; NULL keys and values; pieces are bounded and in order."""
+    rng = random.Random(6)
+    data = []
+    for _ in range(3000):
+        key = "hot" if rng.random() < 0.7 else None if rng.random() < 0.1 else f"k{rng.randrange(9)}"
+        data.append((key, None if rng.random() < 0.05 else f"Customer#{rng.randrange(1500):06d}"))
+    df = spark.createDataFrame(data + [("empty", None)], "key string, v string").repartition(5)
+    for distinct in (True, False):
+        pieces = defaultdict(list)
+        for r in lists.text_list_pieces(df, ["key"], "v", distinct=distinct, piece_values=64, slice_values=100).collect():
+            pieces[r["key"]].append((r["piece"], r["n_values"], r["values"]))
+        want = defaultdict(list)
+        for key, v in data:
+            if v is not None:
+                want[key].append(v)
+        assert set(pieces) == set(want)
+        for key, values in want.items():
+            values = sorted(set(values) if distinct else values)
+            found = sorted(pieces[key])
+            assert ",".join(text for _, _, text in found) == ",".join(values)
+            assert [n for _, n, _ in found] == [len(values[i : i + 64]) for i in range(0, len(values), 64)] and [p for p, _, _ in found] == list(range(len(found)))
+
+
 def test_interval_join_equals_nested_loop(spark):
     data, facts = skewed(spark, n=400)
     spans, _ = skewed(spark, n=120, seed=5)
