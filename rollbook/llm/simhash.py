@@ -7,7 +7,10 @@ segments (the first equal, the second equal but for one masked bit: 64 keys of s
 longer chains prune the pairs of a bucket before the full Hamming check.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. A bucket gives a spanning forest of its links,
-not all pairs. Components come from rounds of hooking and contraction over written tables.
+not all pairs. A bucket of very many fingerprints is split among tasks by the chain's third segment: at most two bits
+differ in it, so of its three parts one is equal, and members meet in the bucket of each part. Which buckets are split is
+guessed from a sample; results do not depend on it. Components come from rounds of hooking and contraction over written
+tables.
 
 Defined results: null, empty and blank texts have fingerprint zero; a text with fewer words than a shingle has one
 shingle, the whole sequence. Rows without an id take part, but ``component_id`` is the smallest id that is not null
@@ -25,12 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .decontaminate import bloom_of
 from .frames import as_row, keep, tidy
 
 BITS = 64
 DISTANCE = 4
 WORDS = 4
 SEED = 42
+SPLIT = 50_000  # members of a bucket that is split
+SAMPLED = 32  # one fingerprint of so many tells which buckets are large
+FILTER_BITS = (20, 30)  # Bloom filter over the fingerprints of larger groups: 128 KB to 128 MB
 HASH_BLOCK = 1 << 16  # shingles hashed at a time
 BIT_TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -114,12 +121,12 @@ def bucket_links(values: np.ndarray, steps: list[tuple[int, int]]) -> tuple[np.n
 
 
 def links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (slot, bits): links of each run of equal keys."""
+    """Rows sorted by (slot, bits, part): links of each run of equal keys."""
     steps, rest = chains(), None
     names = ["a", "b"]
 
-    def solve(slot, bits, fp, final):
-        edge = np.flatnonzero((slot[1:] != slot[:-1]) | (bits[1:] != bits[:-1])) + 1
+    def solve(slot, bits, part, fp, final):
+        edge = np.flatnonzero((slot[1:] != slot[:-1]) | (bits[1:] != bits[:-1]) | (part[1:] != part[:-1])) + 1
         starts, ends = np.r_[0, edge], np.r_[edge, len(slot)]
         keep_from = len(slot) if final else starts[-1]
         out_a, out_b = [], []
@@ -128,27 +135,56 @@ def links_of_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 a, b = bucket_links(fp[s:e], steps[slot[s]])
                 out_a.append(a)
                 out_b.append(b)
-        cut = (slot[keep_from:], bits[keep_from:], fp[keep_from:])
+        cut = (slot[keep_from:], bits[keep_from:], part[keep_from:], fp[keep_from:])
         a = np.concatenate(out_a).view(np.int64) if out_a else np.empty(0, np.int64)
         b = np.concatenate(out_b).view(np.int64) if out_b else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names), cut
 
+    held: list = []  # batches that end in the same, unfinished run
     for batch in batches:
-        now = tuple(batch.column(i).to_numpy() for i in range(3))
-        now = (now[0], now[1], now[2].view(np.uint64))
-        if rest is not None and len(rest[0]):
-            now = tuple(np.concatenate(x) for x in zip(rest, now))
-        if len(now[0]):
-            out, rest = solve(*now, final=False)
-            yield out
-    if rest is not None and len(rest[0]):
-        yield solve(*rest, final=True)[0]
+        slot, bits, part, fp = (batch.column(i).to_numpy() for i in range(4))
+        now = (slot, bits, part, fp.view(np.uint64))
+        if not len(slot):
+            continue
+        held.append(now)
+        first = held[0]
+        if (slot[-1], bits[-1], part[-1]) == (first[0][0], first[1][0], first[2][0]):
+            continue  # one run so far: nothing to solve, and nothing to copy again
+        out, rest = solve(*(np.concatenate(x) for x in zip(*held)), final=False)
+        held = [rest]
+        yield out
+    if held:
+        yield solve(*(np.concatenate(x) for x in zip(*held)), final=True)[0]
+
+
+def third_parts(slot: str = "slot", fp: str = "fp"):
+    """The chain's third segment in three parts, each numbered with its bits."""
+    ring, out, last = segments(), None, 0
+    for start in range(len(ring)):
+        at, width = ring[(start + 2) % len(ring)]
+        cuts = [width * i // 3 for i in range(4)]
+        parts = F.array(*[
+            F.lit(i + 1) * (1 << BITS // 4) + F.shiftrightunsigned(F.col(fp), at + low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+            for i, (low, high) in enumerate(zip(cuts, cuts[1:]))
+        ])
+        last += ring[(start + 1) % len(ring)][1]
+        out = F.when(F.col(slot) < last, parts) if out is None else out.when(F.col(slot) < last, parts)
+    return out
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that join every pair of distinct fingerprints within the distance, directly or over others."""
-    keyed = distinct.select("fp", F.explode(ring_keys()).alias("key")).select("key.slot", "key.bits", "fp")
-    parted = keyed.repartition("slot", "bits").sortWithinPartitions("slot", "bits", "fp")
+    keys = lambda df: df.select("fp", F.explode(ring_keys()).alias("key")).select("key.slot", "key.bits", "fp")
+    keyed, whole = keys(distinct), F.lit(0).cast("long")
+    counts = keys(distinct.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)).groupBy("slot", "bits").agg(F.count("*").alias("n"))
+    large = keep(counts.where(F.col("n") > SPLIT / SAMPLED).select("slot", "bits", F.lit(True).alias("large")), "large-buckets")
+    if large.isEmpty():
+        dealt = keyed.withColumn("part", whole)
+    else:
+        dealt = keyed.join(large, ["slot", "bits"], "left")
+        dealt = dealt.withColumn("part", F.explode(F.when(F.col("large"), third_parts()).otherwise(F.array(whole))))
+    dealt = dealt.select("slot", "bits", "part", "fp")
+    parted = dealt.repartition("slot", "bits", "part").sortWithinPartitions("slot", "bits", "part", "fp")
     found = parted.mapInArrow(links_of_buckets, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -176,12 +212,13 @@ def roots(pairs: DataFrame, label: str = "links") -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """(fp, root, component_id) per distinct fingerprint of rows (doc_id, fp) that are written already."""
-    first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    """(fp, root, component_id, size) per distinct fingerprint of rows (doc_id, fp) that are written already; size is the
+    component's number of rows."""
+    first = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     joined = first.join(roots(links(first)).withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = keep(joined.select("fp", F.coalesce("root", "fp").alias("root"), "least"), "labelled")
-    least = keep(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    return keep(labelled.join(least, "root").select("fp", "root", "component_id"), "components")
+    labelled = keep(joined.select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "labelled")
+    least = keep(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("size")), "least")
+    return keep(labelled.join(least, "root").select("fp", "root", "component_id", "size"), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,11 +228,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(components(prints), "fp").select("doc_id", hexed, "component_id")
 
 
+def may_hold(known):
+    """A column function: whether a Bloom filter may hold a hash."""
+
+    @F.arrow_udf(T.BooleanType())
+    def held(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for hashes in batches:
+            yield pa.array(known.value.hits(hashes.to_numpy().view(np.uint64)))
+
+    return held
+
+
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id (any one where none has an id), with all columns."""
+    """One document of each component, the one with the smallest id (any one where none has an id), with all columns.
+
+    Documents alone in their component stay where they are: a bounded Bloom filter over the fingerprints of larger
+    components lets them pass, and only what it may hold is exchanged whole.
+    """
     own_id, own_text = F.col("row").getField(doc_id), F.col("row").getField(text)
     printed = keep(as_row(docs).select("row", fingerprints(own_text).alias("fp")), "printed")
-    prints = keep(printed.select(own_id.alias("doc_id"), "fp"), "fingerprints")
+    groups = components(keep(printed.select(own_id.alias("doc_id"), "fp"), "fingerprints"))
+    shared = keep(groups.where("size > 1").select(F.xxhash64("fp").alias("hash")), "shared")
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * shared.count()).bit_length()))
+    held = may_hold(docs.sparkSession.sparkContext.broadcast(bloom_of(shared, bits)))(F.xxhash64("fp"))
+    alone = printed.where(~held).select("row.*")
     # an id may occur in several fingerprints or rows of its group: the rows that carry the least id are few per group
-    first = printed.join(components(prints), "fp").where(own_id.eqNullSafe(F.col("component_id")))
-    return first.dropDuplicates(["root"]).select("row.*")
+    first = printed.where(held).join(groups, "fp").where(own_id.eqNullSafe(F.col("component_id")))
+    return alone.unionByName(first.dropDuplicates(["root"]).select("row.*"))

@@ -69,6 +69,28 @@ def test_links_join_what_all_pairs_join(spark):
             assert (got.get(signed[i], i) == got.get(signed[j], -1 - j)) == (groups[i] == groups[j])
 
 
+def test_split_buckets_give_the_same_components(spark, monkeypatch):
+    """Every bucket counts as large, so all members meet by parts of the third segment."""
+    draw = np.random.default_rng(5)
+    values = set()
+    for seed in draw.integers(0, 1 << 63, 12, dtype=np.uint64).tolist():
+        one = seed
+        for _ in range(20):
+            for bit in draw.integers(0, 64, draw.integers(1, 5)):
+                one ^= 1 << int(bit)
+            values.add(one)
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    monkeypatch.setattr(simhash, "SPLIT", 0)
+    got = {r["node"]: r["root"] for r in simhash.roots(simhash.links(df)).collect()}
+    groups = plain_groups(values)
+    for i in range(len(values)):
+        for j in range(i):
+            assert (got.get(signed[i], i) == got.get(signed[j], -1 - j)) == (groups[i] == groups[j])
+
+
 def test_roots_of_a_long_chain(spark):
     chain = [(i + 1, i) for i in range(300)] + [(1000, 999)]
     got = {r["node"]: r["root"] for r in simhash.roots(spark.createDataFrame(chain, "a long, b long")).collect()}
