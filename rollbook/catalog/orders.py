@@ -49,7 +49,7 @@ DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id %
     CASE WHEN o.contract_id % 11 = 0 THEN 'paid' WHEN o.contract_id % 11 = 1 AND o.contract_id % 2 = 0 THEN 'paid' WHEN o.contract_id % 11 = 1 THEN 'open'
       WHEN p.payment_status = 'authorised' THEN 'paid' WHEN o.contract_id % 6 <> 0 THEN 'open' ELSE 'no_invoice' END AS invoice_status,
     CASE WHEN o.contract_id % 3 = 0 THEN 0.15 END AS discount_percentage, CASE WHEN o.contract_id % 3 = 1 THEN o.contract_id % 50 + 100 END AS discount_cents,
-    CASE WHEN o.contract_id % 3 = 1 THEN 'EUR' END AS discount_currency, o.plan_id AS coupon_code, i.cable_quantity, i.device_quantity, r.refund_cents IS NOT NULL AS has_refund,
+    CASE WHEN o.contract_id % 3 = 1 THEN 'EUR' END AS discount_currency, o.plan_id AS coupon_code, i.cable_quantity, i.device_quantity, r.refunds IS NOT NULL AS has_refund,
     coalesce(CASE WHEN o.contract_id % 11 > 1 THEN r.refund_cents = CASE WHEN o.contract_id % 6 <> 0 THEN i.net_cents END ELSE o.contract_id % 11 = 1 AND o.contract_id % 4 = 0 END, FALSE) AS has_full_refund,
     coalesce(o.contract_id % 11 = 1 AND o.contract_id % 2 = 0 AND o.customer_id % 3 = 0, FALSE) OR (o.contract_id % 11 <> 1 AND coalesce(i.has_sellable, FALSE) AND coalesce(y.payable, TRUE)) AS is_sold,
     CASE WHEN o.contract_id % 11 = 1 THEN CAST((2 * (o.customer_id * 119 + 50) * 100 + 119) // 238 AS DOUBLE) / 100 ELSE CAST(o.customer_id * 7 AS DOUBLE) / 100 END AS net_invoice_amount,
@@ -66,7 +66,7 @@ DISCOUNT_SQL = f"CASE WHEN {PERCENT} THEN 0.15 WHEN {AMOUNT} THEN contract_id %
       FROM b_item i LEFT JOIN prod p ON p.product_id = i.product_id GROUP BY i.contract_id) i ON i.contract_id = o.contract_id
     LEFT JOIN (SELECT contract_id, min(status) AS payment_status FROM pay WHERE refund_id IS NULL GROUP BY 1) p ON p.contract_id = o.contract_id AND o.contract_id % 6 <> 0
     LEFT JOIN (SELECT contract_id, bool_or(coalesce(method IN ('sepa', 'card', 'paypal') AND status = 'authorised' OR method = 'invoice' OR method IS NULL, FALSE)) AS payable FROM pay GROUP BY 1) y ON y.contract_id = o.contract_id
-    LEFT JOIN (SELECT l_orderkey AS contract_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS refund_cents FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.contract_id = o.contract_id
+    LEFT JOIN (SELECT l_orderkey AS contract_id, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS refund_cents, count(*) AS refunds FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.contract_id = o.contract_id
     WHERE o.status <> 'canceled'""",
     uses="b_contract b_item b_product",
     extra=PRODUCT_SQL + """, pay AS (SELECT CASE WHEN l_linenumber < 4 THEN l_orderkey END AS contract_id, CASE WHEN l_linestatus = 'F' THEN 'authorised' ELSE 'cancelled' END AS status, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS refund_id,

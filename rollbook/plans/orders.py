@@ -73,7 +73,7 @@ def enrich_orders(
     """
     placed = orders.filter("status = 'placed'")
     state = payments.filter("refund_id IS NULL").groupBy("invoice_id").agg(F.min("status").alias("payment_status"))
-    refunded = refunds.groupBy("order_id").agg(F.sum("net_cents").alias("refund_cents"))
+    refunded = refunds.groupBy("order_id").agg(F.sum("net_cents").alias("refund_cents"), F.count(F.lit(1)).alias("refunds"))
     method = F.col("method")
     payable = (method.isin(DIRECT_PAYMENTS) & (F.col("status") == "authorised")) | (method == "invoice") | method.isNull()
     payers = payments.groupBy("order_id").agg(F.bool_or(F.coalesce(payable, F.lit(False))).alias("payable"))
@@ -84,8 +84,8 @@ def enrich_orders(
     device = flag("counts_device")
     no = lambda name: F.col(name).eqNullSafe(F.lit(False))  # NULL does not count as no
     recurring = device & no("is_subsequent_recurring") & no("changes_to_onetime") & flag("is_recurring") & flag("counts_revenue")
-    # A product that is a device and subsequently recurring already has the best rank there is, so the global
-    # rank needs no computing.
+    # The global rank puts devices that are subsequently recurring first, so such an item decides without ranking all
+    # (unknown flags do not outrank known ones here).
     items = lines.groupBy("order_id").agg(
         sum_if(F.col("product_id").isin(cable_products), F.col("quantity")).alias("cable_quantity"),
         sum_if(device, F.col("quantity")).alias("device_quantity"),
@@ -109,7 +109,7 @@ def enrich_orders(
         F.when(kind == "percentage", json_get(discount, "value", "decimal(3,2)")).alias("discount_percentage"),
         F.when(kind == "amount", json_get(discount, "value.amount", "int")).alias("discount_cents"),
         F.left(json_get(discount, "value.currency"), F.lit(3)).alias("discount_currency"), "coupon_code",
-        "cable_quantity", "device_quantity", F.col("refund_cents").isNotNull().alias("has_refund"),
+        "cable_quantity", "device_quantity", F.col("refunds").isNotNull().alias("has_refund"),
         F.coalesce(
             F.when(F.col("legacy_id").isNull(), F.col("refund_cents") == F.col("invoice_cents")).otherwise(F.col("legacy_status") == "closed"), F.lit(False)
         ).alias("has_full_refund"),

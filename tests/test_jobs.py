@@ -275,6 +275,7 @@ def order_rows(rows, **changes):
     values = {
         "counts_device": True, "is_subsequent_recurring": False, "changes_to_onetime": False, "is_recurring": True, "counts_revenue": True, "counts_sold": True,
         "sales_counts": True, "legacy_id": None, "legacy_status": None, "legacy_product": None, "legacy_gross": None, "creator": "shop", "invoice": True,
+        "refund": (9, 1),
     } | changes
     item = '[{"product_id":"p","quantity":3}]'
     placed = rows(
@@ -286,11 +287,16 @@ def order_rows(rows, **changes):
     products = rows("product_id string, " + ", ".join(f"{f} boolean" for f in flags), ("p", *[values[f] for f in flags]))
     invoices = rows("invoice_id int, order_id int, net_cents long", (7, 1 if values["invoice"] else 2, 1050))
     payments = rows("invoice_id int, order_id int, status string, refund_id int, method string", (7, 1, "authorised", None, "card"))
-    refunds = rows("order_id int, net_cents long", (9, 1))
+    refunds = rows("order_id int, net_cents long", values["refund"])
     parents = rows("contract_id int, contract_created_ts timestamp", (1, datetime(2024, 1, 9)))
     return orders.enrich_orders(placed, invoices, payments, refunds, parents, products, ["x"], "importer").first()
 
 
+def test_a_refund_without_amount_is_a_refund(rows):
+    assert order_rows(rows, refund=(1, None))["has_refund"] and order_rows(rows, refund=(1, 5))["has_refund"] and not order_rows(rows)["has_refund"]
+    assert not order_rows(rows, refund=(1, None))["has_full_refund"] and order_rows(rows, refund=(1, 1050))["has_full_refund"]
+
+
 def test_unknown_product_flags_do_not_count_as_no(rows):
     assert order_rows(rows)["is_recurring"] and order_rows(rows)["is_sold"]
     for flag in ("is_subsequent_recurring", "changes_to_onetime"):
