@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
+from ..session import shared_folder, tune
 
 SLICE_BYTES = 4 << 20  # text that a Python worker expands at a time
 # Arrow batches small enough that several workers of an executor hold one each.
@@ -33,11 +33,6 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -29,6 +29,7 @@ from .frames import held_out, slices, tidy
 
 SLICE = 1 << 20  # bytes of text that are turned into n-grams at a time
 PER_LANGUAGE = 1500  # texts of each language in the sample
+LANGUAGES = 300  # languages that are learned at most
 BUCKETS = 1 << 15
 DIM = 16
 GRAMS = (2, 3, 4)
@@ -160,10 +161,15 @@ def counted_subwords(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on about ``per_language`` texts of each language that are not held out. docs: doc_id, text, lang."""
+    """Fit on about ``per_language`` texts of each language that are not held out. docs: doc_id, text, lang.
+
+    At most ``LANGUAGES`` languages are learned, those with the most distinct texts, so dirty labels bring no more than a
+    bounded sample to the driver.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     texts = usable.select("lang", F.xxhash64("text").alias("h")).distinct()  # copies are drawn together, so they count once
-    counts = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # one row per language
+    per_lang = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in per_lang.collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 1), np.float32), np.zeros((1, 1)), np.zeros(1))

@@ -50,3 +50,26 @@ def test_copies_do_not_thin_out_the_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "fit", lambda *sample: sample)
     _, _, truth, aside, languages = langid.learn(df, per_language=20)
     assert len(languages) == 24 and truth.tolist() == list(range(24)) and not aside.any()
+
+
+def test_scores_are_plain_means_and_sums(docs):
+    """Each text on its own: the mean of its n-grams' vectors, one product per language, a softmax."""
+    model = langid.learn(docs, per_language=60)
+    rows = docs.select("doc_id", "text").limit(60).collect()
+    want = {}
+    for r in rows:
+        bucket, _ = langid.subwords(pa.array([r["text"]]))
+        hidden = [sum(float(model.vectors[b][d]) for b in bucket) / len(bucket) for d in range(model.vectors.shape[1])]
+        logits = [sum(h * w for h, w in zip(hidden, column)) + b for column, b in zip(model.weights.T.tolist(), model.bias.tolist())]
+        odds = [np.exp(x / model.temperature) for x in logits]
+        best = int(np.argmax(odds))
+        want[r["doc_id"]] = (model.languages[best], odds[best] / sum(odds))
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, model).collect()}
+    assert all(found[d][0] == lang and abs(found[d][1] - score) < 1e-6 for d, (lang, score) in want.items())
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    rows = [(i, f"some words of text {i}", f"x{i}") for i in range(40)] + [(100 + i, f"die Wörter {i} und", "de") for i in range(9)] + [(200 + i, f"the words {i} and", "en") for i in range(9)]
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["de", "en"]

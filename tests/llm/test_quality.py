@@ -1,3 +1,6 @@
+import math
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -46,3 +49,18 @@ def test_odd_rows_and_empty_tables(spark, odd, none, model):
     assert [r["score"] for r in quality.scored(odd, blank).collect()] == [0.5] * odd.count()
     one_sided = quality.learn(odd, spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 0, 0), (3, 1, 0), (3, 1, 1)], labels))
     assert len({r["score"] for r in quality.scored(odd, one_sided).collect()}) == 1
+
+
+def test_scores_are_plain_sums_of_table_entries(docs, model):
+    """Each text on its own: the base, one entry per feature, one per pair, added number by number."""
+    rows = docs.select("doc_id", "text").limit(80).collect()
+    found = {r["doc_id"]: r["score"] for r in quality.scored(docs, model).collect()}
+    for r in rows:
+        x = quality.features_of(pa.array([r["text"]]))[0].tolist()
+        margin = model.base
+        for value, cuts, entries in zip(x, model.cuts, model.tables):
+            margin += float(entries[bisect_right(cuts.tolist(), value)])
+        for (f, g), entries in model.pairs.items():
+            margin += float(entries[bisect_right(model.coarse[f].tolist(), x[f])][bisect_right(model.coarse[g].tolist(), x[g])])
+        assert abs(found[r["doc_id"]] - 1 / (1 + math.exp(-margin))) < 1e-9
+    assert model.pairs and any(t.any() for t in model.tables)
