@@ -12,6 +12,8 @@ from ..operators.aggregates import any_true, count_if, sum_if, text_list
 from ..operators.joins import join_on_expr
 from ..operators.keyed import first_value, latest_per_key, order_by_list, rows_at_max, spread_totals
 
+LIST_PARTS = 16  # of the contacts of one e-mail
+
 # Gross-to-net divisor in hundredths, and the two classification tags.
 TAX_HUNDREDTHS = 119
 BY_COUPON, BY_NAME = "ta_coupon_used", "word_in_company_name"
@@ -242,9 +244,27 @@ def crm_deals(deals: DataFrame, owners: DataFrame, lines: DataFrame) -> DataFram
 
 
 def crm_contacts(contacts: DataFrame, accounts: DataFrame, customers: DataFrame) -> DataFrame:
-    """Contacts with their account and all customers sharing the e-mail."""
-    joined = contacts.join(accounts, "contact_id").join(customers.select("email", "customer_id"), "email")
-    return joined.groupBy("contact_id", "email", "account_name").agg(text_list(F.col("customer_id").cast("string"), ", ", distinct=False).alias("customer_ids"))
+    """Contacts with their account and all customers sharing the e-mail.
+
+    The list of an e-mail is put together once, not once for each contact. A contact and account that come ``times``
+    over have each customer as often. Lists go to ``LIST_PARTS`` parts of the contacts, so that an e-mail of many
+    contacts is not one task.
+    """
+    keys = ["contact_id", "email", "account_name"]
+    linked = contacts.join(accounts, "contact_id").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    linked = linked.withColumn("part", F.pmod(F.xxhash64("contact_id", "account_name"), F.lit(LIST_PARTS)).cast("int"))
+    given = customers.select("email", F.col("customer_id").cast("string").alias("customer"))
+    sorted_once = given.groupBy("email").agg(F.array_sort(F.collect_list("customer")).alias("customers"))
+    repeated = F.flatten(F.transform("customers", lambda c: F.array_repeat(c, F.col("times"))))
+    text = F.array_join(F.when(F.col("times") == 1, F.col("customers")).otherwise(repeated), ", ")
+    lists = linked.select("email", "times").distinct().join(sorted_once, "email").select(
+        "email", "times", F.when(F.size("customers") > 0, text).alias("customer_ids")
+    )
+    parts = lists.select("*", F.explode(F.sequence(F.lit(0), F.lit(LIST_PARTS - 1))).alias("part"))
+    # few bytes are read and long lists written: a fixed number of tasks, which Spark does not merge
+    by = ["email", "times", "part"]
+    spread, dealt = (df.repartition(4 * LIST_PARTS, *by) for df in (linked, parts))
+    return spread.join(dealt, by).select(*keys, "customer_ids")
 
 
 def car_counts(domains: DataFrame, cars: DataFrame) -> DataFrame:

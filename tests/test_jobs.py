@@ -429,3 +429,17 @@ def test_domain_revenue_has_a_row_per_active_user(rows):
     got = {r["user_id"]: r for r in accounts.domain_mrr(users, domains, cars, linked, customers, report, 200).collect()}
     assert set(got) == {1, 2}
     assert all((r["users"], r["cars"], r["customer_ids"], float(r["current_mrr_eur"]), r["is_large"], r["domain_customer_type"]) == (2, 1, "K1; K2", 250.0, True, "fleet") for r in got.values())
+
+
+def test_contact_lists_are_put_together_once_per_email(rows):
+    """Repeated contacts repeat each customer; an e-mail's customers are gathered before the contacts are joined."""
+    contacts = rows("contact_id int, email string", (1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, None), (5, "c"))
+    linked = rows("contact_id int, account_name string", (1, "X"), (2, "Y"), (2, "Y"), (2, None), (3, "Z"), (4, "Z"), (5, "Z"))
+    customers = rows("email string, customer_id int", ("a", 20), ("a", 3), ("a", None), ("a", 3), ("b", None), (None, 9))
+    out = accounts.crm_contacts(contacts, linked, customers)
+    got = {tuple(r) for r in out.collect()}
+    twice = "20, 20, 3, 3, 3, 3"
+    assert got == {(1, "a", "X", twice), (2, "a", "Y", twice), (2, "a", None, "20, 3, 3"), (3, "b", "Z", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    gathered = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "Aggregate [email" in gathered
