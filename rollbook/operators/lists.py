@@ -19,19 +19,37 @@ def _with_slices(values: DataFrame, keys: list[str], value: str, slice_values: i
     order is a border. Their number grows with the group, so a slice stays near ``slice_values`` values.
     """
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > slice_values)
+    # at most one group for slice_values values: small enough to be broadcast by hint
     large = sizes.select(*keys, (F.ceil(F.col("__n") / slice_values) * DRAWN).alias("__buckets"))
     place = F.xxhash64(value)
-    drawn = join_null_safe(values, large, keys, "inner").groupBy(*keys, F.pmod(place, F.col("__buckets")).alias("__b")).agg(F.min_by(value, place).alias("__c"))
+    drawn = join_null_safe(values, F.broadcast(large), keys, "inner").groupBy(*keys, F.pmod(place, F.col("__buckets")).alias("__b")).agg(F.min_by(value, place).alias("__c"))
     borders = drawn.groupBy(*keys).agg(F.filter(F.array_sort(F.collect_list("__c")), lambda _, i: i % DRAWN == DRAWN - 1).alias("__borders"))
-    # a value looks among the heads of blocks of borders first, then inside one block
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__borders"))).cast("int"))
-    borders = borders.withColumn("__step", step)
-    borders = borders.withColumn("__heads", F.filter("__borders", lambda _, i: i % F.col("__step") == 0))
-    upto = lambda array: F.size(F.filter(array, lambda c: c <= F.col(value)))
-    found = join_null_safe(values, borders, keys).withColumn("__block", F.greatest(upto("__heads"), F.lit(1)))
-    before = (F.col("__block") - 1) * F.col("__step")
-    inside = before + upto(F.slice("__borders", before + 1, F.col("__step")))
-    return found.select(*keys, value, F.when(F.col("__borders").isNotNull(), inside).otherwise(0).alias("__s"))
+    # a value looks among few borders, then between two of them, then between two of those: it never carries them all
+    fan = F.ceil(F.cbrt(F.size("__borders"))).cast("int")
+    borders = borders.filter(F.size("__borders") > 0).withColumns({"__fan": fan, "__n": F.size("__borders")})
+    found = values.withColumn("__s", F.lit(0))
+    for level in (2, 1, 0):
+        found = _one_level(found, borders, keys, value, level)
+    return found.select(*keys, value, "__s")
+
+
+def _one_level(found: DataFrame, borders: DataFrame, keys: list[str], value: str, level: int) -> DataFrame:
+    """Narrow ``__s``, at first the place of a value among borders ``fan ** (level + 1)`` apart, to ``fan ** level`` apart.
+
+    The last level leaves the number of borders up to the value. Borders are at most one for ``slice_values`` values
+    and broadcast by hint: a join on the few keys would put a large group into one task.
+    """
+    step = F.pow("__fan", F.lit(level)).cast("int")
+    width = step * F.col("__fan") if level < 2 else F.greatest(F.col("__n"), step)
+    nodes = borders.select(*keys, "__borders", "__n", "__fan", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / width).cast("int"))).alias("__node"))
+    first = F.col("__node") * width
+    inside = F.slice("__borders", first + 1, width)
+    heads = nodes.select(*keys, "__node", F.col("__fan").alias("__f"), F.filter(inside, lambda _, i: i % step == 0).alias("__heads")).withColumn("__s", F.col("__node")).drop("__node")
+    joined = join_null_safe(found, F.broadcast(heads), [*keys, "__s"])
+    upto = F.size(F.filter("__heads", lambda c: c <= F.col(value)))
+    # below the first border of all: place 0, which the last level tells from the place behind it
+    place = F.col("__s") * F.col("__f") + (upto if level == 0 else F.greatest(upto, F.lit(1)) - 1)
+    return joined.withColumn("__s", F.when(F.col("__heads").isNull(), 0).otherwise(place).cast("int")).drop("__f", "__heads")
 
 
 def text_list_pieces(

@@ -288,3 +288,15 @@ def test_repaired_versions_do_not_overlap(rows):
     d = [r for r in fixed if r["domain_name"] == "d"]
     assert all(a["valid_to_ts"] <= b["valid_from_ts"] for a, b in zip(d, d[1:]))
     assert snapshots.collapse_versions(df).count() == 4
+
+
+def test_text_list_slices_join_on_bounded_rows(spark):
+    """A value never carries all borders of its group, and a large group is not brought into one task by its key."""
+    df = spark.range(4000).select(F.lit("hot").alias("key"), F.col("id").cast("string").alias("__v"))
+    placed = lists._with_slices(df, ["key"], "__v", 10)  # some 400 borders
+    rows = sorted(placed.collect(), key=lambda r: r["__v"])
+    got = [r["__s"] for r in rows]
+    sizes = [got.count(s) for s in set(got)]
+    assert got == sorted(got) and len(sizes) > 200 and max(sizes) < 100
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert all("strategy=broadcast" in line for line in plan.splitlines() if " Join " in f" {line}")
