@@ -17,7 +17,7 @@ from ..operators.aggregates import any_true
 from ..operators.filters import exclude_value
 from ..operators.items import explode_items
 from ..operators.joins import repair_key
-from ..operators.keyed import latest_per_key, rows_at_max
+from ..operators.keyed import latest_per_key, spread_totals
 from ..session import materialise
 from ..sources.export import ExportColumn, export_layout
 
@@ -459,7 +459,9 @@ def last_invoice_quantity(
         invoices.join(customers.select("customer_key"), "customer_key", "left_semi"), "items_added", ["contract_id", "invoice_id", "created_ts"], products, plan_map
     )
     key = F.concat("contract_id", F.lit("_"), F.coalesce(F.col("plan_nr").cast("string"), F.col("product_id")))
-    last = rows_at_max(rows.select(key.alias("subscription_id"), "invoice_id", "created_ts", "quantity"), ["subscription_id"], "created_ts")
+    rows = rows.select(key.alias("subscription_id"), "invoice_id", "created_ts", "quantity")
+    # the items are unfolded once: rows_at_max would read them twice
+    last = spread_totals(rows, ["subscription_id"], {"last_ts": ("max", "created_ts")}).filter("created_ts = last_ts")
     live = exclude_value(contracts, "cancelation_reason", GHOST_CONTRACT).select("domain")
     billed = invoices.join(_external(customers, internal_emails).select("customer_key"), "customer_key", "left_semi").join(live, "domain", "left_semi")
     return last.join(billed.select("invoice_id"), "invoice_id", "left_semi").groupBy("subscription_id").agg(F.sum("quantity").alias("quantity_last_invoice"))

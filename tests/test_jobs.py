@@ -443,3 +443,15 @@ def test_contact_lists_are_put_together_once_per_email(rows):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     gathered = next(line for line in plan.splitlines() if "collect_list" in line)
     assert "Aggregate [email" in gathered
+
+
+def test_last_invoice_unfolds_the_items_once(spark):
+    """Items of the last invoices; the JSON arrays are read by one branch of the plan only."""
+    from rollbook.catalog import migration as m
+    from rollbook.catalog.base import Inputs
+
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    out = migration.last_invoice_quantity(m.invoices(t), m.customers(t), m.contracts(t), m.products(t), m.plan_map(t), m.INTERNAL)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("from_json(") == 1
