@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import bindings
-from ..session import tune
+from ..session import small_tasks, tune
 from ..sources import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def register(name: str, sql: str | None = None, uses: str = "", dates: str = "",
 
     def wrap(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, root: str) -> DataFrame:
-            out = fn(Inputs(tune(spark), root))
+            out = fn(Inputs(small_tasks(tune(spark)), root))
             casts = {c: F.col(c).cast("string") for c in _words(dates)}
             casts |= {c: F.col(c).cast("double") for c in _words(money)}
             return out.withColumns(casts) if casts else out

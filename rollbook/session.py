@@ -18,6 +18,22 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Sizes of tasks, for a session that has no others set. Spark's 64 MB of compressed shuffle are some 2 GB of sorted rows
+# here (short rows, JSON texts that are folded and unfolded), and 200 partitions grow with the tables.
+TASK_CONF = {
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "480",
+    "spark.sql.files.maxPartitionBytes": "16m",
+}
+
+
+def small_tasks(spark: SparkSession) -> SparkSession:
+    """Bound the rows of one task, whatever the size of the tables; settings the session already has are kept."""
+    for key, value in TASK_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
