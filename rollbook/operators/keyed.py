@@ -28,15 +28,27 @@ def with_totals(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFra
     return join_null_safe(df, df.groupBy(*keys).agg(*exprs), keys)
 
 
-def with_totals_by(df: DataFrame, *levels: tuple[list[str], dict[str, Column]]) -> DataFrame:
-    """Totals over several key sets, each aggregated from ``df`` itself rather than from the previous result."""
+def with_totals_by(df: DataFrame, *levels: tuple[list[str], dict[str, Column]], source: DataFrame | None = None) -> DataFrame:
+    """Totals over several key sets, each aggregated from ``source`` or ``df`` itself rather than from the previous result."""
     out = df
     for keys, aggregates in levels:
-        totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
+        totals = (df if source is None else source).groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggregates.items()])
         out = join_null_safe(out, totals, keys)
     return out
 
 
+def with_totals_at(df: DataFrame, *grains: tuple) -> DataFrame:
+    """Totals over several key sets as in ``with_totals_by``, for wide rows.
+
+    A grain is its keys and levels of subsets of them, as ``with_totals_by`` takes. The totals of the levels meet on the
+    distinct keys, which are narrow, and the rows of ``df`` are exchanged once for each grain.
+    """
+    out = df
+    for keys, *levels in grains:
+        out = join_null_safe(out, with_totals_by(df.select(*keys).distinct(), *levels, source=df), keys)
+    return out
+
+
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "any": F.bool_or}
 
 

@@ -15,7 +15,7 @@ from ..functions.numbers import cents, dec, euro, ratio, round_div
 from ..operators.aggregates import has_value, priority_status, sum_if
 from ..operators.filters import exclude_value, is_running
 from ..operators.joins import two_grain
-from ..operators.keyed import join_null_safe, latest_per_key, with_totals, with_totals_by
+from ..operators.keyed import join_null_safe, latest_per_key, with_totals, with_totals_at, with_totals_by
 from ..session import materialise
 
 # Status priority of a customer group, and the excluded kind of contract.
@@ -72,13 +72,12 @@ def resolve_subscriptions(rows: DataFrame, plans: DataFrame, subscriptions: Data
     return join_null_safe(pairs, first, ["contract_id", "plan_id"]).select("contract_id", "plan_id", F.coalesce("known_id", digest).alias("subscription_id"))
 
 
-def first_dates(rows: DataFrame) -> DataFrame:
-    """First and last dates of each line's customer, subscription and subscription terms; each key set is aggregated once."""
+def _date_levels() -> tuple:
+    """The first and last dates of a customer, a subscription and its terms, as levels of totals."""
     kept = F.col("has_full_refund") == F.lit(False)
     when = lambda condition, value: F.when(kept & condition, value) if condition is not None else F.when(kept, value)
     start, month = F.col("start_dt"), F.trunc("start_dt", "month")
-    return with_totals_by(
-        rows,
+    return (
         (["customer_id"], {
             "first_created_dt": F.min("created_dt"), "first_order_dt": F.min(when(None, start)),
             "valid_to_dt": F.coalesce(F.max(when(None, F.col("end_dt"))), F.max("end_dt")),
@@ -91,6 +90,23 @@ def first_dates(rows: DataFrame) -> DataFrame:
     )
 
 
+def first_dates(rows: DataFrame) -> DataFrame:
+    """First and last dates of each line's customer, subscription and subscription terms; each key set is aggregated once."""
+    return with_totals_by(rows, *_date_levels())
+
+
+def line_totals(rows: DataFrame) -> DataFrame:
+    """``first_dates`` with the amounts of the line's order and the last end of its contract; lines without an order or
+    contract count in the dates, but are left out."""
+    customer, subscription, terms = _date_levels()
+    order = (["order_id"], {"order_net_cents": F.sum("net_cents"), "order_gross_cents": F.sum("gross_cents")})
+    contract = (["contract_id"], {"last_end_dt": F.max("end_dt")})
+    totals = with_totals_at(
+        rows, (["customer_id", "order_id", "contract_id"], customer, order, contract), (["subscription_id", "product_family", "product_terms"], subscription, terms)
+    )
+    return totals.filter("order_id IS NOT NULL AND contract_id IS NOT NULL")
+
+
 def invoice_mrr(
     lines: DataFrame, orders: DataFrame, products: DataFrame, coupons: DataFrame, refunds: DataFrame, long_term_pattern: str, as_of,
     invoice_required_from: str | None = None, billing: dict[str, DataFrame] | None = None,
@@ -108,11 +124,14 @@ def invoice_mrr(
     live = exclude_value(orders, "cancelation_reason", GHOST_CONTRACT)
     if invoice_required_from:
         live = live.filter(F.col("invoice_id").isNotNull() | (F.col("created_dt") < day(invoice_required_from)))
+    # what hangs on the order is joined to orders, not to their lines
+    live = live.join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
+    if billing:
+        live = live.join(billing["customers"].select("customer_id", "billing_customer_id"), "customer_id", "left")
     sold = exclude_value(lines, "opcode", "D").join(live, "order_key").join(products, "product_key")
     monthly = F.col("monthly_payment")
     sold = sold.withColumn("product_terms", F.coalesce(product_terms(monthly, F.col("product_name"), long_term_pattern), F.lit("one-time")))
     if billing:
-        sold = sold.join(billing["customers"].select("customer_id", "billing_customer_id"), "customer_id", "left")
         resolved = resolve_subscriptions(sold.filter("billing_customer_id IS NOT NULL"), billing["plans"], billing["subscriptions"])
         sold = join_null_safe(sold, resolved, ["contract_id", "plan_id"])
         billed = F.col("billing_customer_id").isNotNull()
@@ -122,11 +141,8 @@ def invoice_mrr(
         })
     else:
         sold = sold.withColumn("subscription_id", F.col("contract_id"))
-    # five aggregates read the sold lines; the joins behind them are done once
-    sold = materialise(sold)
-    totals = sold.groupBy("order_id").agg(F.sum("net_cents").alias("order_net_cents"), F.sum("gross_cents").alias("order_gross_cents"))
-    last_end = sold.groupBy("contract_id").agg(F.max("end_dt").alias("last_end_dt"))
-    rows = first_dates(sold).join(totals, "order_id").join(last_end, "contract_id").join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
+    # the totals read the sold lines several times; the joins behind them are done once
+    rows = line_totals(materialise(sold))
 
     net, gross = F.col("net_cents"), F.col("gross_cents")
     amount = F.col("discount_cents")

@@ -300,3 +300,20 @@ def test_text_list_slices_join_on_bounded_rows(spark):
     assert got == sorted(got) and len(sizes) > 200 and max(sizes) < 100
     plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert all("strategy=broadcast" in line for line in plan.splitlines() if " Join " in f" {line}")
+
+
+def test_totals_at_a_grain_equal_totals_level_by_level(spark):
+    """NULL and repeated keys; the wide rows meet one join for each grain, not one for each level."""
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), ("a", None, 7), (None, 1, 2), (None, None, 3), ("b", 2, None)], "k string, o int, x int").withColumn("wide", F.lit("w"))
+    levels = (["k"], {"k_max": F.max("x")}), (["o"], {"o_sum": F.sum("x")}), (["k", "o"], {"n": F.count("x")})
+    want = keyed.with_totals_by(df, *levels)
+    got = keyed.with_totals_at(df, (["k", "o"], *levels))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    joins_of_wide = lambda out: sum("wide" in j.output().mkString() for j in _joins(out._jdf.queryExecution().analyzed()))
+    assert joins_of_wide(got) == 1 and joins_of_wide(want) == 3
+
+
+def _joins(plan):
+    children = plan.children()
+    own = [plan] if plan.nodeName() == "Join" else []
+    return own + [j for i in range(children.size()) for j in _joins(children.apply(i))]
