@@ -346,16 +346,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id
     scanned, repeated = scan(docs, window, doc_id, text)
     texts = distinct_texts(scanned, repeated, window)
     spans = repeated_spans(texts, window)
-    cleaned = texts.select("key", "words").join(spans, "key").select("key", "spans", without("words", "spans").alias("w"))
-    cleaned = keep(cleaned.select("key", "spans", "w.kept", "w.n_removed"), "cleaned")
     none = F.lit(None).cast(SPANS).alias("spans")
     untouched = scanned.where("stretches IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("words").alias("kept"), none)
-    touched = scanned.where("stretches IS NOT NULL").join(cleaned, "key", "left")
-    touched = touched.select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("kept", "words").alias("kept"), "spans",
-    )
-    return untouched.unionByName(touched)
+    # copies are cleaned each on its own: the words move once, and none are joined back
+    touched = scanned.where("stretches IS NOT NULL").select("doc_id", "n_words", "words", "key").join(spans, "key", "left")
+    touched = touched.select("doc_id", "n_words", without("words", "spans").alias("w"), "spans")
+    return untouched.unionByName(touched.select("doc_id", "n_words", "w.n_removed", "w.kept", "spans"))
 
 
 def digests(found: DataFrame) -> DataFrame:

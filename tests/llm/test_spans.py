@@ -88,3 +88,15 @@ def test_bubbles_and_loops(spark):
     assert found(frame(spark, rows)) == plain(rows)
     kept = {r["doc_id"]: r for r in spans.without_repeats(frame(spark, rows)).collect()}
     assert kept[2]["kept"] == "other" and [tuple(s) for s in kept[3]["spans"]][0][0] == 0
+
+
+def test_words_are_not_written_or_joined_back(spark, monkeypatch):
+    """Texts are kept as scanned and once for each distinct one; no third copy of them is written."""
+    kept = {}
+    keep = spans.keep
+    monkeypatch.setattr(spans, "keep", lambda df, label: kept.setdefault(label, df.columns) and keep(df, label))
+    text = " ".join(map(str, range(60)))
+    found = spans.without_repeats(spark.createDataFrame([(1, text), (2, text), (3, "a " + text), (4, "b")], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in found.collect()}
+    assert got == {1: (60, 60, ""), 2: (60, 60, ""), 3: (61, 60, "a"), 4: (1, 0, "b")}
+    assert {label for label, columns in kept.items() if {"words", "kept"} & set(columns)} == {"scanned", "texts"}
