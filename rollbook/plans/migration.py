@@ -78,7 +78,7 @@ def _external(customers: DataFrame, internal_emails: str) -> DataFrame:
 def _mapped_items(df: DataFrame, column: str, keep: list[str], products: DataFrame, plan_map: DataFrame) -> DataFrame:
     rows = explode_items(df, column, keep=keep)
     rows = rows.withColumn("product_id", repair_key(F.col("product_id"), SENTINEL_PRODUCT, ZERO_PRODUCT))
-    return rows.join(products, "product_id").join(plan_map, "plan_id", "left")
+    return rows.join(products.join(plan_map, "plan_id", "left"), "product_id")  # the catalogue first: items move once
 
 
 PLAN_KEYS = ["contract_id", "plan_id", "plan_nr", "addon_id", "monthly_payment"]
@@ -95,22 +95,30 @@ def contract_plans(contracts: DataFrame, customers: DataFrame, products: DataFra
 def invoice_plans(invoices: DataFrame, customers: DataFrame, products: DataFrame, plan_map: DataFrame, internal_emails: str) -> DataFrame:
     """Items of the invoices per plan with the first and last provisioning dates."""
     mine = invoices.join(_external(customers, internal_emails).select("customer_key"), "customer_key", "left_semi")
-    rows = _mapped_items(mine, "items_added", ["contract_id", "start_ts", "end_ts"], products, plan_map)
-    start, end = local_date(F.col("start_ts")), local_date(F.col("end_ts"))
+    # dated once per invoice, not per item
+    dated = mine.withColumns({"start_dt": local_date(F.col("start_ts")), "end_dt": local_date(F.col("end_ts"))})
+    rows = _mapped_items(dated, "items_added", ["contract_id", "start_dt", "end_dt"], products, plan_map)
     return rows.groupBy(*PLAN_KEYS).agg(
         F.max("addon_price_net").alias("addon_price_net"), F.max("unit_net_cents").alias("unit_price_net"),
-        F.min(start).alias("min_start_dt"), F.max(start).alias("max_start_dt"), F.max(end).alias("max_end_dt"),
+        F.min("start_dt").alias("min_start_dt"), F.max("start_dt").alias("max_start_dt"), F.max("end_dt").alias("max_end_dt"),
     )
 
 
 def plan_quantities(from_invoices: DataFrame, from_contracts: DataFrame) -> DataFrame:
-    """Invoice plans with the contract's quantity (0 if none), and all contract plans; duplicates merged."""
-    keys = ["contract_id", "plan_id", "unit_price_net"]
+    """Invoice plans with the contract's quantity (0 if none), and all contract plans; duplicates merged.
+
+    Both meet per contract, so the contract's plans are read once, and what follows per contract needs no further exchange.
+    """
     columns = ["contract_id", "plan_id", "plan_nr", "unit_price_net", "addon_id", "addon_price_net", "monthly_payment"]
     totals = from_contracts.groupBy(*columns).agg(F.sum("item_quantity").alias("item_quantity"))
-    quantity = F.coalesce("item_quantity", F.lit(0)).alias("item_quantity")
-    invoiced = from_invoices.select(*columns).join(totals.select(*keys, "item_quantity"), keys, "left").select(*columns, quantity)
-    return invoiced.unionByName(totals).distinct()
+    invoiced = from_invoices.select(*columns, F.lit(None).cast("bigint").alias("item_quantity"), F.lit(True).alias("invoiced"))
+    rows = invoiced.unionByName(totals.withColumn("invoiced", F.lit(False)))
+    sold = F.struct("plan_id", "unit_price_net", F.coalesce("item_quantity", F.lit(0)).alias("item_quantity"))
+    # a set will do, as duplicates are merged; a contract that is NULL equals no other
+    rows = rows.withColumn("sold", F.collect_set(F.when(~F.col("invoiced") & F.col("contract_id").isNotNull(), sold)).over(_one_contract()))
+    same = F.filter("sold", lambda x: (x["plan_id"] == F.col("plan_id")) & (x["unit_price_net"] == F.col("unit_price_net")))["item_quantity"]
+    quantities = F.when(~F.col("invoiced"), F.array("item_quantity")).when(F.size(same) > 0, same).otherwise(F.array(F.lit(0).cast("bigint")))
+    return rows.select(*columns, F.explode(quantities).alias("item_quantity")).distinct()
 
 
 def unique_subscriptions(plans: DataFrame) -> DataFrame:
@@ -166,19 +174,20 @@ def subscription_base(subscriptions: DataFrame, contracts: DataFrame, customers:
     mapped = F.create_map(*[F.lit(x) for pair in STATUS_MAP.items() for x in pair])[F.col("status")]
     dated = {"contract_created_dt": "created_ts", "tmp_started_dt": "started_ts", "tmp_term_start_dt": "period_start_ts",
              "tmp_term_end_dt": "period_end_ts", "cancelled_dt": "canceled_ts", "modified_dt": "modified_ts"}
-    live = exclude_value(contracts, "cancelation_reason", GHOST_CONTRACT).join(amount_codes, "contract_id", "left").select(
+    live = exclude_value(contracts, "cancelation_reason", GHOST_CONTRACT).select(
         "contract_id", "customer_key", mapped.alias("mapped_status"), *[local_date(F.col(src)).alias(dst) for dst, src in dated.items()],
-        F.col("cancelation_reason").alias("cancel_reason"), F.coalesce("coupon_code", percent_code(F.col("discount")), "amount_code").alias("coupon"),
+        F.col("cancelation_reason").alias("cancel_reason"), F.coalesce("coupon_code", percent_code(F.col("discount"))).alias("own_code"),
     )
     contacts = shipping_contacts(customers)
-    rows = live.join(contacts, "customer_key").join(subscriptions, "contract_id")
+    # by customer first: codes and subscriptions then meet the contract in one exchange
+    rows = live.join(contacts, "customer_key").join(amount_codes, "contract_id", "left").join(subscriptions, "contract_id")
     lifetime = F.col("plan_id").isin(LIFETIME_PLANS)
     return rows.select(
         "contract_id", "subscription_id", "plan_id",
         F.when(F.col("addon_id").isNotNull(), 1).otherwise(F.col("item_quantity")).alias("plan_quantity"), "plan_unit_price",
         F.when(F.col("addon_id").isNotNull() | lifetime, "cancelled").otherwise(F.col("mapped_status")).alias("status"), *dated, "cancel_reason",
         F.coalesce(lifetime, F.lit(False)).alias("lifetime_licence"), F.when(F.col("plan_id").like(MONTHLY), 12).otherwise(1).alias("renewal_cycles"),
-        "coupon", "customer_id", *[c for c in contacts.columns if c == "customer_email" or c.startswith("ship_")],
+        F.coalesce("own_code", "amount_code").alias("coupon"), "customer_id", *[c for c in contacts.columns if c == "customer_email" or c.startswith("ship_")],
         "addon_id", F.col("item_quantity").alias("addon_quantity"), F.col("addon_price_net").alias("addon_unit_price"),
     )
 
