@@ -193,9 +193,17 @@ def subscription_base(subscriptions: DataFrame, contracts: DataFrame, customers:
 
 
 def with_invoice_dates(base: DataFrame, from_invoices: DataFrame) -> DataFrame:
-    """Add the first and last provisioning dates of the plan's invoices."""
-    dates = from_invoices.select("contract_id", "plan_id", "min_start_dt", "max_start_dt", "max_end_dt")
-    return base.join(dates, ["contract_id", "plan_id"], "left")
+    """Add the first and last provisioning dates of the plan's invoices.
+
+    The dates of a contract's plans (few, see ``_one_contract``) join in one row, so the wide rows of ``base`` stay with
+    their contract.
+    """
+    dates = ["min_start_dt", "max_start_dt", "max_end_dt"]
+    plans = from_invoices.groupBy("contract_id").agg(F.collect_list(F.struct("plan_id", *dates)).alias("plans"))
+    own = F.filter("plans", lambda x: x["plan_id"] == F.col("plan_id"))
+    rest = [c for c in base.columns if c not in ("contract_id", "plan_id")]
+    rows = base.join(plans, "contract_id", "left").select("contract_id", "plan_id", *rest, F.explode_outer(own).alias("own"))
+    return rows.select("contract_id", "plan_id", *rest, *[F.col(f"own.{c}").alias(c) for c in dates])
 
 
 def term_dates(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from contextlib import contextmanager
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rollbook.plans import migration
@@ -93,3 +94,18 @@ def test_quantities_as_by_a_join(rows, shop):
     for left, right in ((invoices, contracts), both(shop)):
         got, want = (sorted(map(tuple, x.collect()), key=str) for x in (migration.plan_quantities(left, right), joined(left, right)))
         assert got == want and got
+
+
+def test_invoice_dates_leave_rows_with_their_contract(spark, rows):
+    base = rows("x int, plan_id string, contract_id string", (1, "p", "a"), (1, "p", "a"), (2, "q", "a"), (3, None, "a"), (4, "p", None), (5, "p", "b"))
+    dates = rows(
+        "contract_id string, plan_id string, min_start_dt date, max_start_dt date, max_end_dt date",
+        *[(c, p, date(2024, 1, d), None, date(2024, 2, d)) for c, p, d in [("a", "p", 1), ("a", "p", 2), ("a", None, 3), (None, "p", 4), ("b", "q", 5)]],
+    )
+    got, want = migration.with_invoice_dates(base, dates), base.join(dates, ["contract_id", "plan_id"], "left")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    with no_broadcast(spark):
+        plan = planned(migration.with_invoice_dates(base, dates).withColumn("n", F.count("*").over(Window.partitionBy("contract_id"))))
+    assert plan.count("Exchange hashpartitioning(contract_id") == 2  # the rows and the dates, once each
+    assert plan.count("Exchange ") == 2
