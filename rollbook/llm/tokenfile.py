@@ -195,6 +195,17 @@ def opened(path: str):
 # --- encoding ---------------------------------------------------------------------------------------------------------
 
 
+def bytes_of(texts: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of an array of strings without nulls."""
+    texts = texts.cast(pa.binary())
+    _, places, data = texts.buffers()
+    if not len(texts) or data is None:
+        return [b""] * len(texts)
+    ends = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1].tolist()
+    first, whole = ends[0], data.slice(ends[0], ends[-1] - ends[0]).to_pybytes()
+    return [whole[a - first : z - first] for a, z in zip(ends, ends[1:])]
+
+
 class RunEncoder:
     """Packed ids of texts from a tokenizers file; the library sees each distinct run once."""
 
@@ -239,11 +250,13 @@ class RunEncoder:
         encode, kind, width = self.tokenizer.encode, f"<u{self.width}", self.width
         if self.closing is not None:
             # small ASCII letters pass the normaliser and the cutting pattern as they are: one word for the model
-            tokenize, known, code = self.tokenizer.model.tokenize, self.known, "H" if width == 2 else "I"
-            plain = [p for p in pieces if p.isascii() and p.isalpha() and p.islower()]
-            for piece in plain:
-                known[piece] = array(code, [token.id for token in tokenize(piece.decode())]).tobytes()
-            pieces = [p for p in pieces if p not in known]
+            tokenize, known, code, rest = self.tokenizer.model.tokenize, self.known, "H" if width == 2 else "I", []
+            for piece in pieces:
+                if piece.isalpha() and piece.islower():  # of bytes: ASCII alone
+                    known[piece] = array(code, [token.id for token in tokenize(piece.decode())]).tobytes()
+                else:
+                    rest.append(piece)
+            pieces = rest
         if self.closing is not None:
             words = [p for p in pieces if p.isalpha() or (not p.isascii() and p.decode().isalpha())]
             pieces = self._encode_words(words) + [p for p in pieces if p not in self.known]
@@ -268,7 +281,7 @@ class RunEncoder:
 
     def _learn(self, fresh: set[bytes]) -> None:
         """Ids of runs not met before; a word and the signs behind it are looked up apart."""
-        cut = {run: m.end() for run in fresh if (m := HEAD.match(run))}
+        cut = {run: m.end() for run in fresh if not run.isalpha() and (m := HEAD.match(run))}
         pieces = {run for run in fresh if run not in cut}
         for run, at in cut.items():
             pieces.add(run[:at])
@@ -290,7 +303,10 @@ class RunEncoder:
         coded = words.flatten().dictionary_encode()
         # the normaliser composes before it lowers, so only runs of ASCII alone are lowered here; an added token is met
         # in its own letters only
-        runs = [run.lower() if run.isascii() and b"<" not in run else run for run in coded.dictionary.cast(pa.binary()).to_pylist()]
+        met = coded.dictionary
+        small = pc.and_not(pc.string_is_ascii(met), pc.match_substring(met, "<"))
+        lowered = pc.if_else(small, pc.ascii_lower(met), met).dictionary_encode()
+        runs = bytes_of(lowered.dictionary)
         fresh = {run for run in runs if run and run not in self.known}
         if self.size + sum(map(len, fresh)) > CACHE_BYTES:
             self.known, self.size, fresh = {}, 0, {run for run in runs if run}
@@ -300,7 +316,7 @@ class RunEncoder:
         kind = f"<u{self.width}"
         ids = np.frombuffer(b"".join(packed), kind)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
-        firsts, word = sizes.cumsum() - sizes, coded.indices.to_numpy()
+        firsts, word = sizes.cumsum() - sizes, lowered.indices.to_numpy()[coded.indices.to_numpy()]
         per_word = sizes[word]
         before = np.r_[0, per_word.cumsum()]
         per_text = np.diff(before[bounds - bounds[0]])

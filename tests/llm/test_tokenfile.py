@@ -89,3 +89,23 @@ def test_round_trip_in_ascending_order(request, library, name):
         ids = np.array(library.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((r["doc_id"], len(ids), zlib.crc32(ids.tobytes())))
     assert sorted(((g[0], g[2], g[3]) for g in got), key=str) == sorted(want, key=str)
+
+
+def test_bytes_of_slices():
+    texts = pa.array(["", "a", "éß", "", "long " * 9])
+    for some in (texts, texts[1:4], texts[2:2], texts[3:4], texts.cast(pa.large_string()), texts[:1]):
+        assert tokenfile.bytes_of(some) == [t.encode() for t in some.to_pylist()]
+
+
+def test_letters_of_either_case_are_one_run(monkeypatch):
+    """Small and capital letters of one word are learned and looked up once, in one slice and over many."""
+    runs, asked = tokenfile.RunEncoder(PATH, None, 2), []
+    learn = runs._learn
+    monkeypatch.setattr(runs, "_learn", lambda fresh: (asked.append(sorted(fresh)), learn(fresh)))
+    words = ["Word", "WORD", "É", "word", "<S>", "a1"]
+    seen = []
+    monkeypatch.setattr(tokenfile, "bytes_of", lambda met: seen.append(met.to_pylist()) or [t.encode() for t in met.to_pylist()])
+    got = runs.encode(pa.array([" ".join(words)]))
+    assert seen == [["word", "É", "<S>", "a1"]] and asked == [sorted(t.encode() for t in seen[0])]
+    want = runs.tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert got[0].as_py() == np.array(want, "<u2").tobytes()
