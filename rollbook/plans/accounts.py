@@ -11,6 +11,7 @@ from ..functions.text import email_domain, flag_labels, like_any, normalised
 from ..operators.aggregates import any_true, count_if, sum_if, text_list
 from ..operators.joins import join_on_expr
 from ..operators.keyed import first_value, latest_per_key, order_by_list, rows_at_max, spread_totals
+from ..session import keep_repeats_short
 
 LIST_PARTS = 16  # of the contacts of one e-mail
 
@@ -248,8 +249,9 @@ def crm_contacts(contacts: DataFrame, accounts: DataFrame, customers: DataFrame)
 
     The list of an e-mail is put together once, not once for each contact. A contact and account that come ``times``
     over have each customer as often. Lists go to ``LIST_PARTS`` parts of the contacts, so that an e-mail of many
-    contacts is not one task.
+    contacts is not one task. A task has few lists and many rows of each; written as Parquet, a list is stored once there.
     """
+    keep_repeats_short(contacts.sparkSession)
     keys = ["contact_id", "email", "account_name"]
     linked = contacts.join(accounts, "contact_id").groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("times"))
     linked = linked.withColumn("part", F.pmod(F.xxhash64("contact_id", "account_name"), F.lit(LIST_PARTS)).cast("int"))

@@ -35,6 +35,16 @@ def small_tasks(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def keep_repeats_short(spark: SparkSession, dictionary_bytes: int = 64 << 20) -> None:
+    """Let Parquet files hold a long text once for each row group, however many rows repeat it.
+
+    A file's dictionary of values ends at 1 MB, and a text that no longer fits is written out in every row. A setting the
+    session already has is kept. Values that seldom repeat are given up after the first page, as before.
+    """
+    if spark.conf.get("parquet.dictionary.page.size", None) is None:
+        spark.conf.set("parquet.dictionary.page.size", str(dictionary_bytes))
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():

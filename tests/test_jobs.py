@@ -445,6 +445,19 @@ def test_contact_lists_are_put_together_once_per_email(rows):
     assert "Aggregate [email" in gathered
 
 
+def test_contact_lists_are_written_once_for_many_contacts(spark, tmp_path):
+    """A list of over 1 MB, which a Parquet dictionary ends at by default, is not written out for every contact."""
+    contacts = spark.range(320).selectExpr("id AS contact_id", "'a' AS email")
+    linked = contacts.selectExpr("contact_id", "'X' AS account_name")
+    customers = spark.range(100_000, 250_000).selectExpr("'a' AS email", "id AS customer_id")
+    out = accounts.crm_contacts(contacts, linked, customers)
+    out.write.parquet(str(tmp_path / "out"))
+    written = sum(f.stat().st_size for f in (tmp_path / "out").iterdir())
+    kept = spark.read.parquet(str(tmp_path / "out")).agg(F.count("*"), F.count_distinct("contact_id"), F.min(F.length("customer_ids")), F.max(F.length("customer_ids"))).first()
+    assert tuple(kept) == (320, 320, 8 * 150_000 - 2, 8 * 150_000 - 2)
+    assert written < 16 * 1_200_000
+
+
 def test_last_invoice_unfolds_the_items_once(spark):
     """Items of the last invoices; the JSON arrays are read by one branch of the plan only."""
     from rollbook.catalog import migration as m
