@@ -49,6 +49,17 @@ def with_totals_at(df: DataFrame, *grains: tuple) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, key: str, name: str = "__nr") -> DataFrame:
+    """The rows exchanged by ``key`` and numbered within it from 1, in order of all their columns, as ``name``.
+
+    For frames with several readers: the number wants all columns and its filter, which drops no row, wants the number,
+    so every reader plans the same exchange and Spark runs it once. Equal rows may swap numbers from reader to reader.
+    A key's rows are sorted in one task: pass keys whose rows are bounded, as the rows of one order.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*df.columns))
+    return df.repartition(key).withColumn(name, place).filter(F.col(name) > 0)
+
+
 MERGE = {"sum": F.sum, "min": F.min, "max": F.max, "any": F.bool_or}
 
 

@@ -7,7 +7,7 @@ item_quantity, refund_item_quantity.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, months_between_whole, years_between_whole
@@ -15,8 +15,7 @@ from ..functions.numbers import cents, dec, euro, ratio, round_div
 from ..operators.aggregates import has_value, priority_status, sum_if
 from ..operators.filters import exclude_value, is_running
 from ..operators.joins import two_grain
-from ..operators.keyed import join_null_safe, latest_per_key, with_totals, with_totals_at, with_totals_by
-from ..session import materialise
+from ..operators.keyed import join_null_safe, latest_per_key, numbered, with_totals, with_totals_at, with_totals_by
 
 # Status priority of a customer group, and the excluded kind of contract.
 STATUS_PRIORITY = ["active", "future", "in_trial", "non_renewing", "cancelled"]
@@ -28,7 +27,11 @@ SERVICE_CREATORS = ["new-user-checkout", "contract-renewal", "importer"]
 
 def product_terms(monthly: Column, product_name: Column, long_term_pattern: str) -> Column:
     """Term length and billing rhythm as text; NULL for one-time products."""
-    months = F.when(product_name.like(long_term_pattern), F.lit("36")).otherwise(F.lit("12"))
+    return terms_text(monthly, product_name.like(long_term_pattern))
+
+
+def terms_text(monthly: Column, is_long: Column) -> Column:
+    months = F.when(is_long, F.lit("36")).otherwise(F.lit("12"))
     rhythm = F.when(monthly, F.lit("monthly")).when(~monthly, F.lit("yearly"))
     return F.concat(months, F.lit(" mths, "), rhythm, F.lit(" payment"))
 
@@ -95,16 +98,53 @@ def first_dates(rows: DataFrame) -> DataFrame:
     return with_totals_by(rows, *_date_levels())
 
 
-def line_totals(rows: DataFrame) -> DataFrame:
-    """``first_dates`` with the amounts of the line's order and the last end of its contract; lines without an order or
-    contract count in the dates, but are left out."""
-    customer, subscription, terms = _date_levels()
+def _live_orders(orders: DataFrame, coupons: DataFrame, invoice_required_from: str | None, billing: dict[str, DataFrame] | None) -> DataFrame:
+    """Orders that count, with their coupon's discount and billing id, in the columns that ``invoice_mrr`` returns or computes from."""
+    live = exclude_value(orders, "cancelation_reason", GHOST_CONTRACT).filter("order_key IS NOT NULL")
+    if invoice_required_from:
+        live = live.filter(F.col("invoice_id").isNotNull() | (F.col("created_dt") < day(invoice_required_from)))
+    live = live.join(coupons, "coupon_code", "left")
+    percent = F.when(F.col("discount_type") == "percentage", F.col("discount_value")).otherwise(F.col("discount_percentage"))
+    creator = F.split_part(F.col("creator_urn"), F.lit("/"), F.lit(2))
+    live = live.select(
+        "order_key", "order_id", "invoice_id", "customer_id", "contract_id", "created_dt", "start_dt", "end_dt", "invoice_status", "discount_cents", "tax_rate",
+        "has_refund", "has_full_refund", "contract_status", "contract_canceled_dt", "contract_modified_dt",
+        F.lower(F.btrim("coupon_code")).alias("coupon_code"), dec(percent, 10, 2).alias("discount_percent"),
+        F.coalesce(~F.col("creator_urn").like("%renewal%"), F.lit(False)).alias("is_new_invoice"),
+        F.when((creator != "") & ~creator.isin(SERVICE_CREATORS), creator).alias("creator"),
+    )
+    if billing:
+        live = live.join(billing["customers"].select("customer_id", "billing_customer_id"), "customer_id", "left").withColumns({
+            "is_billed": F.col("billing_customer_id").isNotNull(),
+            "customer_id": F.coalesce("billing_customer_id", F.col("customer_id").cast("string")),
+        }).drop("billing_customer_id")
+    return live
+
+
+def _order_refunds(orders: DataFrame, refunds: DataFrame) -> DataFrame:
+    """Refund of each order key and invoice that has one, lying by order_key: one row for them, however many orders share both."""
+    refunded = refunds.groupBy("invoice_id").agg(F.sum("refund_net_cents").alias("refund_net_cents"))
+    found = orders.filter("order_key IS NOT NULL").select("order_key", "invoice_id").join(refunded, "invoice_id").repartition("order_key")
+    return found.groupBy("order_key", F.col("invoice_id").alias("__invoice_id")).agg(F.max("refund_net_cents").alias("refund_net_cents"))
+
+
+def order_totals(orders: DataFrame) -> DataFrame:
+    """Keys of sold orders with the dates of their customer, the amounts of all orders of their id and the last end of their contract."""
+    customer, _, _ = _date_levels()
     order = (["order_id"], {"order_net_cents": F.sum("net_cents"), "order_gross_cents": F.sum("gross_cents")})
     contract = (["contract_id"], {"last_end_dt": F.max("end_dt")})
-    totals = with_totals_at(
-        rows, (["customer_id", "order_id", "contract_id"], customer, order, contract), (["subscription_id", "product_family", "product_terms"], subscription, terms)
-    )
-    return totals.filter("order_id IS NOT NULL AND contract_id IS NOT NULL")
+    return with_totals_by(orders.select("order_key", "order_nr", "order_id", "customer_id", "contract_id"), customer, contract, order, source=orders)
+
+
+def subscription_totals(groups: DataFrame) -> DataFrame:
+    """Groups of lines (first dates for each of ``_date_levels``' flags) with the dates of their subscription and its terms."""
+    _, subscription, terms = _date_levels()
+    return with_totals_at(groups, (["subscription_id", "product_family", "product_terms"], subscription, terms))
+
+
+def _wanted(columns: list[str]) -> Column:
+    """0 or 1 from all columns: a reader that keeps it wants them all, and shares the exchange below with the others."""
+    return F.max(F.pmod(F.xxhash64(*columns), F.lit(2)))
 
 
 def invoice_mrr(
@@ -119,46 +159,79 @@ def invoice_mrr(
 
     ``billing`` holds the billing system's frames: customers (customer_id, billing_customer_id), plans and subscriptions.
     Lines of its customers carry their billing ids (see ``resolve_subscriptions``), all others the contract's.
+
+    Lines and orders lie by order_key and stay there; only keys travel. Totals of customers, contracts and order ids are
+    those of sold orders; totals of subscriptions are those of the kinds of lines (plan, family and terms) in an order. Lines
+    without an order or contract count in the dates, but are left out. The rows of an order key and the groups of a contract
+    or subscription are bounded.
     """
-    refunded = refunds.groupBy("invoice_id").agg(F.sum("refund_net_cents").alias("refund_net_cents"))
-    live = exclude_value(orders, "cancelation_reason", GHOST_CONTRACT)
-    if invoice_required_from:
-        live = live.filter(F.col("invoice_id").isNotNull() | (F.col("created_dt") < day(invoice_required_from)))
-    # what hangs on the order is joined to orders, not to their lines
-    live = live.join(coupons, "coupon_code", "left").join(refunded, "invoice_id", "left")
-    if billing:
-        live = live.join(billing["customers"].select("customer_id", "billing_customer_id"), "customer_id", "left")
-    sold = exclude_value(lines, "opcode", "D").join(live, "order_key").join(products, "product_key")
     monthly = F.col("monthly_payment")
-    sold = sold.withColumn("product_terms", F.coalesce(product_terms(monthly, F.col("product_name"), long_term_pattern), F.lit("one-time")))
+    terms = F.coalesce(terms_text(monthly, F.col("is_long")), F.lit("one-time"))
+    kind = [*(["plan_id"] if billing else []), "product_family", "monthly_payment", "is_long"]
+    is_long = F.coalesce(F.col("product_name").like(long_term_pattern), F.lit(False))
+    described = products.select(
+        "product_key", "product_id", "product_name", *kind[:-1], (F.col("is_recurring") | F.col("is_subsequent_recurring")).alias("recurs"),
+    )
+    kept = exclude_value(lines, "opcode", "D").select("order_key", "product_key", "net_cents", "gross_cents", "quantity")
+    by_order = kept.filter("order_key IS NOT NULL").join(described, "product_key").drop("product_key").repartition("order_key")
+    live = numbered(_live_orders(orders, coupons, invoice_required_from, billing), "order_key", "order_nr")
+
+    # an order that has lines, with their sums
+    sums = by_order.groupBy("order_key").agg(
+        F.sum("net_cents").alias("net_cents"), F.sum("gross_cents").alias("gross_cents"), _wanted(by_order.columns).alias("__seen")
+    ).filter("__seen >= 0").drop("__seen")
+    sold_orders = live.select(
+        "order_key", "order_nr", "order_id", "customer_id", "contract_id", "created_dt", "start_dt", "end_dt", "has_full_refund"
+    ).join(sums, "order_key")
+    totals = order_totals(sold_orders).filter("order_id IS NOT NULL AND contract_id IS NOT NULL").select(
+        "order_key", "order_nr", "first_created_dt", "first_order_dt", "valid_to_dt", "order_net_cents", "order_gross_cents", "last_end_dt"
+    )
+
+    numbered_kinds = by_order.withColumn("is_long", is_long).withColumn("kind_nr", F.dense_rank().over(Window.partitionBy("order_key").orderBy(*kind)))
+    kinds = numbered_kinds.groupBy("order_key", "kind_nr", *kind).agg(_wanted(by_order.columns).alias("__seen")).filter("__seen >= 0").drop("__seen")
+    of_order = ["contract_id", *(["is_billed"] if billing else [])]
+    sold = kinds.join(live.select("order_key", "order_nr", *of_order, "has_full_refund", "start_dt", "created_dt"), "order_key")
+    keys = [*of_order, *kind]
+    groups = sold.groupBy(*keys, "has_full_refund").agg(F.min("start_dt").alias("start_dt"), F.min("created_dt").alias("created_dt"))
     if billing:
-        resolved = resolve_subscriptions(sold.filter("billing_customer_id IS NOT NULL"), billing["plans"], billing["subscriptions"])
-        sold = join_null_safe(sold, resolved, ["contract_id", "plan_id"])
-        billed = F.col("billing_customer_id").isNotNull()
-        sold = sold.withColumns({
-            "subscription_id": F.when(billed, F.col("subscription_id")).otherwise(F.col("contract_id")),
-            "customer_id": F.coalesce("billing_customer_id", F.col("customer_id").cast("string")),
-        })
+        groups = numbered(groups, "contract_id").drop("__nr")
+        resolved = resolve_subscriptions(groups.filter("is_billed"), billing["plans"], billing["subscriptions"])
+        groups = join_null_safe(groups, resolved, ["contract_id", "plan_id"])
+        groups = groups.withColumn("subscription_id", F.when(F.col("is_billed"), F.col("subscription_id")).otherwise(F.col("contract_id")))
     else:
-        sold = sold.withColumn("subscription_id", F.col("contract_id"))
-    # the totals read the sold lines several times; the joins behind them are done once
-    rows = line_totals(materialise(sold))
+        groups = groups.withColumn("subscription_id", F.col("contract_id"))
+    groups = groups.withColumn("product_terms", terms)
+    dated = subscription_totals(numbered(groups, "contract_id").drop("__nr")).select(
+        *keys, "subscription_id", "first_monthly_mth", "first_long_term_dt", "first_terms_dt"
+    ).distinct()
+    of_kind = join_null_safe(sold.select("order_key", "order_nr", "kind_nr", *keys), dated, keys).drop(*keys).repartition("order_key")
+
+    status, ended = status_and_end(
+        F.col("contract_status"), F.col("last_end_dt"), F.col("contract_canceled_dt"), F.col("contract_modified_dt"), as_of
+    )
+    # numbers and invoices are compared beside the joins, which so need order_key alone and move no row
+    same = lambda name: F.col(name) - F.col(f"__{name}") == 0
+    of_key = live.join(totals.repartition("order_key").withColumnRenamed("order_nr", "__order_nr"), "order_key").filter(same("order_nr")).drop("__order_nr")
+    back = _order_refunds(orders, refunds).withColumnRenamed("order_key", "__order_key")
+    refunded = (F.col("order_key") == F.col("__order_key")) & F.coalesce(F.col("invoice_id") == F.col("__invoice_id"), F.lit(False))
+    of_key = of_key.join(back, refunded, "left").drop("__order_key", "__invoice_id").withColumns({
+        "status_code": status, "terminated_dt": ended, "refund_net_cents": F.coalesce("refund_net_cents", F.lit(0)),
+        "invoice_id": F.coalesce("invoice_id", F.concat(F.lit("o-"), F.col("order_id").cast("string"))),
+    })
+    of_kind = of_kind.withColumnsRenamed({"order_nr": "__order_nr", "kind_nr": "__kind_nr"})
+    rows = numbered_kinds.join(of_kind, "order_key").filter(same("kind_nr")).drop("__kind_nr")
+    rows = rows.join(of_key, "order_key").filter(same("order_nr")).withColumn("product_terms", terms)
 
     net, gross = F.col("net_cents"), F.col("gross_cents")
     amount = F.col("discount_cents")
-    percent = F.when(F.col("discount_type") == "percentage", F.col("discount_value")).otherwise(F.col("discount_percentage"))
-    percent = dec(percent, 10, 2)
+    percent = F.col("discount_percent")
     tax = F.coalesce(1 + dec(F.col("tax_rate"), 4, 2), F.lit(DEFAULT_TAX_FACTOR).cast("decimal(5,2)"))
     by_net = round_div([amount, net, 100], [F.col("order_net_cents"), cents(tax)])
     by_gross = round_div([amount, gross, 100], [F.col("order_gross_cents"), cents(tax)])
     off = F.when(monthly, by_net).otherwise(by_gross)
     hundredfold = F.when(percent > 0, net * (100 - cents(percent))).when(amount > 0, (net - off) * 100).otherwise(net * 100)
     per_month = round_div([hundredfold], [100, billing_months(monthly)])
-    relevant = (F.col("net_cents") > 0) & (F.col("is_recurring") | F.col("is_subsequent_recurring"))
-    status, ended = status_and_end(
-        F.col("contract_status"), F.col("last_end_dt"), F.col("contract_canceled_dt"), F.col("contract_modified_dt"), as_of
-    )
-    creator = F.split_part(F.col("creator_urn"), F.lit("/"), F.lit(2))
+    relevant = (F.col("net_cents") > 0) & F.col("recurs")
 
     rows = rows.withColumns({
         "is_mrr_relevant": F.coalesce(relevant, F.lit(False)),
@@ -166,17 +239,12 @@ def invoice_mrr(
         "discount_value_eur": F.when(percent > 0, percent).when(amount > 0, euro(by_gross)),
         "discount_share": ratio(amount, F.col("order_gross_cents"), 3),
         "mrr_eur": euro(F.coalesce(F.when(relevant, per_month), F.lit(0))),
-        "refund_net_cents": F.coalesce("refund_net_cents", F.lit(0)),
-        "is_new_invoice": F.coalesce(~F.col("creator_urn").like("%renewal%"), F.lit(False)),
-        "invoice_id": F.coalesce("invoice_id", F.concat(F.lit("o-"), F.col("order_id").cast("string"))),
-        "status_code": status, "terminated_dt": ended,
-        "creator": F.when((creator != "") & ~creator.isin(SERVICE_CREATORS), creator),
     })
     return refund_share(rows).select(
         "invoice_id", "subscription_id", "customer_id", "created_dt", "invoice_status", "start_dt", "end_dt",
         (F.col("created_dt") == F.col("first_created_dt")).alias("is_first_invoice"), "is_new_invoice", "creator",
         "status_code", "terminated_dt", "first_order_dt", "valid_to_dt", "first_monthly_mth", "first_long_term_dt", "first_terms_dt",
-        F.lower(F.btrim("coupon_code")).alias("coupon_code"), "discount_kind", "discount_value_eur", "discount_share",
+        "coupon_code", "discount_kind", "discount_value_eur", "discount_share",
         "has_refund", "has_full_refund", "product_id", "product_name", F.col("product_family").alias("product_group"), "product_terms",
         "mrr_eur", "refund_mrr_eur", F.col("quantity").alias("item_quantity"), "refund_item_quantity",
     )

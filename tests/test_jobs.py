@@ -351,6 +351,60 @@ def test_subscription_ids_follow_the_order_of_candidates(rows):
     assert got == {("V1", "p1"): "V1_a", ("V1", "p2"): "V1_c", ("V2", "p1"): "V2_b", ("V2", "p3"): "V2_" + hashlib.md5(b"p3").hexdigest(), ("V3", None): None}
 
 
+def _exchanges(plan):
+    children = plan.children()
+    own = [plan] if plan.nodeName() == "Exchange" else []
+    return own + [e for i in range(children.size()) for e in _exchanges(children.apply(i))]
+
+
+def test_lines_are_exchanged_without_the_columns_of_their_order(spark):
+    """Only keys of lines travel besides the lines themselves, and the lines travel twice: to the products and to the orders."""
+    from rollbook.catalog import revenue as r
+    from rollbook.catalog.base import Inputs
+
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = r.invoice_mrr(t)._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    outputs = {tuple(sorted(c.split("#")[0] for c in e.output().mkString(",").split(","))) for e in _exchanges(plan)}
+    assert not [o for o in outputs if "quantity" in o and ("invoice_status" in o or "subscription_id" in o)]
+    assert len([o for o in outputs if "quantity" in o]) == 2
+    assert len([o for o in outputs if "invoice_status" in o and "order_key" in o]) <= 4
+
+
+def test_repeated_and_missing_keys_of_orders(rows):
+    """Orders that share a key, customers with two billing ids, an order without contract, products without plan: totals count
+    each sold row, and every line meets every order of its key once."""
+    lines = rows("order_key int, product_key int, net_cents long, gross_cents long, quantity int, opcode string",
+                 (1, 1, 1000, 1190, 1, "I"), (1, 1, 1000, 1190, 1, "I"), (1, 2, 3000, 3570, 2, None), (2, 2, 500, 595, 1, "I"), (3, 1, 700, 833, 1, "I"), (None, 1, 9, 9, 1, "I"), (4, 9, 9, 9, 1, "I"))
+    day = lambda m: date(2024, m, 1)
+    schema = """order_key int, order_id string, invoice_id string, invoice_status string, contract_id string, customer_id string, created_dt date, start_dt date, end_dt date,
+        coupon_code string, discount_percentage decimal(10,2), discount_cents long, tax_rate decimal(4,2), has_refund boolean, has_full_refund boolean,
+        cancelation_reason string, creator_urn string, contract_status string, contract_canceled_dt date, contract_modified_dt date"""
+    order = lambda key, name, contract, customer, m, full=False: (
+        key, name, f"R{name}", "paid", contract, customer, day(m), day(m), day(m + 1), None, None, None, None, False, full, None, None, "active", None, None)
+    orders_ = rows(schema, order(1, "a", "V1", "K", 3), order(1, "b", "V1", "K", 2), order(1, "b", "V1", "K", 2), order(2, "c", None, "K", 1), order(3, "d", "V1", "L", 5, True), order(4, "e", "V1", "K", 1))
+    products = rows("product_key int, product_id string, product_name string, product_family string, monthly_payment boolean, is_recurring boolean, is_subsequent_recurring boolean, plan_id string",
+                    (1, "p1", "x", "Track", True, True, False, "m"), (2, "p2", None, "Track", True, True, False, None))
+    coupons = rows("coupon_code string, discount_type string, discount_value decimal(10,2)", ("C", "amount", Decimal(1)))
+    refunds = rows("invoice_id string, refund_net_cents long", ("Rz", 1))
+    billing = {
+        "customers": rows("customer_id string, billing_customer_id string", ("K", "B1"), ("K", "B2")),
+        "plans": rows("plan_id string, plan_code string, plan_code_nbr string", ("m", "x", "y")),
+        "subscriptions": rows("subscription_id string", ("V1_y",)),
+    }
+    out = revenue.invoice_mrr(lines, orders_, products, coupons, refunds, "%3y%", "2024-06-01", billing=billing).collect()
+    got = sorted((r["invoice_id"], r["customer_id"], r["product_id"], r["subscription_id"] or "", r["first_created_dt"] if "first_created_dt" in r else r["is_first_invoice"], r["first_terms_dt"]) for r in out)
+    of = lambda name, first, times: [
+        (f"R{name}", b, p, s, first, d) for b in ("B1", "B2") for p, s, n, d in (("p1", "V1_y", 2, day(2)), ("p2", "", 1, day(1))) for _ in range(n * times)
+    ]
+    # the order without contract is the customer's first, and the first of the terms of lines without subscription
+    assert got == sorted(of("a", False, 1) + of("b", False, 2) + [("Rd", "L", "p1", "V1", True, None)])
+
+
 def test_first_dates_skip_full_refunds(rows):
     df = rows(
         "customer_id string, subscription_id string, product_family string, product_terms string, monthly_payment boolean, has_full_refund boolean, created_dt date, start_dt date, end_dt date",

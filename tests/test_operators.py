@@ -313,6 +313,15 @@ def test_totals_at_a_grain_equal_totals_level_by_level(spark):
     assert joins_of_wide(got) == 1 and joins_of_wide(want) == 3
 
 
+def test_numbered_rows_are_exchanged_once_for_all_readers(spark):
+    df = spark.createDataFrame([("a", 2), ("a", 1), ("a", 1), ("b", 5), (None, 7), (None, None)], "k string, x int")
+    at = keyed.numbered(df, "k")
+    assert sorted(map(str, at.collect())) == sorted(str(r) for r in spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 2, 3), ("b", 5, 1), (None, None, 1), (None, 7, 2)], "k string, x int, __nr int").collect())
+    both = at.groupBy("k").count().unionByName(at.select("k", F.col("x").cast("bigint").alias("count")))
+    both.collect()
+    assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def _joins(plan):
     children = plan.children()
     own = [plan] if plan.nodeName() == "Join" else []
